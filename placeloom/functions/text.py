@@ -1,0 +1,139 @@
+"""Text functions on Columns: folding, names, phones, status, redaction, sentences."""
+
+from __future__ import annotations
+
+import unicodedata
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Precomposed Latin letters and their base letters, by Unicode decomposition; đ counts as d."""
+    pairs = {"đ": "d", "Đ": "D"}
+    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(cp):
+            pairs.setdefault(chr(cp), base)
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTED, PLAIN = _plain_letters()
+
+# Business forms before a name, and operators' words for a place's status.
+NAME_PREFIXES = ["cong ty", "tnhh", "co phan", "cp", "mtv", "dntn", "cua hang", "nha hang", "quan", "khach san", "hkd", "ho kinh doanh"]
+STATUS_WORDS = {
+    "operational": "open", "open": "open", "open_for_business": "open", "dang hoat dong": "open", "mo cua": "open",
+    "closed_temporarily": "temporarily_closed", "temporarily_closed": "temporarily_closed", "tam dong cua": "temporarily_closed",
+    "tam ngung": "temporarily_closed", "ngung tam": "temporarily_closed", "closed_permanently": "permanently_closed",
+    "permanently_closed": "permanently_closed", "closed": "permanently_closed", "dong cua": "permanently_closed",
+    "da dong cua": "permanently_closed", "ngung hoat dong": "permanently_closed",
+}
+
+
+def fold(text: Column) -> Column:
+    """Lower case without accents, trimmed."""
+    return F.trim(F.lower(F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}", "")))
+
+
+def normalize(text: Column) -> Column:
+    """fold, punctuation to blanks, blanks collapsed."""
+    return F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}_]+", " "))
+
+
+def tokens(text: Column, stopwords: list[str] | None = None) -> Column:
+    """The words of the normal form, without stopwords; of an empty text none."""
+    words = F.filter(F.split(normalize(text), " "), lambda x: x != "")
+    return F.filter(words, lambda x: ~x.isin(stopwords)) if stopwords else words
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """Runs of n words, joined by blanks."""
+    last = F.size(words) - n
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+
+
+def norm_name(text: Column) -> Column:
+    """A name to compare by: folded, without leading business forms (repeatedly) and punctuation."""
+    forms = "|".join(sorted(NAME_PREFIXES, key=len, reverse=True))
+    return F.trim(F.regexp_replace(F.regexp_replace(fold(text), rf"^(?:(?:{forms})\s+)+", ""), r"[^\p{L}\p{N}_]+", " "))
+
+
+def name_signature(name: Column) -> Column:
+    """The words of a normal name in order, repeats included."""
+    return F.array_join(F.array_sort(F.filter(F.split(name, " "), lambda x: x != "")), " ")
+
+
+def normalize_phone(text: Column) -> Column:
+    """+84 form of a phone number; null if its digits number under 8 or over 13."""
+    d = F.regexp_replace(F.coalesce(text, F.lit("")), r"\D", "")
+    d = F.when(d.startswith("00"), F.concat(F.lit("+"), F.substring(d, 3, 99))).when(d.startswith("84"), F.concat(F.lit("+"), d)).when(d.startswith("0"), F.concat(F.lit("+84"), F.substring(d, 2, 99))).when((d != "") & (F.length(d) > 10), F.concat(F.lit("+"), d)).when(d != "", F.concat(F.lit("+0"), d)).otherwise(d)
+    return F.when(F.length(F.ltrim(d, F.lit("+"))).between(8, 13), d)
+
+
+def norm_status(text: Column) -> Column:
+    """open, temporarily_closed, permanently_closed or null: by the folded word, then by parts of it."""
+    t = fold(text)
+    known = F.create_map(*[F.lit(x) for pair in STATUS_WORDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, t), F.when(t.contains("permanent"), "permanently_closed").when(t.contains("temporar"), "temporarily_closed"))
+
+
+def slug(text: Column) -> Column:
+    return F.replace(normalize(text), F.lit(" "), F.lit("-"))
+
+
+def redact(text: Column, most: int = 500) -> Column:
+    """E-mail addresses, phone numbers and long ids are masked, in that order; then the text is cut."""
+    t = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    t = F.regexp_replace(t, r"(?:\+84|\b0)[0-9][0-9 .-]{7,11}[0-9]\b", "[phone]")
+    return F.substring(F.regexp_replace(t, r"\b[0-9]{9,}\b", "[id]"), 1, most)
+
+
+def query_language(text: Column) -> Column:
+    """vi if a Vietnamese letter is in the text, else en."""
+    return F.when(F.lower(text).rlike("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"), "vi").otherwise("en")
+
+
+def intent(text: Column) -> Column:
+    """comparison, howto, definition, opinion, current_fact or lookup: the first pattern that matches."""
+    t = fold(text)
+    return F.when(t.rlike(r"\b(vs|versus|compare|so sanh|difference between)\b"), "comparison").when(t.rlike(r"\b(how to|how do|cach|huong dan)\b"), "howto").when(t.rlike(r"\b(what is|define|la gi|meaning of)\b"), "definition").when(t.rlike(r"\b(best|review|should i|nen|tot nhat)\b"), "opinion").when(t.rlike(r"\b(today|now|latest|current|hom nay|moi nhat|gia)\b"), "current_fact").otherwise("lookup")
+
+
+def freshness_class(text: Column) -> Column:
+    """How long an answer lasts: minutes, hours, days or static."""
+    t = fold(text)
+    return F.when(t.rlike(r"\b(price|stock|score|live|gia vang|ty gia)\b"), "minutes").when(t.rlike(r"\b(news|today|weather|hom nay|thoi tiet)\b"), "hours").when(t.rlike(r"\b(history|definition|la gi|what is|law|luat)\b"), "static").otherwise("days")
+
+
+def sanitize(text: Column) -> Column:
+    """Comments, scripts, styles and hidden elements go from untrusted text."""
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script.*?</script>", r"(?is)<style.*?</style>"):
+        text = F.regexp_replace(text, pattern, " ")
+    return text
+
+
+def is_injection(text: Column) -> Column:
+    return F.lower(text).rlike(r"ignore (all )?previous instructions|you are now|system prompt")
+
+
+def edit_allowance(term: Column) -> Column:
+    """Typos that a term of this length may have: 0, 1, 2 or 3."""
+    n = F.length(term)
+    return F.when(n < 5, 0).when(n <= 8, 1).when(n <= 14, 2).otherwise(3)
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, r"[.!?]\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def claims(text: Column, most: int = 8) -> Column:
+    """The first sentences that say something: 5 words or more, no question, no label."""
+    good = lambda x: (F.size(F.split(x, r"\s+")) >= 5) & ~x.contains("?") & ~x.endswith(":")
+    return F.slice(F.filter(sentences(text), good), 1, most)
+
+
+def legal_article(text: Column) -> Column:
+    """Number of the first article that a legal text names."""
+    return F.regexp_extract(text, r"(?:Điều|Article)\s+([0-9]+)", 1)

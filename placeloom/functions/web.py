@@ -1,0 +1,85 @@
+"""URLs and page content on Columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Query parameters that only track, and words of spam hosts.
+TRACKING = ["fbclid", "gclid", "dclid", "msclkid", "yclid", "igshid", "mc_cid", "mc_eid", "ref", "source"]
+SPAM_WORDS = ["casino", "viagra", "porn", "betting", "loan"]
+
+
+def _full(url: Column) -> Column:
+    u = F.trim(url)
+    return F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(~u.contains("://"), F.concat(F.lit("https://"), u)).otherwise(u)
+
+
+def host(url: Column) -> Column:
+    """Host in lower case without port, www. and m."""
+    h = F.lower(F.regexp_extract(_full(url), r"^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return F.regexp_replace(h, r"^(?:www\.|m\.)+", "")
+
+
+def canonical_url(url: Column) -> Column:
+    """One form of a URL: host lower-cased and without www. and m., default port, tracking parameters, fragment and
+    closing slashes gone, parameters sorted. Percent escapes stay as they are. No host: empty."""
+    u = _full(url)
+    scheme = F.lower(F.regexp_extract(u, r"^([^:/]+)://", 1))
+    port = F.regexp_extract(u, r"^[^:/]+://[^/?#:]*:([0-9]+)", 1)
+    port = F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port))
+    path = F.regexp_replace(F.regexp_extract(u, r"^[^:/]+://[^/?#]*([^?#]*)", 1), r"/+$", "")
+    params = F.filter(F.split(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING))
+    query = F.array_join(F.array_sort(params), "&")
+    return F.when(host(url) == "", "").otherwise(F.concat(scheme, F.lit("://"), host(url), port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def canonical_identity(url: Column) -> Column:
+    """canonical_url without its scheme."""
+    return F.regexp_replace(canonical_url(url), r"^[^:/]+://", "")
+
+
+def is_private(url: Column) -> Column:
+    return host(url).rlike(r"^(localhost$|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
+
+
+def spam_score(url: Column) -> Column:
+    """Words of spam in the host, very deep paths and odd top-level domains, at most 1."""
+    words = sum((F.when(host(url).contains(w), 0.5).otherwise(0.0) for w in SPAM_WORDS), F.lit(0.0))
+    depth = F.size(F.filter(F.split(F.regexp_extract(_full(url), r"^[^:/]+://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != ""))
+    return F.least(F.lit(1.0), words + F.when(depth > 5, 0.2).otherwise(0.0) + F.when(host(url).rlike(r"\.(xyz|top|click)$"), 0.3).otherwise(0.0))
+
+
+def visible_text(html: Column) -> Column:
+    """Text of a page: scripts, styles, comments and tags go, blanks collapse."""
+    t = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>|<!--.*?-->", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " "))
+
+
+def content_fingerprint(html: Column) -> Column:
+    return F.sha2(visible_text(html), 256)
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\S+"))
+
+
+def extraction_quality(text: Column, html: Column) -> Column:
+    """0.6 for 400 words, 0.4 for a text share of 30 percent, each in proportion below."""
+    density = F.length(text) / F.greatest(F.length(html), F.lit(1))
+    return 0.6 * F.least(word_count(text) / 400, F.lit(1.0)) + 0.4 * F.least(density / 0.30, F.lit(1.0))
+
+
+def extraction_status(text: Column, quality: Column) -> Column:
+    n = word_count(text)
+    return F.when(n == 0, "empty").when(n < 20, "low_content").when(quality < 0.3, "low_quality").otherwise("success")
+
+
+def absolute_links(html: Column) -> Column:
+    """Different http(s) targets in order, without fragments."""
+    found = F.regexp_extract_all(html, F.lit(r'href="(https?://[^"#]+)'), F.lit(1))
+    return F.array_distinct(found)
+
+
+def images(html: Column) -> Column:
+    return F.filter(F.regexp_extract_all(html, F.lit(r'<img[^>]*src="([^"]+)"'), F.lit(1)), lambda x: ~x.startswith("data:") & ~x.startswith("blob:"))

@@ -1,0 +1,290 @@
+"""Queries of text, web and number functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import geo, text, web
+from ..operators import ranking
+from .fixtures import INTERACTIONS, RECORDS, derive, sql, table
+from .registry import query
+
+FOLD = "lower(strip_accents(replace(replace({}, 'đ', 'd'), 'Đ', 'D')))"
+
+
+def d_fold(x):
+    return f"trim({FOLD.format(x)})"
+
+
+def d_norm(x):
+    return rf"trim(regexp_replace({d_fold(x)}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+
+
+def d_tokens(x):
+    return f"list_filter(string_split({d_norm(x)}, ' '), w -> w <> '')"
+
+
+@query("f1_fold", f"SELECT doc_id, sha256({d_fold('text')}) AS folded FROM documents")
+def fold(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
+
+
+@query("f2_normalize", f"SELECT doc_id, sha256({d_norm('text')}) AS normal FROM documents")
+def normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("normal"))
+
+
+@query("f3_tokens", f"SELECT doc_id, CAST(len({d_tokens('text')}) AS BIGINT) AS n, CAST(len(list_distinct({d_tokens('text')})) AS BIGINT) AS n_distinct FROM documents")
+def tokens(spark, d):
+    t = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query("f3_bigrams", f"WITH t AS (SELECT doc_id, {d_tokens('text')} AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50")
+def bigrams(spark, d):
+    g = table(spark, d, "documents").select(F.explode(text.ngrams(text.tokens(F.col("text")), 2)).alias("gram"))
+    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50)
+
+
+_FORMS = "|".join(sorted(text.NAME_PREFIXES, key=len, reverse=True))
+
+
+def d_name(x):
+    return rf"trim(regexp_replace(regexp_replace({d_fold(x)}, '^(?:(?:{_FORMS})\s+)+', ''), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+
+
+@query("f4_norm_name", f"WITH r AS ({sql(RECORDS)}), n AS (SELECT record_id, {d_name('raw_name')} AS name FROM r) SELECT record_id, name, array_to_string(list_sort(string_split(name, ' ')), ' ') AS signature FROM n")
+def norm_name(spark, d):
+    r = derive(spark, d, RECORDS).select("record_id", text.norm_name(F.col("raw_name")).alias("name"))
+    return r.withColumn("signature", text.name_signature(F.col("name")))
+
+
+D_PHONE = """CASE WHEN g LIKE '00%' THEN '+' || substr(g, 3) WHEN g LIKE '84%' THEN '+' || g WHEN g LIKE '0%' THEN '+84' || substr(g, 2)
+  WHEN length(g) > 10 THEN '+' || g WHEN g <> '' THEN '+0' || g ELSE g END"""
+
+
+@query("f6_phone", rf"WITH r AS ({sql(RECORDS)}), g AS (SELECT record_id, regexp_replace(raw_phone, '\D', '', 'g') AS g FROM r), p AS (SELECT record_id, {D_PHONE} AS p FROM g) SELECT record_id, CASE WHEN length(ltrim(p, '+')) BETWEEN 8 AND 13 THEN p END AS phone FROM p")
+def phone(spark, d):
+    return derive(spark, d, RECORDS).select("record_id", text.normalize_phone(F.col("raw_phone")).alias("phone"))
+
+
+@query("f7_domain", rf"WITH r AS ({sql(RECORDS)}) SELECT record_id, regexp_replace(lower(regexp_extract(raw_website, '^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(?:www\.|m\.)+', '') AS domain FROM r")
+def domain(spark, d):
+    return derive(spark, d, RECORDS).select("record_id", web.host(F.col("raw_website")).alias("domain"))
+
+
+_STATUS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.STATUS_WORDS.items())
+
+
+@query("f9_status", f"WITH r AS ({sql(RECORDS)}), s AS (SELECT record_id, {d_fold('raw_status')} AS s FROM r) SELECT record_id, coalesce(CASE s {_STATUS} END, CASE WHEN contains(s, 'permanent') THEN 'permanently_closed' WHEN contains(s, 'temporar') THEN 'temporarily_closed' END) AS status FROM s")
+def status(spark, d):
+    return derive(spark, d, RECORDS).select("record_id", text.norm_status(F.col("raw_status")).alias("status"))
+
+
+_VI = "[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"
+_RM = lambda p: f"regexp_matches(f, '{p}')"
+
+
+@query("f13_f15_query_tags", rf"""
+WITH c AS (SELECT conv_id, turn, text, {d_fold('text')} AS f FROM conversations)
+SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{_VI}') THEN 'vi' ELSE 'en' END AS language,
+ CASE WHEN {_RM(r'\b(vs|versus|compare|so sanh|difference between)\b')} THEN 'comparison' WHEN {_RM(r'\b(how to|how do|cach|huong dan)\b')} THEN 'howto' WHEN {_RM(r'\b(what is|define|la gi|meaning of)\b')} THEN 'definition' WHEN {_RM(r'\b(best|review|should i|nen|tot nhat)\b')} THEN 'opinion' WHEN {_RM(r'\b(today|now|latest|current|hom nay|moi nhat|gia)\b')} THEN 'current_fact' ELSE 'lookup' END AS intent,
+ CASE WHEN {_RM(r'\b(price|stock|score|live|gia vang|ty gia)\b')} THEN 'minutes' WHEN {_RM(r'\b(news|today|weather|hom nay|thoi tiet)\b')} THEN 'hours' WHEN {_RM(r'\b(history|definition|la gi|what is|law|luat)\b')} THEN 'static' ELSE 'days' END AS freshness
+FROM c""")
+def query_tags(spark, d):
+    t = F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", text.query_language(t).alias("language"), text.intent(t).alias("intent"), text.freshness_class(t).alias("freshness"))
+
+
+@query("f19_redact", r"""SELECT doc_id, sha256(substr(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'),
+ '(?:\+84|\b0)[0-9][0-9 .-]{7,11}[0-9]\b', '[phone]', 'g'), '\b[0-9]{9,}\b', '[id]', 'g'), 1, 100000)) AS redacted FROM documents""")
+def redact(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text"), 100000), 256).alias("redacted"))
+
+
+@query("f20_sanitize", r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g')) AS clean,
+ regexp_matches(lower(html), 'ignore (all )?previous instructions|you are now|system prompt') AS injection FROM pages""")
+def sanitize(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(text.sanitize(F.col("html")), 256).alias("clean"), text.is_injection(F.col("html")).alias("injection"))
+
+
+@query("f21_edit_distance", """SELECT a.n_nationkey AS a, b.n_nationkey AS b, CAST(levenshtein(a.n_name, b.n_name) AS BIGINT) AS edits,
+ levenshtein(a.n_name, b.n_name) <= CASE WHEN length(a.n_name) < 5 THEN 0 WHEN length(a.n_name) <= 8 THEN 1 WHEN length(a.n_name) <= 14 THEN 2 ELSE 3 END AS allowed
+ FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
+def edit_distance(spark, d):
+    n = table(spark, d, "nation")
+    j = n.alias("a").join(n.alias("b"), (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")))
+    e = F.levenshtein("a.n_name", "b.n_name")
+    return j.select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"), e.cast("long").alias("edits"), (e <= text.edit_allowance(F.col("a.n_name"))).alias("allowed"))
+
+
+@query("f22_claims", r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]\s+|\n+'), x -> trim(x)), x -> x <> '') AS s FROM documents),
+c AS (SELECT doc_id, list_filter(s, x -> len(regexp_split_to_array(x, '\s+')) >= 5 AND NOT contains(x, '?') AND NOT suffix(x, ':'))[1:8] AS c FROM s)
+SELECT doc_id, CAST(len(c) AS BIGINT) AS n, sha256(array_to_string(c, '|')) AS claims FROM c""")
+def claims(spark, d):
+    c = table(spark, d, "documents").select("doc_id", text.claims(F.col("text")).alias("c"))
+    return c.select("doc_id", F.size("c").cast("long").alias("n"), F.sha2(F.array_join("c", "|"), 256).alias("claims"))
+
+
+@query("f24_articles", r"SELECT doc_id, regexp_extract(text, '(?:Điều|Article)\s+([0-9]+)', 1) AS article FROM documents")
+def articles(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.legal_article(F.col("text")).alias("article"))
+
+
+@query("f51_slug", f"SELECT p_partkey, replace({d_norm('p_name')}, ' ', '-') AS slug FROM part")
+def slug(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))
+
+
+# --- URLs and pages --------------------------------------------------------------------------------------------
+
+_TRACK = ", ".join(f"'{x}'" for x in web.TRACKING)
+D_FULL = "CASE WHEN trim(url) LIKE '//%' THEN 'https:' || trim(url) WHEN NOT contains(trim(url), '://') THEN 'https://' || trim(url) ELSE trim(url) END"
+D_URLS = rf"""
+f AS (SELECT page_id, url, html, {D_FULL} AS u FROM pages),
+parts AS (SELECT page_id, url, html, u, lower(regexp_extract(u, '^([^:/]+)://', 1)) AS scheme,
+  regexp_replace(lower(regexp_extract(u, '^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(?:www\.|m\.)+', '') AS host,
+  regexp_extract(u, '^[^:/]+://[^/?#:]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), p -> p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({_TRACK}))) AS q FROM f),
+urls AS (SELECT page_id, url, html, host, scheme || '://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM parts)"""
+
+
+@query("f25_canonical_url", rf"WITH {D_URLS} SELECT page_id, canonical, regexp_replace(canonical, '^[^:/]+://', '') AS identity FROM urls")
+def canonical(spark, d):
+    return table(spark, d, "pages").select("page_id", web.canonical_url(F.col("url")).alias("canonical"), web.canonical_identity(F.col("url")).alias("identity"))
+
+
+@query("a5_alias_clusters", rf"WITH {D_URLS} SELECT regexp_replace(canonical, '^[^:/]+://', '') AS identity, count(*) AS n, array_to_string(list_sort(list(DISTINCT url)), ' ') AS urls FROM urls GROUP BY 1")
+def aliases(spark, d):
+    p = table(spark, d, "pages").withColumn("identity", web.canonical_identity(F.col("url")))
+    return p.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("url")), " ").alias("urls"))
+
+
+_RR = "1.0 / (60 + {})"
+
+
+@query("flagship_alias_rrf", rf"""
+WITH {D_URLS}, k AS (SELECT page_id, regexp_replace(canonical, '^[^:/]+://', '') AS identity, host, length(html) AS len, len(regexp_extract_all(html, '\S+')) AS words FROM urls),
+g AS (SELECT identity, max(len) AS len, max(words) AS words, count(*) AS pages FROM k GROUP BY identity),
+r AS (SELECT *, row_number() OVER (ORDER BY len DESC, identity) AS r1, row_number() OVER (ORDER BY words DESC, identity) AS r2 FROM g)
+SELECT identity, pages, round({_RR.format('r1')} + {_RR.format('r2')}, 9) AS rrf FROM r ORDER BY rrf DESC, identity LIMIT 20""")
+def flagship(spark, d):
+    """Pages to alias clusters, two rankings of the clusters, fused."""
+    p = table(spark, d, "pages").select(web.canonical_identity(F.col("url")).alias("identity"), F.length("html").alias("len"), web.word_count(F.col("html")).alias("words"))
+    g = p.groupBy("identity").agg(F.max("len").alias("len"), F.max("words").alias("words"), F.count(F.lit(1)).alias("pages"))
+    lists = g.select("identity", F.expr("stack(2, 'length', len, 'words', words) AS (provider, score)"))
+    fused = ranking.rrf(ranking.with_rank(lists.withColumn("q", F.lit(0)), ["q", "provider"], "score", "identity"), "q", "identity")
+    return fused.join(g, "identity").select("identity", "pages", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "identity").limit(20)
+
+
+@query("f27_spam", rf"""WITH {D_URLS} SELECT page_id, regexp_matches(host, '^(localhost$|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)') AS private,
+ least(1.0, {' + '.join(f"CASE WHEN contains(host, '{w}') THEN 0.5 ELSE 0.0 END" for w in web.SPAM_WORDS)} + CASE WHEN len(list_filter(string_split(regexp_extract({D_FULL}, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/'), x -> x <> '')) > 5 THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(host, '\.(xyz|top|click)$') THEN 0.3 ELSE 0.0 END)::DOUBLE AS spam FROM urls""")
+def spam(spark, d):
+    return table(spark, d, "pages").select("page_id", web.is_private(F.col("url")).alias("private"), web.spam_score(F.col("url")).alias("spam"))
+
+
+D_VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("f28_f29_fingerprint", f"SELECT page_id, sha256({D_VISIBLE}) AS fingerprint, CAST(length({D_VISIBLE}) AS BIGINT) AS n FROM pages")
+def fingerprint(spark, d):
+    return table(spark, d, "pages").select("page_id", web.content_fingerprint(F.col("html")).alias("fingerprint"), F.length(web.visible_text(F.col("html"))).cast("long").alias("n"))
+
+
+@query("f30_extraction_quality", rf"""WITH t AS (SELECT page_id, html, {D_VISIBLE} AS t FROM pages), q AS (SELECT page_id, len(regexp_extract_all(t, '\S+')) AS n, 0.6e0 * least(len(regexp_extract_all(t, '\S+')) / 400e0, 1e0) + 0.4e0 * least(length(t)::DOUBLE / greatest(length(html), 1) / 0.30e0, 1e0) AS q FROM t)
+SELECT page_id, round(q, 6) AS quality, CASE WHEN n = 0 THEN 'empty' WHEN n < 20 THEN 'low_content' WHEN q < 0.3e0 THEN 'low_quality' ELSE 'success' END AS status FROM q""")
+def extraction(spark, d):
+    t = table(spark, d, "pages").withColumn("t", web.visible_text(F.col("html"))).withColumn("q", web.extraction_quality(F.col("t"), F.col("html")))
+    return t.select("page_id", F.round("q", 6).alias("quality"), web.extraction_status(F.col("t"), F.col("q")).alias("status"))
+
+
+@query("f49_links", """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"#]+)', 1))) AS target FROM pages""")
+def links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(web.absolute_links(F.col("html"))).alias("target"))
+
+
+@query("f50_images", """WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<img[^>]*src="([^"]+)"', 1)) AS src FROM pages) SELECT page_id, src, sha256(CAST(page_id AS VARCHAR) || ':' || src) AS image_id FROM i WHERE src NOT LIKE 'data:%' AND src NOT LIKE 'blob:%'""")
+def page_images(spark, d):
+    i = table(spark, d, "pages").select("page_id", F.explode(web.images(F.col("html"))).alias("src"))
+    return i.withColumn("image_id", F.sha2(F.concat(F.col("page_id").cast("string"), F.lit(":"), "src"), 256))
+
+
+@query("f37_identity_hash", f"WITH r AS ({sql(RECORDS)}) SELECT record_id, sha256(raw_name || chr(31) || coalesce(raw_website, chr(0)) || chr(31) || raw_phone) AS h FROM r")
+def identity(spark, d):
+    from ..operators.places import identity_hash
+
+    return derive(spark, d, RECORDS).select("record_id", identity_hash(F.col("raw_name"), F.col("raw_website"), F.col("raw_phone")).alias("h"))
+
+
+# --- numbers, geo, dates ---------------------------------------------------------------------------------------
+
+
+def d_hav(a, b, c, e):
+    return f"2 * 6371000.0e0 * asin(sqrt(least(1e0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({e} - {b}) / 2), 2))))"
+
+
+@query("f39_haversine", f"WITH r AS ({sql(RECORDS)}) SELECT a.record_id, round({d_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 4) AS m FROM r a JOIN r b ON b.record_id = a.record_id + 1 WHERE a.lon IS NOT NULL AND b.lon IS NOT NULL")
+def haversine(spark, d):
+    r = derive(spark, d, RECORDS).select("record_id", "lat", "lon").filter("lon IS NOT NULL")
+    b = r.select((F.col("record_id") - 1).alias("record_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    return r.join(b, "record_id").select("record_id", F.round(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 4).alias("m"))
+
+
+@query("f41_decays", f"""WITH r AS ({sql(RECORDS)}) SELECT record_id, round(exp(-days / 180e0), 6) AS phone, round(exp(-days / 45e0), 6) AS status, round(greatest(0e0, least(1e0, 1 - days / (365.25e0 * 5))), 6) AS slow, round(greatest(0e0, least(1e0, 1 - days / 60e0)), 6) AS news FROM r""")
+def decays(spark, d):
+    x = F.col("days")
+    return derive(spark, d, RECORDS).select("record_id", F.round(geo.field_recency(F.lit("phone"), x), 6).alias("phone"), F.round(geo.field_recency(F.lit("status"), x), 6).alias("status"), F.round(geo.freshness(x), 6).alias("slow"), F.round(geo.freshness(x, 30.0), 6).alias("news"))
+
+
+@query("f42_open_now", """
+WITH h AS (SELECT s_suppkey, s_suppkey % 7 AS day, 480 + s_suppkey % 5 * 60 AS a, CASE WHEN s_suppkey % 3 = 0 THEN 120 ELSE 1320 END AS b FROM supplier), n AS (SELECT *, s_suppkey * 3 % 7 AS d, s_suppkey * 97 % 1440 AS m FROM h)
+SELECT s_suppkey, (day = d AND CASE WHEN a <= b THEN m BETWEEN a AND b ELSE m >= a END) OR (day = (d + 6) % 7 AND a > b AND m <= b) AS open FROM n""")
+def opening(spark, d):
+    k = F.col("s_suppkey")
+    ranges = F.array(F.struct((k % 7).alias("day"), (480 + k % 5 * 60).alias("start"), F.when(k % 3 == 0, 120).otherwise(1320).alias("end")))
+    return table(spark, d, "supplier").select("s_suppkey", geo.open_now(ranges, k * 3 % 7, k * 97 % 1440).alias("open"))
+
+
+@query("f43_weeks", "SELECT event_id, CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS bucket FROM events")
+def weeks(spark, d):
+    return table(spark, d, "events").select("event_id", geo.iso_week(F.col("ts")).alias("week"), geo.week_bucket(F.col("ts")).alias("bucket"))
+
+
+@query("f44_recrawl", "SELECT l_orderkey, l_linenumber, round(604800 - l_discount * (604800 - 3600), 4) AS seconds FROM lineitem")
+def recrawl(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(geo.recrawl_seconds(F.col("l_discount")), 4).alias("seconds"))
+
+
+@query("f45_cosine", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    w = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2"))
+    return v.join(w, "vec_id").select("vec_id", F.round(geo.cosine(F.col("embedding"), F.col("e2")), 6).alias("cosine"))
+
+
+@query("f45_jaccard", f"""WITH t AS (SELECT doc_id, list_distinct({d_tokens('text')}) AS t FROM documents) SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) > 0 THEN len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END, 6) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
+def jaccard(spark, d):
+    t = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    u = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return t.join(u, "doc_id").select("doc_id", F.round(geo.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
+
+
+@query("w5_ema", """
+WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+e AS (SELECT user_id, i, value AS ema FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, 0.7e0 * e.ema + 0.3e0 * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.i = e.i + 1)
+SELECT user_id, round(arg_max(ema, i), 6) AS ema, count(*) AS n FROM e GROUP BY user_id""")
+def ema(spark, d):
+    return ranking.ema(table(spark, d, "events"), "user_id", "event_id", "value", 0.3).withColumn("ema", F.round("ema", 6))
+
+
+@query("u2_distinct_interactions", f"WITH i AS ({sql(INTERACTIONS)}) SELECT DISTINCT trace_id, result_id, kind, rank FROM i")
+def distinct_interactions(spark, d):
+    return derive(spark, d, INTERACTIONS).select("trace_id", "result_id", "kind", "rank").distinct()
+
+
+@query("w8_latest_per_source", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest(spark, d):
+    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    return table(spark, d, "events").withColumn("n", n).filter("n = 1").select("user_id", "event_id", "event_type")
