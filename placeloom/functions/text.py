@@ -31,6 +31,11 @@ STATUS_WORDS = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for a row; a column used inside a lambda would be evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents, trimmed."""
     return F.trim(F.lower(F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{M}", "")))
@@ -49,9 +54,11 @@ def tokens(text: Column, stopwords: list[str] | None = None) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, joined by blanks."""
-    last = F.size(words) - n
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+    def grams(w):
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return let(words, grams)
 
 
 def norm_name(text: Column) -> Column:

@@ -123,7 +123,7 @@ def confidence(spark, d):
 
 
 @query("a8_verification", rf"""
-WITH r AS ({sql(RECORDS)}), c AS (SELECT p AS place_id, provider = 'registry' AND record_id % 8 = 2 AS first, record_id % 10 = 0 AS reviewed,
+WITH r AS ({sql(RECORDS)}), c AS (SELECT p AS place_id, provider = 'registry' AND record_id % 8 = 2 AS first, record_id % 10 = 0 AND raw_website IS NOT NULL AS reviewed,
  CASE WHEN provider = 'registry' AND record_id % 8 = 2 THEN 'authority:' || provider WHEN coalesce({D_DOMAIN}, '') <> '' THEN 'url:' || {D_DOMAIN} ELSE 'provider:' || provider END AS origin FROM r),
 g AS (SELECT place_id, max(first::INT) AS f, max(reviewed::INT) AS v, count(DISTINCT origin) AS keys FROM c GROUP BY place_id)
 SELECT place_id, CASE WHEN f = 1 THEN 'authoritative' WHEN v = 1 THEN 'verified' WHEN keys >= 2 THEN 'corroborated' ELSE 'observed' END AS level, keys FROM g""")
@@ -131,8 +131,7 @@ def verification(spark, d):
     r = derive(spark, d, RECORDS)
     reviewed = F.col("record_id") % 10 == 0
     c = r.select(F.col("p").alias("place_id"), "provider", F.when((F.col("provider") == "registry") & (F.col("record_id") % 8 == 2), "authority").otherwise("other").alias("kind"), F.col("raw_website").alias("source_url"), F.when(reviewed, "verified").alias("review_status"), F.col("days").alias("reviewed_at"), F.lit("visit").alias("verification_method"))
-    c = c.withColumn("review_status", F.when(F.col("source_url").isNotNull() | ~reviewed, F.col("review_status")))
-    return places.verification(c.withColumn("source_url", F.col("source_url")))
+    return places.verification(c)
 
 
 @query("a9_merge_audit", f"""WITH {D_NORMAL}, g AS (SELECT admin_unit AS place_id, count(*) AS records, {d_hav('min(lat)', 'min(lon)', 'max(lat)', 'max(lon)')} AS m FROM r GROUP BY admin_unit)
@@ -181,8 +180,8 @@ def nearest(spark, d):
 
 
 @query("j13_transitions", """
-WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 10), w AS (SELECT n_nationkey AS unit, n_nationkey AS at FROM nation UNION SELECT w.unit, e.b FROM w JOIN e ON e.a = w.at)
-SELECT unit, at AS current FROM w WHERE at NOT IN (SELECT a FROM e)""")
+WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 10), w AS (SELECT n_nationkey AS unit, n_nationkey AS pos FROM nation UNION SELECT w.unit, e.b FROM w JOIN e ON e.a = w.pos)
+SELECT unit, pos AS current FROM w WHERE pos NOT IN (SELECT a FROM e)""")
 def transitions(spark, d):
     n = table(spark, d, "nation")
     rel = n.filter("n_nationkey < 10").select(F.col("n_nationkey").alias("from_unit"), (F.col("n_nationkey") + 5).alias("to_unit"))

@@ -70,20 +70,20 @@ def w3(spark, d):
     return r.select("query_id", "provider", "item", F.round("diversity", 6).alias("diversity"), F.round("penalty", 6).alias("penalty"))
 
 
-@query("t2_t3_quality", f"WITH {_R}, s AS (SELECT query_id, provider, item, score / 110000e0 AS rel, d * 10 AS auth, q / 50e0 AS fresh FROM r) SELECT query_id, provider, item, round(greatest(0e0, least(1e0, 0.35e0 * greatest(0e0, least(1e0, rel)) + 0.25e0 * auth + 0.25e0 * fresh - 0.10e0 * 0.1e0 + 0.05e0 * 0.5e0)), 6) AS v1, round(greatest(0e0, least(1e0, 0.40e0 * rel + 0.20e0 * auth + 0.15e0 * fresh + 0.10e0 * fresh + 0.10e0 * auth + 0.05e0 * rel)), 6) AS v2 FROM s")
+@query("t2_t3_quality", f"WITH {_R}, s AS (SELECT query_id, provider, item, score / 110000e0 AS rel, d * 10 AS auth, q / 50e0 AS fresh FROM r) SELECT query_id, provider, item, round(greatest(0e0, least(1e0, 0.35e0 * greatest(0e0, least(1e0, rel)) + 0.25e0 * auth + 0.25e0 * fresh - 0.10e0 * 0.1e0 + 0.05e0 * 0.5e0)) + 1e-9, 6) AS v1, round(greatest(0e0, least(1e0, 0.40e0 * rel + 0.20e0 * auth + 0.15e0 * fresh + 0.10e0 * fresh + 0.10e0 * auth + 0.05e0 * rel)) + 1e-9, 6) AS v2 FROM s")
 def t2(spark, d):
     r = ranked(spark, d).select("query_id", "provider", "item", (F.col("score") / 110000).alias("rel"), (F.col("d") * 10).alias("auth"), (F.col("q") / 50).alias("fresh"))
     c = F.col
     v1 = ranking.quality_v1(c("rel"), c("auth"), c("fresh"), F.lit(0.1), F.lit(0.5))
     v2 = ranking.quality_v2(c("rel"), c("auth"), c("fresh"), c("fresh"), c("auth"), c("rel"))
-    return r.select("query_id", "provider", "item", F.round(v1, 6).alias("v1"), F.round(v2, 6).alias("v2"))
+    return r.select("query_id", "provider", "item", F.round(v1 + 1e-9, 6).alias("v1"), F.round(v2 + 1e-9, 6).alias("v2"))
 
 
-@query("t8_url_prerank", f"WITH {_R}, s AS (SELECT query_id, domain, item, max(0.30e0 * score / 110000e0 + 0.25e0 * q / 50e0 + 0.15e0 * 0.5e0 + 0.10e0 * (1 - d) - 0.20e0 * 0.1e0) AS s FROM r GROUP BY 1, 2, 3) SELECT query_id, item, round(s, 6) AS score FROM s")
+@query("t8_url_prerank", f"WITH {_R}, s AS (SELECT query_id, domain, item, max(0.30e0 * score / 110000e0 + 0.25e0 * q / 50e0 + 0.15e0 * 0.5e0 + 0.10e0 * (1 - d) - 0.20e0 * 0.1e0) AS s FROM r GROUP BY 1, 2, 3) SELECT query_id, item, round(s + 1e-9, 6) AS score FROM s")
 def t8(spark, d):
     c = F.col
     s = ranking.url_score(c("score") / 110000, c("q") / 50, F.lit(0.5), c("d"), F.lit(0.1))
-    return ranked(spark, d).withColumn("s", s).groupBy("query_id", "domain", "item").agg(F.max("s").alias("s")).select("query_id", "item", F.round("s", 6).alias("score"))
+    return ranked(spark, d).withColumn("s", s).groupBy("query_id", "domain", "item").agg(F.max("s").alias("s")).select("query_id", "item", F.round(F.col("s") + 1e-9, 6).alias("score"))
 
 
 @query("t1_place_rank", f"WITH {_R}, s AS (SELECT query_id, provider, item, 0.30e0 * score / 110000e0 + 0.20e0 * exp(-q * 100 / 750e0) + 0.10e0 + 0.07e0 * ((3e0 + d * 10) * q + 3.8e0 * 20) / (q + 20) / 5 AS s FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY round(s, 9) DESC, item) AS rank FROM s) SELECT query_id, provider, item, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
@@ -167,7 +167,7 @@ def q4(spark, d):
     return search.late_interaction(docs, qs, 5).select("query_id", F.round("score", 5).alias("score"), "rank")
 
 
-@query("a30_ir_metrics", f"WITH {_R}, k AS (SELECT query_id, item AS doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM r WHERE provider = 'lexical'), rel AS (SELECT DISTINCT query_id, item AS doc FROM r WHERE provider = 'vector' AND q > 45), t AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1), h AS (SELECT query_id, rank FROM k JOIN rel USING (query_id, doc)), g AS (SELECT query_id, count(*) FILTER (rank <= 50) AS h, count(*) FILTER (rank <= 10) AS p, coalesce(sum(1e0 / log2(rank + 1)) FILTER (rank <= 20), 0) AS dcg, max(1e0 / rank) AS mrr FROM h GROUP BY 1) SELECT query_id, round(coalesce(h::DOUBLE / total, 0), 6) AS recall, round(coalesce(p / 10e0, 0), 6) AS precision, round(coalesce(dcg / list_sum(list_transform(range(1, least(total, 20) + 1), i -> 1e0 / log2(i + 1))), 0), 6) AS ndcg, round(coalesce(mrr, 0), 6) AS mrr FROM t LEFT JOIN g USING (query_id)")
+@query("a30_ir_metrics", f"WITH {_R}, k AS (SELECT query_id, item AS doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM r WHERE provider = 'lexical'), rel AS (SELECT DISTINCT query_id, item AS doc FROM r WHERE provider = 'vector' AND q > 45), t AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1), h AS (SELECT query_id, rank FROM k JOIN rel USING (query_id, doc)), g AS (SELECT query_id, count(*) FILTER (rank <= 50) AS h, count(*) FILTER (rank <= 10) AS p, coalesce(sum(1e0 / log2(rank + 1)) FILTER (rank <= 20), 0) AS dcg, max(1e0 / rank) AS mrr FROM h GROUP BY 1) SELECT query_id, round(coalesce(h::DOUBLE / total, 0), 6) AS recall, round(coalesce(p / 10e0, 0), 6) AS precision, round(coalesce(dcg / list_sum(list_transform(range(1, least(total, 20) + 1), lambda i: 1e0 / log2(i + 1))), 0), 6) AS ndcg, round(coalesce(mrr, 0), 6) AS mrr FROM t LEFT JOIN g USING (query_id)")
 def a30(spark, d):
     r = ranked(spark, d)
     k = ranking.with_rank(r.filter("provider = 'lexical'").select("query_id", F.col("item").alias("doc"), "score"), ["query_id"], "score", "doc")
@@ -193,7 +193,7 @@ def f33(spark, d):
 
 
 @query("a12_near_pairs", f"""
-WITH t AS (SELECT doc_id, {d_tokens('text')} AS t FROM documents), s AS (SELECT min(doc_id) AS a, s FROM (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(t) - 3), i -> array_to_string(t[i:i+4], ' ')))) AS s FROM t WHERE len(t) >= 5) GROUP BY s),
+WITH t AS (SELECT doc_id, {d_tokens('text')} AS t FROM documents), s AS (SELECT min(doc_id) AS a, s FROM (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')))) AS s FROM t WHERE len(t) >= 5) GROUP BY s),
 g AS (SELECT a, len(s) AS n, unnest(s) AS g FROM s), c AS (SELECT x.a AS a, y.a AS b, x.n AS n, y.n AS m, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.a < y.a GROUP BY 1, 2, 3, 4)
 SELECT a, b, round(k::DOUBLE / (n + m - k), 6) AS jaccard FROM c WHERE k::DOUBLE / (n + m - k) >= 0.8""")
 def a12(spark, d):
@@ -258,11 +258,11 @@ def u3(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
-@query("t4_semantic_rerank", f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS c, CAST(v.vec_id * 7919 % 1000 AS DOUBLE) / 1000 AS cheap FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cheap DESC, vec_id) AS r FROM s), f AS (SELECT query_id, vec_id, 0.4e0 * cheap + 0.6e0 * c AS score FROM k WHERE r <= 20), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, vec_id) AS rank FROM f) SELECT query_id, vec_id, round(score, 5) AS score FROM t WHERE rank <= 10")
+@query("t4_semantic_rerank", f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS c, CAST(v.vec_id * 7919 % 1000 AS DOUBLE) / 1000 AS cheap FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cheap DESC, vec_id) AS r FROM s), f AS (SELECT query_id, vec_id, 0.4e0 * cheap + 0.6e0 * c AS score FROM k WHERE r <= 20), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, vec_id) AS rank FROM f) SELECT query_id, vec_id, round(score + 1e-9, 5) AS score FROM t WHERE rank <= 10")
 def t4(spark, d):
     """Cheap score, then the top 2k blended with the vectors' cosine, then the top k."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), ((F.col("vec_id") * 7919 % 1000) / 1000).alias("cheap"))
     q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     s = ranking.with_rank(v.join(F.broadcast(q)), ["query_id"], "cheap", "vec_id", "r").filter("r <= 20")
-    s = s.select("query_id", "vec_id", F.round(0.4 * F.col("cheap") + 0.6 * geo.cosine(F.col("v"), F.col("q")), 7).alias("s"))
-    return ranking.with_rank(s, ["query_id"], "s", "vec_id").filter("rank <= 10").select("query_id", "vec_id", F.round("s", 5).alias("score"))
+    s = s.select("query_id", "vec_id", (0.4 * F.col("cheap") + 0.6 * geo.cosine(F.col("v"), F.col("q"))).alias("x")).withColumn("s", F.round("x", 7))
+    return ranking.with_rank(s, ["query_id"], "s", "vec_id").filter("rank <= 10").select("query_id", "vec_id", F.round(F.col("x") + 1e-9, 5).alias("score"))

@@ -24,7 +24,7 @@ def ctr(spark, d):
     return telemetry.click_rates(derive(spark, d, INTERACTIONS))
 
 
-@query("j11_reformulations", f"WITH {_T}, e AS (SELECT event_id, ts AS at, 'q' || CAST((user_id + 1) % 50 AS STRING) AS from_query FROM events WHERE event_type = 'click') SELECT DISTINCT event_id FROM e JOIN t ON from_query = query AND created_at BETWEEN at - INTERVAL 600 SECONDS AND at WHERE results_total = 0 OR coverage_gap")
+@query("j11_reformulations", f"WITH {_T}, e AS (SELECT event_id, ts AS happened, 'q' || CAST((user_id + 1) % 50 AS STRING) AS from_query FROM events WHERE event_type = 'click') SELECT DISTINCT event_id FROM e JOIN t ON from_query = query AND created_at BETWEEN happened - INTERVAL 600 SECONDS AND happened WHERE results_total = 0 OR coverage_gap")
 def reformulations(spark, d):
     t = derive(spark, d, TRACES).withColumnRenamed("created_at", "at").withColumn("at", F.col("at").cast("timestamp"))
     e = table(spark, d, "events").filter("event_type = 'click'").select("event_id", F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("q"), ((F.col("user_id") + 1) % 50).cast("string")).alias("from_query"))

@@ -22,7 +22,7 @@ def d_norm(x):
 
 
 def d_tokens(x):
-    return f"list_filter(string_split({d_norm(x)}, ' '), w -> w <> '')"
+    return f"list_filter(string_split({d_norm(x)}, ' '), lambda w: w <> '')"
 
 
 @query("f1_fold", f"SELECT doc_id, sha256({d_fold('text')}) AS folded FROM documents")
@@ -41,7 +41,7 @@ def tokens(spark, d):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-@query("f3_bigrams", f"WITH t AS (SELECT doc_id, {d_tokens('text')} AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50")
+@query("f3_bigrams", f"WITH t AS (SELECT doc_id, {d_tokens('text')} AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS gram FROM t) SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50")
 def bigrams(spark, d):
     g = table(spark, d, "documents").select(F.explode(text.ngrams(text.tokens(F.col("text")), 2)).alias("gram"))
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50)
@@ -120,8 +120,8 @@ def edit_distance(spark, d):
 
 
 @query("f22_claims", r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]\s+|\n+'), x -> trim(x)), x -> x <> '') AS s FROM documents),
-c AS (SELECT doc_id, list_filter(s, x -> len(regexp_split_to_array(x, '\s+')) >= 5 AND NOT contains(x, '?') AND NOT suffix(x, ':'))[1:8] AS c FROM s)
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]\s+|\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+c AS (SELECT doc_id, list_filter(s, lambda x: len(regexp_split_to_array(x, '\s+')) >= 5 AND NOT contains(x, '?') AND NOT suffix(x, ':'))[1:8] AS c FROM s)
 SELECT doc_id, CAST(len(c) AS BIGINT) AS n, sha256(array_to_string(c, '|')) AS claims FROM c""")
 def claims(spark, d):
     c = table(spark, d, "documents").select("doc_id", text.claims(F.col("text")).alias("c"))
@@ -147,7 +147,7 @@ f AS (SELECT page_id, url, html, {D_FULL} AS u FROM pages),
 parts AS (SELECT page_id, url, html, u, lower(regexp_extract(u, '^([^:/]+)://', 1)) AS scheme,
   regexp_replace(lower(regexp_extract(u, '^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(?:www\.|m\.)+', '') AS host,
   regexp_extract(u, '^[^:/]+://[^/?#:]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-  list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), p -> p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({_TRACK}))) AS q FROM f),
+  list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({_TRACK}))) AS q FROM f),
 urls AS (SELECT page_id, url, html, host, scheme || '://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM parts)"""
 
 
@@ -180,7 +180,7 @@ def flagship(spark, d):
 
 
 @query("f27_spam", rf"""WITH {D_URLS} SELECT page_id, regexp_matches(host, '^(localhost$|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)') AS private,
- least(1.0, {' + '.join(f"CASE WHEN contains(host, '{w}') THEN 0.5 ELSE 0.0 END" for w in web.SPAM_WORDS)} + CASE WHEN len(list_filter(string_split(regexp_extract({D_FULL}, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/'), x -> x <> '')) > 5 THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(host, '\.(xyz|top|click)$') THEN 0.3 ELSE 0.0 END)::DOUBLE AS spam FROM urls""")
+ least(1.0, {' + '.join(f"CASE WHEN contains(host, '{w}') THEN 0.5 ELSE 0.0 END" for w in web.SPAM_WORDS)} + CASE WHEN len(list_filter(string_split(regexp_extract({D_FULL}, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) > 5 THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(host, '\.(xyz|top|click)$') THEN 0.3 ELSE 0.0 END)::DOUBLE AS spam FROM urls""")
 def spam(spark, d):
     return table(spark, d, "pages").select("page_id", web.is_private(F.col("url")).alias("private"), web.spam_score(F.col("url")).alias("spam"))
 
