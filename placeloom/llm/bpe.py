@@ -8,6 +8,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from pyspark.sql import types as T
 from .common import fresh, per_process, read_documents, slices
 
 #: Text of one replay: the words of about so many bytes are merged together.
-CORPUS_BYTES = 32 << 20
+CORPUS_BYTES = 6 << 20
+#: Ids that decoding holds as Python numbers at once.
+DECODE_IDS = 1 << 18
 
 
 class Merges:
@@ -201,10 +204,13 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", out: str = "dec
     def batches(it):
         tokens = per_process(f"merges {ranks}", lambda: Merges(ranks)).tokens
         for batch in it:
-            ids = batch.column(at)
-            flat, offsets = ids.values.to_pylist(), ids.offsets.to_pylist()
-            texts = [b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, name])
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(at)), 0)).astype(np.int64)
+            part = np.cumsum(sizes) // (16 * DECODE_IDS)
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                rows = batch.slice(a, b - a)
+                texts = [b"".join(b"".join(map(tokens.__getitem__, ids[i : i + DECODE_IDS].to_pylist())) for i in range(0, len(ids), DECODE_IDS)) for ids in (x.values if x.is_valid else () for x in rows.column(at))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, name])
 
     (name,) = fresh(encoded, out)
     return encoded.mapInArrow(batches, T.StructType([*encoded.schema.fields, T.StructField(name, T.BinaryType())]))
