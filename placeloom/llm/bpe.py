@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import fresh, per_process, read_documents, slices
 
 #: Text of one replay: the words of about so many bytes are merged together.
-CORPUS_BYTES = 6 << 20
+CORPUS_BYTES = 4 << 20
 #: Ids that decoding holds as Python numbers at once.
 DECODE_IDS = 1 << 18
 
@@ -171,9 +171,15 @@ class Merges:
         return np.diff(bounds), ids
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out: str = "ids", corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
+def _decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(b"".join(map(tokens.__getitem__, ids[i : i + DECODE_IDS].tolist())) for i in range(0, len(ids), DECODE_IDS))
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None, corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
     """docs with the ids (array of int) of each text, as tiktoken's encode_ordinary gives them.
 
+    decoded: also a column of that name with the bytes that the ids decode to, from the same Python process.
+
     Each match of the pattern is encoded separately. A task takes its documents in parts of corpus_bytes text; the
     different words of a part are merged together by Merges.replay, and its documents read their words' ids.
     Merges of one word do not depend on other words, so the parts do not show in the result; a table of all
@@ -190,11 +196,17 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         for batch in it:
             for part in slices(batch, at, corpus_bytes):
                 n, ids = merges.encode([t or "" for t in part.column(at).to_pylist()], find)
-                column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, name])
+                ends = np.cumsum(n)
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([_decode(merges.tokens, ids[b - k : b]) for k, b in zip(n.tolist(), ends.tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
+                del columns, ids
+                pa.default_memory_pool().release_unused()
 
-    (name,) = fresh(docs, out)
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    names = fresh(docs, *[x for x in (out, decoded) if x])
+    added = [T.StructField(x, t) for x, t in zip(names, (T.ArrayType(T.IntegerType()), T.BinaryType()))]
+    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *added]))
 
 
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -209,7 +221,7 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", out: str = "dec
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 rows = batch.slice(a, b - a)
-                texts = [b"".join(b"".join(map(tokens.__getitem__, ids[i : i + DECODE_IDS].to_pylist())) for i in range(0, len(ids), DECODE_IDS)) for ids in (x.values if x.is_valid else () for x in rows.column(at))]
+                texts = [_decode(tokens, np.asarray(x.values) if x.is_valid else np.empty(0, np.int32)) for x in rows.column(at)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, name])
 
     (name,) = fresh(encoded, out)
@@ -227,8 +239,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = encode(rows, ranks, public_tokenizers.PATTERN).drop("text")
-    both = decode(ids, ranks)
+    both = encode(rows, ranks, public_tokenizers.PATTERN, decoded="decoded")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
