@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import fresh, per_process, read_documents, slices
 
 #: Text of one replay: the words of about so many bytes are merged together.
-CORPUS_BYTES = 4 << 20
+CORPUS_BYTES = 2 << 20
 #: Ids that decoding holds as Python numbers at once.
 DECODE_IDS = 1 << 18
 
@@ -175,10 +175,11 @@ def _decode(tokens: list[bytes], ids: np.ndarray) -> bytes:
     return b"".join(b"".join(map(tokens.__getitem__, ids[i : i + DECODE_IDS].tolist())) for i in range(0, len(ids), DECODE_IDS))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None, corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out: str = "ids", decoded: str | None = None, keep_text: bool = True, corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
     """docs with the ids (array of int) of each text, as tiktoken's encode_ordinary gives them.
 
     decoded: also a column of that name with the bytes that the ids decode to, from the same Python process.
+    keep_text: without it the text column stays behind, and is not sent back from Python.
 
     Each match of the pattern is encoded separately. A task takes its documents in parts of corpus_bytes text; the
     different words of a part are merged together by Merges.replay, and its documents read their words' ids.
@@ -187,6 +188,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     ids. No shuffle. Null text is empty: no ids. Other columns, rows and their order stay as they are.
     """
     at = docs.columns.index(text_col)
+    back = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def batches(it):
         import regex
@@ -197,16 +199,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
             for part in slices(batch, at, corpus_bytes):
                 n, ids = merges.encode([t or "" for t in part.column(at).to_pylist()], find)
                 ends = np.cumsum(n)
-                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))]
+                columns = [*map(part.column, back), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))]
                 if decoded:
                     columns.append(pa.array([_decode(merges.tokens, ids[b - k : b]) for k, b in zip(n.tolist(), ends.tolist())], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays(columns, names=[*(part.schema.names[i] for i in back), *names])
                 del columns, ids
                 pa.default_memory_pool().release_unused()
 
     names = fresh(docs, *[x for x in (out, decoded) if x])
     added = [T.StructField(x, t) for x, t in zip(names, (T.ArrayType(T.IntegerType()), T.BinaryType()))]
-    return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(batches, T.StructType([*(docs.schema.fields[i] for i in back), *added]))
 
 
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -239,7 +241,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    both = encode(rows, ranks, public_tokenizers.PATTERN, decoded="decoded")
+    both = encode(rows, ranks, public_tokenizers.PATTERN, decoded="decoded", keep_text=False)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
