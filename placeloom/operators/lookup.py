@@ -14,6 +14,7 @@ from .search import fuzzy, small
 # Authority of hosts that no table names; words at the start of an address part that tell its level.
 UNKNOWN_HOST, VN_HOST, FARM_HOST, DOCS_HOST = 0.3, 0.7, 0.18, 0.85
 FARM = r"(top\d+|best-|review-?hub|seo|cheap-?deals|coupon)"
+WINDOW = 256
 LEVELS = {1: "tinh|thanh pho|tp", 2: "quan|huyen|thi xa", 3: "phuong|xa|thi tran"}
 
 
@@ -26,12 +27,17 @@ def _substrings(c: Column, n: int) -> Column:
 def contained(texts: DataFrame, key: str, body: str, terms: DataFrame, term: str) -> DataFrame:
     """key, term: the terms that are parts of the text, anywhere in it.
 
-    The lengths of terms (few) are known first; a text's substrings of these lengths join the terms.
+    The lengths of terms (few) are known first. A text is cut into windows that overlap by the longest term, so that
+    taking substrings costs the same at the end of a long text; those of the terms' lengths join the terms.
     """
     lengths = sorted(r[0] for r in terms.select(F.length(term)).filter(F.length(term) > 0).distinct().collect())
-    pieces = [_substrings(F.col(body), n) for n in lengths]
-    parts = F.concat(*pieces) if pieces else F.array().cast("array<string>")
-    return texts.select(key, F.explode(parts).alias(term)).join(small(terms.select(term).distinct()), term).select(key, term).distinct()
+    if not lengths:
+        return texts.select(key, F.lit("").alias(term)).limit(0)
+    cuts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(body), F.lit(1)) - 1) / WINDOW).cast("int"))
+    windows = F.transform(cuts, lambda i: F.substring(F.col(body), i * WINDOW + 1, F.lit(WINDOW + lengths[-1] - 1)))
+    rows = texts.filter(F.length(body) > 0).select(key, F.explode(windows).alias("__w"))
+    parts = F.concat(*[_substrings(F.col("__w"), n) for n in lengths])
+    return rows.select(key, F.explode(parts).alias(term)).join(small(terms.select(term).distinct()), term).select(key, term).distinct()
 
 
 def bucket_of_labels(labels: DataFrame, mapping: DataFrame, least: int = 4) -> DataFrame:
