@@ -107,7 +107,7 @@ def looks_like_address(address: Column) -> Column:
 
 def sub_queries(query: Column) -> Column:
     """array of text: a query of several steps cut at its conjunctions; a part that begins with a pronoun gets the first part's last capitalised run."""
-    parts = F.filter(F.transform(F.split(query, r"(?i)\s+(?:and then|and|then|sau đó|rồi|và)\s+|[;?]\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(query, r"(?i)\s+(?:and then|and|then|sau đó|rồi|và)\s+|[;?]\s*"), lambda x: F.trim(x)), lambda p: p != "")
     entity = lambda ps: F.coalesce(F.try_element_at(F.regexp_extract_all(F.coalesce(F.try_element_at(ps, F.lit(1)), F.lit("")), F.lit(r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*"), F.lit(0)), F.lit(-1)), F.lit(""))
     carry = lambda ps: text.let(entity(ps), lambda e: F.transform(ps, lambda p, i: F.when((i > 0) & (e != "") & p.rlike(r"(?i)^(it|its|they|their|nó|họ)\b"), F.concat(e, F.lit(" "), F.trim(F.regexp_replace(p, r"(?i)^(it|its|they|their|nó|họ)\b", "")))).otherwise(p)))
     return text.let(parts, carry)

@@ -198,3 +198,29 @@ def host_authority(hosts: DataFrame, table: DataFrame, vertical: str | None = No
     return h.join(own, "host", "left").select("host", (score + F.when(last == "vn", boost).otherwise(0.0)).alias("authority"))
 
 
+
+
+def understood(queries: DataFrame, names: DataFrame, synonyms: DataFrame, current: DataFrame, mask: list[str] | None = None) -> DataFrame:
+    """query_id, intent, terms, units, fuzzy_units, targets: what a query asks for.
+
+    queries: query_id, query; names: as match_units takes them; current: unit, current (see places.current_units).
+    Dish names in `mask` (normal) are taken out before units are sought, so a dish is no place. Units are whole-word
+    mentions, the longest first, and live on in their current ones; a query without any gets the units of fuzzy mentions.
+    terms: the words and the forms of their synonyms. targets: the two sides of a comparison.
+    """
+    q = queries.select("query_id", "query", text.normalize(F.col("query")).alias("n"), text.intent(F.col("query")).alias("intent"))
+    bare = F.col("n")
+    for dish in mask or []:
+        bare = F.trim(F.regexp_replace(bare, rf"\b{dish}\b", " "))
+    words = q.select(F.col("query_id").alias("text_id"), text.tokens(bare).alias("words"))
+    aliases = names.select(F.col("name").alias("alias"), F.col("unit").alias("entity")).distinct()
+    found = mentions(words, aliases).select(F.col("text_id").alias("query_id"), F.col("entity").alias("unit"))
+    without = words.withColumnRenamed("text_id", "query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
+    near = fuzzy_mentions(without, names.select(F.col("name").alias("term")).filter(F.length("term") >= 5).distinct()).join(small(names.select(F.col("name").alias("term"), "unit").distinct()), "term").select("query_id", "unit")
+    alive = lambda rows, name: rows.join(small(current), "unit", "left").groupBy("query_id").agg(F.array_sort(F.collect_set(F.coalesce("current", "unit"))).alias(name))
+    t = q.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term"))
+    terms = expand_synonyms(t, synonyms).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    sides = F.when(F.col("intent") == "comparison", F.filter(F.transform(F.split("n", r"\b(?:vs|versus|so sanh|compare)\b"), lambda x: F.trim(x)), lambda x: x != ""))
+    out = q.join(terms, "query_id", "left").join(alive(found, "units"), "query_id", "left").join(alive(near, "fuzzy_units"), "query_id", "left")
+    none = F.array().cast("array<bigint>")
+    return out.select("query_id", "intent", "terms", F.coalesce(F.col("units").cast("array<bigint>"), none).alias("units"), F.coalesce(F.col("fuzzy_units").cast("array<bigint>"), none).alias("fuzzy_units"), F.coalesce(sides, F.array().cast("array<string>")).alias("targets"))

@@ -146,3 +146,17 @@ SELECT host, CASE WHEN own THEN a WHEN split_part(host, '.', -1) IN ('gov', 'edu
 def f46(spark, d):
     t = spark.createDataFrame([("example.com", None, 0.5), ("news.example.com", None, 0.8), ("forum.example.com", "legal", 0.25), ("shop7.vn", None, 0.6)], "host string, vertical string, authority double")
     return lookup.host_authority(derive(spark, d, HOSTS), t, "legal", 1.5)
+
+
+#: Questions about the suppliers' units: named, misspelt, or none.
+ASKED = """SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN 'Quán phở ở tỉnh ' || r_name WHEN 1 THEN 'tinh ' || lower(SUBSTRING(r_name, 1, LENGTH(r_name) - 1)) || 'x quan an' WHEN 2 THEN 'com vs pho' ELSE 'how to cook' END AS query FROM {supplier} JOIN {region} ON r_regionkey = s_suppkey % 5"""
+
+
+@query("c11_query_understanding", f"""WITH a AS (SELECT query_id, query, query_id % 5 AS r FROM ({sql(ASKED)})) SELECT query_id, CASE query_id % 4 WHEN 2 THEN 'comparison' WHEN 3 THEN 'howto' ELSE 'lookup' END AS intent,
+ CASE WHEN query_id % 4 = 0 THEN CAST(r + 500 AS VARCHAR) ELSE '' END AS units, CASE WHEN query_id % 4 = 2 THEN 'com|pho' ELSE '' END AS targets FROM a""")
+def c11(spark, d):
+    """Provinces were renumbered by 500."""
+    names = derive(spark, d, UNITS).filter("level = 1")
+    current = names.select("unit", (F.col("unit") + 500).alias("current")).distinct()
+    u = lookup.understood(derive(spark, d, ASKED), names, derive(spark, d, SYNONYMS), current, ["quan pho"])
+    return u.select("query_id", "intent", F.array_join(F.transform("units", lambda x: x.cast("string")), "|").alias("units"), F.array_join("targets", "|").alias("targets"))

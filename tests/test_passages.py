@@ -53,3 +53,13 @@ def test_fuzzy_mentions_take_each_term_once(spark):
     q = spark.createDataFrame([(1, ["at", "hanoy", "city", "hanoi"])], "query_id long, words array<string>")
     t = spark.createDataFrame([("hanoi",), ("hanoi city",)], "term string")
     assert {(r.term, r.gram, r.edits) for r in lookup.fuzzy_mentions(q, t).collect()} == {("hanoi", "hanoi", 0), ("hanoi city", "hanoy city", 1)}
+
+
+def test_queries_are_understood(spark):
+    q = spark.createDataFrame([(1, "Phở Hà Nội ở Sài Gòn"), (2, "ha noy cafe"), (3, "com vs pho")], "query_id long, query string")
+    names = spark.createDataFrame([("ha noi", 1), ("sai gon", 2)], "name string, unit long")
+    synonyms = spark.createDataFrame([("cafe", "ca phe")], "canon string, form string")
+    current = spark.createDataFrame([(2, 20)], "unit long, current long")
+    got = {r.query_id: r for r in lookup.understood(q, names, synonyms, current, ["pho ha noi"]).collect()}
+    assert (got[1].units, got[1].fuzzy_units) == ([20], []) and (got[2].units, got[2].fuzzy_units) == ([], [1])
+    assert "ca phe" in got[2].terms and got[3].targets == ["com", "pho"] and got[3].intent == "comparison"
