@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, save, text_or_empty
+from .common import ascii_lower, attach, fresh, save, text_or_empty
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -17,8 +17,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     all rows share costs one row per map task; each distinct text is shuffled once. The groups come back to
     the rows by (MD5, SHA-256), hot groups by a bounded broadcast.
 
-    Null text counts as empty text. Null ids never stay while another id is in the group (a group of null
-    ids only keeps none). Rows repeated with the same id and text: exactly one stays. Empty table: no rows.
+    Null text counts as empty text. Null ids never stay while another id is in the group (of a group of null
+    ids only exactly one row stays). Rows repeated with the same id and text: exactly one stays. Empty table: no rows.
     Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_or_empty(text_col)).alias("norm"))
@@ -40,18 +40,29 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "text_sha256",
     )
     again = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id"))
-    stays = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("group_size") == 1)
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select("doc_id", "keep_id", "group_size", (stays & (again == 1)).alias("kept"), "text_sha256")
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay."""
-    found = save(exact_groups(docs, id_col, text_col).filter("not kept").select("doc_id", "keep_id"), "exact-dropped")
-    gone = found.filter("doc_id <> keep_id or keep_id is null").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    if found.filter("doc_id = keep_id").limit(1).count():  # whole rows repeated under the id that stays
-        out = out.dropDuplicates([id_col])
-    return out
+    """docs with exactly one row of each text, the one that exact_groups keeps; all columns stay.
+
+    Rows go by id and digest of the text together, so neither null ids nor one id over several texts take another
+    row with them. Of rows equal in both one stays, also where the ids are null.
+    """
+    key = [F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")]
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__again")
+    found = save(exact_groups(docs, id_col, text_col).filter("not kept").select(*key, again).distinct(), "exact-dropped")
+    digest = fresh(docs, "digest")[0]
+    rows = docs.withColumn(digest, F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(digest) == F.col("__sha"))
+    rows = rows.join(found.filter("not __again").drop("__again"), same, "left_anti")
+    twice = found.filter("__again")
+    if twice.limit(1).count():  # rows repeated under the id that stays
+        rows = rows.join(twice, same, "left").drop("__id", "__sha")
+        once = rows.filter("__again is null")
+        rows = once.union(rows.filter("__again").dropDuplicates([id_col, digest]))
+    return rows.select(*docs.columns)
 
 
 def op2_exact_dedup(spark, sf_dir):

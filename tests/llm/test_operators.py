@@ -87,6 +87,15 @@ def test_op2_groups(spark, docs, data, empty):
     assert sorted(r.doc_id for r in left.select("doc_id").collect()) == sorted(max(i) for i in groups.values()) and left.columns == docs.columns
 
 
+def test_drop_exact_decides_per_row(spark):
+    rows = [(None, "a b"), (None, "A b"), (None, "only"), (None, "c"), (5, "c"), (5, "d"), (7, "d"), (5, "e"), (5, "e"), (None, None), (9, "f"), (9, "g")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    left = exact_dedup.drop_exact(docs).collect()
+    got = sorted((lower(r.text), -1 if r.doc_id is None else r.doc_id) for r in left)
+    assert got == [("", -1), ("a b", -1), ("c", 5), ("d", 7), ("e", 5), ("f", 9), ("g", 9), ("only", -1)]
+    assert exact_dedup.exact_groups(docs).filter("kept").count() == len(got)
+
+
 def test_op3_mix(docs, data, empty):
     copies, plan = mixing.mix(docs)
     size = {i: len(words(t)) for i, t, *_ in data}
