@@ -8,16 +8,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, read_documents, save
+from .common import attach, fresh, read_documents, save, slices, text_or_empty
 
 SHINGLE = 4
 MAX_BITS = 4
 #: The 64 bits are cut into BLOCKS blocks; two fingerprints that differ in MAX_BITS bits agree on BLOCKS - MAX_BITS of them.
 BLOCKS = 7
 PIVOTS = 16
+# The near-dedup stage: shingles of words, least similarity, SimHash bits, most that differ, pivots, and buckets by minima.
+NEAR_SHINGLE, NEAR_JACCARD = 5, 0.8
+NEAR_BITS, NEAR_RADIUS, NEAR_PIVOTS = 256, 64, 8
+NEAR_BANDS, NEAR_ROWS = 24, 5
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -193,11 +197,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("n").alias("fingerprint_size"))
 
 
+def text_digest(text_col: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text_col)))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest (MD5 of the text), set (16-byte digest of the shingles), shingles, fp, table, keys of each row.
+
+    shingles: the sorted XXH64 of the different runs of NEAR_SHINGLE words (A-Z lower-cased; of fewer words: all of
+    them). fp: their SimHash of NEAR_BITS bits. table: its distances to the pivots. keys: NEAR_BANDS bucket keys,
+    each the hash of NEAR_ROWS minima.
+    """
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    rng = np.random.default_rng(80)
+    times = rng.integers(0, 1 << 64, (NEAR_BANDS * NEAR_ROWS, 1), np.uint64) | np.uint64(1)
+    plus = rng.integers(0, 1 << 64, (NEAR_BANDS * NEAR_ROWS, 1), np.uint64)
+    lanes = rng.integers(0, 1 << 64, NEAR_BITS // 64, np.uint64)
+    refs = rng.integers(0, 1 << 64, (NEAR_PIVOTS, NEAR_BITS // 64), np.uint64)
+
+    def mixed(h):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    def one(text):
+        from xxhash import xxh3_128_digest, xxh64_intdigest
+
+        words = (text or b"").translate(lower).split()
+        n = max(1, len(words) - NEAR_SHINGLE + 1)
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        first = [0, *ends[: n - 1].tolist()]
+        last = (ends[-n:] - 1).tolist() if words else [0]
+        h = np.unique(np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(first, last)), np.uint64, n))
+        ones, low = np.zeros(NEAR_BITS, np.int64), np.full(NEAR_BANDS * NEAR_ROWS, np.iinfo(np.uint64).max)
+        for i in range(0, len(h), 4096):
+            part = h[i : i + 4096]
+            bits = np.stack([mixed(part ^ x) for x in lanes], axis=1)
+            ones += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            low = np.minimum(low, (part[None, :] * times + plus).min(axis=1))
+        fp = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+        table = np.bitwise_count(refs ^ fp).sum(axis=1, dtype=np.int32)
+        low = low.reshape(NEAR_BANDS, NEAR_ROWS)
+        key = np.zeros(NEAR_BANDS, np.uint64)
+        for k in range(NEAR_ROWS):
+            key = mixed(key ^ low[:, k])
+        return xxh3_128_digest(h.tobytes()), h.view(np.int64), fp.view(np.int64), table, key.view(np.int64)
+
+    names = ["doc_id", "digest", "set", "shingles", "fp", "table", "keys"]
+    types = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def batches(it):
+        for batch in it:
+            for part in slices(batch, 2, 2 << 20):
+                out = zip(*[one(t.as_py()) for t in part.column(2).cast(pa.binary())])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(out, types)]], names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(batches, f"doc_id {kind}, digest binary, set binary, shingles array<long>, fp array<long>, table array<int>, keys array<long>")
+
+
+def near_enough(a: str, b: str) -> Column:
+    """Whether the sets of structs a and b (n, fp, table) can be alike by NEAR_JACCARD: sizes, then pivot distances, then differing bits."""
+    at = lambda s, c, i: F.col(f"{s}.{c}")[i]
+    ok = F.least(f"{a}.n", f"{b}.n") >= NEAR_JACCARD * F.greatest(f"{a}.n", f"{b}.n")
+    for i in range(NEAR_PIVOTS):
+        ok &= F.abs(at(a, "table", i) - at(b, "table", i)) <= NEAR_RADIUS
+    return ok & (sum((F.bit_count(at(a, "fp", i).bitwiseXOR(at(b, "fp", i))) for i in range(NEAR_BITS // 64)), F.lit(0)) <= NEAR_RADIUS)
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose shingles have a Jaccard similarity of NEAR_JACCARD or more, in whole numbers."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    s = rows.select("node", "shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    s = save(s, "near-shingles")
+    both = pairs.join(s.toDF("u", "x"), "u").join(s.toDF("v", "y"), "v")
+    both = both.select("u", "v", (F.size("x") + F.size("y")).alias("all"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return save(both.filter(f"common >= {NEAR_JACCARD} * (all - common)").select("u", "v"), "near-links")
+
+
+def near_links(rows: DataFrame) -> DataFrame:
+    """Links (u, v) that connect just those nodes (different sets of shingles) that candidate pairs alike by NEAR_JACCARD connect.
+
+    Candidates are all pairs of a bucket. First each set is held against the smallest of each of its buckets, so a
+    large group of near copies gives no square of pairs; then, in buckets whose sets are not all connected yet, all
+    pairs from different components are. Pairs left out are connected already.
+    """
+    light = F.struct(F.size("shingles").alias("n"), "fp", "table")
+    sets = rows.select("node", light.alias("s"), "keys").groupBy("node").agg(F.first("s").alias("s"), F.first("keys").alias("keys"))
+    sets = save(sets, "near-sets")
+    members = sets.select("node", F.posexplode("keys").alias("band", "key"))
+    heads = members.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = save(heads, "near-heads")
+    full = attach(members, heads, ["band", "key"], "n", sets.count() * NEAR_BANDS, F.xxhash64("node")).filter("head is not null")
+    full = save(full.drop("n"), "near-members")
+    s = sets.select("node", "s")
+
+    first = full.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
+    first = first.join(s.toDF("u", "a"), "u").join(s.toDF("v", "b"), "v").filter(near_enough("a", "b"))
+    links = verified(save(first.select("u", "v"), "near-pairs"), rows)
+
+    roots = components(links)
+    rest = full.join(roots, "node", "left").select("node", "band", "key", F.coalesce("root", "node").alias("root"))
+    rest = save(rest, "near-rest")
+    split = rest.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band", "key")
+    rest = save(rest.join(split, ["band", "key"]).join(s, "node"), "near-split")
+    x, y = (rest.select("band", "key", *[F.col(c).alias(c + end) for c in ("node", "root", "s")]) for end in ("_x", "_y"))
+    more = x.join(y, ["band", "key"]).filter((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & near_enough("s_x", "s_y"))
+    more = save(more.select(F.col("node_x").alias("u"), F.col("node_y").alias("v")).distinct(), "near-pairs")
+    return links.union(verified(more, rows))
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one that gives it its name; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col).filter("doc_id <> component_id")
-    gone = save(found.select(F.col("doc_id").alias("__gone")).distinct(), "near-dropped")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """docs with one document of each component of near duplicates, the smallest id; all columns stay.
+
+    Near duplicates: sets of NEAR_SHINGLE-word shingles with a Jaccard similarity of NEAR_JACCARD or more, computed in
+    full for each candidate. Candidates share one of NEAR_BANDS buckets (two sets alike by 0.8 share none in 7 of
+    100,000 cases, by the rule of bands) and differ in NEAR_RADIUS of NEAR_BITS SimHash bits at most.
+
+    Rows go by id and text together, so null ids and an id over several texts take no other row with them. A null
+    id stays only if its component has no other. Rows repeated with the same id and text stay or go together.
+    """
+    rows = save(shingle_sets(docs, id_col, text_col), "shingle-sets").withColumn("node", F.xxhash64("set"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    nodes = components(near_links(rows))
+    lows = rows.groupBy("node").agg(F.min(own).alias("low"), F.count(F.lit(1)).alias("n")).join(nodes, "node")
+    lows = save(lows, "near-nodes")
+    keep = lows.groupBy("root").agg(F.min("low").alias("keep"))
+    classes = save(lows.join(keep, "root").select("node", "keep", "n"), "near-classes")
+    alone = rows.groupBy("node").agg(F.min(own).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").join(nodes, "node", "left_anti")
+    classes = classes.unionByName(save(alone, "near-classes"))
+    found = attach(rows.select("doc_id", "digest", "node"), classes, ["node"], "n", rows.count(), F.xxhash64("doc_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("digest") == F.col("keep.digest"))
+    gone = found.filter(F.col("keep").isNotNull() & ~stays).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    gone = save(gone, "near-dropped")
+    own = fresh(docs, "digest")[0]
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(own) == F.col("__digest"))
+    return docs.withColumn(own, text_digest(text_col)).join(gone, same, "left_anti").drop(own)
 
 
 def op4_simhash_pivots(spark, sf_dir):

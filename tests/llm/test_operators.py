@@ -151,6 +151,43 @@ def test_op4_components(docs, data, empty):
     assert sorted(r.doc_id for r in simhash.drop_near(docs).select("doc_id").collect()) == sorted(set(root.values()))
 
 
+def test_drop_near_equals_brute_force_jaccard(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for n in (60, 120, 300):
+        for _ in range(12):
+            base = [f"w{x}" for x in rng.integers(0, 4000, n)]
+            for edits in (0, n // 60, n // 45, n // 25):
+                w = list(base)
+                for k in rng.integers(0, n, edits):
+                    w[k] = "edited"
+                texts.append(" ".join(w))
+    chain = [f"c{x}" for x in range(130)]  # each is alike to the next, the ends are not
+    texts += [" ".join(chain[i : i + 100]) for i in range(0, 31, 6)] + [None, "", "one two", "ONE two", "one  two"]
+    rows = [(i if i % 10 else None, t, i) for i, t in enumerate(texts)] + [(1, "another text under an id that is taken", 1000)]
+
+    def shingles(t):
+        w = lower(t).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while True:
+        was = list(root)
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+        if was == root:
+            break
+    want = Counter()
+    for c in set(root):
+        ids = [rows[i][0] for i in range(len(rows)) if root[i] == c]
+        want[min((x for x in ids if x is not None), default=None)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").repartition(3)
+    left = simhash.drop_near(docs).collect()
+    assert Counter(r.doc_id for r in left) == want and sorted({root[min(r.row, len(rows) - 1)] for r in left}) == sorted(set(root))
+
+
 def test_op4_links_lose_nothing(spark):
     rng = np.random.default_rng(5)
     fps = [int(x) for x in rng.integers(0, 1 << 62, 40)]
