@@ -78,9 +78,21 @@ def prefixes(names: DataFrame, key: str, name: str, least: int = 2, most: int =
 
 
 def fuzzy(terms: DataFrame, queries: DataFrame, allowance) -> DataFrame:
-    """query_id, term: terms within the edits allowed, met by length and by either half of the word (one of which an edit leaves alone for two edits or fewer in short words)."""
-    keys = lambda w: F.array_distinct(F.array(F.concat(F.lit("a"), F.substring(w, 1, 2)), F.concat(F.lit("z"), F.right(w, F.lit(2)))))
-    t = terms.select("term", F.explode(keys(F.col("term"))).alias("key"))
-    q = queries.select("query_id", "word", F.explode(keys(F.col("word"))).alias("key"))
-    near = q.join(t, "key").filter(F.abs(F.length("word") - F.length("term")) <= allowance(F.col("word")))
-    return near.withColumn("edits", F.levenshtein("word", "term")).filter(F.col("edits") <= allowance(F.col("word"))).select("query_id", "word", "term", "edits").distinct()
+    """query_id, word, term, edits: terms within the edits allowed for the word (3 at most), none left out.
+
+    A word with k edits allowed is cut into k + 1 pieces, one of which an edited word keeps, moved by k letters at most;
+    a term gives the letters at those places for each length of word that it can be near to.
+    """
+    k = lambda n: allowance(F.repeat(F.lit("x"), n))
+    begin = lambda n, i: F.floor(i * n / (k(n) + 1)).cast("int")
+    key = lambda w, n, i, at: F.concat_ws(":", n.cast("string"), i.cast("string"), F.substring(w, at + 1, begin(n, i + 1) - begin(n, i)))
+    n = F.length("word")
+    q = queries.select("query_id", "word", F.explode(F.transform(F.sequence(F.lit(0), k(n)), lambda i: key(F.col("word"), n, i, begin(n, i)))).alias("key"))
+    m = F.length("term")
+    t = terms.select("term", F.explode(F.sequence(F.greatest(F.lit(0), m - 3), m + 3)).alias("n")).filter(F.abs(F.col("n") - m) <= k(F.col("n")))
+    t = t.select("term", "n", F.explode(F.sequence(F.lit(0), k(F.col("n")))).alias("i"))
+    t = t.select("term", "n", "i", F.explode(F.sequence(-k(F.col("n")), k(F.col("n")))).alias("d"))
+    t = t.withColumn("at", begin(F.col("n"), F.col("i")) + F.col("d")).filter("at >= 0")
+    t = t.select("term", key(F.col("term"), F.col("n"), F.col("i"), F.col("at")).alias("key")).distinct()
+    near = q.join(t, "key").withColumn("edits", F.levenshtein("word", "term"))
+    return near.filter(F.col("edits") <= allowance(F.col("word"))).select("query_id", "word", "term", "edits").distinct()
