@@ -6,7 +6,9 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +22,49 @@ LOWER = UPPER.lower()
 HOT_PARTS = 2000
 
 
+#: Tables that end with their scratch(), innermost last.
+_scratch: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one in local mode (tests); on a cluster this raises."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
 
-def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage ends here, and a lost executor loses nothing."""
+def save(df: DataFrame, name: str, codec: str = "snappy", kept: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: the lineage ends here, and a lost executor loses nothing.
+
+    Within scratch() the table is deleted at its end, unless kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if _scratch and not kept:
+        _scratch[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables saved inside are deleted at the end; what is computed from them has to be written (kept) by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _scratch.pop()):
+            path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that df does not have."""
     have = {c.lower() for c in df.columns}
@@ -67,16 +91,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def attach(rows: DataFrame, classes: DataFrame, keys: list[str], n: str, total: int, spread: Column) -> DataFrame:
+def attach(rows: DataFrame, classes: DataFrame, keys: list[str], n: str, total: int, spread: Column, parts: int = HOT_PARTS) -> DataFrame:
     """rows LEFT JOIN classes USING (keys), without piling a hot key's rows up in one task.
 
     classes has one row per key with its number of rows n; total is the number of rows. Keys with
-    n >= total / HOT_PARTS are at most HOT_PARTS and are broadcast; a row with such a key takes part in
-    the shuffled join under a salt (spread) that matches nothing, so it is dealt out evenly.
+    n >= total / parts are at most `parts` and are broadcast; a row with such a key takes part in
+    the shuffled join under a salt (spread) that matches nothing, so it is dealt out evenly. Null keys match nothing.
     """
     values = [c for c in classes.columns if c not in keys]
-    hot = classes.filter(F.col(n) * HOT_PARTS >= total)
-    cold = classes.filter(F.col(n) * HOT_PARTS < total)
+    hot = classes.filter(F.col(n) * parts >= total)
+    cold = classes.filter(F.col(n) * parts < total)
     hot = F.broadcast(hot.select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in values]))
     cold = cold.select(*keys, *[F.col(c).alias(f"__cold_{c}") for c in values], F.lit(0).cast("long").alias("__salt"))
     salt = F.when(F.col(f"__hot_{n}").isNotNull(), spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")
@@ -108,3 +132,6 @@ def slices(batch, column: int, most: int = 32 << 20):
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
