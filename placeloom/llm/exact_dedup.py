@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, attach, fresh, save, text_or_empty
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Up to so many repeated hashes are broadcast, so that only texts which may be copies are shuffled.
+BROADCAST_HASHES = 500_000
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_HASHES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest id stays.
-    Candidates share an MD5 (128 bits); grouping them by the text itself compares the bytes, so a hash
-    collision makes two groups. Copies meet in the map-side part of that grouping, so a text that a third of
-    all rows share costs one row per map task; each distinct text is shuffled once. The groups come back to
-    the rows by (MD5, SHA-256), hot groups by a bounded broadcast.
+    Each row's 128-bit MD5 is counted first, without text. Texts whose MD5 occurs twice or more are then grouped by
+    MD5 and text, which compares the bytes, so a hash collision makes two groups. While at most `most` hashes are
+    repeated, these are broadcast and only their texts are shuffled; beyond, each distinct text is, once. Copies meet
+    in the map-side part of that grouping, so a text that a third of all rows share costs one row per map task. The
+    groups come back to the rows by (MD5, SHA-256), hot groups by a bounded broadcast.
 
     Null text counts as empty text. Null ids never stay while another id is in the group (of a group of null
     ids only exactly one row stays). Rows repeated with the same id and text: exactly one stays. Empty table: no rows.
@@ -23,6 +28,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_or_empty(text_col)).alias("norm"))
     rows = rows.withColumn("md5", F.unhex(F.md5("norm")))
+    narrow = save(rows.select("doc_id", "md5", F.sha2("norm", 256).alias("text_sha256")), "exact-hashes")
+    twice = save(narrow.groupBy("md5").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("md5"), "exact-repeated")
+    if twice.count() <= most:
+        rows = rows.join(F.broadcast(twice), "md5", "left_semi")
     groups = (
         rows.groupBy("md5", "norm")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -30,8 +39,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("md5", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
     )
     groups = save(groups, "exact-groups")
-    narrow = rows.select("doc_id", "md5", F.sha2("norm", 256).alias("text_sha256"))
-    out = attach(narrow, groups, ["md5", "text_sha256"], "group_size", docs.count(), F.xxhash64("doc_id"))
+    out = attach(narrow, groups, ["md5", "text_sha256"], "group_size", narrow.count(), F.xxhash64("doc_id"))
     single = F.col("group_size").isNull()
     out = out.select(
         "doc_id",
@@ -45,23 +53,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with exactly one row of each text, the one that exact_groups keeps; all columns stay.
+    """docs with exactly one row of each text, the one that exact_groups keeps; all columns stay, whatever their names.
 
     Rows go by id and digest of the text together, so neither null ids nor one id over several texts take another
-    row with them. Of rows equal in both one stays, also where the ids are null.
+    row with them. Of rows equal in both one stays, also where the ids are null. Null text is empty text: of all null
+    and empty texts one row stays. Empty table: no rows.
     """
-    key = [F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha")]
-    again = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__again")
-    found = save(exact_groups(docs, id_col, text_col).filter("not kept").select(*key, again).distinct(), "exact-dropped")
-    digest = fresh(docs, "digest")[0]
+    gone_id, gone_sha, again, digest = fresh(docs, "gone_id", "gone_sha", "again", "digest")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(again)
+    found = exact_groups(docs, id_col, text_col).filter("not kept")
+    found = save(found.select(F.col("doc_id").alias(gone_id), F.unhex("text_sha256").alias(gone_sha), stays).distinct(), "exact-dropped")
     rows = docs.withColumn(digest, F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(digest) == F.col("__sha"))
-    rows = rows.join(found.filter("not __again").drop("__again"), same, "left_anti")
-    twice = found.filter("__again")
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone_sha))
+    rows = rows.join(found.filter(~F.col(again)).drop(again), same, "left_anti")
+    twice = found.filter(again)
     if twice.limit(1).count():  # rows repeated under the id that stays
-        rows = rows.join(twice, same, "left").drop("__id", "__sha")
-        once = rows.filter("__again is null")
-        rows = once.union(rows.filter("__again").dropDuplicates([id_col, digest]))
+        rows = rows.join(twice, same, "left").drop(gone_id, gone_sha)
+        once = rows.filter(F.col(again).isNull())
+        rows = once.union(rows.filter(again).dropDuplicates([id_col, digest]))
     return rows.select(*docs.columns)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read_documents, save
+from .common import WORD, fresh, read_documents, save
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -113,13 +113,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, **columns) -> DataFrame:
     """The documents' rows in training order, a row for each copy, texts whole; documents that the mix leaves out go.
 
-    Ids name documents: rows repeated under one id are each emitted for every copy of any of them.
+    Ids name documents: rows repeated under one id are each emitted for every copy of any of them. Null ids are one
+    id like others, null text has no words and is left out, null sources are a source. Ties in position stand by id,
+    then by copy. Empty table: no rows. Columns of docs stay, whatever their names.
     """
     id_col = columns.get("id_col", "doc_id")
+    copy_id, copy, position = fresh(docs, "copy_id", "copy", "position")
     copies, _ = mix(docs, **columns)
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("pass").alias("__pass"), F.col("position").alias("__position")).distinct()
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.repartitionByRange("__position", id_col).sortWithinPartitions("__position", id_col, "__pass").select(*docs.columns)
+    copies = copies.select(F.col("doc_id").alias(copy_id), F.col("pass").alias(copy), F.col("position").alias(position)).distinct()
+    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col(copy_id)))
+    return out.repartitionByRange(position, id_col).sortWithinPartitions(position, id_col, copy).select(*docs.columns)
 
 
 def op3_curriculum_mix(spark, sf_dir):
