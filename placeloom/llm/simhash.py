@@ -18,10 +18,14 @@ MAX_BITS = 4
 #: The 64 bits are cut into BLOCKS blocks; two fingerprints that differ in MAX_BITS bits agree on BLOCKS - MAX_BITS of them.
 BLOCKS = 7
 PIVOTS = 16
+#: A bucket that may hold more fingerprints than this is split by blocks of its other bits.
+HOT_BUCKET = 100_000
 # The near-dedup stage: shingles of words, least similarity, SimHash bits, most that differ, pivots, and buckets by minima.
 NEAR_SHINGLE, NEAR_JACCARD = 5, 0.8
 NEAR_BITS, NEAR_RADIUS, NEAR_PIVOTS = 256, 64, 8
 NEAR_BANDS, NEAR_ROWS = 24, 5
+#: Up to so many texts' digests are broadcast to find the texts again.
+BROADCAST_TEXTS = 1_000_000
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -29,7 +33,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A-Z is lower-cased; the shingles are runs of `shingle` words, repeats included, joined by spaces (of fewer
     words: all of them; no word, or null: fingerprint zero). A bit is 1 if over half of the shingles' XXH64
-    (seed 42) have it. Whole texts; the bit counts of a text are added up in parts of bounded size.
+    (seed 42) have it. Whole texts; the bit counts of a text are added up in parts of bounded size. Null ids and
+    repeated rows are rows like others. Empty table: no rows. Other columns are not read.
     """
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -64,18 +69,28 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 1 << 64, n, np.uint64, endpoint=False)
 
 
-def bucket_links(fp: np.ndarray, refs: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (at most max_bits differing bits) between distinct fingerprints of a bucket.
+def pivot_table(distinct: DataFrame, n_pivots: int = PIVOTS) -> DataFrame:
+    """The written table of fp and table: its distances to the pivots, a byte each, packed into longs."""
+    def packed(refs):
+        one = lambda i, p: F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(p.view(np.int64))))).cast("long"), 8 * i)
+        return sum((one(i, p) for i, p in enumerate(refs)), F.lit(0).cast("long"))
 
-    The table of distances to the pivots is sorted by the first pivot. A fingerprint's partners lie within
+    refs = pivots(n_pivots)
+    return save(distinct.select("fp", F.array(*[packed(refs[i : i + 8]) for i in range(0, n_pivots, 8)]).alias("table")), "pivot-distances")
+
+
+def bucket_links(fp: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[list, np.ndarray]:
+    """(links, counts): a spanning forest of the links (at most max_bits differing bits) between distinct fingerprints
+    of a bucket; counts of pairs met, left by the table, and linked.
+
+    table holds their distances to the pivots, and is sorted by the first pivot. A fingerprint's partners lie within
     max_bits of it in every coordinate (triangle inequality), so only that slice is looked at, rows whose
     largest coordinate difference is above max_bits are discarded, and the rest is verified. Each fingerprint
     is reached once, so a bucket of n gives n - 1 links at most, and one within a tight cluster costs one pass.
     """
-    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int16)
     order = np.argsort(table[:, 0], kind="stable")
     fp, table = fp[order], table[order]
-    waiting, links = np.ones(len(fp), bool), []
+    waiting, links, counts = np.ones(len(fp), bool), [], np.zeros(3, np.int64)
     for seed in range(len(fp)):
         if not waiting[seed]:
             continue
@@ -83,77 +98,123 @@ def bucket_links(fp: np.ndarray, refs: np.ndarray, max_bits: int) -> list[tuple[
         while stack:
             a = stack.pop()
             lo, hi = np.searchsorted(table[:, 0], (table[a, 0] - max_bits, table[a, 0] + max_bits + 1))
-            near = lo + np.flatnonzero(waiting[lo:hi])
-            near = near[np.abs(table[near] - table[a]).max(axis=1, initial=0) <= max_bits]
-            near = near[np.bitwise_count(fp[near] ^ fp[a]) <= max_bits]
+            met = lo + np.flatnonzero(waiting[lo:hi])
+            left = met[np.abs(table[met] - table[a]).max(axis=1, initial=0) <= max_bits]
+            near = left[np.bitwise_count(fp[left] ^ fp[a]) <= max_bits]
+            counts += len(met), len(left), len(near)
             waiting[near] = False
             links += [(fp[a], fp[b]) for b in near]
             stack += near.tolist()
-    return links
+    return links, counts
+
+
+def block_masks(of: int, blocks: int, max_bits: int) -> list[int]:
+    """Masks of blocks - max_bits of the blocks into which the bits of `of` are cut: numbers that differ in max_bits of these bits agree under one of them."""
+    bits = [1 << i for i in range(64) if of >> i & 1]
+    cut = [sum(bits[len(bits) * b // blocks : len(bits) * (b + 1) // blocks]) for b in range(blocks)]
+    return [sum(c) for c in combinations(cut, blocks - max_bits)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def link_fingerprints(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, n_pivots: int = PIVOTS) -> DataFrame:
-    """Links u < v that connect just those of the distinct fingerprints (column fp) that links of at most max_bits bits connect.
+def met_pairs(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, n_pivots: int = PIVOTS, most: int = HOT_BUCKET) -> DataFrame:
+    """The written table of links (u, v) found in the buckets, and of counts (u null): met, left, linked.
 
-    Two linked fingerprints agree on blocks - max_bits of the blocks, so they share one of the tables' buckets; a
-    bucket's rows are sorted together and read as a stream, and bucket_links finds its links by pivot distances.
+    Two linked fingerprints agree on blocks - max_bits of the blocks, so they share one of the tables' buckets. A
+    bucket's rows carry their pivot distances, are sorted together and read as a stream; bucket_links discards its
+    pairs by these distances and verifies what is left. Buckets are counted under hashes first; those that may hold
+    more than `most` fingerprints are split by blocks of their other bits in the same way, so that a bucket then
+    agrees on 42 bits and holds at most 2^22 different fingerprints.
     """
-    width, at, masks = 64 // blocks, 0, []
-    for b in range(blocks):
-        size = width + (b < 64 % blocks)
-        masks.append(((1 << size) - 1) << at)
-        at += size
-    tables = [sum(c) for c in combinations(masks, blocks - max_bits)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    refs = pivots(n_pivots)
+    width = -(-n_pivots // 8) * 8
 
     def stream(it):
-        def runs(t, key, fp):
+        counts = np.zeros(3, np.int64)
+
+        def batch(u, v, c):
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), *[pa.array(x, pa.int64()) for x in c]], names=["u", "v", "met", "left", "linked"])
+
+        def runs(t, key, fp, table):
             """Links of the whole buckets in these sorted rows."""
             new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             begins, ends = np.concatenate(([0], new)), np.concatenate((new, [len(fp)]))
             sizes = ends - begins
             two = begins[sizes == 2]
-            a, b = fp[two], fp[two + 1]
-            da, db = np.bitwise_count(a[:, None] ^ refs).astype(np.int16), np.bitwise_count(b[:, None] ^ refs).astype(np.int16)
-            near = (np.abs(da - db).max(axis=1, initial=0) <= max_bits) & (np.bitwise_count(a ^ b) <= max_bits)
-            out = [np.stack((a[near], b[near]), axis=1)]
+            left = two[np.abs(table[two] - table[two + 1]).max(axis=1, initial=0) <= max_bits]
+            near = left[np.bitwise_count(fp[left] ^ fp[left + 1]) <= max_bits]
+            counts[:] += len(two), len(left), len(near)
+            out = [np.stack((fp[near], fp[near + 1]), axis=1)]
             for i, j in zip(begins[sizes > 2], ends[sizes > 2]):
-                if found := bucket_links(fp[i:j], refs, max_bits):
+                found, c = bucket_links(fp[i:j], table[i:j], max_bits)
+                counts[:] += c
+                if found:
                     out.append(np.array(found, np.uint64))
-            found = np.concatenate(out)
-            found = np.sort(found.view(np.int64), axis=1) if len(found) else found.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+            found = np.sort(np.concatenate(out).view(np.int64), axis=1)
+            none = [[None] * len(found)] * 3
+            return batch(found[:, 0], found[:, 1], none)
 
-        rest = None
-        for batch in it:
-            if not batch.num_rows:
+        held = []  # parts of the last bucket so far
+        for rows in it:
+            if not rows.num_rows:
                 continue
-            now = [np.asarray(c).astype(kind, copy=False) for c, kind in zip(batch.columns, (np.int32, np.int64, np.int64))]
-            now[2] = now[2].view(np.uint64)
-            if rest:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            t, key, _ = now
-            if t[0] == t[-1] and key[0] == key[-1]:
-                rest = now
-                continue
-            cut = int(np.flatnonzero((t != t[-1]) | (key != key[-1]))[-1]) + 1
-            rest = [x[cut:] for x in now]
-            yield runs(*[x[:cut] for x in now])
-        if rest and len(rest[0]):
-            yield runs(*rest)
-
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
-    rows = distinct.select(F.explode(keys).alias("b"), "fp").select("b.t", "b.key", "fp")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key")
-    return rows.mapInArrow(stream, "u long, v long").distinct()
+            t, key, fp = (np.asarray(rows.column(c)).astype(kind, copy=False) for c, kind in enumerate((np.int32, np.int64, np.int64)))
+            flat = np.asarray(rows.column(3).flatten()).astype(np.int64, copy=False)
+            now = [t, key, fp.view(np.uint64), flat.view(np.uint8).reshape(-1, width)[:, :n_pivots].astype(np.int16)]
+            cut = int(np.argmax((t == t[-1]) & (key == key[-1])))
+            same = held and held[0][0][0] == t[0] and held[0][1][0] == key[0]
+            if cut or not same:
+                whole = [np.concatenate(x) for x in zip(*held, [x[:cut] for x in now])]
+                if len(whole[0]):
+                    yield runs(*whole)
+                held = []
+            held.append([x[cut:] for x in now])
+        if held:
+            yield runs(*[np.concatenate(x) for x in zip(*held)])
+        yield batch([None], [None], [[int(c)] for c in counts])
+
+    def links(rows):
+        rows = rows.select("t", "key", "fp", "table").repartition("t", "key").sortWithinPartitions("t", "key")
+        return rows.mapInArrow(stream, "u long, v long, met long, left long, linked long")
+
+    def keyed(rows, masks, t):
+        return rows.select("fp", "table", F.explode(F.transform(F.arrays_zip(masks.alias("m"), t.alias("t")), lambda x: F.struct(x["t"].alias("t"), F.col("fp").bitwiseAND(x["m"]).alias("key")))).alias("b")).select("b.t", "b.key", "fp", "table")
+
+    table = pivot_table(distinct, n_pivots)
+    tables = block_masks((1 << 64) - 1, blocks, max_bits)
+    longs = lambda xs: F.array(*[F.lit(_signed(x)).cast("long") for x in xs])
+    rows = keyed(table, longs(tables), F.array(*[F.lit(i) for i in range(len(tables))]))
+    cells = max(1 << 16, table.count() * len(tables) // most * 8)
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("t", "key"), F.lit(cells)))
+    hot = save(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("cell"), "hot-buckets")
+    if not hot.limit(1).count():
+        return save(links(rows), "pivot-links")
+    hot = F.broadcast(hot)  # one row for each `most` rows of the tables at most
+    inner = [block_masks(((1 << 64) - 1) ^ m, blocks, max_bits) for m in tables]
+    of = F.element_at(F.array(*[longs([m | x for x in xs]) for m, xs in zip(tables, inner)]), F.col("outer") + 1)
+    some = rows.join(hot, "cell", "left_semi").select("fp", "table", F.col("t").alias("outer"))
+    some = keyed(some, of, F.transform(F.sequence(F.lit(0), F.lit(len(inner[0]) - 1)), lambda i: (F.col("outer") * len(inner[0]) + i).cast("int")))
+    return save(links(rows.join(hot, "cell", "left_anti")).union(links(some)), "pivot-links")
+
+
+def link_fingerprints(distinct: DataFrame, **settings) -> DataFrame:
+    """Links u < v that connect just those of the distinct fingerprints (column fp) that links of at most max_bits bits connect."""
+    return met_pairs(distinct, **settings).filter("u is not null").select("u", "v").distinct()
+
+
+def pair_counts(found: DataFrame) -> tuple[int, int, int]:
+    """Of met_pairs: pairs that met in a bucket (and by their first pivot), that the pivot table left, that are linked."""
+    r = found.filter("u is null").agg(F.sum("met"), F.sum("left"), F.sum("linked")).first()
+    return r[0] or 0, r[1] or 0, r[2] or 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root of each node of the links (u, v): root is the smallest node of its component.
 
     Large-star and small-star steps in turn until the links stay the same; each step's links are written, so
-    lineage stays short, and only their count and a checksum reach the driver.
+    lineage stays short, and only their count and a checksum reach the driver. A hub's links are counted in a
+    map-side sum; its smallest neighbour comes back to them by a bounded broadcast (attach). No links: no rows.
     """
     def state(e):
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -161,12 +222,15 @@ def components(links: DataFrame) -> DataFrame:
 
     e = save(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     now = state(e)
+    def least(e, m):
+        return save(e.groupBy("u").agg(m.alias("m"), F.count(F.lit(1)).alias("n")), "least")
+
     while now[0]:
         both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        kept = e.join(low, "u")
+        low = least(both, F.least(F.min("v"), F.col("u")))
+        e = attach(both.filter("v > u"), low, ["u"], "n", now[0], F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = least(e, F.min("v"))
+        kept = attach(e, low, ["u"], "n", now[0], F.xxhash64("v"))
         e = save(kept.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         was, now = now, state(e)
         if was == now:
@@ -180,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with one fingerprint are one node, so copies never meet in pairs; fingerprints link at MAX_BITS or
     fewer differing bits. component_id is the smallest doc_id reachable over links. Candidates come from
     buckets of equal bit blocks, since pivot distances alone leave a third of all pairs; within a bucket the pivot
-    table discards pairs before any is verified. The result has no false and no missing link.
+    table, written once, discards pairs before any is verified. The result has no false and no missing link.
 
     Null text is empty text: fingerprint zero, linked like any other. Null ids: rows get a component like
     others, and never give it its name unless it has no other id. Repeated rows stay repeated. Empty table: no rows.
@@ -188,9 +252,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = save(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = save(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     nodes = save(components(link_fingerprints(distinct.select("fp"))), "components")
-    named = nodes.join(distinct, nodes["node"] == distinct["fp"]).select("fp", "root", "low", "n")
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = named.join(low, "root").select("fp", "component_id")
+    named = save(nodes.join(distinct, nodes["node"] == distinct["fp"]).select("fp", "root", "low"), "named-components")
+    low = save(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("size")), "component-ids")
+    linked = attach(named, low, ["root"], "size", named.count(), F.xxhash64("fp")).select("fp", "component_id")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), "n")
     classes = save(classes, "fingerprint-classes")
     out = attach(rows, classes, ["fp"], "n", docs.count(), F.xxhash64("doc_id"))
@@ -201,14 +265,25 @@ def text_digest(text_col: str) -> Column:
     return F.unhex(F.md5(text_or_empty(text_col)))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest (MD5 of the text), set (16-byte digest of the shingles), shingles, fp, table, keys of each row.
+def _shingles(text: bytes | None) -> np.ndarray:
+    """The sorted XXH64 of the different runs of NEAR_SHINGLE words (A-Z lower-cased; of fewer words: all of them)."""
+    from xxhash import xxh64_intdigest
 
-    shingles: the sorted XXH64 of the different runs of NEAR_SHINGLE words (A-Z lower-cased; of fewer words: all of
-    them). fp: their SimHash of NEAR_BITS bits. table: its distances to the pivots. keys: NEAR_BANDS bucket keys,
+    words = (text or b"").translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
+    n = max(1, len(words) - NEAR_SHINGLE + 1)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    first = [0, *ends[: n - 1].tolist()]
+    last = (ends[-n:] - 1).tolist() if words else [0]
+    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(first, last)), np.uint64, n))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest (MD5 of the text), set (16-byte digest of the shingles), n (shingles), fp, table, keys of each row.
+
+    fp: the shingles' SimHash of NEAR_BITS bits. table: its distances to the pivots. keys: NEAR_BANDS bucket keys,
     each the hash of NEAR_ROWS minima.
     """
-    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     rng = np.random.default_rng(80)
     times = rng.integers(0, 1 << 64, (NEAR_BANDS * NEAR_ROWS, 1), np.uint64) | np.uint64(1)
     plus = rng.integers(0, 1 << 64, (NEAR_BANDS * NEAR_ROWS, 1), np.uint64)
@@ -221,15 +296,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return h ^ (h >> np.uint64(31))
 
     def one(text):
-        from xxhash import xxh3_128_digest, xxh64_intdigest
-
-        words = (text or b"").translate(lower).split()
-        n = max(1, len(words) - NEAR_SHINGLE + 1)
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        first = [0, *ends[: n - 1].tolist()]
-        last = (ends[-n:] - 1).tolist() if words else [0]
-        h = np.unique(np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(first, last)), np.uint64, n))
+        from xxhash import xxh3_128_digest
+
+        h = _shingles(text)
         ones, low = np.zeros(NEAR_BITS, np.int64), np.full(NEAR_BANDS * NEAR_ROWS, np.iinfo(np.uint64).max)
         for i in range(0, len(h), 4096):
             part = h[i : i + 4096]
@@ -242,20 +311,37 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         key = np.zeros(NEAR_BANDS, np.uint64)
         for k in range(NEAR_ROWS):
             key = mixed(key ^ low[:, k])
-        return xxh3_128_digest(h.tobytes()), h.view(np.int64), fp.view(np.int64), table, key.view(np.int64)
+        return xxh3_128_digest(h.tobytes()), len(h), fp.view(np.int64), table, key.view(np.int64)
 
-    names = ["doc_id", "digest", "set", "shingles", "fp", "table", "keys"]
-    types = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    names = ["doc_id", "digest", "set", "n", "fp", "table", "keys"]
+    types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def batches(it):
         for batch in it:
-            for part in slices(batch, 2, 2 << 20):
+            for part in slices(batch, 2, 8 << 20):
                 out = zip(*[one(t.as_py()) for t in part.column(2).cast(pa.binary())])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(out, types)]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, digest binary, set binary, shingles array<long>, fp array<long>, table array<int>, keys array<long>")
+    return rows.mapInArrow(batches, f"doc_id {kind}, digest binary, set binary, n int, fp array<long>, table array<int>, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, most: int = BROADCAST_TEXTS) -> DataFrame:
+    """The written table of node, shingles for wanted(node, digest): the sets are made again from the texts with these
+    digests, since those of all texts would be larger than the texts. Up to `most` digests are broadcast; beyond, texts
+    meet them in a shuffled join."""
+
+    def batches(it):
+        for batch in it:
+            for part in slices(batch, 1, 2 << 20):
+                sets = [_shingles(t.as_py()).view(np.int64) for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    wanted = save(wanted, "near-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= most else wanted
+    rows = docs.select(text_digest(text_col).alias("digest"), F.col(text_col).alias("text")).join(few, "digest").select("node", "text")
+    return save(rows.mapInArrow(batches, "node long, shingles array<long>").dropDuplicates(["node"]), "near-shingles")
 
 
 def near_enough(a: str, b: str) -> Column:
@@ -267,25 +353,23 @@ def near_enough(a: str, b: str) -> Column:
     return ok & (sum((F.bit_count(at(a, "fp", i).bitwiseXOR(at(b, "fp", i))) for i in range(NEAR_BITS // 64)), F.lit(0)) <= NEAR_RADIUS)
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose shingles have a Jaccard similarity of NEAR_JACCARD or more, in whole numbers."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    s = rows.select("node", "shingles").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    s = save(s, "near-shingles")
-    both = pairs.join(s.toDF("u", "x"), "u").join(s.toDF("v", "y"), "v")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose shingles (sets: node, shingles) have a Jaccard similarity of NEAR_JACCARD or more, in whole numbers."""
+    both = pairs.join(sets.toDF("v", "y"), "v").join(sets.toDF("u", "x"), "u")
     both = both.select("u", "v", (F.size("x") + F.size("y")).alias("all"), F.size(F.array_intersect("x", "y")).alias("common"))
     return save(both.filter(f"common >= {NEAR_JACCARD} * (all - common)").select("u", "v"), "near-links")
 
 
-def near_links(rows: DataFrame) -> DataFrame:
+def near_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Links (u, v) that connect just those nodes (different sets of shingles) that candidate pairs alike by NEAR_JACCARD connect.
 
     Candidates are all pairs of a bucket. First each set is held against the smallest of each of its buckets, so a
-    large group of near copies gives no square of pairs; then, in buckets whose sets are not all connected yet, all
-    pairs from different components are. Pairs left out are connected already.
+    large group of near copies gives no square of pairs: against the first such set, then against others only where
+    these are not connected yet. Then, in buckets whose sets are not all connected, all pairs from different
+    components are. Pairs left out are connected already. Only sets in candidate pairs are made from texts again.
     """
-    light = F.struct(F.size("shingles").alias("n"), "fp", "table")
-    sets = rows.select("node", light.alias("s"), "keys").groupBy("node").agg(F.first("s").alias("s"), F.first("keys").alias("keys"))
+    light = F.struct("n", "fp", "table")
+    sets = rows.select("node", light.alias("s"), "keys", "digest").groupBy("node").agg(F.first("s").alias("s"), F.first("keys").alias("keys"), F.min("digest").alias("digest"))
     sets = save(sets, "near-sets")
     members = sets.select("node", F.posexplode("keys").alias("band", "key"))
     heads = members.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -293,10 +377,28 @@ def near_links(rows: DataFrame) -> DataFrame:
     full = attach(members, heads, ["band", "key"], "n", sets.count() * NEAR_BANDS, F.xxhash64("node")).filter("head is not null")
     full = save(full.drop("n"), "near-members")
     s = sets.select("node", "s")
+    made: list[DataFrame] = []
+
+    def shingles(pairs):
+        """Sets of all nodes of the pairs; those not made before are made now."""
+        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        for before in made:
+            nodes = nodes.join(before.select("node"), "node", "left_anti")
+        made.append(shingle_sets(docs, text_col, nodes.join(sets.select("node", "digest"), "node")))
+        return made[0] if len(made) == 1 else made[0].union(made[1])
 
     first = full.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    first = first.join(s.toDF("u", "a"), "u").join(s.toDF("v", "b"), "v").filter(near_enough("a", "b"))
-    links = verified(save(first.select("u", "v"), "near-pairs"), rows)
+    first = first.join(s.toDF("v", "b"), "v").join(s.toDF("u", "a"), "u").filter(near_enough("a", "b"))
+    first = save(first.select("u", "v"), "near-pairs")
+    known = shingles(first)
+    links = verified(first.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), known)
+
+    def apart(pairs, roots):
+        """The pairs whose nodes are in different components."""
+        out = pairs.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
+        return out.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+
+    links = save(links.union(verified(apart(first, components(links)), known)), "near-links")
 
     roots = components(links)
     rest = full.join(roots, "node", "left").select("node", "band", "key", F.coalesce("root", "node").alias("root"))
@@ -306,7 +408,9 @@ def near_links(rows: DataFrame) -> DataFrame:
     x, y = (rest.select("band", "key", *[F.col(c).alias(c + end) for c in ("node", "root", "s")]) for end in ("_x", "_y"))
     more = x.join(y, ["band", "key"]).filter((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & near_enough("s_x", "s_y"))
     more = save(more.select(F.col("node_x").alias("u"), F.col("node_y").alias("v")).distinct(), "near-pairs")
-    return links.union(verified(more, rows))
+    if not more.limit(1).count():
+        return links
+    return links.union(verified(more, shingles(more)))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,11 +421,14 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     100,000 cases, by the rule of bands) and differ in NEAR_RADIUS of NEAR_BITS SimHash bits at most.
 
     Rows go by id and text together, so null ids and an id over several texts take no other row with them. A null
-    id stays only if its component has no other. Rows repeated with the same id and text stay or go together.
+    id stays only if its component has no other. Rows repeated with the same id and text stay or go together. Null text
+    and empty text are one set (of the empty shingle), so they are near copies of each other only; a text of fewer
+    words than a shingle is one shingle. Ties cannot occur: equal ids with different texts are told apart by the
+    texts' digests. Empty table: no rows. Columns of docs may have any names.
     """
-    rows = save(shingle_sets(docs, id_col, text_col), "shingle-sets").withColumn("node", F.xxhash64("set"))
+    rows = save(sketches(docs, id_col, text_col), "sketches").withColumn("node", F.xxhash64("set"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    nodes = components(near_links(rows))
+    nodes = components(near_links(rows, docs, text_col))
     lows = rows.groupBy("node").agg(F.min(own).alias("low"), F.count(F.lit(1)).alias("n")).join(nodes, "node")
     lows = save(lows, "near-nodes")
     keep = lows.groupBy("root").agg(F.min("low").alias("keep"))
@@ -330,10 +437,10 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     classes = classes.unionByName(save(alone, "near-classes"))
     found = attach(rows.select("doc_id", "digest", "node"), classes, ["node"], "n", rows.count(), F.xxhash64("doc_id"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("digest") == F.col("keep.digest"))
-    gone = found.filter(F.col("keep").isNotNull() & ~stays).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    own, gone_id, gone_digest = fresh(docs, "digest", "gone_id", "gone_digest")
+    gone = found.filter(F.col("keep").isNotNull() & ~stays).select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct()
     gone = save(gone, "near-dropped")
-    own = fresh(docs, "digest")[0]
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(own) == F.col("__digest"))
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_digest))
     return docs.withColumn(own, text_digest(text_col)).join(gone, same, "left_anti").drop(own)
 
 
