@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import zlib
@@ -18,62 +19,91 @@ from .common import per_process, read_documents, save, slices
 END_ID = 1
 #: A shard is closed at so many ids (a longer document has a shard of its own).
 SHARD_IDS = 1 << 21
-#: A pair is frequent, and gets a rule, if a shard has it so many times.
-MIN_PAIR = 512
+#: A pair gets a rule if a shard has it so many times: a rule takes three numbers (two symbols, a length), and each
+#: replacement saves one.
+MIN_PAIR = 4
+#: Documents are read back together up to so many ids.
+READ_IDS = 1 << 16
+#: Words whose ids a process keeps at most.
+CACHE_WORDS = 1 << 20
 MAGIC = b"RPR1"
-_HASH_BITS = 20
 
 
 # --- grammar ---------------------------------------------------------------------------------------------------
 
 
+def _numbers(keys: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Place of each pair in keys, or -1: tables by hash; keys that meet in a slot go on to the next table."""
+    out, todo, names = np.full(len(pair), -1, np.int32), np.arange(len(pair)), np.arange(len(keys), dtype=np.int32)
+    left, times = keys, 0x9E3779B97F4A7C15
+    while len(left):
+        bits = np.uint64(64 - max(10, int(8 * len(left)).bit_length()))
+        slot = lambda x: (x.view(np.uint64) * np.uint64(times)) >> bits  # noqa: B023, E731
+        table = np.zeros(1 << int(64 - bits), np.int32)
+        table[slot(left)] = np.arange(len(left))
+        got = table[slot(pair[todo] if times != 0x9E3779B97F4A7C15 else pair)]
+        same = left[got] == (pair[todo] if len(todo) < len(pair) else pair)
+        out[todo[same]] = names[got[same]]
+        lost = left[table[slot(left)]] != left
+        todo, left, names, times = todo[~same], left[lost], names[lost], times * 5 & ((1 << 64) - 1)
+    return out
+
+
 def compress(ids: np.ndarray, first_rule: int, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule k makes symbol first_rule + k of two earlier symbols.
 
     Rounds until no pair occurs min_pair times: the frequent pairs are counted, each gets a nonterminal, and of
     overlapping occurrences the one of the more frequent pair is replaced (in a run of equal pairs every other
-    one); the next round counts what is left.
+    one). A round looks at the places whose pair can be frequent: those of the last round that are still there, and
+    both sides of each symbol that is new.
     """
-    seq, rules = ids.astype(np.int64), np.empty((0, 2), np.int64)
-    while len(seq) > 1:
-        # a cheap hashed count discards most positions; exact counts follow for the rest
-        slot = ((seq[:-1] * 0x9E3779B1 + seq[1:] * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
-        often = np.bincount(slot, minlength=1 << _HASH_BITS) >= min_pair
-        at = np.flatnonzero(often[slot])
+    seq, rules, made = ids.astype(np.int32), [np.empty((0, 2), np.int64)], first_rule
+    at = np.arange(len(seq) - 1)
+    while len(at):
+        pair = seq[at].astype(np.int64) << 32 | seq[at + 1]
+        order = np.sort(pair)
+        first = np.flatnonzero(np.append(True, order[1:] != order[:-1]))
+        count = np.diff(np.append(first, len(order)))
+        keys, count = order[first[count >= min_pair]], count[count >= min_pair]
+        number = _numbers(keys, pair)
+        at, number = at[number >= 0], number[number >= 0]
         if not len(at):
             break
-        pair, index = np.unique(seq[at] << 32 | seq[at + 1], return_inverse=True)
-        count = np.bincount(index)
-        good = count >= min_pair
-        if not good.any():
-            break
         # priority: more frequent first, then the smaller pair
-        order = np.lexsort((pair, -count))
-        order = order[good[order]]
-        priority = np.zeros(len(pair), np.int64)
-        priority[order] = np.arange(len(order), 0, -1)
-        here = np.zeros(len(seq) + 1, np.int64)
-        here[at + 1] = priority[index]  # here[i + 1]: priority of the pair that begins at i
-        mine, left, right = here[1:], here[:-1], np.append(here[2:], 0)
-        # runs of one pair (a a a): every other occurrence, from the run's begin
-        run = np.arange(len(mine))
-        starts = np.maximum.accumulate(np.where(mine != left, run, 0))
-        take = (mine > 0) & ((run - starts) % 2 == 0) & ((mine > left) | (mine == left)) & (mine >= right)
-        take[1:] &= ~take[:-1]
-        take = np.flatnonzero(take)
-        code = mine[take]
-        used = np.bincount(code, minlength=len(order) + 1)
+        priority = np.empty(len(keys), np.int32)
+        priority[np.lexsort((keys, -count))] = np.arange(len(keys), 0, -1)
+        mine = priority[number]
+        touch = np.flatnonzero(at[1:] == at[:-1] + 1)
+        left, right = np.zeros_like(mine), np.zeros_like(mine)
+        left[touch + 1], right[touch] = mine[touch], mine[touch + 1]
+        take = (mine > left) & (mine >= right)
+        run = np.flatnonzero(mine == left)  # runs of one pair (a a a): every other occurrence, from the run's begin
+        if len(run):
+            begin = np.flatnonzero(np.append(True, run[1:] != run[:-1] + 1))
+            odd = (np.arange(len(run)) - np.repeat(begin, np.diff(np.append(begin, len(run))))) % 2 == 1
+            take[run] = odd & (mine[run] >= right[run])
+        take[1:] &= ~(take[:-1] & (at[1:] == at[:-1] + 1))
+        used = np.bincount(number[take], minlength=len(keys))
         kept = np.flatnonzero(used >= 2)  # a rule that is used once costs more than it saves
         if not len(kept):
             break
-        number = np.full(len(order) + 1, -1, np.int64)
-        number[kept] = first_rule + len(rules) + np.arange(len(kept))
-        made = pair[order[len(order) - kept]]
-        rules = np.concatenate((rules, np.stack((made >> 32, made & 0xFFFFFFFF), axis=1)))
-        take = take[number[code] >= 0]
-        seq[take] = number[mine[take]]
-        seq = np.delete(seq, take + 1)
-    return seq, rules
+        symbol = np.full(len(keys), -1, np.int32)
+        symbol[kept] = made + np.arange(len(kept))
+        made += len(kept)
+        rules.append(np.stack((keys[kept] >> 32, keys[kept] & 0xFFFFFFFF), axis=1))
+        take &= symbol[number] >= 0
+        here = at[take]
+        seq[here] = symbol[number[take]]
+        new, stay = np.zeros(len(seq) + 1, bool), np.ones(len(seq), bool)
+        new[here], stay[here + 1] = True, False
+        old = at[stay[at] & ~new[at] & ~new[at + 1]]
+        mark = np.zeros(len(seq) + 1, bool)  # of places before the deletion
+        mark[old], mark[here] = True, True
+        before = here[here > 0] - 1
+        mark[np.where(stay[before], before, before - 1)] = True
+        seq, mark = seq[stay], mark[:-1][stay]
+        at = np.flatnonzero(mark[:-1])
+    return seq.astype(np.int64), np.concatenate(rules)
 
 
 def lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -129,6 +159,8 @@ class Shard:
             at += n
         self.rules, self.rule_lengths, self.seq, self.sizes = parts[0].reshape(-1, 2), *parts[1:]
         self.ends = np.cumsum(self.sizes)
+        self.wide = np.where(self.seq >= self.first_rule, np.append(self.rule_lengths, 0)[np.maximum(self.seq - self.first_rule, -1)], 1)
+        self.after = np.cumsum(self.wide)
 
     def ids(self) -> np.ndarray:
         return expand(self.seq, self.rules, self.first_rule)
@@ -137,39 +169,65 @@ class Shard:
         """Ids begin to end of the shard; only symbols that overlap them are expanded."""
         if begin >= end:
             return np.empty(0, np.int64)
-        wide = np.where(self.seq >= self.first_rule, np.append(self.rule_lengths, 0)[np.maximum(self.seq - self.first_rule, -1)], 1)
-        after = np.cumsum(wide)
-        i, j = np.searchsorted(after, begin, "right"), np.searchsorted(after, end, "left")
-        skip = begin - (after[i] - wide[i])
+        i, j = np.searchsorted(self.after, begin, "right"), np.searchsorted(self.after, end, "left")
+        skip = begin - (self.after[i] - self.wide[i])
         return expand(self.seq[i : j + 1], self.rules, self.first_rule)[skip : skip + end - begin]
 
     def document(self, k: int) -> np.ndarray:
         return self.slice(int(self.ends[k] - self.sizes[k]), int(self.ends[k]))
 
+    def documents(self, most: int = READ_IDS):
+        """The documents' ids in turn; a slice of about `most` ids (or one document) is expanded at a time."""
+        k = 0
+        while k < len(self.sizes):
+            begin = int(self.ends[k] - self.sizes[k])
+            stop = max(k + 1, int(np.searchsorted(self.ends, begin + most, "right")))
+            ids = self.slice(begin, int(self.ends[stop - 1]))
+            cuts = (self.ends[k:stop] - begin).tolist()
+            yield from (ids[a:b] for a, b in zip([0, *cuts], cuts))
+            k = stop
+
 
 # --- encoding --------------------------------------------------------------------------------------------------
 
-#: Letters of the Latin blocks, then signs but no apostrophe: the tokenizer makes two pieces of these.
-_PLAIN = r"^(?P<a>[a-zß-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
+#: Letters of the Latin-1 block, then signs but no apostrophe: the tokenizer makes two pieces of these.
+_PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees each different word of a batch once.
+    """Ids of whole texts by the tokenizers library as it is loaded, which sees each different word of a batch once.
 
-    No piece of the tokenizer spans white space, so a text's ids are those of its words in turn. Plain words go
-    to the library many to a call, in lower case as it makes them itself, and are told apart by their word-end
-    tokens; all other words go one by one.
+    No piece and no special token of the tokenizer spans white space, so a text's ids are those of its words in turn.
+    Plain words go to the library many to a call, in lower case as it makes them itself, and are told apart by their
+    word-end tokens; their ids are kept for the process's later batches, up to CACHE_WORDS words. All other words,
+    and those that hold a special token, go one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.sizes, self.flat = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def _kept(self, words: pa.Array) -> np.ndarray:
+        """Places of different plain words in self.words; those that are not there yet are encoded and added."""
+        if len(self.words) > CACHE_WORDS:
+            self.forget()
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        at = np.asarray(pc.fill_null(at, -1)).astype(np.int64)
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        sizes, ids = self._plain(new)
+        self.words, self.sizes, self.flat = pa.concat_arrays([self.words, new]), np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, ids))
+        return at
 
     def _single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
@@ -196,27 +254,43 @@ class Encoder:
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = cut.values.dictionary_encode()
         names = words.dictionary
-        parts = pc.extract_regex(pc.utf8_lower(names), _PLAIN)
-        plain = np.asarray(pc.is_valid(parts))
-        head = pc.struct_field(parts, 0).dictionary_encode()
+        parts = pc.extract_regex(names, _PLAIN)
+        plain = pc.is_valid(parts)
+        if self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring_regex(names, self.special)))
+            parts = pc.if_else(plain, parts, None)
+        plain = np.asarray(plain)
+        head = pc.utf8_lower(pc.struct_field(parts, 0)).dictionary_encode()
         tail = pc.fill_null(pc.struct_field(parts, 1), "").dictionary_encode()
-        # pieces: heads, tails, other words; a word is one or two of them
-        sizes, ids = zip(self._plain(head.dictionary), self._single(tail.dictionary.to_pylist()), self._single(names.filter(pa.array(~plain)).to_pylist()))
-        at_tail = len(sizes[0])
-        at_other = at_tail + len(sizes[1])
-        sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+        # pieces: kept heads, tails, other words; a word is one or two of them
+        heads = self._kept(head.dictionary)
+        tails, others = self._single(tail.dictionary.to_pylist()), self._single(names.filter(pa.array(~plain)).to_pylist())
+        sizes, ids = np.concatenate((self.sizes, tails[0], others[0])), np.concatenate((self.flat, tails[1], others[1]))
+        at_tail = len(self.sizes)
+        at_other = at_tail + len(tails[0])
         pieces = np.empty((len(names), 2), np.int64)
-        pieces[:, 0] = np.where(plain, np.asarray(pc.fill_null(head.indices, 0)), at_other + np.cumsum(~plain) - 1)
         pieces[:, 1] = at_tail + np.asarray(tail.indices)
-        first = np.cumsum(sizes) - sizes
-        piece = pieces[np.asarray(words.indices)].ravel()
-        size = sizes[piece]
-        after = np.cumsum(size)
-        ids = ids[np.repeat(first[piece] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
-        bounds = np.append(0, after)[2 * np.asarray(cut.offsets).astype(np.int64)]
+        pieces[~plain, 0] = at_other + np.arange(np.count_nonzero(~plain))
+        pieces[plain, 0] = heads[np.asarray(head.indices.filter(pa.array(plain)))]
+        size, ids = _gather(sizes, ids, pieces.ravel())
+        size, ids = _gather(size.reshape(-1, 2).sum(axis=1), ids, np.asarray(words.indices))
+        bounds = np.append(0, np.cumsum(size))[np.asarray(cut.offsets)]
         return np.diff(bounds), ids
 
 
+def _gather(sizes: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, all values in turn) of the lists `which` of those that lie in flat one after the other."""
+    first, size = np.cumsum(sizes) - sizes, sizes[which]
+    after = np.cumsum(size)
+    step = np.ones(after[-1] if len(after) else 0, np.int64)  # each place is the one before plus one, but where a list begins
+    some = size > 0
+    begin = first[which][some]
+    if len(begin):
+        step[0] = begin[0]
+        step[(after - size)[some][1:]] = begin[1:] - begin[:-1] - size[some][:-1] + 1
+    return size, flat[np.cumsum(step)]
+
+
 # --- operator --------------------------------------------------------------------------------------------------
 
 
@@ -225,8 +299,9 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     Documents are range-partitioned by id, sorted, encoded and compressed in one pass; a partition's shards hold
     about shard_ids ids each, so a task holds one shard. Part, shard and place within a shard give ascending id
-    order over all documents; equal ids stand in order of their texts. Null ids come first; null text has only
-    the end id.
+    order over all documents; equal ids stand in order of their texts (rows repeated with both: one after the other).
+    Null ids come first; null and empty text have only the end id; a document over shard_ids has a shard of its own.
+    Empty table: no shards. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -276,7 +351,12 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """One row per document of the written shards: doc_id, start, n_tokens, ids_crc32, shard_bytes and rules of its shard."""
+    """One row per document of the written shards: doc_id, start, n_tokens, ids_crc32, part, shard, shard_bytes, shard_rules.
+
+    Documents are read through the grammar by their places, READ_IDS ids at a time, never a whole shard at once.
+    Null ids, repeated rows and documents without words (the end id only) come back as they were written. No shards:
+    no rows.
+    """
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
     starts = save(shard_starts(shards), "repair-starts")
 
@@ -285,10 +365,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 part, number, names, blob = (batch.column(c)[k].as_py() for c in range(4))
                 s = Shard(blob)
-                ids = s.ids().astype("<u4")
-                ends = s.ends.tolist()
-                begins = [0, *ends[:-1]]
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)]
+                begins = (s.ends - s.sizes).tolist()
+                crc = [zlib.crc32(ids.astype("<u4")) for ids in s.documents()]
                 n = len(names)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(names, batch.schema.field(2).type.value_type), pa.array(begins, pa.int64()), pa.array(s.sizes), pa.array(crc, pa.int64()), pa.array([len(blob)] * n, pa.int64()), pa.array([len(s.rules)] * n, pa.int32())],
