@@ -15,8 +15,12 @@ VIRTUAL_NODES = 128
 
 
 def ring(spark: SparkSession, shards: int, virtual_nodes: int = VIRTUAL_NODES, points: int = POINTS) -> list[tuple[int, int]]:
-    """(point, shard) of each virtual node, by point; of two on one point the smaller shard stays."""
-    nodes = spark.range(shards * virtual_nodes).select(F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(points)).alias("p"), (F.col("id") % shards).cast("int").alias("s"))
+    """(point, shard) of each virtual node, by point; of two on one point the smaller shard stays.
+
+    A node's point depends on its shard and its number there only, so one more shard adds points and moves none.
+    """
+    shard, number = (F.col("id") / virtual_nodes).cast("int"), F.col("id") % virtual_nodes
+    nodes = spark.range(shards * virtual_nodes).select(F.pmod(F.xxhash64(F.lit("node"), shard, number), F.lit(points)).alias("p"), shard.alias("s"))
     return sorted((r["p"], r["s"]) for r in nodes.groupBy("p").agg(F.min("s").alias("s")).collect())
 
 
