@@ -7,7 +7,7 @@ from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import op2_exact_dedup
 from .hmm import op7_hmm_scores
 from .kneser_ney import op5_kneser_ney_quality
-from .licences import op6_licence_digests
+from .licences import licence_lines, lines_sql, op6_licence_digests
 from .licences import sql as licence_sql
 from .mixing import op3_curriculum_mix
 from .quality_rules import op9_host_rules
@@ -18,8 +18,8 @@ from .simhash import op4_simhash_pivots
 
 def queries():
     found = (op1_repair_shards, op2_exact_dedup, op3_curriculum_mix, op4_simhash_pivots, op5_kneser_ney_quality, op6_licence_digests, op7_hmm_scores, op8_bounded_ring, op9_host_rules, op10_bpe_replay)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"llm_licence_lines": licence_lines}
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": EXACT_SQL, "op6_licence_digests": licence_sql()}
+    return {"op2_exact_dedup": EXACT_SQL, "op6_licence_digests": licence_sql(), "llm_licence_lines": lines_sql()}
