@@ -3,16 +3,20 @@
 import base64
 import hashlib
 import math
+import os
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from placeloom.llm import bpe, exact_dedup, hmm, kneser_ney, licences, mixing, quality_rules, repair, sharding, simhash
+from placeloom.llm import bpe, common, exact_dedup, hmm, kneser_ney, licences, mixing, quality_rules, repair, sharding, simhash
 
 WORDS = "the of and river stone light under walking seven plate Über naïve 漢字 ok! it's 42".split()
 SCHEMA = "doc_id long, text string, lang string, source string, size long, kept boolean, shard int, norm string"
@@ -57,7 +61,7 @@ def test_op1_round_trip(docs, data, empty):
     path = public_tokenizers.path("word_bpe_49k.json")
     shards = repair.write_shards(docs, path, shard_ids=3000, min_pair=4)
     got, start = by_id(repair.read_shards(shards)), 0
-    tok = repair.Encoder(path).tok
+    tok = Tokenizer.from_file(path)
     every = {}
     for i, t, *_ in data:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -67,11 +71,39 @@ def test_op1_round_trip(docs, data, empty):
     for r in shards.collect():  # one document at random, without the rest of its shard
         s = repair.Shard(bytes(r.payload))
         assert len(s.seq) < r.n_ids if len(s.rules) else len(s.seq) == r.n_ids
+        assert [x.tolist() for x in s.documents(50)] == [every[i].tolist() for i in r.doc_ids]
         for k in range(0, len(r.doc_ids), 5):
             assert (s.document(k) == every[r.doc_ids[k]]).all()
     assert repair.read_shards(repair.write_shards(empty, path)).count() == 0
 
 
+def test_op1_encodes_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["a<|endoftext|>b <|startoftext|> c", "<|endoftext|>", "İstanbul İ i̇ ǅ ß ẞ ﬁ", "it's they'll 'tis o'clock! well-known...", "x\u00a0y\u2003z\u0085w", "e\u0301 é \u212b", "日本語 text 42nd", "ALL CAPS, Ünïcödé?!", "a" * 3000, ""]
+    texts += ["".join(f"{chr(c)} q{chr(c)}x {chr(c)}{chr(c)} " for c in range(a, min(a + 256, 0x3000))) for a in range(1, 0x3000, 256)]
+    tok, enc = Tokenizer.from_file(path), repair.Encoder(path)
+    for batch in (texts, texts[::-1]):  # the second time words are known
+        n, ids = enc.encode(pa.array(batch))
+        want = [tok.encode(t, add_special_tokens=False).ids for t in batch]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert 49407 in want[-1] and 49407 in want[-2]
+
+
+def test_op1_grammar_is_a_grammar():
+    rng = np.random.default_rng(2)
+    phrase = [rng.integers(0, 50, 12) for _ in range(8)]
+    for ids in (np.concatenate([phrase[k] for k in rng.integers(0, 8, 300)]), np.zeros(1000, int), np.tile([1, 1, 2], 400), rng.integers(0, 3, 5000), np.array([7]), np.empty(0, int)):
+        for least in (2, 4, 50):
+            seq, rules = repair.compress(ids, 100, least)
+            assert (repair.expand(seq, rules, 100) == ids).all() and all(max(r) < 100 + k for k, r in enumerate(rules))
+            # nothing is left that a rule would still pay for, but in overlapping places
+            left = Counter(zip(seq[:-1:2].tolist(), seq[1::2].tolist()))
+            assert max(left.values(), default=0) < max(least, 3)
+        assert len(rules) == 0 or (repair.lengths(rules, 100) > 1).all()
+    seq, rules = repair.compress(np.concatenate([phrase[k] for k in rng.integers(0, 8, 300)]), 100)
+    assert len(seq) < 400  # each phrase is one symbol
+
+
 def test_op2_groups(spark, docs, data, empty):
     groups = {}
     for i, t, *_ in data:
@@ -87,6 +119,40 @@ def test_op2_groups(spark, docs, data, empty):
     assert sorted(r.doc_id for r in left.select("doc_id").collect()) == sorted(max(i) for i in groups.values()) and left.columns == docs.columns
 
 
+def test_op2_ways_agree(docs):
+    a, b = (sorted(map(tuple, exact_dedup.exact_groups(docs, most=m).collect()), key=str) for m in (1 << 20, 0))
+    assert a == b
+
+
+def test_attach_deals_cold_and_hot_keys(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("k"))
+    rows = rows.withColumn("k", F.when(F.col("id") % 100 != 7, F.col("k")))  # null keys match nothing
+    classes = rows.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most"))
+    got = common.attach(rows, classes, ["k"], "n", 3000, F.xxhash64("id"), parts=50).collect()
+    size, most = Counter(r.k for r in got), {}
+    for r in got:
+        most[r.k] = max(r.id, most.get(r.k, -1))
+    assert len(got) == 3000 and all((r.n, r.most) == ((size[r.k], most[r.k]) if r.k is not None else (None, None)) for r in got)
+
+
+def test_clashing_columns(spark, tmp_path):
+    names = ["doc_id", "text", "source", "digest", "gone_id", "gone_digest", "gone_sha", "again", "flags", "verdict", "host_key", "host_salt", "row_salt", "copy_id", "copy", "position", "__ok", "__id", "__sha", "__host", "__gone", "__position", "f", "node", "h", "bucket"]
+    text = " ".join(f"w{x}" for x in range(80))
+    docs = spark.createDataFrame([(i, t, "s", *range(len(names) - 3)) for i, t in enumerate([text, text.upper(), text + " end", "short", None])], ", ".join(f"{n} {'string' if n in ('text', 'source') else 'long'}" for n in names))
+    for got, left in ((quality_rules.keep_good(docs), {0, 1, 2}), (exact_dedup.drop_exact(docs), {1, 2, 3, 4}), (simhash.drop_near(docs), {0, 3, 4}), (mixing.mixed(docs), None)):
+        assert got.columns == names
+        assert left is None and got.count() or {r.doc_id for r in got.collect()} == left
+
+
+def test_scratch_deletes_tables(spark):
+    import os
+
+    with common.scratch(spark):
+        gone = common.save(spark.range(3), "gone").inputFiles()[0]
+        stays = common.save(spark.range(3), "stays", kept=True)
+    assert not os.path.exists(gone.removeprefix("file://")) and stays.count() == 3
+
+
 def test_drop_exact_decides_per_row(spark):
     rows = [(None, "a b"), (None, "A b"), (None, "only"), (None, "c"), (5, "c"), (5, "d"), (7, "d"), (5, "e"), (5, "e"), (None, None), (9, "f"), (9, "g")]
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
@@ -198,7 +264,9 @@ def test_op4_links_lose_nothing(spark):
         fps.append(x)
     fps = sorted(set(fps))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    got = {r.node: r.root for r in simhash.components(simhash.link_fingerprints(spark.createDataFrame([(x,) for x in signed], "fp long"))).collect()}
+    table = spark.createDataFrame([(x,) for x in signed], "fp long")
+    # once more with almost all buckets split by blocks of their other bits
+    got, hot = ({r.node: r.root for r in simhash.components(simhash.link_fingerprints(table, most=m)).collect()} for m in (1 << 20, 1))
     parent = {x: x for x in fps}
 
     def find(x):
@@ -210,11 +278,14 @@ def test_op4_links_lose_nothing(spark):
         for b in fps:
             if a < b and bin(a ^ b).count("1") <= 4:
                 parent[find(a)] = find(b)
-    classes, mine = {}, {}
+    classes, mine, split = {}, {}, {}
     for x, s in zip(fps, signed):
         classes.setdefault(find(x), set()).add(s)
         mine.setdefault(got.get(s, s), set()).add(s)
-    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
+        split.setdefault(hot.get(s, s), set()).add(s)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values())) == sorted(map(sorted, split.values()))
+    met, left, linked = simhash.pair_counts(simhash.met_pairs(table))
+    assert met > left >= linked > 0
 
 
 def test_op5_both_ways_agree(spark, docs, empty):
@@ -242,6 +313,19 @@ def test_op6_spellings_and_copyright(spark, docs, empty):
     assert by_id(licences.scan(docs, known))[71].licence == "MIT-notice" and licences.scan(empty, known).count() == 0
 
 
+def test_op6_standard_files_and_lines(spark):
+    known = licences.known_licences(spark)
+    behind = "\n".join("# " + x for x in ("The MIT License (MIT)\n\nCopyright 2001 A\nAll rights reserved.\n\n" + licences.KNOWN["MIT"]).split("\n"))
+    texts = {1: ("MIT License\n\nCopyright (c) 1999 A <a@b.c>\n\n" + licences.KNOWN["MIT"], "MIT"), 2: (behind, "MIT"), 3: ("BSD 3-Clause License\n\n© 2020, A\n\n" + licences.KNOWN["BSD-3-Clause"], "BSD-3-Clause"), 4: (licences.KNOWN["Zlib"].replace("acknowledgment", "acknowledgement"), "Zlib"), 5: (licences.KNOWN["ISC"] + " more", None), 6: ("reorganisation centrefold", None)}
+    if os.path.exists("/usr/share/common-licenses/GPL-3"):
+        texts |= {10 + k: (open(f"/usr/share/common-licenses/{f}", encoding="utf-8", errors="replace").read(), name) for k, (f, name) in enumerate((("GPL-3", "GPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")))}
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {i: r.licence for i, r in by_id(licences.scan(docs, known)).items()} == {i: x for i, (_, x) in texts.items()}
+    some = spark.createDataFrame([(1, "a\nLicensed under CC BY 4.0\n\nb"), (2, None), (3, "")], "doc_id long, text string")
+    got = licences.scan(licences.lines(some), known, ("doc_id", "line")).collect()
+    assert sorted((r.doc_id, r.line, r.licence) for r in got) == [(1, 0, None), (1, 1, "CC-BY-4.0-notice"), (1, 3, None)]
+
+
 def test_op7_scores(docs, data, empty):
     got = by_id(hmm.score(docs, block_bytes=2000, own_share=200))
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in data}
@@ -294,6 +378,27 @@ def test_op8_rows_law(docs, data, empty):
     assert sharding.shard(empty).count() == 0 and by_id(sharding.shard(docs, 7, 16)) == got
 
 
+def test_op8_bounded_loads_and_growth(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    plain = {}  # the ring without bounds: each key's first node clockwise
+    arcs = sharding.ring(spark, 9, 32)
+    points = [p for p, _ in arcs]
+    for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(sharding.POINTS)).alias("p")).collect():
+        plain[r.doc_id] = arcs[bisect_left(points, r.p) % len(arcs)][1]
+    loose = by_id(sharding.shard(docs, 9, 32, slack=10.0))
+    assert all(loose[i].shard == plain[i] and not loose[i].moved for i in loose)  # nothing is full
+    some = by_id(sharding.shard(docs, 9, 32, slack=0.1))
+    count, want = Counter(r.shard for r in some.values()), Counter(plain.values())
+    most = int(4000 / 9 * 1.1) + 2
+    assert max(want.values()) > most and max(count.values()) <= most and {r.law for r in some.values()} == {"bounded"}
+    assert all(r.moved == (r.shard != plain[i]) for i, r in some.items())
+    full = {s for s in count if count[s] >= most - 2}
+    assert all(plain[i] in full for i, r in some.items() if r.moved)  # only keys of a full shard go on clockwise
+    grown = by_id(sharding.shard(docs, 10, 32, slack=0.1))
+    changed = sum(grown[i].shard != some[i].shard for i in some)
+    assert changed < 0.35 * len(some)  # a new shard takes a tenth; overflow moves some more
+
+
 def features(t):
     w = words(t)
     c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -302,17 +407,57 @@ def features(t):
     return len(w), sum(map(len, w)), sum((t or "").count(x) for x in "#*$%&|<>"), len(lines) - len(set(lines)), len(seen)
 
 
-def test_op9_features_and_hosts(spark, docs, data, empty):
-    got = by_id(quality_rules.judge(docs, max_rate=2.0))
+def test_op9_features(spark, docs, data, empty):
+    got = by_id(quality_rules.judge(docs, min_rate=2.0))
     for i, t, *_ in data:
         f = features(t)
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == f
         assert r.base_failed == (f[0] < 50 or 100 * f[4] > 50 * f[0]) and r.kept == (not r.base_failed)
     assert quality_rules.judge(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
-    strict = by_id(quality_rules.judge(docs, max_rate=0.0))
-    assert not any(r.kept for r in strict.values())
-    assert quality_rules.keep_good(docs, max_rate=2.0).columns == docs.columns
+    left = quality_rules.keep_good(docs, min_rate=2.0)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_op9_hosts_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    good = " ".join(f"word{x}" for x in range(60))
+    bad = {"short": "too few words", "symbols": good + " #" * 20, "lines": good + "\nsame line" * 30}
+    hosts = {"clean1": (300, {}), "clean2": (200, {"short": 0.05}), "clean3": (120, {"short": 0.1}), "tiny": (2, {"short": 1.0}), "thin": (150, {"short": 0.9}), "noisy": (90, {"symbols": 0.8}), None: (80, {"lines": 0.7})}
+    rows = []
+    for host, (n, rates) in hosts.items():
+        for _ in range(n):
+            kind = next((r for r, p in rates.items() if rng.random() < p), None)
+            rows.append((len(rows), bad.get(kind, good), host))
+    fails = {h: Counter() for h in hosts}
+    for _, t, h in rows:
+        n, chars, symbols, dups, _ = features(t)
+        lines = len([x for x in t.split("\n") if words(x)])
+        for rule, f in (("short", n < 50), ("symbols", 10 * symbols > n), ("lines", 10 * dups > 3 * lines)):
+            fails[h][rule] += f
+    total, reject, rates = len(rows), Counter(), {}
+    for rule in bad:
+        mean = sum(fails[h][rule] for h in hosts) / total
+        size = {h: n for h, (n, _) in hosts.items()}
+        spread = sum(size[h] * (fails[h][rule] / size[h] - mean) ** 2 for h in hosts)
+        between = (spread - (len(hosts) - 1) * mean * (1 - mean)) / (total - sum(n * n for n in size.values()) / total)
+        strength = min(1e6, max(10.0, mean * (1 - mean) / between - 1))
+        rate = {h: (fails[h][rule] + strength * mean) / (size[h] + strength) for h in hosts}
+        middle = sorted(rate.values())[(len(rate) - 1) // 2]
+        for h in hosts:
+            rates[h, rule] = rate[h]
+            reject[h] += rate[h] - 1.645 * math.sqrt(rate[h] * (1 - rate[h]) / (size[h] + strength + 1)) > max(0.3, 2 * middle)
+    assert {h for h in hosts if reject[h]} == {"thin", "noisy", None}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = by_id(quality_rules.judge(docs))
+    for i, t, h in rows:
+        assert got[i].kept == (not got[i].base_failed and not reject[h]) and bool(got[i].host_rules) == bool(reject[h])
+        assert math.isclose(got[i].host_rate, max(rates[h, r] for r in bad), rel_tol=1e-9)
+    assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {i for i, r in got.items() if r.kept}
+    # the salted join of many hosts
+    table = docs.select("doc_id", "source").join(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "n")
+    salted = quality_rules.join_hosts(docs, docs.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("n")), "source", "doc_id", most=0)
+    assert sorted(map(tuple, salted.select("doc_id", "verdict.n").collect())) == sorted(map(tuple, table.collect()))
 
 
 def test_op10_equals_tiktoken(docs, data, empty):
