@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality rules, exact and near duplicates out, mixed to target weights, encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet in the shared folder
-and rereads it as the next one's docs. All but the last return the columns of documents.
+and rereads it as the next one's docs; a stage's own tables are deleted once it is written. All but the last return the
+columns of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm import bpe, exact_dedup, mixing, quality_rules, simhash
-from placeloom.llm.common import read_documents, save
+from placeloom.llm.common import read_documents, save, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept=True)
     return docs
