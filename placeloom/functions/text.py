@@ -20,8 +20,11 @@ def _plain_letters() -> tuple[str, str]:
 
 ACCENTED, PLAIN = _plain_letters()
 
-# Business forms before a name, and operators' words for a place's status.
-NAME_PREFIXES = ["cong ty", "tnhh", "co phan", "cp", "mtv", "dntn", "cua hang", "nha hang", "quan", "khach san", "hkd", "ho kinh doanh"]
+# Business forms before a name (folded; patterns), and operators' words for a place's status.
+NAME_PREFIXES = [
+    "cong ty", "cty", "tnhh", "cp", "jsc", r"co\.?,?\s*ltd", "llc", "cua hang", "quan", "tiem", "nha hang", "shop", "store", "sieu thi",
+    "hieu thuoc", "nha thuoc", "phong kham", "tram", "ben",
+]
 STATUS_WORDS = {
     "operational": "open", "open": "open", "open_for_business": "open", "dang hoat dong": "open", "mo cua": "open",
     "closed_temporarily": "temporarily_closed", "temporarily_closed": "temporarily_closed", "tam dong cua": "temporarily_closed",
@@ -31,6 +34,52 @@ STATUS_WORDS = {
 }
 
 
+# Letters that only Vietnamese words have, and phrases that are Vietnamese without them.
+TONE_LETTERS = "áàảãạăắằẳẵặâấầẩẫậđéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ"
+TONELESS = [
+    "hom nay", "hom qua", "hien tai", "truc tiep", "moi nhat", "gia vang", "gia heo", "gia xang", "gia gao", "gia bac", "gia bitcoin",
+    "gia ban", "ty gia", "ngoai te", "lai suat", "chi so", "co phieu", "xo so", "ket qua", "bong da", "lich thi dau", "thoi tiet",
+    "du bao thoi tiet", "ve so",
+]
+# Words of a query that tell its intent, in the order in which they are tried.
+INTENT_WORDS = {
+    "comparison": ["so sánh", "so với", "vs", "versus", "compare", "khác nhau"],
+    "current_fact": ["mới", "mới nhất", "hôm nay", "hiện tại", "ngày", "latest", "today", "now", "current", "news", "new"],
+    "definition": ["là gì", "định nghĩa", "what is", "define", "meaning"],
+    "howto": ["cách", "làm thế nào", "how to", "how do", "hướng dẫn"],
+    "opinion": ["ý kiến", "đánh giá", "tốt không", "opinion", "review"],
+}
+# Words (whole) and phrases (anywhere) that ask for the state of now, for a number, for a result.
+LIVE_WORDS = ["today", "now", "tonight", "live"]
+LIVE_PHRASES = ["hôm nay", "hom nay", "hôm qua", "hom qua", "hiện tại", "hien tai", "trực tiếp", "truc tiep", "mới nhất", "moi nhat"]
+NUMBER_WORDS = ["price", "prices", "rate", "rates", "usd", "vnd", "stock", "stocks", "nasdaq", "dow"]
+NUMBER_PHRASES = [
+    "giá vàng", "gia vang", "giá heo", "gia heo", "giá xăng", "gia xang", "giá gạo", "gia gao", "giá bạc", "gia bac", "giá bitcoin",
+    "gia bitcoin", "giá bán", "gia ban", "tỷ giá", "ty gia", "ngoại tệ", "ngoai te", "lãi suất", "lai suat", "chỉ số", "chi so",
+    "cổ phiếu", "co phieu", "how much",
+]
+RESULT_WORDS = ["result", "results", "score", "scores", "match", "fixture", "fixtures", "schedule", "weather", "forecast", "epl", "kqxs"]
+RESULT_PHRASES = [
+    "xổ số", "xo so", "kết quả", "ket qua", "bóng đá", "bong da", "lịch thi đấu", "lich thi dau", "thời tiết", "thoi tiet",
+    "dự báo thời tiết", "du bao thoi tiet", "vé số", "ve so", "premier league", "world cup", "champions league",
+]
+# Phrases (folded) that tell how long an answer lasts, in the order in which they are tried.
+LIFETIME_PHRASES = {
+    "hours": ["dang mo", "gan day", "gan toi", "gio mo cua", "local", "mo cua", "near me", "open now", "quanh day"],
+    "minutes": [
+        "bay gio", "breaking", "current", "gio", "hien tai", "hom nay", "latest", "moi nhat", "news", "now", "tin moi", "tin tuc",
+        "today", "tonight", "vua ra mat",
+    ],
+    "static": ["api reference", "cach su dung", "cach dung", "cu phap", "documentation", "how to", "huong dan", "syntax", "tutorial"],
+}
+# Orders to a reader that untrusted text may hold.
+INJECTIONS = [
+    r"ignore\s+(all\s+)?previous\s+instructions?", r"disregard\s+(all\s+)?previous\s+instructions?", r"you\s+are\s+now\s+a?\s+",
+    r"new\s+instructions?:", r"system\s+prompt:", r"override\s+(all\s+)?previous\s+instructions?", r"forget\s+(all\s+)?previous\s+instructions?",
+    r"bypass\s+(all\s+)?previous\s+instructions?", r"tuân\s+theo\s+(tất\s+cả\s+)?chỉ\s+thị\s+trước", r"bỏ\s+qua\s+(tất\s+cả\s+)?chỉ\s+thị\s+trước",
+]
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once for a row; a column used inside a lambda would be evaluated for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -63,8 +112,12 @@ def ngrams(words: Column, n: int) -> Column:
 
 def norm_name(text: Column) -> Column:
     """A name to compare by: folded, without leading business forms (repeatedly) and punctuation."""
-    forms = "|".join(sorted(NAME_PREFIXES, key=len, reverse=True))
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(text), rf"^(?:(?:{forms})\s+)+", ""), r"[^\p{L}\p{N}_]+", " "))
+    return norm_address(F.regexp_replace(fold(text), rf"^(?:(?:{'|'.join(NAME_PREFIXES)})\b[\s.,:\-]*)+", ""))
+
+
+def norm_address(text: Column) -> Column:
+    """An address to compare by: folded, punctuation to blanks, blanks collapsed. Null: empty."""
+    return normalize(F.coalesce(text, F.lit("")))
 
 
 def name_signature(name: Column) -> Column:
@@ -91,38 +144,61 @@ def slug(text: Column) -> Column:
 
 
 def redact(text: Column, most: int = 500) -> Column:
-    """E-mail addresses, phone numbers and long ids are masked, in that order; then the text is cut."""
-    t = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
-    t = F.regexp_replace(t, r"(?:\+84|\b0)[0-9][0-9 .-]{7,11}[0-9]\b", "[phone]")
-    return F.substring(F.regexp_replace(t, r"\b[0-9]{9,}\b", "[id]"), 1, most)
+    """E-mail addresses, phone numbers and ids of six digits or more are masked, in that order; then the text is cut."""
+    t = F.regexp_replace(text, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+", "[email]")
+    t = F.regexp_replace(t, r"(?<![0-9])(?:\+?84|0)[0-9]{8,10}(?![0-9])", "[sdt]")
+    return F.substring(F.regexp_replace(t, r"(?<![A-Za-z0-9_])[0-9]{6,}(?![A-Za-z0-9_])", "[id]"), 1, most)
+
+
+def _has_word(text: Column, words: list[str]) -> Column:
+    return text.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])")
+
+
+def _has(text: Column, words: list[str], phrases: list[str]) -> Column:
+    return _has_word(text, words) | text.rlike("|".join(phrases))
 
 
 def query_language(text: Column) -> Column:
-    """vi if a Vietnamese letter is in the text, else en."""
-    return F.when(F.lower(text).rlike("[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]"), "vi").otherwise("en")
+    """vi if the text has a Vietnamese letter or one of the phrases that are Vietnamese without, else en."""
+    low = F.lower(text)
+    return F.when(low.rlike(f"[{TONE_LETTERS}]") | low.rlike("|".join(TONELESS)), "vi").otherwise("en")
 
 
 def intent(text: Column) -> Column:
-    """comparison, howto, definition, opinion, current_fact or lookup: the first pattern that matches."""
-    t = fold(text)
-    return F.when(t.rlike(r"\b(vs|versus|compare|so sanh|difference between)\b"), "comparison").when(t.rlike(r"\b(how to|how do|cach|huong dan)\b"), "howto").when(t.rlike(r"\b(what is|define|la gi|meaning of)\b"), "definition").when(t.rlike(r"\b(best|review|should i|nen|tot nhat)\b"), "opinion").when(t.rlike(r"\b(today|now|latest|current|hom nay|moi nhat|gia)\b"), "current_fact").otherwise("lookup")
+    """comparison, current_fact, definition, howto or opinion: the first whose words the text has; current_fact if it has none."""
+    low = F.lower(text)
+    out = F.lit("current_fact")
+    for name, words in reversed(INTENT_WORDS.items()):
+        out = F.when(_has_word(low, words), name).otherwise(out)
+    return out
 
 
-def freshness_class(text: Column) -> Column:
-    """How long an answer lasts: minutes, hours, days or static."""
-    t = fold(text)
-    return F.when(t.rlike(r"\b(price|stock|score|live|gia vang|ty gia)\b"), "minutes").when(t.rlike(r"\b(news|today|weather|hom nay|thoi tiet)\b"), "hours").when(t.rlike(r"\b(history|definition|la gi|what is|law|luat)\b"), "static").otherwise("days")
+def time_range(text: Column) -> Column:
+    """day if the text asks for now, week if for a number or a result, else null. "rate" in "rate limit" is no number."""
+    low = F.trim(F.lower(text))
+    rates = _has_word(low, ["rate", "rates"]) & ~low.contains("rate limit")
+    number = low.rlike("|".join(NUMBER_PHRASES)) | _has_word(low, [w for w in NUMBER_WORDS if w not in ("rate", "rates")]) | rates
+    return F.when(_has(low, LIVE_WORDS, LIVE_PHRASES), "day").when(number | _has(low, RESULT_WORDS, RESULT_PHRASES), "week")
 
 
-def sanitize(text: Column) -> Column:
-    """Comments, scripts, styles and hidden elements go from untrusted text."""
-    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script.*?</script>", r"(?is)<style.*?</style>"):
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+def freshness_class(text: Column) -> Column:
+    """How long an answer lasts: hours, minutes, static, else days. Phrases count as whole words of the folded text."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " ")), F.lit(" "))
+    out = F.lit("days")
+    for name, phrases in reversed(LIFETIME_PHRASES.items()):
+        out = F.when(words.rlike(f" (?:{'|'.join(phrases)}) "), name).otherwise(out)
+    return out
 
 
 def is_injection(text: Column) -> Column:
-    return F.lower(text).rlike(r"ignore (all )?previous instructions|you are now|system prompt")
+    return text.rlike("(?iu)" + "|".join(INJECTIONS))
+
+
+def sanitize(text: Column) -> Column:
+    """Untrusted text without comments, scripts, styles and hiding styles, trimmed; one with an order to its reader is cut to a mark and 100 letters."""
+    for pattern in (r"(?s)<!--.*?-->", r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r'(?i)display\s*:\s*none[^"]*"', r'(?i)font-size\s*:\s*0[^"]*"'):
+        text = F.regexp_replace(text, pattern, "")
+    return F.trim(F.when(is_injection(text), F.concat(F.lit("[INJECTION DETECTED — CONTENT REMOVED]\n"), F.substring(text, 1, 100), F.lit("..."))).otherwise(text))
 
 
 def edit_allowance(term: Column) -> Column:
@@ -144,3 +220,11 @@ def claims(text: Column, most: int = 8) -> Column:
 def legal_article(text: Column) -> Column:
     """Number of the first article that a legal text names."""
     return F.regexp_extract(text, r"(?:Điều|Article)\s+([0-9]+)", 1)
+
+
+def legal_clause(text: Column) -> Column:
+    """Article and clause ("Điều 5, Khoản 2") that a legal text names first; without a clause the article only, null without an article."""
+    article = legal_article(text)
+    clause = F.regexp_extract(text, r"(?:Khoản|Clause)\s+([0-9]+)", 1)
+    named = F.when(clause != "", F.concat(F.lit("Điều "), article, F.lit(", Khoản "), clause)).otherwise(F.concat(F.lit("Điều "), article))
+    return F.when(article != "", named)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, web
 from ..plans.graph import components
 from .ranking import rrf, with_rank
-from .search import small, sparse_search
+from .search import fuzzy, in_blocks, small, sparse_search
 
 CONTAINED, SHINGLE = 0.25, 3
 NAME_DOMAIN, NAME_NEAR, NAME_ADDRESS, ADDRESS, NEAR_M = 0.60, 0.88, 0.90, 0.85, 100.0
@@ -78,13 +78,21 @@ def same_entities(c: DataFrame) -> DataFrame:
     """c(query_id, candidate, name, address, phone, domain, lat, lon) with entity, the smallest candidate of a query that is the same.
 
     Same: one phone; one domain and names alike by 0.60; names by 0.88 within 100 m; names by 0.90 and addresses by
-    0.85. Candidates of a query meet by phone, domain, nearby cells, and equal first or last three letters of names.
+    0.85. Candidates of a query meet by phone, domain, nearby cells, and names within the edits that 0.90 allows (a ninth
+    of a name's letters, met by fuzzy's pieces), so none is missed.
     """
     cells = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.transform(geo.around(F.col("lat"), F.col("lon"), 0.002), lambda x: F.concat(F.lit("c"), x.cast("string"))))
-    keys = F.filter(F.flatten(F.array(F.array(F.concat(F.lit("p"), "phone"), F.concat(F.lit("d"), "domain"), F.concat(F.lit("a"), F.substring("name", 1, 3)), F.concat(F.lit("z"), F.right("name", F.lit(3)))), F.coalesce(cells, F.array().cast("array<string>")))), lambda k: k.isNotNull())
+    keys = F.filter(F.flatten(F.array(F.array(F.concat(F.lit("p"), "phone"), F.concat(F.lit("d"), "domain")), F.coalesce(cells, F.array().cast("array<string>")))), lambda k: k.isNotNull())
     cols = ["candidate", "name", "address", "phone", "domain", "lat", "lon"]
     e = c.select("query_id", F.explode(F.array_distinct(keys)).alias("key"), F.struct(*cols).alias("x"))
-    pairs = e.join(e.withColumnRenamed("x", "y"), ["query_id", "key"]).filter("x.candidate < y.candidate").select("query_id", "x", "y").distinct()
+    pairs = e.join(e.withColumnRenamed("x", "y"), ["query_id", "key"]).filter("x.candidate < y.candidate").select("query_id", "x", "y")
+    names = c.filter("name <> ''").select("name").distinct()
+    most = (names.agg(F.max(F.length("name"))).first()[0] or 0) // 9
+    alike = fuzzy(names.withColumnRenamed("name", "term"), names.select(F.lit(0).alias("query_id"), F.col("name").alias("word")), lambda w: F.floor(F.length(w) / 9).cast("int"), most).select("word", "term")
+    x = c.select("query_id", F.struct(*cols).alias("x"), F.col("name").alias("word")).join(alike, "word")
+    named = x.join(c.select("query_id", F.struct(*cols).alias("y"), F.col("name").alias("term")), ["query_id", "term"]).filter("x.candidate <> y.candidate")
+    first = F.col("x.candidate") < F.col("y.candidate")
+    pairs = pairs.union(named.select("query_id", F.when(first, F.col("x")).otherwise(F.col("y")), F.when(first, F.col("y")).otherwise(F.col("x")))).distinct()
     get = lambda k: (F.col(f"x.{k}"), F.col(f"y.{k}"))
     name = ratio(*get("name"))
     near = geo.haversine_m(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon")) <= NEAR_M
@@ -107,18 +115,16 @@ def hybrid(sparse_docs: DataFrame, sparse_queries: DataFrame, dense: DataFrame,
     return with_rank(rrf(both, "query_id", "doc", weights), ["query_id"], "rrf", "doc").filter(F.col("rank") <= top)
 
 
-def cached_hits(queries: DataFrame, cached: DataFrame, least: float = 0.94, blocks: int = 1) -> DataFrame:
+def cached_hits(queries: DataFrame, cached: DataFrame, least: float = 0.94) -> DataFrame:
     """query_id, hit, score: the earliest cached query of the same scope with a cosine of `least` or more, older than the query.
 
-    queries: query_id, scope, at, q; cached: hit, scope, stored_at, v. Stated queries go to every task, in blocks if there are many.
+    queries: query_id, scope, at, q; cached: hit, scope, stored_at, v. Stated queries go to every task, in blocks.
     """
-    out = None
-    for b in range(blocks):
-        some = F.broadcast(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-        near = cached.join(some, "scope").filter(F.col("stored_at") < F.col("at")).withColumn("score", geo.cosine(F.col("v"), F.col("q"))).filter(F.col("score") >= least)
-        best = near.groupBy("query_id").agg(F.min(F.struct("stored_at", "hit", "score")).alias("b")).select("query_id", "b.hit", "b.score")
-        out = best if out is None else out.union(best)
-    return out
+    def block(some):
+        near = cached.join(F.broadcast(some), "scope").filter(F.col("stored_at") < F.col("at")).withColumn("score", geo.cosine(F.col("v"), F.col("q"))).filter(F.col("score") >= least)
+        return near.groupBy("query_id").agg(F.min(F.struct("stored_at", "hit", "score")).alias("b")).select("query_id", "b.hit", "b.score")
+
+    return in_blocks(queries, "query_id", block)
 
 
 def place_text_search(places: DataFrame, queries: DataFrame, top: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..plans.graph import written
+from .search import small
 
 
 def windows(body: Column, size: int = 800, overlap: int = 200) -> Column:
@@ -20,18 +22,31 @@ def chunks(docs: DataFrame, key: str, body: str, size: int = 800, overlap: int =
     return c.select(key, "c.*").withColumn("chunk_id", F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("begin").cast("string")), 256))
 
 
+def shingle_hashes(words: Column, n: int) -> Column:
+    """The sorted 64-bit hashes of the different runs of n words; none of fewer words."""
+    def made(w):
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<long>"))
+
+    return text.let(words, made)
+
+
 def shingle_pairs(docs: DataFrame, key: str, words: str, n: int = 5, least: float = 0.8) -> DataFrame:
-    """a < b, jaccard of the sets of n-word shingles, for different texts at `least` or more.
+    """a < b, jaccard of the sets of n-word shingles (as 64-bit hashes), for different texts at `least` or more.
 
     Prefix filter: two sets of Jaccard t share one of each set's rarest size - ceil(t * size) + 1 shingles, so only
-    those are join keys; equal sets count once (their smallest key), so copies give no pairs.
+    those are join keys; equal sets count once (their smallest key), so copies give no pairs. Sets are written once.
     """
-    d = docs.select(F.col(key).alias("a"), F.array_sort(F.array_distinct(text.ngrams(F.col(words), n))).alias("s")).filter(F.size("s") > 0)
-    d = d.groupBy("s").agg(F.min("a").alias("a"))
-    freq = d.select(F.explode("s").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    g = d.select("a", F.size("s").alias("n"), F.explode("s").alias("g")).join(freq, "g")
+    d = docs.select(F.col(key).alias("a"), shingle_hashes(F.col(words), n).alias("s")).filter(F.size("s") > 0)
+    d = d.groupBy(F.xxhash64("s").alias("h"), F.hash("s").alias("h2"), F.size("s").alias("n")).agg(F.min("a").alias("a"), F.first("s").alias("s"))
+    d = written(d.select("a", "n", "s"), "shingle-sets")
+    g = d.select("a", "n", F.explode("s").alias("g"))
+    # a shingle of one set only makes no pair, but it is rarer than all others
+    freq = written(g.groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "shingle-counts")
+    g = g.join(freq, "g").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("a")))
     order = F.row_number().over(Window.partitionBy("a").orderBy("f", "g"))
-    prefix = g.withColumn("i", order).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).filter("f > 1").select("a", "n", "g")
+    alone = F.col("n") - F.col("shared")
+    prefix = written(g.withColumn("i", order + alone).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("a", "n", "g"), "shingle-prefixes")
     other = prefix.toDF("b", "m", "g")
     cand = prefix.join(other, "g").filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b").distinct()
     sets = d.select("a", "s")
@@ -46,12 +61,20 @@ def claim_table(docs: DataFrame, key: str, body: str, most: int = 8) -> DataFram
 def claim_support(claims: DataFrame, sources: DataFrame, least: float = 0.5) -> DataFrame:
     """claim_id, source_id, overlap: share of the claim's words in the source, at `least` or more.
 
-    claims: claim_id, words; sources: source_id, words; met by words, so only sources that share one are looked at.
+    claims: claim_id, words; sources: source_id, words. A source with k of a claim's n words has one of the n - k + 1
+    words that are in fewest sources, so claims and sources meet by these; the overlap is then counted in full.
     """
-    c = claims.select("claim_id", F.array_distinct("words").alias("w")).withColumn("n", F.size("w")).select("claim_id", "n", F.explode("w").alias("word"))
-    s = sources.select("source_id", F.explode(F.array_distinct("words")).alias("word"))
-    hit = c.join(s, "word").groupBy("claim_id", "n", "source_id").agg(F.count(F.lit(1)).alias("k"))
-    return hit.withColumn("overlap", F.col("k") / F.col("n")).filter(F.col("overlap") >= least).select("claim_id", "source_id", "overlap")
+    s = written(sources.select("source_id", F.array_distinct("words").alias("words")), "source-words")
+    c = claims.select("claim_id", F.array_distinct("words").alias("w")).filter(F.size("w") > 0).withColumn("n", F.size("w"))
+    each = c.select("claim_id", "n", F.explode("w").alias("word"))
+    posting = s.select("source_id", F.explode("words").alias("word")).join(small(each.select("word").distinct()), "word", "left_semi")
+    posting = written(posting, "source-postings")
+    count = posting.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    rare = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.coalesce("f", F.lit(0)), "word"))
+    keys = each.join(small(count), "word", "left").withColumn("i", rare).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    met = posting.join(small(keys.select("claim_id", "word")), "word").select("claim_id", "source_id").distinct()
+    hit = met.join(small(c), "claim_id").join(s, "source_id").withColumn("overlap", F.size(F.array_intersect("w", "words")) / F.col("n"))
+    return hit.filter(F.col("overlap") >= least).select("claim_id", "source_id", "overlap")
 
 
 def verdicts(claims: DataFrame, support: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -77,3 +100,21 @@ def best_passage(claims: DataFrame, passages: DataFrame) -> DataFrame:
     p = passages.select("doc", "n", F.explode(F.array_distinct("words")).alias("word"))
     hits = c.join(p, "word").groupBy("claim_id", "doc", "n").agg(F.sum(F.when(F.col("word").rlike("^[0-9]+$"), 3).otherwise(1)).alias("hits"))
     return hits.groupBy("claim_id", "doc").agg(F.max_by("n", F.struct("hits", -F.col("n"))).alias("n"), F.max("hits").alias("hits"))
+
+
+def per_query(items: DataFrame, query: str, known_domains: int) -> DataFrame:
+    """query, items (different urls), domains, providers, coverage (domains of those known) of items(url, domain, provider)."""
+    domains = F.count_distinct("domain")
+    return items.groupBy(query).agg(F.count_distinct("url").alias("items"), domains.alias("domains"), F.array_sort(F.collect_set("provider")).alias("providers"), (domains / known_domains).alias("coverage"))
+
+
+def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The different keys of left that right does not have; a null key is one like others."""
+    r = right.select(F.col(key).alias("__key")).distinct()
+    return left.select(key).distinct().join(r, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+
+
+def stale_passages(stored: DataFrame, fresh: DataFrame, doc: str) -> DataFrame:
+    """Stored passages of the documents that were cut into passages again (those in fresh) which are not among the new ones, by chunk_id."""
+    again = stored.join(fresh.select(doc).distinct(), doc, "left_semi")
+    return again.join(fresh.select(doc, "chunk_id"), [doc, "chunk_id"], "left_anti")

@@ -94,12 +94,13 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, most: int = 8) -> Da
     return out.filter("variant <> ''")
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, most_words: int = 5) -> DataFrame:
+def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """text_id, entity, alias, first, last: aliases found as whole words, of overlapping ones the longest.
 
     texts: text_id, words; aliases: alias (normal, words joined by a blank), entity. A mention stays if no longer one
     (or an equally long one that begins earlier) overlaps it; of an entity the first mention is returned.
     """
+    most_words = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1  # runs are as long as the longest alias
     grams = lambda k: F.transform(text.ngrams(F.col("words"), k), lambda g, i: F.struct(g.alias("alias"), i.alias("first"), (i + F.lit(k - 1)).alias("last")))
     spans = texts.select("text_id", F.explode(F.concat(*[grams(k) for k in range(1, most_words + 1)])).alias("g")).select("text_id", "g.*")
     found = spans.join(small(aliases), "alias").withColumn("n", F.col("last") - F.col("first"))
@@ -161,16 +162,16 @@ def fuzzy_mentions(queries: DataFrame, terms: DataFrame, most_words: int = 3) ->
 def known_place(candidates: DataFrame, places: DataFrame, edits: int = 2) -> DataFrame:
     """candidate_id, place_id, edits: the nearest place of the candidate's province within `edits`, ties to the smallest id.
 
-    candidates: candidate_id, province, name; places: place_id, province, name (normal). Names meet by their first or
-    last two words, as a place of more words also holds.
+    candidates: candidate_id, province, name; places: place_id, province, name (normal). A place's name must hold the
+    first or the last two words of the candidate's. The different names meet by pieces of which an edited name keeps
+    one (fuzzy), so none within the edits is missed.
     """
-    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
-    runs = lambda c: F.array_distinct(F.concat(text.ngrams(words(c), 2), words(c)))
-    ends = text.let(words(F.col("name")), lambda w: F.array(F.array_join(F.slice(w, 1, 2), " "), F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), 2), " ")))
-    c = candidates.select("candidate_id", "province", F.col("name").alias("cn"), F.explode(F.array_distinct(ends)).alias("key"))
-    p = places.select("place_id", "province", F.col("name").alias("pn"), F.explode(runs(F.col("name"))).alias("key"))
-    near = c.join(p, ["province", "key"]).filter(F.abs(F.length("cn") - F.length("pn")) <= edits).withColumn("edits", F.levenshtein("cn", "pn", edits))
-    near = near.filter(F.col("edits").between(0, edits))
+    c, p = candidates.select("candidate_id", "province", F.col("name").alias("word")), places.select("place_id", "province", F.col("name").alias("term"))
+    alike = fuzzy(p.select("term").distinct(), c.select(F.lit(0).alias("query_id"), "word").distinct(), lambda _: F.lit(edits), edits).drop("query_id")
+    words = F.filter(F.split("word", " "), lambda x: x != "")
+    head, tail = F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 1), 2), " ")
+    alike = alike.filter((F.size(words) > 0) & (F.contains("term", head) | F.contains("term", tail)))
+    near = c.join(alike, "word").join(p, ["province", "term"])
     return near.groupBy("candidate_id").agg(F.min(F.struct("edits", "place_id")).alias("b")).select("candidate_id", "b.place_id", "b.edits")
 
 

@@ -6,24 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, web
-from ..plans.graph import components
+from ..plans.graph import components, written
+from .search import small
 
 MERGE_THRESHOLD = 0.62
 CELL_DEGREES = 0.005
-#: A block key of more records than this is cut up by a second key (a longer one of the same record), so no key gives all pairs of a hot block.
-HOT_BLOCK = 200
+#: Side of the cells in which located records meet: above 200 m, beyond which no pair is accepted, up to 60 degrees north.
+NEAR_DEGREES = 0.004
 # Authority of a field where a provider's policy names none; box of valid coordinates.
 FIELD_AUTHORITY = {"name": 0.5, "address": 0.5, "phone": 0.5, "website": 0.5, "category": 0.5, "hours": 0.4, "status": 0.4, "location": 0.5}
-BOX = (7.0, 24.0, 102.0, 118.0)
+BOX = (6.0, 24.0, 100.0, 119.5)
+# How a reviewer may have verified an observation, and what a review may say.
+VERIFICATION_METHODS = ["official_website", "official_registry", "merchant_confirmation", "phone_confirmation", "physical_check"]
+REVIEW_STATUSES = ["verified", "rejected"]
 
 
-def reject_reasons(name: Column, external_id: Column, observed_at: Column, lat: Column, lon: Column, phone: Column, website: Column) -> Column:
-    """The reasons for which an observation is not staged; none if it is."""
+def reject_reasons(name: Column, external_id: Column, observed_at: Column, lat: Column, lon: Column, phone: Column, website: Column, parse_error: Column | None = None, review_status: Column | None = None, reviewed_at: Column | None = None, method: Column | None = None, source_url: Column | None = None) -> Column:
+    """The reasons for which an observation is not staged; none if it is. A row that could not be parsed has that reason only."""
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    none = F.lit(None).cast("string")
+    parse_error, review_status, reviewed_at, method, source_url = (none if c is None else c for c in (parse_error, review_status, reviewed_at, method, source_url))
     some = lat.isNotNull() | lon.isNotNull()
     both = lat.isNotNull() & lon.isNotNull()
     bad_lat, bad_lon = ~lat.between(-90, 90), ~lon.between(-180, 180)
     outside = ~(lat.between(BOX[0], BOX[1]) & lon.between(BOX[2], BOX[3]))
+    evidence = ~blank(source_url) & reviewed_at.isNotNull() & ~blank(method)
     rules = [
         (blank(name), "missing_name"),
         (blank(name) & blank(external_id), "missing_identity"),
@@ -31,11 +38,15 @@ def reject_reasons(name: Column, external_id: Column, observed_at: Column, lat:
         (some & ~both, "partial_coordinates"),
         (both & bad_lat, "invalid_latitude"),
         (both & ~bad_lat & bad_lon, "invalid_longitude"),
-        (both & ~bad_lat & ~bad_lon & outside, "coords_outside_box"),
+        (both & ~bad_lat & ~bad_lon & outside, "coords_outside_vietnam"),
         (~blank(phone) & text.normalize_phone(phone).isNull(), "implausible_phone"),
         (~blank(website) & (web.host(website) == ""), "malformed_website"),
+        (~blank(method) & ~method.isin(VERIFICATION_METHODS), "unknown_verification_method"),
+        (review_status.isNotNull() & ~review_status.isin(REVIEW_STATUSES), "invalid_review_status"),
+        ((review_status == "verified") & ~evidence, "incomplete_review_evidence"),
     ]
-    return F.filter(F.array(*[F.when(rule, reason) for rule, reason in rules]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(rule, reason) for rule, reason in rules]), lambda x: x.isNotNull())
+    return F.when(parse_error.isNotNull(), F.array(F.lit("parse_error"))).otherwise(found)
 
 
 def identity_hash(*fields: Column) -> Column:
@@ -60,10 +71,10 @@ def upsert(state: DataFrame, batch: DataFrame, key: list[str], seq: str) -> Data
 
 
 def block_keys(records: DataFrame) -> DataFrame:
-    """record_id, block: the keys under which records meet. Records have norm_name, phone, domain, admin_unit, lat, lon.
+    """record_id, block: the keys under which records may be one place. Records have norm_name, phone, domain, admin_unit, lat, lon.
 
-    Keys: phone, domain, unit with a word of 3 letters or more, cell with the first word. A hot key is refined by the
-    whole normal name, so a generic block gives no square of pairs.
+    Keys: phone, domain, unit with a word of 3 letters or more, the cells around. Nothing is cut off for large blocks;
+    candidate_pairs finds the pairs of blocks that can be accepted without making all of them.
     """
     words = F.filter(F.split("norm_name", " "), lambda w: F.length(w) >= 3)
     cells = F.transform(geo.around(F.col("lat"), F.col("lon"), CELL_DEGREES), lambda c: F.concat(F.lit("cell:"), c.cast("string")))
@@ -71,19 +82,52 @@ def block_keys(records: DataFrame) -> DataFrame:
         F.when(F.col("phone").isNotNull(), F.array(F.concat(F.lit("phone:"), "phone"))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("domain").isNotNull(), F.array(F.concat(F.lit("domain:"), "domain"))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("admin_unit").isNotNull(), F.transform(words, lambda w: F.concat(F.lit("word:"), F.col("admin_unit").cast("string"), F.lit(":"), w))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("lat").isNotNull(), cells).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), cells).otherwise(F.array().cast("array<string>")),
     )
-    rows = records.select("record_id", "norm_name", F.explode(F.array_distinct(keys)).alias("block"))
-    hot = rows.groupBy("block").count().filter(F.col("count") > HOT_BLOCK).select("block", F.lit(True).alias("hot"))
-    rows = rows.join(hot, "block", "left")
-    return rows.select("record_id", F.when(F.col("hot"), F.concat_ws("|", "block", "norm_name")).otherwise(F.col("block")).alias("block"))
+    return records.select("record_id", F.explode(F.array_distinct(keys)).alias("block"))
 
 
-def candidate_pairs(records: DataFrame) -> DataFrame:
-    """a < b: different pairs of records that share a block."""
-    k = block_keys(records)
-    left, right = k.toDF("a", "block"), k.toDF("b", "block")
-    return left.join(right, "block").filter("a < b").select("a", "b").distinct()
+def candidate_pairs(records: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
+    """a < b: pairs of records that share a block and connect just those records which all accepted pairs of blocks connect.
+
+    No pair over 200 m apart is accepted, so records with coordinates meet within cells only. Records of one phone of
+    which one has no coordinates are always accepted, as are those at one place, so these meet their smallest record
+    only. Pairs of different phones score 0.445 at most beside their names, so these must share a part of the smaller
+    one's words; they meet by one of its rarest words (as many as must hold a shared one): with coordinates in a cell,
+    else in a unit or domain. So neither a hot phone nor a hot word makes all pairs of its block, and none that can be
+    accepted is left out.
+    """
+    if threshold <= 0.5:
+        raise ValueError("at a threshold of 0.5 or less records over 200 m apart could be accepted")
+    shared = (threshold - 0.445) / 0.45 - 1e-9
+    here = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    words = F.array_distinct(F.filter(F.split(F.coalesce("norm_name", F.lit("")), " "), lambda w: w != ""))
+    r = records.select("record_id", "phone", "domain", "admin_unit", "lat", "lon", here.alias("here"), words.alias("words"))
+    home, around = geo.cell(F.col("lat"), F.col("lon"), NEAR_DEGREES), F.explode(geo.around(F.col("lat"), F.col("lon"), NEAR_DEGREES))
+
+    # one phone
+    called = r.filter("phone IS NOT NULL")
+    hub = called.filter("NOT here").groupBy("phone").agg(F.min("record_id").alias("a"))
+    star = called.select("phone", F.col("record_id").alias("b")).join(hub, "phone").select("a", "b")
+    spots = called.filter("here").groupBy("phone", "lat", "lon").agg(F.min("record_id").alias("a"))
+    same_spot = called.filter("here").select("phone", "lat", "lon", F.col("record_id").alias("b")).join(spots, ["phone", "lat", "lon"]).select("a", "b")
+    near_spots = spots.select("phone", "a", home.alias("cell")).join(spots.select("phone", F.col("a").alias("b"), around.alias("cell")), ["phone", "cell"]).select("a", "b")
+
+    # names that share a word
+    each = r.select("record_id", "domain", "admin_unit", "lat", "lon", "here", F.size("words").alias("k"), F.explode("words").alias("word"))
+    each = written(each, "name-words")
+    count = small(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    rare = F.row_number().over(Window.partitionBy("record_id").orderBy("n", "word"))
+    probes = each.join(count, "word").withColumn("rare", rare).filter(F.col("rare") <= F.col("k") - F.ceil(shared * F.col("k")) + 1)
+    probes = written(probes.drop("n", "rare", "k"), "rare-words")
+    located = probes.filter("here").select("word", home.alias("cell"), F.col("record_id").alias("a")).join(each.filter("here").select("word", around.alias("cell"), F.col("record_id").alias("b")), ["word", "cell"]).select("a", "b")
+    keys = F.explode(F.filter(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("u:"), F.col("admin_unit").cast("string"))), lambda x: x.isNotNull())).alias("key")
+    left = probes.select("word", keys, F.col("record_id").alias("a"), F.col("here").alias("ha"))
+    right = each.select("word", keys, F.col("record_id").alias("b"), F.col("here").alias("hb"))
+    placeless = left.join(right, ["key", "word"]).filter("NOT (ha AND hb)").select("a", "b")
+
+    both = star.union(same_spot).union(near_spots).union(located).union(placeless).filter("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def pair_score(a: str, b: str) -> tuple[Column, Column]:
@@ -109,11 +153,99 @@ def scored_pairs(records: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", score.alias("score"), rule.alias("rule"))
 
 
+def accepted_links(records: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
+    """a, b, score, rule of the candidate pairs that are one place. threshold is above 0.5, the most that a pair over 200 m apart can score."""
+    return scored_pairs(records, candidate_pairs(records, threshold)).filter((F.col("score") >= threshold) | F.col("rule").isNotNull())
+
+
 def resolve(records: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
-    """record_id, place_id: components of the accepted pairs; a place is named after its smallest record."""
-    links = scored_pairs(records, candidate_pairs(records)).filter((F.col("score") >= threshold) | F.col("rule").isNotNull())
+    """record_id, place_id: components of the accepted pairs; a place is named after its smallest record.
+
+    Records equal in all that is compared meet as one, if such a pair is accepted.
+    """
+    compared = ["norm_name", "phone", "domain", "category", "admin_unit", "lat", "lon"]
+    as_one = records.select(*compared, "record_id").groupBy(*compared).agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    own, rule = pair_score("s", "s")
+    as_one = as_one.withColumn("s", F.struct(*compared)).withColumn("meet", (F.col("n") > 1) & ((own >= threshold) | rule.isNotNull()))
+    as_one = written(as_one.filter("meet").drop("s", "meet", "n"), "equal-records")
+    equal = F.lit(True)
+    for c in compared:
+        equal &= F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    first = written(records.alias("x").join(as_one.alias("y"), equal, "left").select("x.*", F.coalesce("y.first", "x.record_id").alias("__first")), "first-records")
+    links = accepted_links(first.filter("record_id = __first").drop("__first"), threshold)
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return records.select("record_id").join(roots, F.col("record_id") == F.col("node"), "left").select("record_id", F.coalesce("root", "record_id").alias("place_id"))
+    return first.join(roots, F.col("__first") == F.col("node"), "left").select("record_id", F.coalesce("root", "__first").alias("place_id"))
+
+
+def resolve_places(records: DataFrame, values: DataFrame, authority: DataFrame, contributions: DataFrame, threshold: float = MERGE_THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, places, provenance): the whole way from records to canonical places.
+
+    links: record_id, place_id (resolve). provenance: the weighted votes on the records' values (values: record_id,
+    provider, field, value, signature, days; vote_fields). places: a row for each place with its fields map, confidence
+    and source_count, level and keys (verification of contributions, which have record_id), business_id (groups of
+    one name, business_groups) and suspicious (merge_audit's reason).
+    """
+    links = written(resolve(records, threshold), "place-links")
+    provenance = written(vote_fields(values.join(links, "record_id"), authority), "provenance")
+    fields = provenance.filter("chosen").groupBy("place_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    confidence = place_confidence(provenance).drop("fields")
+    level = verification(contributions.join(links, "record_id"))
+    placed = records.join(links, "record_id")
+    audit = merge_audit(placed.select("place_id", "lat", "lon")).select("place_id", F.col("reason").alias("suspicious"))
+    business = business_groups(placed).groupBy("place_id").agg(F.min("business_id").alias("business_id"))
+    out = links.select("place_id").distinct()
+    for part in (fields, confidence, level, business, audit):
+        out = out.join(part, "place_id", "left")
+    return links, out, provenance
+
+
+def business_groups(records: DataFrame) -> DataFrame:
+    """records with business_id: records of one normal name go together if they share category, phone, domain or unit with one of the group.
+
+    Records meet the smallest one under each name and value, so a hot name makes no pairs of all its records. A
+    record without a name is its own business.
+    """
+    links = None
+    for c in ("category", "phone", "domain", "admin_unit"):
+        have = records.filter(F.col(c).isNotNull() & (F.col("norm_name") != ""))
+        least = have.groupBy("norm_name", c).agg(F.min("record_id").alias("u"))
+        some = have.select("norm_name", c, F.col("record_id").alias("v")).join(least, ["norm_name", c]).select("u", "v")
+        links = some if links is None else links.union(some)
+    roots = components(links)
+    return records.join(roots, F.col("record_id") == F.col("node"), "left").withColumn("business_id", F.coalesce("root", "record_id")).drop("node", "root")
+
+
+def alias_lineage(places: DataFrame, links: DataFrame, records: DataFrame) -> DataFrame:
+    """place_id, aliases: the different raw names of a place's records, without the place's own name, told apart without case.
+
+    places: place_id, name; links: place_id, record_id; records: record_id, raw_name. Of spellings that differ in case
+    only the first by code point stays. A place without other names has no aliases.
+    """
+    key = F.lower(F.trim("raw_name"))
+    named = links.join(records.select("record_id", "raw_name"), "record_id").filter(key != "").groupBy("place_id", key.alias("key")).agg(F.min(F.trim("raw_name")).alias("alias"))
+    own = places.select("place_id", F.lower(F.trim("name")).alias("key"))
+    others = named.join(own, ["place_id", "key"], "left_anti").groupBy("place_id").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return places.select("place_id").join(others, "place_id", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def serving_documents(provenance: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:
+    """place_id, the chosen value of each field, confidence, lat, lon (means of the members that have them)."""
+    pick = lambda f: F.max(F.when((F.col("field") == f) & F.col("chosen"), F.col("value"))).alias(f)
+    v = provenance.groupBy("place_id").agg(*map(pick, fields), F.avg(F.when(F.col("chosen"), F.col("weight"))).alias("confidence"))
+    return v.join(members.groupBy("place_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")), "place_id")
+
+
+def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, side (both, only_left, only_right) of the keys of two tables; only_right in an index against its store is what to delete."""
+    l, r = left.select(key).distinct().withColumn("__l", F.lit(1)), right.select(key).distinct().withColumn("__r", F.lit(1))
+    side = F.when(F.col("__l").isNull(), "only_right").when(F.col("__r").isNull(), "only_left").otherwise("both")
+    return l.join(r, key, "full").select(key, side.alias("side"))
+
+
+def unknown_categories(rows: DataFrame, category: str, known: DataFrame, sample: str) -> DataFrame:
+    """category, n, sample: labels without a row in known(category), how often they occur, and the smallest row that has one."""
+    some = rows.filter(F.col(category).isNotNull()).join(small(known.select(category)), category, "left_anti")
+    return some.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.min(sample).alias("sample"))
 
 
 def vote_fields(values: DataFrame, authority: DataFrame) -> DataFrame:
@@ -148,11 +280,19 @@ def verification(contributions: DataFrame) -> DataFrame:
 
 
 def merge_audit(members: DataFrame, span_m: float = 200.0, most: int = 8) -> DataFrame:
-    """Suspicious places: members(place_id, lat, lon) further apart than span_m (diagonal of their box), or more than most."""
+    """Suspicious places: of members(place_id, lat, lon) two lie further apart than span_m, or there are more than most.
+
+    span_m of the result is the largest distance of two members. Pairs are of different positions only, and only where
+    the diagonal of the members' box is above span_m.
+    """
     g = members.groupBy("place_id").agg(F.count(F.lit(1)).alias("records"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
-    span = geo.haversine_m(F.col("s"), F.col("w"), F.col("n"), F.col("e"))
-    reason = F.concat_ws(",", F.when(span > span_m, "span"), F.when(F.col("records") > most, "size"))
-    return g.select("place_id", "records", F.round(span, 3).alias("span_m"), reason.alias("reason")).filter("reason <> ''")
+    wide = g.filter(geo.haversine_m(F.col("s"), F.col("w"), F.col("n"), F.col("e")) > span_m).select("place_id")
+    spots = members.filter("lat IS NOT NULL AND lon IS NOT NULL").join(wide, "place_id").select("place_id", "lat", "lon").distinct()
+    pairs = spots.join(spots.toDF("place_id", "lat2", "lon2"), "place_id").filter("(lat, lon) < (lat2, lon2)")
+    span = pairs.groupBy("place_id").agg(F.max(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("span"))
+    out = g.join(span, "place_id", "left")
+    reason = F.concat_ws(",", F.when(F.col("span") > span_m, "span"), F.when(F.col("records") > most, "size"))
+    return out.select("place_id", "records", F.round("span", 3).alias("span_m"), reason.alias("reason")).filter("reason <> ''")
 
 
 def category_overlay(rows: DataFrame, overlay: DataFrame, builtin: DataFrame) -> DataFrame:
@@ -196,16 +336,55 @@ def nearest(within: DataFrame, k: int) -> DataFrame:
     return within.withColumn("rank", n).filter(F.col("rank") <= k)
 
 
-def current_units(relations: DataFrame, units: DataFrame, depth: int = 8) -> DataFrame:
-    """unit, current: the units in which a historical one lives on, along relations(from_unit, to_unit); a current unit is its own."""
-    walk = units.select(F.col("unit").alias("unit"), F.col("unit").alias("at"))
-    done = []
-    edges = relations.select(F.col("from_unit").alias("at"), F.col("to_unit").alias("next")).distinct()
-    for _ in range(depth):
-        step = walk.join(edges, "at", "left")
-        done.append(step.filter("next is null").select("unit", F.col("at").alias("current")))
-        walk = step.filter("next is not null").select("unit", F.col("next").alias("at")).distinct()
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out.distinct()
+def in_unit(points: DataFrame, units: DataFrame, unit: int) -> DataFrame:
+    """Those of points(point_id, lat, lon, ...) that lie in the ring of a unit; units as point_in_rings takes them."""
+    inside = point_in_rings(points.select("point_id", "lat", "lon"), units.filter(F.col("unit") == unit)).filter("unit IS NOT NULL")
+    return points.join(inside.select("point_id"), "point_id", "left_semi")
+
+
+#: Statuses of places that a search shows where it names none.
+SHOWN_STATUSES = ["open", "unknown", "temporarily_closed"]
+
+
+def matching_places(places: DataFrame, statuses: list[str] | None = None, category: str | None = None, min_rating: float | None = None, price_level: str | None = None, admin_unit: int | None = None, box: tuple[float, float, float, float] | None = None, tokens: list[str] | None = None, near: tuple[float, float, float] | None = None) -> DataFrame:
+    """Places that meet all given conditions: status (permanently closed ones are hidden by default), category, rating,
+    price level, unit, box (south, west, north, east), folded words within the normal name in any order, and
+    near (lat, lon, metres), which adds distance_m. Conditions on columns reach the scan.
+
+    places: place_id, norm_name, status, category, rating, price_level, admin_unit, lat, lon. A null where a condition
+    asks for a value does not match; a null status is unknown.
+    """
+    out = places.filter(F.coalesce("status", F.lit("unknown")).isin(statuses or SHOWN_STATUSES))
+    for column, value in (("category", category), ("price_level", price_level), ("admin_unit", admin_unit)):
+        if value is not None:
+            out = out.filter(F.col(column) == value)
+    if min_rating is not None:
+        out = out.filter(F.col("rating") >= min_rating)
+    if box:
+        out = out.filter(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
+    for word in tokens or []:
+        out = out.filter(F.col("norm_name").contains(word))
+    if near:
+        lat, lon, metres = near
+        reach = metres / 111_000
+        out = out.filter(F.col("lat").between(lat - reach, lat + reach))
+        out = out.withColumn("distance_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))).filter(F.col("distance_m") <= metres)
+    return out
+
+
+def current_units(relations: DataFrame, units: DataFrame) -> DataFrame:
+    """unit, current: the units in which a historical one lives on, along relations(from_unit, to_unit); a current unit is its own.
+
+    Chains are followed to their ends, whatever their length; places already seen are not followed again, so a circle
+    ends too. A unit from which only circles lead has current null.
+    """
+    edges = written(relations.select(F.col("from_unit").alias("at"), F.col("to_unit").alias("next")).distinct(), "relations")
+    seen = ahead = written(units.select("unit", F.col("unit").alias("at")), "walk")
+    while True:
+        step = ahead.join(edges, "at").select("unit", F.col("next").alias("at")).distinct().join(seen, ["unit", "at"], "left_anti")
+        ahead = written(step, "walk")
+        if not ahead.limit(1).count():
+            break
+        seen = seen.union(ahead)
+    ends = seen.join(edges, "at", "left_anti").select("unit", F.col("at").alias("current"))
+    return units.select("unit").join(ends, "unit", "left")

@@ -52,7 +52,8 @@ def domain_share_penalty(rows: DataFrame, query: str, domain: str) -> DataFrame:
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """c within [0, 1]; null stays null."""
+    return F.when(c < 0, 0.0).when(c > 1, 1.0).otherwise(c)
 
 
 def quality_v1(relevance: Column, authority: Column, freshness: Column, diversity: Column, geo: Column) -> Column:
@@ -67,8 +68,19 @@ def url_score(entity: Column, authority: Column, fresh: Column, penalty: Column,
     return 0.30 * entity + 0.25 * authority + 0.15 * fresh + 0.10 * (1 - penalty) - 0.20 * spam
 
 
-#: Weights of the place score.
-PLACE_WEIGHTS = {"text": 0.30, "distance": 0.20, "category": 0.10, "confidence": 0.10, "freshness": 0.05, "sources": 0.05, "status": 0.05, "rating": 0.07, "popularity": 0.05, "open": 0.03}
+# Weights of the place score; statuses' worth; categories near each other; metres, sources and reviews at which components bend.
+PLACE_WEIGHTS = {"text": 0.30, "distance": 0.20, "category": 0.08, "confidence": 0.08, "freshness": 0.07, "sources": 0.06, "status": 0.06, "rating_quality": 0.06, "popularity": 0.04, "open_now_boost": 0.05}
+STATUS_WORTH = {"open": 1.0, "unknown": 0.6, "temporarily_closed": 0.25, "permanently_closed": 0.0}
+NEAR_CATEGORIES = {"food": ["retail"], "retail": ["food"], "lodging": ["tourism"], "tourism": ["lodging", "culture"], "culture": ["tourism"], "finance": ["services"], "services": ["finance"], "office": ["industrial"], "industrial": ["office"]}
+DISTANCE_M, MOST_SOURCES, MOST_REVIEWS = 750.0, 3.0, 1000.0
+RATING_PRIOR, RATING_STRENGTH = 3.5, 10.0
+# Weights of providers in a fused list.
+PROVIDER_WEIGHTS = {"official": 1.20, "github": 1.10, "arxiv": 1.05, "searxng": 1.00, "news": 1.00, "reddit": 0.85, "forum": 0.80, "unknown": 0.70}
+
+
+def _lookup(table: dict, key: Column) -> Column:
+    made = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v))])
+    return F.try_element_at(made, key)
 
 
 def place_score(parts: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
@@ -79,9 +91,92 @@ def place_score(parts: dict[str, Column], weights: dict[str, float] | None = Non
     return sum((F.lit(w[k]) * c for k, c in parts.items()), F.lit(0.0))
 
 
-def bayes_rating(rating: Column, n: Column, prior: float = 3.8, strength: float = 20.0) -> Column:
-    """Rating out of 5, drawn to the prior by its number of reviews, as a share."""
-    return (rating * n + prior * strength) / (n + strength) / 5
+def bayes_rating(rating: Column, n: Column, prior: float = RATING_PRIOR, strength: float = RATING_STRENGTH) -> Column:
+    """Rating out of 5, drawn to the prior by its number of reviews, as a share; the prior without a rating or review."""
+    n = F.greatest(F.lit(0.0), F.coalesce(n.cast("double"), F.lit(0.0)))
+    return clamp((F.coalesce(rating, F.lit(prior)) * n + prior * strength) / (n + strength) / 5)
+
+
+def place_components(text_score: Column, best_text: Column, distance_m: Column, wanted: Column, categories: Column, confidence: Column, freshness: Column, sources: Column, status: Column, rating: Column, reviews: Column, open_now: Column) -> dict[str, Column]:
+    """The ten components of a place's score.
+
+    text: share of the best hit's score. distance: exp(-metres / 750), half without a distance. category: 1 for the
+    wanted one, 0.6 for one near it, 0.3 for a place without any, half if none is wanted. open: half if not known.
+    """
+    near = F.exists(categories, lambda c: F.coalesce(F.array_contains(_lookup(NEAR_CATEGORIES, c), wanted), F.lit(False)))
+    none = F.coalesce(F.size(categories), F.lit(0)) <= 0
+    n = F.greatest(F.lit(0.0), F.coalesce(reviews.cast("double"), F.lit(0.0)))
+    return {
+        "text": F.when(F.coalesce(text_score, F.lit(0.0)) > 0, F.least(F.lit(1.0), text_score / best_text)).otherwise(0.0),
+        "distance": F.coalesce(F.exp(-F.when(distance_m > 0, distance_m).when(distance_m <= 0, 0.0) / DISTANCE_M), F.lit(0.5)),
+        "category": F.when(F.coalesce(wanted, F.lit("")) == "", 0.5).when(none, 0.3).when(F.array_contains(categories, wanted), 1.0).when(near, 0.6).otherwise(0.0),
+        "confidence": clamp(F.coalesce(confidence, F.lit(0.0))),
+        "freshness": clamp(F.coalesce(freshness, F.lit(0.0))),
+        "sources": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(sources.cast("double"), F.lit(0.0))) / MOST_SOURCES),
+        "status": F.coalesce(_lookup(STATUS_WORTH, status), F.lit(STATUS_WORTH["unknown"])),
+        "rating_quality": bayes_rating(rating, reviews),
+        "popularity": F.least(F.lit(1.0), F.log1p(n) / F.log1p(F.lit(MOST_REVIEWS))),
+        "open_now_boost": F.when(open_now, 1.0).when(~open_now, 0.0).otherwise(0.5),
+    }
+
+
+def rank_places(rows: DataFrame, query: str, key: str, limit: int, sort: str | None = None, weights: dict[str, float] | None = None, digits: int = 9) -> DataFrame:
+    """rows with components (struct), score and rank: the best `limit` of each query.
+
+    rows: text_score, distance_m, wanted, categories, confidence, freshness, source_count, status, rating,
+    review_count, open_now. sort: distance, rating or popularity come before the score. Ties: smaller distance, then key.
+    """
+    c = F.col
+    best = F.max("text_score").over(Window.partitionBy(query))
+    rows = rows.withColumn("__best", best)
+    parts = place_components(c("text_score"), c("__best"), c("distance_m"), c("wanted"), c("categories"), c("confidence"), c("freshness"), c("source_count"), c("status"), c("rating"), c("review_count"), c("open_now"))
+    rows = rows.withColumn("components", F.struct(*[v.alias(k) for k, v in parts.items()]))
+    rows = rows.withColumn("score", F.round(place_score({k: c(f"components.{k}") for k in parts}, weights), digits)).drop("__best")
+    near = F.col("distance_m").asc_nulls_last()
+    before = {None: [], "distance": [near], "rating": [F.desc("components.rating_quality")], "popularity": [F.coalesce("review_count", F.lit(0)).desc()]}[sort]
+    n = F.row_number().over(Window.partitionBy(query).orderBy(*before, F.desc("score"), near, key))
+    return rows.withColumn("rank", n).filter(F.col("rank") <= limit)
+
+
+def staged_rerank(rows: DataFrame, query: str, key: str, cheap: str, semantic: str, top: int, weight: float = 0.5, digits: int = 9) -> DataFrame:
+    """rows with final and rank: of each query the best 2 * top by the cheap score, blended with the semantic score, then the best top.
+
+    A null semantic score leaves the cheap one as it is.
+    """
+    some = with_rank(rows.withColumn("__cheap", F.round(cheap, digits)), [query], "__cheap", key, "__r").filter(F.col("__r") <= 2 * top)
+    blend = F.coalesce((1 - weight) * F.col(cheap) + weight * F.col(semantic), F.col(cheap))
+    return with_rank(some.withColumn("final", F.round(blend, digits)).drop("__r", "__cheap"), [query], "final", key).filter(F.col("rank") <= top)
+
+
+def rank_search(results: DataFrame, top: int = 10, weights: dict[str, float] | None = None, semantic_weight: float = 0.5) -> DataFrame:
+    """query_id, url, normalized, quality, final, rank: the whole ranking of providers' lists.
+
+    results: query_id, provider, position (in the provider's list), url, domain, authority, freshness, geo, semantic
+    (null without a semantic reranker). Lists are fused by weighted reciprocal ranks, the fused score is scaled to
+    [0, 1] in its query, quality_v1 takes off for domains with a large share of the query, and the best 2 * top are blended with
+    the semantic score. Of a URL's copies the best placed one (then the first provider) gives the other columns.
+    """
+    w = weights or PROVIDER_WEIGHTS
+    known = results.withColumn("provider", F.when(F.col("provider").isin(list(w)), F.col("provider")).otherwise("unknown"))
+    scores = rrf(known.withColumnRenamed("position", "rank"), "query_id", "url", w).select("query_id", "url", "rrf")
+    first = F.row_number().over(Window.partitionBy("query_id", "url").orderBy("position", "provider"))
+    items = results.withColumn("__n", first).filter("__n = 1").drop("__n", "position")
+    fused = minmax(items.join(scores, ["query_id", "url"]), ["query_id"], "rrf", "normalized")
+    c = F.col
+    rows = domain_share_penalty(fused, "query_id", "domain")
+    rows = rows.withColumn("quality", quality_v1(c("normalized"), c("authority"), c("freshness"), c("diversity"), c("geo")))
+    return staged_rerank(rows, "query_id", "url", "quality", "semantic", top, semantic_weight).select("query_id", "url", "normalized", "quality", "final", "rank")
+
+
+def lane_union(rows: DataFrame, query: str, key: str, lane: str, score: str | None = None) -> DataFrame:
+    """One row for each query and key of all lanes: the best score's, or without a score the first lane's."""
+    order = [F.desc(score), lane] if score else [lane]
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(query, key).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def latest_per_source(rows: DataFrame, by: list[str], at: list[str]) -> DataFrame:
+    """The newest row of each source."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in at]))).filter("__n = 1").drop("__n")
 
 
 def keep_ends(rows: DataFrame, query: str, rank: str, n: int) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..plans.graph import written
 from .ranking import with_rank
 
 K1, B = 1.5, 0.75
@@ -18,6 +23,16 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def in_blocks(queries: DataFrame, key: str, answer: Callable[[DataFrame], DataFrame], most: int = BROADCAST_ROWS) -> DataFrame:
+    """answer() of each block of the stated queries, of about `most` rows, united. A key's rows are in one block."""
+    blocks = max(1, -(-queries.count() // most))
+    out = None
+    for b in range(blocks):
+        some = answer(queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b))
+        out = some if out is None else out.union(some)
+    return out
+
+
 def inverted(docs: DataFrame, key: str, words: str) -> DataFrame:
     """key, term, tf."""
     return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -26,14 +41,16 @@ def inverted(docs: DataFrame, key: str, words: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """query_id, doc, score, rank. docs: doc, words; queries: query_id, words.
 
-    Postings of the queries' terms only are kept (semi-join) before anything is shuffled; document frequencies come
-    from those postings, the number of documents and their mean length from one aggregate.
+    The documents' words are written once, for the statistics and the postings. Postings of the queries' terms only
+    are kept (semi-join) before anything is shuffled; document frequencies come from those postings.
     """
+    docs = written(docs.select("doc", F.size("words").alias("len"), "words"), "search-words")
     terms = queries.select("query_id", F.explode(F.array_distinct("words")).alias("term"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
     n, mean = stats["n"], float(stats["mean"] or 1.0)
     wanted = small(terms.select("term").distinct())
-    post = docs.select("doc", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = docs.select("doc", "len", F.explode("words").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = written(post, "postings")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean))
@@ -43,19 +60,42 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """query_id, vec_id, score, rank: cosine of stated queries(query_id, q) against all vectors(vec_id, v).
+    """query_id, vec_id, score, rank: cosine of stated queries(query_id, q) against all vectors(vec_id, v), exactly.
 
-    The stated queries go to every task in blocks of BROADCAST_ROWS; the window's group limit keeps each task's best
-    `top` per query before the shuffle.
+    The stated queries go to every task as a matrix, in blocks of BROADCAST_ROWS at most. A task multiplies its vectors with
+    it, batch by batch, and keeps the best `top` of each query in a batch, so only these are shuffled. A zero vector
+    scores 0. Null vectors are left out.
     """
-    blocks = max(1, -(-queries.count() // BROADCAST_ROWS))
-    found = None
-    for b in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(some)).select("query_id", "vec_id", geo.cosine(F.col("v"), F.col("q")).alias("score"))
-        best = with_rank(scored, ["query_id"], "score", "vec_id").filter(F.col("rank") <= top)
-        found = best if found is None else found.union(best)
-    return found
+    kind = [f.dataType.simpleString() for f in (queries.schema["query_id"], vectors.schema["vec_id"])]
+
+    def unit(column):
+        m = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def block(some):
+        table = some.filter("q IS NOT NULL").select("query_id", "q").toArrow().combine_chunks()
+        if not table.num_rows:
+            return None
+        shared = vectors.sparkSession.sparkContext.broadcast((table.column(0).combine_chunks(), unit(table.column(1).combine_chunks())))
+
+        def best(it):
+            names, matrix = shared.value
+            for batch in it:
+                for i in range(0, batch.num_rows, 4096):
+                    part = batch.slice(i, 4096)
+                    scores = matrix @ unit(part.column(1)).T
+                    k = min(top, scores.shape[1])
+                    # all that tie with the k-th stay, so that ties are told by id in the end
+                    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                    q, v = np.nonzero(scores >= cut[:, None])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "vec_id", "score"])
+
+        rows = vectors.filter("v IS NOT NULL").select("vec_id", "v").mapInArrow(best, f"query_id {kind[0]}, vec_id {kind[1]}, score double")
+        return with_rank(rows, ["query_id"], "score", "vec_id").filter(F.col("rank") <= top)
+
+    none = with_rank(queries.limit(0).select("query_id").join(vectors.limit(0).select("vec_id"), F.lit(True)).withColumn("score", F.lit(0.0)), ["query_id"], "score", "vec_id")
+    return in_blocks(queries, "query_id", lambda some: block(some) or none)
 
 
 def sparse_search(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
@@ -65,10 +105,36 @@ def sparse_search(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
 
 
 def late_interaction(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """Sum over a query's tokens of the best dot product with a document's tokens: docs(doc, v), queries(query_id, token, q)."""
-    best = docs.join(small(queries)).groupBy("query_id", "doc", "token").agg(F.max(geo.dot(F.col("v"), F.col("q"))).alias("best"))
-    s = best.groupBy("query_id", "doc").agg(F.sum("best").alias("score"))
-    return with_rank(s, ["query_id"], "score", "doc").filter(F.col("rank") <= top)
+    """Sum over a query's tokens of the best dot product with a document's tokens: docs(doc, v), queries(query_id, token, q).
+
+    Stated queries go to every task in blocks, a query's tokens together; maxima are taken within tasks first.
+    """
+    def block(some):
+        best = docs.join(F.broadcast(some)).groupBy("query_id", "doc", "token").agg(F.max(geo.dot(F.col("v"), F.col("q"))).alias("best"))
+        s = best.groupBy("query_id", "doc").agg(F.sum("best").alias("score"))
+        return with_rank(s, ["query_id"], "score", "doc").filter(F.col("rank") <= top)
+
+    return in_blocks(queries, "query_id", block)
+
+
+def autocomplete(places: DataFrame, queries: DataFrame, top: int, longest: int = 24, scale_m: float = 2000.0) -> DataFrame:
+    """query_id, place_id, score, rank of places whose name or alias begins with the query's prefix.
+
+    places: place_id, names (own name first, normal), lat, lon; queries: query_id, prefix (normal), lat, lon. A hit in the
+    own name counts 4.5, in an alias 1; the score halves at scale_m from the query's point, by a Gaussian, and stays
+    where a point is missing. Names are met by their edge grams up to `longest` letters; of these only prefixes
+    that a query asks for are kept.
+    """
+    key = F.substring("prefix", 1, longest)
+    q = queries.filter("prefix <> ''").select("query_id", "prefix", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), key.alias("gram"))
+    n = places.select("place_id", "lat", "lon", F.posexplode("names").alias("at", "name"))
+    grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("name"))), lambda k: F.substring(F.col("name"), F.lit(1), k))
+    n = n.filter("name <> ''").select("*", F.explode(grams).alias("gram")).join(small(q.select("gram").distinct()), "gram", "left_semi")
+    hit = n.join(small(q), "gram").filter(F.col("name").startswith(F.col("prefix")))
+    far = geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
+    decay = F.coalesce(F.pow(F.lit(0.5), F.pow(far / scale_m, 2)), F.lit(1.0))
+    s = hit.groupBy("query_id", "place_id").agg(F.max(F.when(F.col("at") == 0, 4.5).otherwise(1.0) * decay).alias("score"))
+    return with_rank(s.withColumn("score", F.round("score", 9)), ["query_id"], "score", "place_id").filter(F.col("rank") <= top)
 
 
 def prefixes(names: DataFrame, key: str, name: str, least: int = 2, most: int = 8) -> DataFrame:
@@ -77,8 +143,8 @@ def prefixes(names: DataFrame, key: str, name: str, least: int = 2, most: int =
     return names.select(key, name, F.explode(F.array_distinct(grams)).alias("prefix"))
 
 
-def fuzzy(terms: DataFrame, queries: DataFrame, allowance) -> DataFrame:
-    """query_id, word, term, edits: terms within the edits allowed for the word (3 at most), none left out.
+def fuzzy(terms: DataFrame, queries: DataFrame, allowance: Callable[[Column], Column], most: int = 3) -> DataFrame:
+    """query_id, word, term, edits: terms within the edits allowed for the word (`most` at most; allowance gives them by its letters), none left out.
 
     A word with k edits allowed is cut into k + 1 pieces, one of which an edited word keeps, moved by k letters at most;
     a term gives the letters at those places for each length of word that it can be near to.
@@ -89,7 +155,7 @@ def fuzzy(terms: DataFrame, queries: DataFrame, allowance) -> DataFrame:
     n = F.length("word")
     q = queries.select("query_id", "word", F.explode(F.transform(F.sequence(F.lit(0), k(n)), lambda i: key(F.col("word"), n, i, begin(n, i)))).alias("key"))
     m = F.length("term")
-    t = terms.select("term", F.explode(F.sequence(F.greatest(F.lit(0), m - 3), m + 3)).alias("n")).filter(F.abs(F.col("n") - m) <= k(F.col("n")))
+    t = terms.select("term", F.explode(F.sequence(F.greatest(F.lit(0), m - most), m + most)).alias("n")).filter(F.abs(F.col("n") - m) <= k(F.col("n")))
     t = t.select("term", "n", F.explode(F.sequence(F.lit(0), k(F.col("n")))).alias("i"))
     t = t.select("term", "n", "i", F.explode(F.sequence(-k(F.col("n")), k(F.col("n")))).alias("d"))
     t = t.withColumn("at", begin(F.col("n"), F.col("i")) + F.col("d")).filter("at >= 0")

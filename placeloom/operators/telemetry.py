@@ -47,6 +47,20 @@ def by_day(rows: DataFrame, at: str, *keys: str) -> DataFrame:
     return rows.groupBy(F.to_date(at).alias("day"), *keys)
 
 
+def quality_summary(rows: DataFrame, *keys) -> DataFrame:
+    """keys, queries, scored, avg_quality, avg_latency_ms, avg_results, cache_hits, errors of rows(quality_score, latency_ms, results_count, cache_hit, error).
+
+    By day: quality_summary(rows, F.to_date("at").alias("day")); by endpoint: quality_summary(rows, "endpoint").
+    """
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("queries"), F.count("quality_score").alias("scored"), mean("quality_score").alias("avg_quality"), mean("latency_ms").alias("avg_latency_ms"), mean("results_count").alias("avg_results"), F.coalesce(F.sum("cache_hit"), F.lit(0)).alias("cache_hits"), F.count("error").alias("errors"))
+
+
+def worst_queries(rows: DataFrame, key: str, top: int = 5) -> DataFrame:
+    """The rows of lowest quality score, ties to the smaller key."""
+    return rows.filter("quality_score IS NOT NULL").orderBy("quality_score", key).limit(top)
+
+
 def request_quality(coverage: Column, relevance: Column, latency_ms: Column, unique_domains: Column, error: Column) -> Column:
     """0.30 coverage + 0.30 relevance + 0.25 latency (1 at 0, 0 at 5 s) + 0.15 domains (full at 5); 0 on error."""
     speed = F.greatest(F.lit(0.0), 1 - latency_ms / 5000)
@@ -64,9 +78,12 @@ def coverage_priority(demand: Column, fresh_places: Column, staleness: Column, v
 
 def rolling_health(calls: DataFrame, rows: int = 64, seconds: int = 1800) -> DataFrame:
     """calls(call_id, provider, at, outcome, latency_ms) with n, success_rate, p50, p95 (nearest rank) and health over the last `rows` calls not older than `seconds`."""
-    w = Window.partitionBy("provider").orderBy("at", "call_id").rowsBetween(-(rows - 1), 0)
+    # calls not older than `seconds` lie in a call's own period of that length or the one before, so periods are apart
+    period = F.floor(F.unix_timestamp("at") / seconds)
+    both = calls.withColumn("__period", F.explode(F.array(period, period + 1))).withColumn("__own", F.col("__period") == period)
+    w = Window.partitionBy("provider", "__period").orderBy("at", "call_id").rowsBetween(-(rows - 1), 0)
     recent = F.filter(F.collect_list(F.struct(F.unix_timestamp("at").alias("t"), "outcome", "latency_ms")).over(w), lambda x: x["t"] >= F.unix_timestamp("at") - seconds)
-    c = calls.withColumn("r", recent)
+    c = both.withColumn("r", recent).filter("__own")
     n = F.size("r")
     sorted_ = F.array_sort(F.transform("r", lambda x: x["latency_ms"]))
     rank = lambda p: F.element_at(sorted_, F.greatest(F.lit(1), F.ceil(n * p).cast("int")))

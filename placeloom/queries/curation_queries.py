@@ -9,7 +9,7 @@ from ..operators import answers, curation, evidence, passages
 from .fixtures import derive, sql, table
 from .passage_queries import _SUPPORT, CLAIMS, support
 from .registry import query
-from .text_queries import D_VISIBLE, _TRACK, d_hav, d_norm, d_tokens
+from .text_queries import _LINKED, _TRACK, D_VISIBLE, d_hav, d_norm, d_tokens
 
 #: Sources of a pack: the turns of a conversation, each also with a copy of changed ending.
 SOURCES = """SELECT conv_id AS pack, (conv_id * 1000 + turn) * 2 AS source_id, text FROM {conversations} UNION ALL SELECT conv_id, (conv_id * 1000 + turn) * 2 + 1, text || ' copied elsewhere' FROM {conversations} WHERE (conv_id + turn) % 3 = 0"""
@@ -95,14 +95,14 @@ def q5(spark, d):
     return curation.hybrid(count(docs, "doc", "w"), count(asked, "query_id", "qw"), dense, 10, {"vector": 0.5}).select("query_id", "doc", F.round("rrf", 8).alias("rrf"), "rank")
 
 
-@query("q8_semantic_cache", f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS hit, {_COS} AS score FROM embeddings v JOIN embeddings q ON v.vec_id < q.vec_id AND v.label = q.label WHERE q.vec_id % 20 = 0), k AS (SELECT * FROM s WHERE score >= 0.6e0)
+@query("q8_semantic_cache", f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS hit, {_COS} AS score FROM embeddings v JOIN embeddings q ON v.vec_id < q.vec_id AND v.label = q.label WHERE q.vec_id % 20 = 0), k AS (SELECT * FROM s WHERE score >= 0.25e0)
 SELECT query_id, min(hit) AS hit, round(arg_min(score, hit), 6) AS score FROM k GROUP BY 1""")
 def q8(spark, d):
     """Every twentieth vector asks; the label is the scope, the id the time."""
     v = table(spark, d, "embeddings")
     cached = v.select(F.col("vec_id").alias("hit"), F.col("label").alias("scope"), F.col("vec_id").alias("stored_at"), F.col("embedding").alias("v"))
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("scope"), F.col("vec_id").alias("at"), F.col("embedding").alias("q"))
-    return curation.cached_hits(asked, cached, 0.6).select("query_id", "hit", F.round("score", 6).alias("score"))
+    return curation.cached_hits(asked, cached, 0.25).select("query_id", "hit", F.round("score", 6).alias("score"))
 
 
 @query("q6_place_text", f"""WITH p AS (SELECT c_custkey AS place_id, {d_norm("c_name || ' ' || lower(c_mktsegment)")} AS name FROM customer), q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN 'customer ' || lpad(s_suppkey::VARCHAR, 9, '0') || ' building' WHEN 1 THEN 'customar ' || lpad(s_suppkey::VARCHAR, 9, '0') ELSE 'hous ' || lpad(s_suppkey::VARCHAR, 9, '0') END AS q FROM supplier),
@@ -143,19 +143,23 @@ def c12(spark, d):
 VISITS = "SELECT o_custkey AS url, o_orderdate AS at, o_orderkey, o_orderstatus AS content_hash FROM {orders}"
 
 
-@query("c10_recrawl_plan")
+@query("c10_recrawl_plan", f"""WITH RECURSIVE v AS (SELECT url, "at", arg_max(content_hash, o_orderkey) AS h FROM ({sql(VISITS)}) GROUP BY 1, 2),
+w AS (SELECT url, "at", row_number() OVER (PARTITION BY url ORDER BY "at") AS i, coalesce((lag(h) OVER (PARTITION BY url ORDER BY "at") <> h)::INT, 0)::DOUBLE AS c FROM v),
+e AS (SELECT url, i, "at", c AS rate FROM w WHERE i = 1 UNION ALL SELECT w.url, w.i, w."at", 0.7e0 * e.rate + 0.3e0 * w.c FROM e JOIN w ON w.url = e.url AND w.i = e.i + 1),
+l AS (SELECT url, arg_max(rate, i) AS rate, max(i) AS visits, max("at") AS d FROM e GROUP BY 1)
+SELECT url, round(rate, 6) AS rate, CAST(visits AS INTEGER) AS visits, to_timestamp(floor(epoch(d) + 604800 - rate * 601200))::TIMESTAMP AS next_due FROM l""")
 def c10(spark, d):
     v = derive(spark, d, VISITS).groupBy("url", "at").agg(F.max_by("content_hash", "o_orderkey").alias("content_hash"))
     return curation.recrawl_plan(v).withColumn("rate", F.round("rate", 6))
 
 
-@query("c10_discovered", rf"""WITH l AS (SELECT page_id % 4 + 1 AS depth, unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"#]+)', 1))) AS u FROM pages),
+@query("c10_discovered", rf"""WITH l AS (SELECT page_id % 4 + 1 AS depth, unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"#]+)', 1))) AS u FROM ({sql(_LINKED)})),
 p AS (SELECT depth, lower(regexp_extract(u, '^([^:/]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(u, '^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(?:www\.|m\.)+', '') AS host, regexp_extract(u, '^[^:/]+://[^/?#:]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
  list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({_TRACK}))) AS q FROM l),
 c AS (SELECT depth, scheme || '://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM p WHERE host <> '')
 SELECT url, max(greatest(0.05e0, 1 - 0.25e0 * depth)) AS priority, min(depth) AS depth FROM c GROUP BY 1""")
 def c10_discovered(spark, d):
-    p = table(spark, d, "pages").select("html", (F.col("page_id") % 4).alias("d"))
+    p = derive(spark, d, _LINKED).select("html", (F.col("page_id") % 4).alias("d"))
     return curation.discovered(p, "html", "d")
 
 

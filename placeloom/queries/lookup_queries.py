@@ -120,7 +120,7 @@ CANDIDATES = """SELECT c_custkey AS candidate_id, c_nationkey % 3 AS province, C
 
 
 @query("j16_known_place", f"""WITH c0 AS ({sql(CANDIDATES)}), p AS ({sql(KNOWN)}), c AS (SELECT *, string_split(name, ' ') AS w FROM c0),
-m AS (SELECT candidate_id, place_id, levenshtein(c.name, p.name) AS edits FROM c JOIN p ON c.province = p.province AND (contains(' ' || p.name || ' ', ' ' || array_to_string(w[1:2], ' ') || ' ') OR contains(' ' || p.name || ' ', ' ' || array_to_string(w[greatest(1, len(w) - 1):], ' ') || ' ')))
+m AS (SELECT candidate_id, place_id, levenshtein(c.name, p.name) AS edits FROM c JOIN p ON c.province = p.province AND (contains(p.name, array_to_string(w[1:2], ' ')) OR contains(p.name, array_to_string(w[greatest(1, len(w) - 1):], ' '))))
 SELECT candidate_id, arg_min(place_id, (edits, place_id)) AS place_id, CAST(min(edits) AS INTEGER) AS edits FROM m WHERE edits <= 2 GROUP BY 1""")
 def j16(spark, d):
     return lookup.known_place(derive(spark, d, CANDIDATES), derive(spark, d, KNOWN))
@@ -152,7 +152,7 @@ def f46(spark, d):
 ASKED = """SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN 'Quán phở ở tỉnh ' || r_name WHEN 1 THEN 'tinh ' || lower(SUBSTRING(r_name, 1, LENGTH(r_name) - 1)) || 'x quan an' WHEN 2 THEN 'com vs pho' ELSE 'how to cook' END AS query FROM {supplier} JOIN {region} ON r_regionkey = s_suppkey % 5"""
 
 
-@query("c11_query_understanding", f"""WITH a AS (SELECT query_id, query, query_id % 5 AS r FROM ({sql(ASKED)})) SELECT query_id, CASE query_id % 4 WHEN 2 THEN 'comparison' WHEN 3 THEN 'howto' ELSE 'lookup' END AS intent,
+@query("c11_query_understanding", f"""WITH a AS (SELECT query_id, query, query_id % 5 AS r FROM ({sql(ASKED)})) SELECT query_id, CASE query_id % 4 WHEN 2 THEN 'comparison' WHEN 3 THEN 'howto' ELSE 'current_fact' END AS intent,
  CASE WHEN query_id % 4 = 0 THEN CAST(r + 500 AS VARCHAR) ELSE '' END AS units, CASE WHEN query_id % 4 = 2 THEN 'com|pho' ELSE '' END AS targets FROM a""")
 def c11(spark, d):
     """Provinces were renumbered by 500."""

@@ -25,13 +25,22 @@ def normal(spark, d):
     return r.select("record_id", "p", "provider", text.norm_name(F.col("raw_name")).alias("norm_name"), text.normalize_phone(F.col("raw_phone")).alias("phone"), web.host(F.col("raw_website")).alias("domain"), F.nullif("raw_category", F.lit("")).alias("category"), F.when(here, F.col("lat")).alias("lat"), F.when(here, F.col("lon")).alias("lon"), "admin_unit", "days")
 
 
+#: Records with review columns and lines that could not be parsed.
+_REVIEWED = """
+SELECT r.*, CASE WHEN record_id % 41 = 0 THEN 'bad line' END AS parse_error, CASE WHEN record_id % 7 = 1 THEN 'verified' WHEN record_id % 7 = 2 THEN 'rejected' WHEN record_id % 29 = 3 THEN 'maybe' END AS review_status,
+  CASE WHEN record_id % 14 = 1 THEN 'phone_confirmation' WHEN record_id % 31 = 4 THEN 'hearsay' END AS method, CASE WHEN record_id % 3 = 0 THEN NULL ELSE days END AS reviewed_at
+FROM (""" + RECORDS + ") r"
+
+
 @query("p1_validate", rf"""
-WITH r AS ({sql(RECORDS)}), g AS (SELECT *, regexp_replace(raw_phone, '\D', '', 'g') AS g FROM r), h AS (SELECT *, {D_PHONE} AS ph FROM g)
-SELECT record_id, concat_ws(',', CASE WHEN lon IS NULL THEN 'partial_coordinates' END, CASE WHEN lon IS NOT NULL AND lat > 90 THEN 'invalid_latitude' END,
- CASE WHEN lon IS NOT NULL AND lat <= 90 AND NOT (lat BETWEEN 7 AND 24 AND lon BETWEEN 102 AND 118) THEN 'coords_outside_box' END, CASE WHEN length(ltrim(ph, '+')) NOT BETWEEN 8 AND 13 THEN 'implausible_phone' END) AS reasons FROM h""")
+WITH r AS ({sql(_REVIEWED)}), g AS (SELECT *, regexp_replace(raw_phone, '\D', '', 'g') AS g FROM r), h AS (SELECT *, {D_PHONE} AS ph FROM g)
+SELECT record_id, CASE WHEN parse_error IS NOT NULL THEN 'parse_error' ELSE concat_ws(',', CASE WHEN lon IS NULL THEN 'partial_coordinates' END, CASE WHEN lon IS NOT NULL AND lat > 90 THEN 'invalid_latitude' END,
+ CASE WHEN lon IS NOT NULL AND lat <= 90 AND NOT (lat BETWEEN 6 AND 24 AND lon BETWEEN 100 AND 119.5) THEN 'coords_outside_vietnam' END, CASE WHEN length(ltrim(ph, '+')) NOT BETWEEN 8 AND 13 THEN 'implausible_phone' END,
+ CASE WHEN method = 'hearsay' THEN 'unknown_verification_method' END, CASE WHEN review_status = 'maybe' THEN 'invalid_review_status' END,
+ CASE WHEN review_status = 'verified' AND (raw_website IS NULL OR reviewed_at IS NULL OR method IS NULL) THEN 'incomplete_review_evidence' END) END AS reasons FROM h""")
 def validate(spark, d):
-    r = derive(spark, d, RECORDS)
-    reasons = places.reject_reasons(F.col("raw_name"), F.lit("x"), F.col("days"), F.col("lat"), F.col("lon"), F.col("raw_phone"), F.col("raw_website"))
+    r, c = derive(spark, d, _REVIEWED), F.col
+    reasons = places.reject_reasons(c("raw_name"), F.lit("x"), c("days"), c("lat"), c("lon"), c("raw_phone"), c("raw_website"), c("parse_error"), c("review_status"), c("reviewed_at"), c("method"), c("raw_website"))
     return r.select("record_id", F.concat_ws(",", reasons).alias("reasons"))
 
 
@@ -65,36 +74,42 @@ def delta(spark, d):
     return readers.delta(table(spark, d, "events"), "ts", "event_id", datetime.datetime(2024, 1, 15), 100).select("event_id", "user_id")
 
 
-_PAIR = f"""
-pairs AS (SELECT a.record_id AS a, b.record_id AS b, a.norm_name AS na, b.norm_name AS nb, a.phone AS pa, b.phone AS pb, a.domain AS da, b.domain AS db, a.category AS ca, b.category AS cb, {d_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m
-  FROM r a JOIN r b ON a.p = b.p AND a.record_id < b.record_id),
-scores AS (SELECT a, b, least(1e0, 0.45e0 * CASE WHEN na = nb THEN 1e0 ELSE 0e0 END
+#: Pairs under a condition, with score and rule.
+_PAIR = lambda condition: f"""
+pairs AS (SELECT a.record_id AS a, b.record_id AS b, a.norm_name AS na, b.norm_name AS nb, list_distinct(string_split(a.norm_name, ' ')) AS wa, list_distinct(string_split(b.norm_name, ' ')) AS wb, a.phone AS pa, b.phone AS pb, a.domain AS da, b.domain AS db, a.category AS ca, b.category AS cb, {d_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m
+  FROM r a JOIN r b ON a.record_id < b.record_id AND ({condition})),
+scores AS (SELECT a, b, least(1e0, 0.45e0 * CASE WHEN na = nb THEN 1e0 ELSE greatest(len(list_intersect(wa, wb))::DOUBLE / len(list_distinct(list_concat(wa, wb))), 0.9e0 * len(list_intersect(wa, wb)) / least(len(wa), len(wb))) END
   + 0.25e0 * CASE WHEN m IS NULL THEN 0.4e0 WHEN m <= 30 THEN 1e0 WHEN m >= 200 THEN -1e0 ELSE 1 - (m - 30) / 170 END
   + 0.15e0 * CASE WHEN pa IS NULL OR pb IS NULL THEN 0.3e0 WHEN pa = pb THEN 1e0 ELSE 0e0 END
   + 0.10e0 * CASE WHEN da IS NULL OR db IS NULL THEN 0.3e0 WHEN da = db THEN 1e0 ELSE 0e0 END
   + 0.05e0 * CASE WHEN ca IS NULL OR cb IS NULL THEN 0.4e0 WHEN ca = cb THEN 1e0 ELSE 0.1e0 END) AS score,
-  CASE WHEN na = nb AND m <= 80 THEN 'name_geo' WHEN pa = pb AND (m IS NULL OR m <= 200) THEN 'phone' END AS rule FROM pairs)"""
+  CASE WHEN na = nb AND m <= 80 THEN 'name_geo' WHEN pa = pb AND (m IS NULL OR m <= 200) THEN 'phone' END AS rule FROM pairs)"""
 
 
-@query("j3_pair_scores", f"WITH {D_NORMAL}, {_PAIR} SELECT a, b, round(score, 6) AS score, rule FROM scores")
+@query("j3_pair_scores", f"WITH {D_NORMAL}, {_PAIR('b.record_id <= a.record_id + 4')} SELECT a, b, round(score, 6) AS score, rule FROM scores")
 def pair_scores(spark, d):
-    """Scores of the records of one place (their names are equal, so the name part is 1)."""
+    """Scores of records with the next four: of one place and of places with other names."""
     r = normal(spark, d)
-    x = r.select("p", F.col("record_id").alias("a"))
-    pairs = x.join(x.withColumnRenamed("a", "b"), "p").filter("a < b").select("a", "b")
+    pairs = r.select(F.col("record_id").alias("a"), F.explode(F.sequence(F.col("record_id") + 1, F.col("record_id") + 4)).alias("b"))
     return places.scored_pairs(r, pairs).withColumn("score", F.round("score", 6))
 
 
-@query("j2_block_keys", f"""WITH {D_NORMAL}, k AS (SELECT record_id, 'phone:' || phone AS block FROM r WHERE phone IS NOT NULL UNION SELECT record_id, 'domain:' || domain FROM r WHERE domain IS NOT NULL)
+@query("j2_block_keys", f"""WITH {D_NORMAL}, k AS (SELECT record_id, 'phone:' || phone AS block FROM r WHERE phone IS NOT NULL UNION SELECT record_id, 'domain:' || domain FROM r WHERE domain IS NOT NULL
+ UNION SELECT record_id, 'word:' || admin_unit || ':' || w FROM (SELECT record_id, admin_unit, unnest(string_split(norm_name, ' ')) AS w FROM r) WHERE length(w) >= 3
+ UNION SELECT record_id, 'cell:' || CAST((floor(lat / 0.005e0) + i) * 4294967296 + floor(lon / 0.005e0) + j AS BIGINT) FROM r, (VALUES (-1), (0), (1)) x(i), (VALUES (-1), (0), (1)) y(j) WHERE lat IS NOT NULL AND lon IS NOT NULL)
 SELECT block, count(*) AS n FROM k GROUP BY block""")
 def blocks(spark, d):
-    k = places.block_keys(normal(spark, d)).filter("block LIKE 'phone:%' OR block LIKE 'domain:%'")
-    return k.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    return places.block_keys(normal(spark, d)).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c2_resolve")
+_PLACES = f"""{_PAIR("a.phone = b.phone OR a.domain = b.domain OR (a.lat - b.lat BETWEEN -0.01 AND 0.01 AND a.lon - b.lon BETWEEN -0.01 AND 0.01) OR (a.admin_unit = b.admin_unit AND len(list_filter(list_intersect(string_split(a.norm_name, ' '), string_split(b.norm_name, ' ')), lambda w: length(w) >= 3)) > 0)")},
+e AS (SELECT a AS u, b AS v FROM scores WHERE score >= 0.62 OR rule IS NOT NULL UNION SELECT b, a FROM scores WHERE score >= 0.62 OR rule IS NOT NULL),
+reach AS (SELECT record_id AS n, record_id AS o FROM r UNION SELECT reach.n, e.v FROM reach JOIN e ON reach.o = e.u),
+links AS (SELECT n AS record_id, min(o) AS place_id FROM reach GROUP BY n)"""
+
+
+@query("c2_resolve", f"WITH RECURSIVE {D_NORMAL}, {_PLACES} SELECT record_id, place_id FROM links")
 def resolve(spark, d):
-    """record_id, place_id; components are no matter of plain SQL."""
     return places.resolve(normal(spark, d))
 
 
@@ -134,16 +149,40 @@ def verification(spark, d):
     return places.verification(c)
 
 
-@query("a9_merge_audit", f"""WITH {D_NORMAL}, g AS (SELECT admin_unit AS place_id, count(*) AS records, {d_hav('min(lat)', 'min(lon)', 'max(lat)', 'max(lon)')} AS m FROM r GROUP BY admin_unit)
-SELECT place_id, records, round(m, 3) AS span_m, concat_ws(',', CASE WHEN m > 200 THEN 'span' END, CASE WHEN records > 8 THEN 'size' END) AS reason FROM g WHERE m > 200 OR records > 8""")
+@query("a9_merge_audit", f"""WITH {D_NORMAL}, m AS (SELECT record_id - record_id % 12 AS place_id, lat, lon + record_id % 3 * 0.001e0 AS lon FROM r WHERE record_id % 4 < 3), g AS (SELECT place_id, count(*) AS records FROM m GROUP BY 1),
+s AS (SELECT a.place_id, max({d_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS m FROM m a JOIN m b USING (place_id) GROUP BY 1)
+SELECT place_id, records, CASE WHEN m > 200 THEN round(m, 3) END AS span_m, concat_ws(',', CASE WHEN m > 200 THEN 'span' END, CASE WHEN records > 8 THEN 'size' END) AS reason FROM g LEFT JOIN s USING (place_id) WHERE m > 200 OR records > 8""")
 def audit(spark, d):
-    return places.merge_audit(normal(spark, d).select(F.col("admin_unit").alias("place_id"), "lat", "lon"))
+    k = F.col("record_id")
+    m = normal(spark, d).filter(k % 4 < 3).select((k - k % 12).alias("place_id"), "lat", (F.col("lon") + k % 3 * 0.001).alias("lon"))
+    return places.merge_audit(m).withColumn("span_m", F.when(F.col("span_m") > 200, F.col("span_m")))
+
+
+@query("c2_places", f"""WITH RECURSIVE {D_NORMAL}, {_PLACES},
+v0 AS (SELECT place_id, record_id, provider, days, unnest(['name', 'phone', 'website']) AS field, unnest([norm_name, phone, domain]) AS value FROM r JOIN links USING (record_id)),
+v1 AS (SELECT *, CASE provider WHEN 'registry' THEN 0.9e0 WHEN 'osm' THEN 0.7e0 ELSE 0.5e0 END AS authority, CASE field WHEN 'name' THEN 730e0 WHEN 'phone' THEN 180e0 ELSE 365e0 END AS tau FROM v0 WHERE value IS NOT NULL),
+v2 AS (SELECT *, round(0.6e0 * authority + 0.3e0 * exp(-days / tau) + 0.1e0 * (count(*) OVER (PARTITION BY place_id, field, value))::DOUBLE / count(*) OVER (PARTITION BY place_id, field), 4) AS weight FROM v1),
+v3 AS (SELECT *, row_number() OVER (PARTITION BY place_id, field ORDER BY weight DESC, record_id) = 1 AS chosen FROM v2),
+f AS (SELECT place_id, max(CASE WHEN field = 'name' AND chosen THEN value END) AS name, max(CASE WHEN field = 'phone' AND chosen THEN value END) AS phone, round(avg(CASE WHEN chosen THEN weight END), 6) AS confidence, count(DISTINCT provider) AS source_count FROM v3 GROUP BY 1),
+o AS (SELECT place_id, count(DISTINCT CASE WHEN coalesce(domain, '') <> '' THEN 'url:' || domain ELSE 'provider:' || provider END) AS keys FROM r JOIN links USING (record_id) GROUP BY 1),
+bl AS (SELECT a.record_id AS u, b.record_id AS v FROM r a JOIN r b ON a.norm_name = b.norm_name AND (a.category = b.category OR a.phone = b.phone OR a.domain = b.domain OR a.admin_unit = b.admin_unit)),
+br AS (SELECT record_id AS n, record_id AS o FROM r UNION SELECT br.n, bl.v FROM br JOIN bl ON br.o = bl.u), bg AS (SELECT place_id, min(o) AS business_id FROM br JOIN links ON links.record_id = br.n GROUP BY 1),
+sp AS (SELECT x.place_id, max({d_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS m FROM links x JOIN links y USING (place_id) JOIN r a ON a.record_id = x.record_id JOIN r b ON b.record_id = y.record_id GROUP BY 1)
+SELECT place_id, name, phone, confidence, source_count, CASE WHEN keys >= 2 THEN 'corroborated' ELSE 'observed' END AS level, business_id, CASE WHEN m > 200 THEN 'span' END AS suspicious FROM f JOIN o USING (place_id) JOIN bg USING (place_id) LEFT JOIN sp USING (place_id)""")
+def canonical(spark, d):
+    r = normal(spark, d)
+    values = r.select("record_id", "provider", "days", F.expr("stack(3, 'name', norm_name, 'phone', phone, 'website', domain) AS (field, value)")).filter("value IS NOT NULL").withColumn("signature", F.col("value"))
+    authority = spark.createDataFrame([(p, f, a) for p, a in (("registry", 0.9), ("osm", 0.7)) for f in ("name", "phone", "website")], "provider string, field string, authority double")
+    none = F.lit(None).cast("string")
+    contributions = r.select("record_id", "provider", F.lit("other").alias("kind"), F.concat(F.lit("https://"), "domain").alias("source_url"), none.alias("review_status"), none.alias("reviewed_at"), none.alias("verification_method"))
+    _, out, _ = places.resolve_places(r, values, authority, contributions)
+    return out.select("place_id", F.col("fields.name").alias("name"), F.col("fields.phone").alias("phone"), F.round("confidence", 6).alias("confidence"), "source_count", "level", "business_id", "suspicious")
 
 
 @query("a10_unknown_categories", f"WITH r AS ({sql(RECORDS)}) SELECT raw_category, count(*) AS n, min(record_id) AS sample FROM r WHERE raw_category NOT IN ('BUILDING', 'MACHINERY') GROUP BY raw_category")
 def unknown(spark, d):
-    r = derive(spark, d, RECORDS).filter(~F.col("raw_category").isin("BUILDING", "MACHINERY"))
-    return r.groupBy("raw_category").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("sample"))
+    known = spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "raw_category string")
+    return places.unknown_categories(derive(spark, d, RECORDS), "raw_category", known, "record_id")
 
 
 @query("j7_category_overlay", f"""WITH r AS ({sql(RECORDS)}) SELECT record_id, CASE WHEN provider = 'osm' AND raw_category = 'BUILDING' THEN 'site' WHEN raw_category = 'BUILDING' THEN 'house' WHEN raw_category = 'MACHINERY' THEN 'shop' END AS bucket FROM r""")
@@ -179,21 +218,30 @@ def nearest(spark, d):
     return places.nearest(found.withColumn("dist_m", F.round("dist_m", 3)), 5).select("query_id", "place_id", "rank")
 
 
+@query("j6_unit_containment", f"""WITH r AS ({sql(RECORDS)}) SELECT record_id AS point_id FROM r WHERE lat >= 8 + 7 % 5 * 3 AND lat < 8 + 7 % 5 * 3 + 3 AND lon >= 105 AND lon < 106""")
+def contained(spark, d):
+    """Records in the unit 7, a box given as a ring."""
+    n = F.col("n_nationkey")
+    y, x = (8 + n % 5 * 3).cast("double"), (104 + (n - n % 5) / 5).cast("double")
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    units = table(spark, d, "nation").select(n.alias("unit"), F.lit(1).alias("level"), F.array(corner(0, 0), corner(1, 0), corner(1, 3), corner(0, 3), corner(0, 0)).alias("ring"))
+    return places.in_unit(derive(spark, d, RECORDS).select(F.col("record_id").alias("point_id"), "lat", "lon"), units, 7).select("point_id")
+
+
 @query("j13_transitions", """
-WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey < 10), w AS (SELECT n_nationkey AS unit, n_nationkey AS pos FROM nation UNION SELECT w.unit, e.b FROM w JOIN e ON e.a = w.pos)
+WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 3 AS b FROM supplier WHERE s_suppkey <= 60), w AS (SELECT s_suppkey AS unit, s_suppkey AS pos FROM supplier UNION SELECT w.unit, e.b FROM w JOIN e ON e.a = w.pos)
 SELECT unit, pos AS current FROM w WHERE pos NOT IN (SELECT a FROM e)""")
 def transitions(spark, d):
-    n = table(spark, d, "nation")
-    rel = n.filter("n_nationkey < 10").select(F.col("n_nationkey").alias("from_unit"), (F.col("n_nationkey") + 5).alias("to_unit"))
-    return places.current_units(rel, n.select(F.col("n_nationkey").alias("unit")))
+    """Chains of up to 20 steps."""
+    n = table(spark, d, "supplier")
+    rel = n.filter("s_suppkey <= 60").select(F.col("s_suppkey").alias("from_unit"), (F.col("s_suppkey") + 3).alias("to_unit"))
+    return places.current_units(rel, n.select(F.col("s_suppkey").alias("unit")))
 
 
-@query("j9_business_groups", f"""WITH {D_NORMAL} SELECT a.record_id, min(b.record_id) AS business_id FROM r a JOIN r b ON a.norm_name = b.norm_name AND (a.category = b.category OR a.phone = b.phone OR a.domain = b.domain OR a.admin_unit = b.admin_unit) GROUP BY a.record_id""")
+@query("j9_business_groups", f"""WITH RECURSIVE {D_NORMAL}, e AS (SELECT a.record_id AS u, b.record_id AS v FROM r a JOIN r b ON a.norm_name = b.norm_name AND (a.category = b.category OR a.phone = b.phone OR a.domain = b.domain OR a.admin_unit = b.admin_unit)),
+ w AS (SELECT record_id AS n, record_id AS o FROM r UNION SELECT w.n, e.v FROM w JOIN e ON w.o = e.u) SELECT n AS record_id, min(o) AS business_id FROM w GROUP BY n""")
 def businesses(spark, d):
-    r = normal(spark, d).select("record_id", "norm_name", "category", "phone", "domain", "admin_unit")
-    b = r.select("norm_name", *[F.col(c).alias(f"{c}2") for c in ("record_id", "category", "phone", "domain", "admin_unit")])
-    same = (F.col("category") == F.col("category2")) | (F.col("phone") == F.col("phone2")) | (F.col("domain") == F.col("domain2")) | (F.col("admin_unit") == F.col("admin_unit2"))
-    return r.join(b, "norm_name").filter(same).groupBy("record_id").agg(F.min("record_id2").alias("business_id"))
+    return places.business_groups(normal(spark, d)).select("record_id", "business_id")
 
 
 @query("f38_aliases", f"WITH r AS ({sql(RECORDS)}) SELECT p AS place_id, array_to_string(list_sort(list(DISTINCT raw_name)), '|') AS aliases FROM r GROUP BY p")
@@ -201,30 +249,60 @@ def aliases(spark, d):
     return derive(spark, d, RECORDS).groupBy(F.col("p").alias("place_id")).agg(F.array_join(F.array_sort(F.collect_set("raw_name")), "|").alias("aliases"))
 
 
+@query("j8_alias_lineage", f"""WITH r AS ({sql(RECORDS)}), p AS (SELECT p AS place_id, arg_min(raw_name, record_id) AS name FROM r GROUP BY p), a AS (SELECT r.p AS place_id, lower(r.raw_name) AS k, min(r.raw_name) AS alias FROM r JOIN p ON p.place_id = r.p WHERE lower(r.raw_name) <> lower(p.name) GROUP BY 1, 2)
+SELECT p.place_id, coalesce(array_to_string(list_sort(list(alias) FILTER (alias IS NOT NULL)), '|'), '') AS aliases FROM p LEFT JOIN a USING (place_id) GROUP BY p.place_id""")
+def lineage(spark, d):
+    r = derive(spark, d, RECORDS)
+    named = r.groupBy(F.col("p").alias("place_id")).agg(F.min_by("raw_name", "record_id").alias("name"))
+    out = places.alias_lineage(named, r.select(F.col("p").alias("place_id"), "record_id"), r)
+    return out.select("place_id", F.array_join("aliases", "|").alias("aliases"))
+
+
 @query("c4_serving_documents", f"""WITH {D_NORMAL}, {_VOTES}, f AS (SELECT place_id, max(CASE WHEN field = 'name' AND chosen THEN value END) AS name, max(CASE WHEN field = 'phone' AND chosen THEN value END) AS phone, max(CASE WHEN field = 'website' AND chosen THEN value END) AS website, avg(CASE WHEN chosen THEN weight END) AS c FROM votes GROUP BY place_id), g AS (SELECT p AS place_id, avg(lat) AS lat, avg(lon) AS lon FROM r GROUP BY p)
 SELECT place_id, name, phone, website, round(c, 6) AS confidence, round(lat, 6) AS lat, round(lon, 6) AS lon FROM f JOIN g USING (place_id)""")
 def serving(spark, d):
-    pick = lambda f: F.max(F.when((F.col("field") == f) & F.col("chosen"), F.col("value"))).alias(f)
-    v = votes(spark, d).groupBy("place_id").agg(pick("name"), pick("phone"), pick("website"), F.round(F.avg(F.when(F.col("chosen"), F.col("weight"))), 6).alias("confidence"))
-    at = normal(spark, d).groupBy(F.col("p").alias("place_id")).agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lon"), 6).alias("lon"))
-    return v.join(at, "place_id")
+    out = places.serving_documents(votes(spark, d), normal(spark, d).withColumn("place_id", F.col("p")), ["name", "phone", "website"])
+    return out.select("place_id", "name", "phone", "website", *[F.round(c, 6).alias(c) for c in ("confidence", "lat", "lon")])
 
 
-@query("j12_reconcile", "SELECT CASE WHEN l.k IS NULL THEN 'only_right' WHEN r.k IS NULL THEN 'only_left' ELSE 'both' END AS side, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) l FULL JOIN (SELECT DISTINCT o_custkey + 7 AS k FROM orders) r ON l.k = r.k GROUP BY 1")
+@query("j12_reconcile", "SELECT l.k AS l, r.k AS r, coalesce(l.k, r.k) AS k, CASE WHEN l.k IS NULL THEN 'only_right' WHEN r.k IS NULL THEN 'only_left' ELSE 'both' END AS side FROM (SELECT c_custkey AS k FROM customer) l FULL JOIN (SELECT DISTINCT o_custkey + 7 AS k FROM orders) r ON l.k = r.k".replace("l.k AS l, r.k AS r, ", ""))
 def reconcile(spark, d):
-    left = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit(1).alias("l"))
-    right = table(spark, d, "orders").select((F.col("o_custkey") + 7).alias("k")).distinct().withColumn("r", F.lit(1))
-    side = F.when(F.col("l").isNull(), "only_right").when(F.col("r").isNull(), "only_left").otherwise("both")
-    return left.join(right, "k", "full").groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    """Sides of all keys; those only in the right table are the delete set of an index."""
+    return places.reconcile(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select((F.col("o_custkey") + 7).alias("k")), "k")
 
 
-@query("p2_place_filter", f"WITH {D_NORMAL} SELECT record_id FROM r WHERE category IN ('BUILDING', 'MACHINERY') AND lat BETWEEN 11 AND 15 AND days <= 200 AND contains(norm_name, 'pho')")
-def place_filter(spark, d):
-    return normal(spark, d).filter("category IN ('BUILDING', 'MACHINERY') AND lat BETWEEN 11 AND 15 AND days <= 200").filter(F.col("norm_name").contains("pho")).select("record_id")
+_SERVED = f"""{D_NORMAL}, s AS (SELECT r.*, CASE record_id % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'permanently_closed' WHEN 2 THEN 'temporarily_closed' WHEN 3 THEN NULL ELSE 'unknown' END AS status, CASE WHEN record_id % 9 = 0 THEN NULL ELSE 2 + record_id % 7 * 0.5e0 END AS rating, repeat('$', CAST(1 + record_id % 3 AS INTEGER)) AS price_level FROM r)"""
+
 
+def served(spark, d):
+    k = F.col("record_id")
+    status = F.when(k % 5 == 0, "open").when(k % 5 == 1, "permanently_closed").when(k % 5 == 2, "temporarily_closed").when(k % 5 == 4, "unknown")
+    return normal(spark, d).select("*", k.alias("place_id"), status.alias("status"), F.when(k % 9 != 0, 2 + k % 7 * 0.5).alias("rating"), F.repeat(F.lit("$"), (1 + k % 3).cast("int")).alias("price_level"))
 
-@query("q7_autocomplete", f"WITH {D_NORMAL}, n AS (SELECT record_id, norm_name, unnest(range(2, least(8, length(norm_name)) + 1)) AS k FROM r) SELECT substr(norm_name, 1, k) AS prefix, count(DISTINCT record_id) AS n FROM n GROUP BY 1")
+
+@query("p2_place_filter", f"""WITH {_SERVED}
+SELECT 'box' AS spec, record_id FROM s WHERE coalesce(status, 'unknown') <> 'permanently_closed' AND lat BETWEEN 11 AND 15 AND lon BETWEEN 100 AND 110 AND contains(norm_name, 'ha') AND contains(norm_name, 'pho')
+UNION ALL SELECT 'rated', record_id FROM s WHERE status = 'open' AND category = 'BUILDING' AND rating >= 3.5 UNION ALL SELECT 'priced', record_id FROM s WHERE coalesce(status, 'unknown') <> 'permanently_closed' AND price_level = '$$' AND admin_unit = 9
+UNION ALL SELECT 'near', record_id FROM s WHERE coalesce(status, 'unknown') <> 'permanently_closed' AND {d_hav('12.7e0', '105.0e0', 'lat', 'lon')} <= 5000""")
+def place_filter(spark, d):
+    p = served(spark, d)
+    specs = {"box": {"box": (11, 100, 15, 110), "tokens": ["pho", "ha"]}, "rated": {"statuses": ["open"], "category": "BUILDING", "min_rating": 3.5}, "priced": {"price_level": "$$", "admin_unit": 9}, "near": {"near": (12.7, 105.0, 5000.0)}}
+    out = None
+    for name, spec in specs.items():
+        some = places.matching_places(p, **spec).select(F.lit(name).alias("spec"), "record_id")
+        out = some if out is None else out.union(some)
+    return out
+
+
+@query("q7_autocomplete", f"""WITH {D_NORMAL}, q AS (SELECT record_id AS query_id, CASE WHEN record_id % 3 = 0 THEN 'quan pho ha' ELSE substr(norm_name, 1, 5 + record_id % 4) END AS prefix, lat AS qlat, lon AS qlon FROM r WHERE record_id % 20 = 0),
+n AS (SELECT record_id AS place_id, norm_name AS term, lat, lon, TRUE AS own FROM r UNION ALL SELECT record_id, 'quan ' || norm_name, lat, lon, FALSE FROM r WHERE record_id % 4 = 0),
+h AS (SELECT query_id, place_id, max(CASE WHEN own THEN 4.5e0 ELSE 1e0 END) AS hit, any_value({d_hav('qlat', 'qlon', 'lat', 'lon')}) AS m FROM q JOIN n ON starts_with(term, prefix) GROUP BY 1, 2),
+s AS (SELECT query_id, place_id, round(hit * CASE WHEN m IS NULL THEN 1e0 ELSE pow(0.5e0, pow(m / 2000e0, 2)) END, 9) AS score FROM h),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place_id) AS rank FROM s) SELECT query_id, place_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8""")
 def autocomplete(spark, d):
-    from ..operators.search import prefixes
+    from ..operators.search import autocomplete as complete
 
-    return prefixes(normal(spark, d), "record_id", "norm_name").groupBy("prefix").agg(F.count_distinct("record_id").alias("n"))
+    r = normal(spark, d)
+    q = r.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), F.when(F.col("record_id") % 3 == 0, F.lit("quan pho ha")).otherwise(F.expr("substr(norm_name, 1, cast(5 + record_id % 4 as int))")).alias("prefix"), "lat", "lon")
+    p = r.select(F.col("record_id").alias("place_id"), F.when(F.col("record_id") % 4 == 0, F.array("norm_name", F.concat(F.lit("quan "), "norm_name"))).otherwise(F.array("norm_name")).alias("names"), "lat", "lon")
+    return complete(p, q, 8).withColumn("score", F.round("score", 6))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -86,13 +85,31 @@ def t8(spark, d):
     return ranked(spark, d).withColumn("s", s).groupBy("query_id", "domain", "item").agg(F.max("s").alias("s")).select("query_id", "item", F.round(F.col("s") + 1e-9, 6).alias("score"))
 
 
-@query("t1_place_rank", f"WITH {_R}, s AS (SELECT query_id, provider, item, 0.30e0 * score / 110000e0 + 0.20e0 * exp(-q * 100 / 750e0) + 0.10e0 + 0.07e0 * ((3e0 + d * 10) * q + 3.8e0 * 20) / (q + 20) / 5 AS s FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY round(s, 9) DESC, item) AS rank FROM s) SELECT query_id, provider, item, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10")
+#: Hits of places for queries, with all that the place score looks at.
+_HITS = """
+SELECT l_suppkey % 20 AS query_id, l_orderkey * 10 + l_linenumber AS place_id, CAST(l_extendedprice AS DOUBLE) AS text_score, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_quantity * 40e0 END AS distance_m,
+  CASE l_suppkey % 4 WHEN 0 THEN 'food' WHEN 1 THEN 'tourism' WHEN 2 THEN '' ELSE 'office' END AS wanted, CASE l_partkey % 5 WHEN 0 THEN 'food' WHEN 1 THEN 'retail' WHEN 2 THEN 'culture' WHEN 3 THEN 'office' END AS category,
+  l_discount * 10e0 AS confidence, l_tax * 12e0 AS freshness, l_linenumber AS source_count, CASE l_partkey % 6 WHEN 0 THEN 'open' WHEN 1 THEN 'unknown' WHEN 2 THEN 'temporarily_closed' WHEN 3 THEN 'permanently_closed' END AS status,
+  CASE WHEN l_linenumber = 2 THEN NULL ELSE 1e0 + l_partkey % 9 * 0.5e0 END AS rating, l_partkey % 3000 AS review_count, CASE l_linenumber % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS open_now
+FROM {lineitem}
+"""
+_NEAR_SQL = "(wanted = 'food' AND category = 'retail') OR (wanted = 'retail' AND category = 'food') OR (wanted = 'tourism' AND category IN ('lodging', 'culture')) OR (wanted = 'office' AND category = 'industrial')"
+
+
+@query("t1_place_rank", f"""WITH h AS ({sql(_HITS)}), c AS (SELECT *, text_score / max(text_score) OVER (PARTITION BY query_id) AS c1, CASE WHEN distance_m IS NULL THEN 0.5e0 ELSE exp(-distance_m / 750e0) END AS c2,
+ CASE WHEN wanted = '' THEN 0.5e0 WHEN category IS NULL THEN 0.3e0 WHEN category = wanted THEN 1e0 WHEN {_NEAR_SQL} THEN 0.6e0 ELSE 0e0 END AS c3, least(1e0, greatest(0e0, confidence)) AS c4, least(1e0, greatest(0e0, freshness)) AS c5, least(1e0, source_count / 3e0) AS c6,
+ CASE status WHEN 'open' THEN 1e0 WHEN 'temporarily_closed' THEN 0.25e0 WHEN 'permanently_closed' THEN 0e0 ELSE 0.6e0 END AS c7, least(1e0, (coalesce(rating, 3.5e0) * review_count + 35e0) / (review_count + 10) / 5) AS c8, least(1e0, ln(1e0 + review_count) / ln(1001e0)) AS c9, CASE WHEN open_now IS NULL THEN 0.5e0 WHEN open_now THEN 1e0 ELSE 0e0 END AS c10 FROM h),
+s AS (SELECT *, round(0.30e0 * c1 + 0.20e0 * c2 + 0.08e0 * c3 + 0.08e0 * c4 + 0.07e0 * c5 + 0.06e0 * c6 + 0.06e0 * c7 + 0.06e0 * c8 + 0.04e0 * c9 + 0.05e0 * c10, 9) AS score FROM c),
+k AS (SELECT 'score' AS sort, query_id, place_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, distance_m NULLS LAST, place_id) AS rank FROM s UNION ALL SELECT 'distance', query_id, place_id, score, row_number() OVER (PARTITION BY query_id ORDER BY distance_m NULLS LAST, score DESC, place_id) FROM s
+ UNION ALL SELECT 'popularity', query_id, place_id, score, row_number() OVER (PARTITION BY query_id ORDER BY review_count DESC, score DESC, distance_m NULLS LAST, place_id) FROM s)
+SELECT sort, query_id, place_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""")
 def t1(spark, d):
-    c = F.col
-    parts = {"text": c("score") / 110000, "distance": F.exp(-c("q") * 100 / 750), "category": F.lit(1.0), "rating": ranking.bayes_rating(3.0 + c("d") * 10, c("q"))}
-    r = ranked(spark, d).withColumn("s", F.round(ranking.place_score(parts), 9))
-    r = ranking.with_rank(r, ["query_id", "provider"], "s", "item").filter("rank <= 10")
-    return r.select("query_id", "provider", "item", F.round("s", 6).alias("score"), "rank")
+    h = derive(spark, d, _HITS).withColumn("categories", F.filter(F.array("category"), lambda x: x.isNotNull()))
+    out = None
+    for sort in (None, "distance", "popularity"):
+        some = ranking.rank_places(h, "query_id", "place_id", 10, sort).select(F.lit(sort or "score").alias("sort"), "query_id", "place_id", F.round("score", 6).alias("score"), "rank")
+        out = some if out is None else out.union(some)
+    return out
 
 
 @query("w9_keep_ends", f"WITH {_RANK}, t AS (SELECT * FROM k WHERE rank <= 9) SELECT query_id, provider, item, CAST(CASE WHEN rank % 2 = 1 THEN (rank + 1) / 2 ELSE 9 - rank / 2 + 1 END AS INTEGER) AS place FROM t")
@@ -242,27 +259,60 @@ def t12(spark, d):
 
 @query("a14_evidence_per_query", f"WITH {_R} SELECT query_id, count(DISTINCT url) AS items, count(DISTINCT domain) AS domains, array_to_string(list_sort(list(DISTINCT provider)), ',') AS providers, round(count(DISTINCT domain) / 97e0, 6) AS coverage FROM r GROUP BY query_id")
 def a14(spark, d):
-    return ranked(spark, d).groupBy("query_id").agg(F.count_distinct("url").alias("items"), F.count_distinct("domain").alias("domains"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"), F.round(F.count_distinct("domain") / 97, 6).alias("coverage"))
+    return evidence.per_query(ranked(spark, d), "query_id", 97).select("query_id", "items", "domains", F.array_join("providers", ",").alias("providers"), F.round("coverage", 6).alias("coverage"))
 
 
 @query("u1_lane_union", f"WITH {_R} SELECT query_id, url, max(score) AS score FROM r GROUP BY 1, 2")
 def u1(spark, d):
     r = ranked(spark, d)
-    both = r.filter("provider = 'lexical'").unionByName(r.filter("provider <> 'lexical'"))
-    n = F.row_number().over(Window.partitionBy("query_id", "url").orderBy(F.desc("score"), "provider"))
-    return both.withColumn("n", n).filter("n = 1").select("query_id", "url", "score")
+    return ranking.lane_union(r.filter("provider = 'lexical'").unionByName(r.filter("provider <> 'lexical'")), "query_id", "url", "provider", "score").select("query_id", "url", "score")
 
 
-@query("u3_u4_difference", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("u3_difference", "SELECT p_partkey AS id FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def u3(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    return evidence.difference(table(spark, d, "part").select(F.col("p_partkey").alias("id")), table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("id")), "id")
+
+
+@query("u4_stale_passages", "WITH c AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 800) / 600e0)) AS BIGINT) + 1)) AS n FROM documents), n AS (SELECT doc_id, left(text, CAST(length(text) / 2 AS BIGINT)) AS text FROM documents WHERE doc_id % 3 = 0), f AS (SELECT doc_id, unnest(range(0, CAST(greatest(0, ceil((length(text) - 800) / 600e0)) AS BIGINT) + 1)) AS n FROM n) SELECT doc_id, sha256(doc_id || ':' || n * 600) AS chunk_id FROM c WHERE doc_id % 3 = 0 AND (doc_id, n) NOT IN (SELECT doc_id, n FROM f)")
+def u4(spark, d):
+    """Passages of documents cut to half that their new passages no longer have."""
+    docs = table(spark, d, "documents")
+    old = evidence.chunks(docs, "doc_id", "text")
+    new = evidence.chunks(docs.filter("doc_id % 3 = 0").withColumn("text", F.expr("left(text, cast(length(text) / 2 as int))")), "doc_id", "text")
+    return evidence.stale_passages(old, new, "doc_id").select("doc_id", "chunk_id")
+
+
+_VEC = "vq AS (SELECT vec_id AS query_id, embedding FROM embeddings), vi AS (SELECT vec_id AS vid, embedding FROM embeddings)"
+
+
+def semantic(spark, d, rows):
+    """rows(query_id, item) with semantic: the cosine of the query's vector and the item's, null if one is missing."""
+    v = table(spark, d, "embeddings")
+    rows = rows.withColumn("vid", F.col("item") % 300)
+    rows = rows.join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left").join(v.select(F.col("vec_id").alias("vid"), F.col("embedding").alias("v")), "vid", "left")
+    return rows.withColumn("semantic", F.when(F.col("q").isNotNull() & F.col("v").isNotNull(), geo.cosine(F.col("v"), F.col("q")))).drop("q", "v", "vid")
+
+
+_COS2 = f"{_DOT.format('vi.embedding', 'vq.embedding')} / sqrt({_DOT.format('vi.embedding', 'vi.embedding')}) / sqrt({_DOT.format('vq.embedding', 'vq.embedding')})"
 
 
-@query("t4_semantic_rerank", f"WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS c, CAST(v.vec_id * 7919 % 1000 AS DOUBLE) / 1000 AS cheap FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cheap DESC, vec_id) AS r FROM s), f AS (SELECT query_id, vec_id, 0.4e0 * cheap + 0.6e0 * c AS score FROM k WHERE r <= 20), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, vec_id) AS rank FROM f) SELECT query_id, vec_id, round(score + 1e-9, 5) AS score FROM t WHERE rank <= 10")
+@query("t4_semantic_rerank", f"""WITH {_R}, {_VEC}, s AS (SELECT query_id, item, max(score) / 110000e0 AS cheap FROM r GROUP BY 1, 2), c AS (SELECT s.*, {_COS2} AS sem FROM s LEFT JOIN vq USING (query_id) LEFT JOIN vi ON vid = item % 300),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cheap, 9) DESC, item) AS r FROM c), f AS (SELECT query_id, item, round(coalesce(0.4e0 * cheap + 0.6e0 * sem, cheap), 6) AS final FROM k WHERE r <= 20), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, item) AS rank FROM f) SELECT query_id, item, final, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10""")
 def t4(spark, d):
     """Cheap score, then the top 2k blended with the vectors' cosine, then the top k."""
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), ((F.col("vec_id") * 7919 % 1000) / 1000).alias("cheap"))
-    q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = ranking.with_rank(v.join(F.broadcast(q)), ["query_id"], "cheap", "vec_id", "r").filter("r <= 20")
-    s = s.select("query_id", "vec_id", (0.4 * F.col("cheap") + 0.6 * geo.cosine(F.col("v"), F.col("q"))).alias("x")).withColumn("s", F.round("x", 7))
-    return ranking.with_rank(s, ["query_id"], "s", "vec_id").filter("rank <= 10").select("query_id", "vec_id", F.round(F.col("x") + 1e-9, 5).alias("score"))
+    r = ranked(spark, d).groupBy("query_id", "item").agg((F.max("score") / 110000).alias("cheap")).withColumn("c9", F.round("cheap", 9))
+    some = ranking.with_rank(r, ["query_id"], "c9", "item", "r").filter("r <= 20").select("query_id", "item", "cheap")  # only these need vectors
+    return ranking.staged_rerank(semantic(spark, d, some), "query_id", "item", "cheap", "semantic", 10, 0.6, 6).select("query_id", "item", "final", "rank")
+
+
+@query("t5_rank_search", f"""WITH {_RANK}, {_VEC}, w AS (SELECT *, CASE provider WHEN 'lexical' THEN 1.2e0 ELSE 0.7e0 END AS pw FROM k), f AS (SELECT query_id, url, sum(pw / (60 + rank)) AS rrf FROM w GROUP BY 1, 2),
+ i AS (SELECT query_id, url, domain, item, d, q FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank, provider) AS n FROM k) WHERE n = 1),
+ n AS (SELECT *, (rrf - min(rrf) OVER p) / (max(rrf) OVER p - min(rrf) OVER p) AS normalized, 0.3e0 * count(*) OVER (PARTITION BY query_id, domain)::DOUBLE / count(*) OVER p AS diversity FROM i JOIN f USING (query_id, url) WINDOW p AS (PARTITION BY query_id)),
+ z AS (SELECT *, greatest(0e0, least(1e0, 0.35e0 * normalized + 0.25e0 * d * 10 + 0.25e0 * q / 50e0 - 0.10e0 * diversity + 0.05e0 * 0.5e0)) AS quality FROM n),
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(quality, 9) DESC, url) AS r FROM z), b AS (SELECT query_id, url, normalized, quality, round(coalesce(0.5e0 * quality + 0.5e0 * ({_COS2}), quality), 9) AS final FROM t LEFT JOIN vq USING (query_id) LEFT JOIN vi ON vid = item % 300 WHERE r <= 20),
+ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, url) AS rank FROM b) SELECT query_id, url, round(normalized, 6) AS normalized, round(quality, 6) AS quality, round(final, 6) AS final, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 10""")
+def t5(spark, d):
+    r = ranking.with_rank(ranked(spark, d), ["query_id", "provider"], "score", "url", "position")
+    r = semantic(spark, d, r.select("query_id", "provider", "position", "url", "domain", "item", (F.col("d") * 10).alias("authority"), (F.col("q") / 50).alias("freshness"), F.lit(0.5).alias("geo")))
+    out = ranking.rank_search(r, 10, {"lexical": 1.2, "vector": 0.7, "unknown": 0.7})
+    return out.select("query_id", "url", *[F.round(c, 6).alias(c) for c in ("normalized", "quality", "final")], "rank")

@@ -62,6 +62,27 @@ def daily(spark, d):
     return telemetry.by_day(derive(spark, d, TRACES), "created_at", "intent").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"), F.max("latency_ms").alias("worst"))
 
 
+#: A log of requests.
+_LOG = """
+SELECT event_id, event_type AS endpoint, ts AS at, CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(event_id * 31 % 1000 AS DOUBLE) / 1000 END AS quality_score, CAST(event_id * 37 % 5003 AS DOUBLE) AS latency_ms, event_id % 7 AS results_count,
+  CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS cache_hit, CASE WHEN event_id % 50 = 0 THEN 'timeout' END AS error FROM {events}
+"""
+_SUMMARY = "count(*) AS queries, count(quality_score) AS scored, round(coalesce(avg(quality_score), 0), 6) AS avg_quality, round(avg(latency_ms), 6) AS avg_latency_ms, round(avg(results_count), 6) AS avg_results, CAST(sum(cache_hit) AS BIGINT) AS cache_hits, count(error) AS errors"
+
+
+@query("a20_quality_report", f'''WITH l AS ({sql(_LOG)}) SELECT 'day' AS part, CAST(CAST("at" AS DATE) AS VARCHAR) AS key, {_SUMMARY} FROM l GROUP BY 2 UNION ALL SELECT 'endpoint', endpoint, {_SUMMARY} FROM l GROUP BY 2''')
+def quality_report(spark, d):
+    log = derive(spark, d, _LOG)
+    made = [telemetry.quality_summary(log, key).withColumn("part", F.lit(part)) for part, key in (("day", F.to_date("at").cast("string").alias("key")), ("endpoint", F.col("endpoint").alias("key")))]
+    out = made[0].unionByName(made[1])
+    return out.select("part", "key", "queries", "scored", *[F.round(c, 6).alias(c) for c in ("avg_quality", "avg_latency_ms", "avg_results")], "cache_hits", "errors")
+
+
+@query("a20_worst_queries", f"WITH l AS ({sql(_LOG)}) SELECT event_id, endpoint, quality_score FROM l WHERE quality_score IS NOT NULL ORDER BY quality_score, event_id LIMIT 5")
+def worst(spark, d):
+    return telemetry.worst_queries(derive(spark, d, _LOG), "event_id").select("event_id", "endpoint", "quality_score")
+
+
 @query("a21_request_quality", f"WITH {_T} SELECT trace_id, round(CASE WHEN intent = 'error' THEN 0 ELSE 0.30e0 * results_total / 6e0 + 0.30e0 * 0.5e0 + 0.25e0 * greatest(0e0, 1 - latency_ms / 5000e0) + 0.15e0 * least(1e0, user_id % 8 / 5e0) END, 6) AS quality FROM t")
 def request_quality(spark, d):
     c = F.col
@@ -97,7 +118,7 @@ def health(spark, d):
 
 
 @query("c7_retention", f"""WITH {_T}, a AS (SELECT trace_id, intent, 'call 0912345678 now' AS query, greatest(0e0, (epoch(TIMESTAMP '2024-05-01') - floor(epoch(created_at))) / 86400) AS age FROM t)
-SELECT trace_id, CASE WHEN age > 14 THEN 'call [phone] now' ELSE query END AS query, CASE WHEN age <= 90 THEN intent END AS payload FROM a WHERE age <= 180""")
+SELECT trace_id, CASE WHEN age > 14 THEN 'call [sdt] now' ELSE query END AS query, CASE WHEN age <= 90 THEN intent END AS payload FROM a WHERE age <= 180""")
 def keep(spark, d):
     t = derive(spark, d, TRACES).select("trace_id", "created_at", F.lit("call 0912345678 now").alias("query"), F.col("intent").alias("payload"))
     return telemetry.retention(t, F.lit("2024-05-01").cast("timestamp"), "created_at", "query", "payload").drop("created_at")
