@@ -83,3 +83,47 @@ def open_now(ranges: Column, day: Column, minute: Column) -> Column:
     today = lambda r: (r["day"] == day) & F.when(r["start"] <= r["end"], minute.between(r["start"], r["end"])).otherwise(minute >= r["start"])
     tail = lambda r: (r["day"] == (day + 6) % 7) & (r["start"] > r["end"]) & (minute <= r["end"])
     return F.exists(ranges, lambda r: today(r) | tail(r))
+
+
+# Weekdays as opening hours name them, 0 is Monday.
+WEEKDAYS = {
+    "monday": 0, "tuesday": 1, "wednesday": 2, "thursday": 3, "friday": 4, "saturday": 5, "sunday": 6,
+    "thứ hai": 0, "thứ ba": 1, "thứ tư": 2, "thứ năm": 3, "thứ sáu": 4, "thứ bảy": 5, "chủ nhật": 6,
+}
+
+
+def parse_hours(hours: Column) -> Column:
+    """Days of opening hours (JSON: day -> text or list of texts): array of struct(day, items, ranges).
+
+    items: texts of the day that do not just say closed. ranges: those that read as "8:00-22:00" (minutes; after
+    midnight end is before start) or as round the clock. Days by other names are left out. Null without JSON.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    each = F.map_entries(F.from_json(hours, "map<string,string>"))
+    names = F.create_map(*[F.lit(x) for kv in WEEKDAYS.items() for x in kv])
+    many = lambda v: F.when(v.startswith("["), F.coalesce(F.from_json(v, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(v))
+    texts = lambda v: F.filter(F.transform(many(v), plain), lambda x: ~x.rlike("(?iu)^(?:đóng cửa|closed)$"))
+
+    def minutes(x, k):
+        h, m = (F.regexp_extract(x, r"^(\d{1,2}):(\d{2}) ?[–—-] ?(\d{1,2}):(\d{2})$", g).try_cast("int") for g in (k, k + 1))
+        return F.when((h < 24) & (m < 60) | (h == 24) & (m == 0), h * 60 + m)
+
+    day_long = lambda x: x.rlike(r"(?iu)24\s*(?:hours?|hrs?|h)\b|24/7|mở cửa cả ngày")
+    one = lambda x: F.when(day_long(x), F.struct(F.lit(0).alias("start"), F.lit(1440).alias("end"))).otherwise(F.struct(minutes(x, 1).alias("start"), minutes(x, 3).alias("end")))
+    ranges = lambda items: F.filter(F.transform(items, one), lambda r: r["start"].isNotNull() & r["end"].isNotNull())
+    days = F.transform(each, lambda e: F.struct(F.try_element_at(names, F.lower(plain(e["key"]))).alias("day"), texts(e["value"]).alias("items")))
+    return F.filter(F.transform(days, lambda d: F.struct(d["day"].alias("day"), d["items"].alias("items"), ranges(d["items"]).alias("ranges"))), lambda d: d["day"].isNotNull())
+
+
+def open_state(hours: Column, day: Column, minute: Column) -> Column:
+    """Whether a place with these opening hours (parse_hours) is open on a day at a minute; null if it cannot be told.
+
+    Ranges over midnight count for the day on which they begin. A day that is listed without hours, or with hours of
+    which none holds, is closed; a day that is not listed, or whose texts cannot be read, is unknown.
+    """
+    holds = lambda r: F.when(r["start"] <= r["end"], minute.between(r["start"], r["end"])).otherwise(minute >= r["start"])
+    today = F.filter(hours, lambda d: d["day"] == day)
+    open_ = F.exists(today, lambda d: F.exists(d["ranges"], holds))
+    tail = F.exists(F.filter(hours, lambda d: d["day"] == (day + 6) % 7), lambda d: F.exists(d["ranges"], lambda r: (r["start"] > r["end"]) & (minute <= r["end"])))
+    readable = F.exists(today, lambda d: (F.size(d["ranges"]) > 0) | (F.size(d["items"]) == 0))
+    return F.when(F.size(hours) > 0, F.when(open_ | tail, True).when(readable, False))

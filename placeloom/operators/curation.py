@@ -115,6 +115,19 @@ def hybrid(sparse_docs: DataFrame, sparse_queries: DataFrame, dense: DataFrame,
     return with_rank(rrf(both, "query_id", "doc", weights), ["query_id"], "rrf", "doc").filter(F.col("rank") <= top)
 
 
+def fused_lanes(rows: DataFrame, query: str, key: str, top: int, corroborated: float = 5.0) -> DataFrame:
+    """query, key, doc, authority, score, lanes, rank of rows(lane, rank from 1, doc, authority): lanes fused by reciprocal ranks.
+
+    score: a thousand times the sum of 1 / (60 + rank), to one place, and `corroborated` more if several lanes have the
+    key. Of a key's copies the one of highest authority stays, then the best placed, then the first lane's.
+    """
+    first = F.struct("authority", -F.col("rank"), "doc")
+    g = rows.groupBy(query, key).agg(F.max(first).alias("__b"), F.sum(1 / (60 + F.col("rank"))).alias("__rrf"), F.count_distinct("lane").alias("lanes"))
+    score = F.round(F.col("__rrf") * 10000) / 10 + F.when(F.col("lanes") > 1, corroborated).otherwise(0.0)
+    out = g.select(query, key, F.col("__b.doc").alias("doc"), F.col("__b.authority").alias("authority"), score.alias("score"), "lanes")
+    return with_rank(out, [query], "score", key).filter(F.col("rank") <= top)
+
+
 def cached_hits(queries: DataFrame, cached: DataFrame, least: float = 0.94) -> DataFrame:
     """query_id, hit, score: the earliest cached query of the same scope with a cosine of `least` or more, older than the query.
 

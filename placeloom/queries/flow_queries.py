@@ -43,24 +43,37 @@ def s2(spark, d):
     return readers.read_curated_ndjson(spark, path, "curated", "2024-02-01 00:00:00").select("external_id", "raw_name", "raw_phone", "lat", "lon", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
 
 
-@query("s3_places_from_documents", f"SELECT 'u' || CAST(record_id AS VARCHAR) AS external_id, raw_name, raw_phone FROM ({sql(RECORDS)}) WHERE record_id % 3 = 0")
+@query("s3_places_from_documents", f"""SELECT 'u' || CAST(record_id AS VARCHAR) AS external_id, raw_name, CASE WHEN record_id % 6 = 0 THEN raw_phone END AS raw_phone, CASE record_id % 6 WHEN 1 THEN '1 Le Loi, Hue' WHEN 2 THEN 'so 1' END AS raw_address,
+ CASE WHEN record_id % 6 = 3 THEN 10.5e0 WHEN record_id % 6 = 4 THEN 11.5e0 END AS lat, CASE WHEN record_id % 6 = 3 THEN 105.5e0 WHEN record_id % 6 = 4 THEN 106.5e0 END AS lon FROM ({sql(RECORDS)}) WHERE record_id % 6 <> 5""")
 def s3(spark, d):
-    r = derive(spark, d, RECORDS)
-    meta = F.when(F.col("record_id") % 3 == 0, F.to_json(F.struct(F.col("raw_phone").alias("telephone")))).otherwise('{"name":"only"}')
+    r, k = derive(spark, d, RECORDS), F.col("record_id") % 6
+    meta = F.when(k == 0, F.to_json(F.struct(F.col("raw_phone").alias("telephone")))).when(k == 1, '{"address":{"streetAddress":"1 Le Loi","addressLocality":"Hue","addressRegion":""}}').when(k == 2, '{"address":"so 1"}')
+    meta = meta.when(k == 3, '{"geo":{"latitude":10.5,"longitude":"105.5"}}').when(k == 4, '{"latitude":11.5,"longitude":106.5}').otherwise('{"name":"only"}')
     docs = r.select(F.concat(F.lit("u"), F.col("record_id").cast("string")).alias("url"), F.col("raw_name").alias("title"), meta.alias("metadata"))
-    return readers.places_from_documents(docs).select("external_id", "raw_name", "raw_phone")
+    return readers.places_from_documents(docs).select("external_id", "raw_name", "raw_phone", "raw_address", "lat", "lon")
 
 
-@query("s4_osm_elements", """WITH n AS (SELECT s_suppkey AS id, 10 + s_suppkey % 64 / 8e0 AS lat, 105 + s_suppkey % 32 / 8e0 AS lon, s_name, s_nationkey FROM supplier)
-SELECT 'osm_node:' || id AS external_id, s_name AS raw_name, 'shop:tea' AS raw_category, lat, lon FROM n WHERE id % 3 = 0
-UNION ALL SELECT 'osm_way:' || n_nationkey, n_name, 'amenity:cafe', avg(lat), avg(lon) FROM n JOIN nation ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name""")
+@query("s4_osm_elements", """WITH n AS (SELECT s_suppkey AS id, 10 + s_suppkey % 64 / 8e0 AS lat, 105 + s_suppkey % 32 / 8e0 AS lon, s_name, s_nationkey FROM supplier), w AS (SELECT n_nationkey, n_regionkey, n.* FROM n JOIN nation ON n_nationkey = s_nationkey),
+m AS (SELECT n_regionkey AS id, lat, lon FROM w UNION ALL SELECT r_regionkey, lat, lon FROM region JOIN n ON n.id = r_regionkey + 1)
+SELECT 'node:' || id AS external_id, s_name AS raw_name, 'shop:tea' AS raw_category, CASE WHEN id % 2 = 0 THEN 'CLOSED_PERMANENTLY' END AS raw_status, round(lat, 6) AS lat, round(lon, 6) AS lon FROM n WHERE id % 3 = 0
+UNION ALL SELECT 'way:' || n_nationkey, n_name, 'amenity:cafe', NULL, round(avg(lat), 6), round(avg(lon), 6) FROM w JOIN nation USING (n_nationkey) GROUP BY n_nationkey, n_name
+UNION ALL SELECT 'relation:' || id, r_name, 'tourism:zoo', 'CLOSED_TEMPORARILY', round(avg(lat), 6), round(avg(lon), 6) FROM m JOIN region ON r_regionkey = id GROUP BY id, r_name""")
 def s4(spark, d):
-    s = table(spark, d, "supplier")
-    tags = F.when(F.col("s_suppkey") % 3 == 0, F.create_map(F.lit("name"), F.col("s_name"), F.lit("shop"), F.lit("tea"))).otherwise(F.create_map(F.lit("highway"), F.lit("x")))
-    nodes = s.select(F.col("s_suppkey").alias("id"), (10 + F.col("s_suppkey") % 64 / 8).alias("lat"), (105 + F.col("s_suppkey") % 32 / 8).alias("lon"), tags.alias("tags"))
+    s, k = table(spark, d, "supplier"), F.col("s_suppkey")
+    named = F.create_map(F.lit("name"), F.col("s_name"), F.lit("shop"), F.lit("tea"), F.lit("opening_hours"), F.when(k % 2 == 0, "closed").otherwise("24/7"))
+    tags = F.when(k % 3 == 0, named).otherwise(F.create_map(F.lit("highway"), F.lit("x")))
+    nodes = s.select(k.alias("id"), (10 + k % 64 / 8).alias("lat"), (105 + k % 32 / 8).alias("lon"), tags.alias("tags"))
     refs = s.groupBy("s_nationkey").agg(F.collect_list("s_suppkey").alias("refs"))
-    ways = table(spark, d, "nation").join(refs, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_nationkey").alias("id"), "refs", F.create_map(F.lit("name"), F.col("n_name"), F.lit("amenity"), F.lit("cafe")).alias("tags"))
-    return readers.places_from_osm(nodes, ways).select("external_id", "raw_name", "raw_category", "lat", "lon")
+    ways = table(spark, d, "nation").join(refs, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_nationkey").alias("id"), "refs", "n_regionkey", F.create_map(F.lit("name"), F.col("n_name"), F.lit("amenity"), F.lit("cafe")).alias("tags"))
+    members = ways.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.lit("way").alias("kind"), F.col("id").alias("ref"))).alias("w"))
+    one = F.array(F.struct(F.lit("node").alias("kind"), (F.col("r_regionkey") + 1).alias("ref")))
+    relations = table(spark, d, "region").join(members, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.col("r_regionkey").alias("id"), F.concat(F.coalesce("w", F.slice(one, 1, 0)), one).alias("members"), F.create_map(F.lit("name"), F.col("r_name"), F.lit("tourism"), F.lit("zoo"), F.lit("temporary_closed"), F.lit("yes")).alias("tags"))
+    return readers.places_from_osm(nodes, ways.drop("n_regionkey"), relations).select("external_id", "raw_name", "raw_category", "raw_status", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query("s7_keyset_page", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 100")
+def s7(spark, d):
+    return readers.page(table(spark, d, "orders"), "o_orderkey", 500, 100).select("o_orderkey", "o_custkey")
 
 
 @query("s6_fingerprint")
@@ -191,14 +204,12 @@ def g8(spark, d):
 
 @query("k8_incremental_sync", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def k8(spark, d):
-    """An index of users, brought up to date batch by batch in new generations."""
+    """An index of users, brought up to date batch by batch; a batch writes the buckets again that it touches."""
     path = shared_path(spark, "sync")
-    none = spark.createDataFrame([], "user_id long, event_id long")
-    sinks.write_snapshot(none, path)
 
     def handle(df, i):
         new = df.select("user_id", "event_id").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-        sinks.write_snapshot(places.upsert(sinks.read_snapshot(spark, path), new, ["user_id"], "event_id"), path)
+        sinks.sync_buckets(spark, path, new, "user_id", lambda state, batch: places.upsert(state, batch, ["user_id"], "event_id"), 16)
 
     jobs.incremental(events_stream(spark, d), handle, shared_path(spark, "sync-state")).awaitTermination()
-    return sinks.read_snapshot(spark, path).select("user_id", "event_id")
+    return sinks.read_buckets(spark, path, table(spark, d, "events").select("user_id", "event_id")).select("user_id", "event_id")

@@ -316,3 +316,12 @@ def t5(spark, d):
     r = semantic(spark, d, r.select("query_id", "provider", "position", "url", "domain", "item", (F.col("d") * 10).alias("authority"), (F.col("q") / 50).alias("freshness"), F.lit(0.5).alias("geo")))
     out = ranking.rank_search(r, 10, {"lexical": 1.2, "vector": 0.7, "unknown": 0.7})
     return out.select("query_id", "url", *[F.round(c, 6).alias(c) for c in ("normalized", "quality", "final")], "rank")
+
+
+@query("a4_fused_lanes", f"""WITH {_RANK}, f AS (SELECT query_id, url, max(d) AS authority, round(sum(1e0 / (60 + rank)) * 10000) / 10 + CASE WHEN count(DISTINCT provider) > 1 THEN 5 ELSE 0 END AS score, count(DISTINCT provider) AS lanes FROM k GROUP BY 1, 2),
+ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS rank FROM f) SELECT query_id, url, authority, score, lanes, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 15""")
+def a4(spark, d):
+    from ..operators import curation
+
+    r = ranking.with_rank(ranked(spark, d), ["query_id", "provider"], "score", "url").select("query_id", "url", F.col("provider").alias("lane"), "rank", F.col("item").alias("doc"), F.col("d").alias("authority"))
+    return curation.fused_lanes(r, "query_id", "url", 15).select("query_id", "url", "authority", "score", "lanes", "rank")

@@ -287,6 +287,17 @@ def opening(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", geo.open_now(ranges, k * 3 % 7, k * 97 % 1440).alias("open"))
 
 
+@query("f42_hours", f"""WITH h AS (SELECT s_suppkey, s_suppkey % 10 AS kind, s_suppkey * 3 % 7 AS day, s_suppkey * 97 % 1440 AS m FROM supplier)
+SELECT s_suppkey, CASE kind WHEN 0 THEN CASE WHEN day = 0 THEN m BETWEEN 480 AND 720 OR m BETWEEN 780 AND 1020 END WHEN 1 THEN CASE WHEN day = 1 THEN m BETWEEN 480 AND 720 OR m >= 1080 WHEN day = 2 AND m <= 120 THEN true END WHEN 2 THEN CASE WHEN day = 6 THEN true END WHEN 3 THEN CASE WHEN day = 6 THEN false END
+ WHEN 4 THEN CASE WHEN day = 4 THEN false END WHEN 7 THEN CASE WHEN day = 3 THEN true END END AS open FROM h""")
+def hours(spark, d):
+    h = table(spark, d, "supplier")
+    kinds = ['{"Monday": "8:00-12:00", "Thứ  Hai": ["13:00–17:00"]}', '{"thứ ba": ["8:00 – 12:00", "18:00–02:00"]}', '{"Sunday": "Open 24 hours"}', '{"Chủ Nhật": []}', '{"friday": ["Đóng cửa"], "saturday": "whenever"}', None, '{"Wednesday": "9:00-25:00"}', '{"Thursday": "0:00-24:00"}', "broken", '{"someday": "8:00-9:00"}']
+    k = F.col("s_suppkey")
+    written_as = F.element_at(F.array(*[F.lit(x).cast("string") for x in kinds]), (k % 10 + 1).cast("int"))
+    return h.select("s_suppkey", geo.open_state(geo.parse_hours(written_as), k * 3 % 7, k * 97 % 1440).alias("open"))
+
+
 @query("f43_weeks", "SELECT event_id, CAST(isoyear(ts) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(ts) AS VARCHAR), 2, '0') AS week, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS bucket FROM events")
 def weeks(spark, d):
     return table(spark, d, "events").select("event_id", geo.iso_week(F.col("ts")).alias("week"), geo.week_bucket(F.col("ts")).alias("bucket"))

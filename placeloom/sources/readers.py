@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 LINE = "title string, place_id string, cid string, data_id string, link string, address string, complete_address struct<street:string,borough:string,city:string,state:string,country:string>, category string, phone string, web_site string, website string, latitude double, longitude double, longtitude double, business_status string, status string, permanently_closed boolean, temporarily_closed boolean, review_rating string, review_count string, __parse_error__ string"
 CURATED = "name string, external_id string, external_id_type string, source_url string, address string, phone string, website string, category string, hours string, status string, lat double, lon double, observed_at timestamp, review_status string, reviewed_at timestamp, verification_method string, __parse_error__ string"
-TAGS = ["amenity", "shop", "tourism", "healthcare", "office", "leisure", "craft"]
+# Fixed value: tags that make a named element a place, in the order in which they name its category.
+TAGS = ["amenity", "shop", "tourism", "office", "leisure", "craft", "healthcare"]
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -42,20 +43,50 @@ def read_curated_ndjson(spark: SparkSession, path: str, provider: str, fetched_a
 
 
 def places_from_documents(docs: DataFrame, metadata: str = "metadata") -> DataFrame:
-    """Observations of documents whose metadata (JSON) has a telephone, address, position or opening hours."""
-    m = F.from_json(metadata, "name string, telephone string, address string, streetAddress string, latitude double, longitude double, openingHours string")
-    d = docs.withColumn("m", m)
-    some = F.coalesce("m.telephone", "m.address", "m.openingHours", F.col("m.latitude").cast("string")).isNotNull()
-    return d.filter(some).select(F.lit("web_corpus").alias("provider"), F.col("url").alias("external_id"), F.coalesce("m.name", "title").alias("raw_name"), F.coalesce("m.address", "m.streetAddress").alias("raw_address"), F.col("m.telephone").alias("raw_phone"), F.col("url").alias("source_url"), F.col("m.latitude").alias("lat"), F.col("m.longitude").alias("lon"), F.col("m.openingHours").alias("raw_hours"))
-
-
-def places_from_osm(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Named, tagged elements: nodes(id, lat, lon, tags), ways(id, refs, tags); a way stands at the mean of its nodes. box: south, north, west, east."""
-    kind = F.coalesce(*[F.when(F.try_element_at(F.col("tags"), F.lit(t)).isNotNull(), F.concat(F.lit(f"{t}:"), F.try_element_at(F.col("tags"), F.lit(t)))) for t in TAGS])
-    shut = F.when(F.exists(F.map_keys("tags"), lambda k: k.startswith("disused:") | k.startswith("abandoned:") | k.startswith("demolished:")), "closed_permanently")
-    keep = lambda df, p: df.filter(F.try_element_at(F.col("tags"), F.lit("name")).isNotNull() & kind.isNotNull()).select(F.concat(F.lit(p), F.col("id").cast("string")).alias("external_id"), F.try_element_at(F.col("tags"), F.lit("name")).alias("raw_name"), kind.alias("raw_category"), shut.alias("raw_status"), "lat", "lon")
-    at = ways.select("id", F.explode("refs").alias("ref")).join(nodes.select(F.col("id").alias("ref"), "lat", "lon"), "ref").groupBy("id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    out = keep(nodes, "osm_node:").unionByName(keep(ways.join(at, "id"), "osm_way:"))
+    """Observations of documents whose metadata (JSON) has a telephone, address, position or opening hours, and a name or title.
+
+    A position may stand in geo; an address may be a text or an object of streetAddress, addressLocality and
+    addressRegion, which are joined. Metadata that is no JSON gives no observation.
+    """
+    get = lambda p: F.nullif(F.get_json_object(metadata, f"$.{p}"), F.lit(""))
+    address = get("address")
+    whole = F.when(address.startswith("{"), F.nullif(F.concat_ws(", ", *[get(f"address.{k}") for k in ("streetAddress", "addressLocality", "addressRegion")]), F.lit(""))).otherwise(address)
+    number = lambda k: F.coalesce(get(k), get(f"geo.{k}")).try_cast("double")
+    d = docs.select(
+        F.lit("web_corpus").alias("provider"), F.col("url").alias("external_id"), F.coalesce(get("name"), F.nullif("title", F.lit(""))).alias("raw_name"), whole.alias("raw_address"), get("telephone").alias("raw_phone"),
+        F.col("url").alias("source_url"), F.col("url").alias("raw_website"), F.coalesce(F.nullif(F.get_json_object(metadata, "$['@type']"), F.lit("")), get("category")).alias("raw_category"),
+        number("latitude").alias("lat"), number("longitude").alias("lon"), get("openingHours").alias("raw_hours"), F.coalesce(get("telephone"), address, get("geo"), get("latitude"), get("openingHours")).alias("__sign"),
+    )
+    return d.filter("__sign IS NOT NULL AND raw_name IS NOT NULL").drop("__sign")
+
+
+def places_from_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Named, tagged elements: nodes(id, lat, lon, tags), ways(id, refs, tags), relations(id, members: array of struct kind, ref; tags).
+
+    A way stands at the mean of its nodes, a relation at the mean of its member nodes and of its member ways' nodes.
+    Status: lifecycle prefixes and hours that say closed are permanent. box: south, north, west, east, of the position.
+    """
+    get = lambda k: F.nullif(F.try_element_at(F.col("tags"), F.lit(k)), F.lit(""))
+    kind = F.coalesce(*[F.concat(F.lit(f"{t}:"), get(t)) for t in TAGS])
+    shut = F.exists(F.map_keys("tags"), lambda k: k.startswith("disused:") | k.startswith("abandoned:")) | F.coalesce(get("opening_hours") == "closed", F.lit(False))
+    status = F.when(shut, "CLOSED_PERMANENTLY").when(get("temporary_closed").isin("yes", "true", "1"), "CLOSED_TEMPORARILY")
+    street = F.trim(F.concat_ws(" ", get("addr:housenumber"), get("addr:street")))
+    address = F.coalesce(get("addr:full"), F.nullif(F.concat_ws(", ", F.nullif(street, F.lit("")), F.coalesce(get("addr:district"), get("addr:city"), get("addr:province"))), F.lit("")))
+
+    def keep(df, name):
+        fields = {"raw_address": address, "raw_phone": F.coalesce(get("phone"), get("contact:phone")), "raw_website": F.coalesce(get("website"), get("contact:website"), get("url")), "raw_category": kind, "raw_status": status}
+        named = df.filter(get("name").isNotNull() & kind.isNotNull())
+        return named.select(F.concat(F.lit(f"{name}:"), F.col("id").cast("string")).alias("external_id"), get("name").alias("raw_name"), *[c.alias(k) for k, c in fields.items()], "lat", "lon")
+
+    mean = lambda df: df.groupBy("id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    spots = nodes.select(F.col("id").alias("ref"), "lat", "lon")
+    way_nodes = ways.select("id", F.explode("refs").alias("ref"))
+    out = keep(nodes, "node").unionByName(keep(ways.join(mean(way_nodes.join(spots, "ref")), "id", "left"), "way"))
+    if relations is not None:
+        m = relations.select("id", F.explode("members").alias("m")).select("id", "m.kind", "m.ref")
+        inside = m.filter("kind = 'way'").join(way_nodes.toDF("ref", "node"), "ref").select("id", F.col("node").alias("ref"))
+        at = mean(m.filter("kind = 'node'").select("id", "ref").union(inside).join(spots, "ref"))
+        out = out.unionByName(keep(relations.join(at, "id", "left"), "relation"))
     return out.filter(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:])) if box else out
 
 
@@ -67,3 +98,9 @@ def fingerprint(spark: SparkSession, path: str) -> DataFrame:
 def delta(table: DataFrame, at: str, key: str, after_at, after_key) -> DataFrame:
     """Rows after a cursor (at, key)."""
     return table.filter((F.col(at) > F.lit(after_at)) | ((F.col(at) == F.lit(after_at)) & (F.col(key) > F.lit(after_key))))
+
+
+def page(table: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The next `size` rows in order of key after a cursor (null: from the first)."""
+    rows = table if after is None else table.filter(F.col(key) > F.lit(after))
+    return rows.orderBy(key).limit(size)

@@ -31,6 +31,33 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/gen={last}")
 
 
+def sync_buckets(spark: SparkSession, path: str, batch: DataFrame, key: str, merge, buckets: int = 64) -> None:
+    """Bring a table kept in buckets of its key up to date: only buckets that the batch touches are read and written again.
+
+    merge(state, batch) gives the new rows. Each bucket's newest generation is named in the pointer table, which is appended last.
+    """
+    number = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    batch = batch.withColumn("__bucket", number)
+    touched = [r[0] for r in batch.select("__bucket").distinct().collect()]
+    if not touched:
+        return
+    before = read_buckets(spark, path, batch.drop("__bucket"), touched)
+    gen = uuid.uuid4().hex
+    merged = merge(before, batch.drop("__bucket")).withColumn("__bucket", number)
+    merged.repartition("__bucket").write.partitionBy("__bucket").parquet(f"{path}/gen={gen}")
+    spark.createDataFrame([(b, gen) for b in sorted(touched)], "bucket int, gen string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/_pointer")
+
+
+def read_buckets(spark: SparkSession, path: str, like: DataFrame, some: list[int] | None = None) -> DataFrame:
+    """The newest generation of each bucket (or of some), with the columns of `like`; no rows where nothing is written yet."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_pointer")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return like.limit(0)
+    last = spark.read.schema("bucket int, gen string, at timestamp").parquet(f"{path}/_pointer").groupBy("bucket").agg(F.max_by("gen", "at").alias("gen")).collect()
+    paths = [f"{path}/gen={r['gen']}/__bucket={r['bucket']}" for r in last if some is None or r["bucket"] in some]
+    return spark.read.schema(like.schema).parquet(*paths) if paths else like.limit(0)
+
+
 def dead_letters(rows: DataFrame, payload: str, most: int = DLQ_BYTES) -> DataFrame:
     """Payload stays valid JSON: above `most` bytes an envelope of its size and beginning."""
     n = F.octet_length(payload)
