@@ -305,6 +305,45 @@ def test_op5_probabilities_sum_to_one(spark, docs):
         assert math.isclose(np.exp(tables.log_probability((context << 12) | symbols)).sum(), 1.0, rel_tol=1e-9)
 
 
+def test_op5_equals_brute_force_kneser_ney(docs, data):
+    letters, p, b = kneser_ney.train(docs.filter("doc_id < 25"))
+    tables, order, bits = kneser_ney.Tables(p, b), kneser_ney.ORDER, kneser_ney.BITS
+    number = {chr(c): k + 3 for k, c in enumerate(letters)}
+    counts = [None] * order + [Counter()]
+    for i, t, *_ in data:
+        if i < 25:
+            s = [0] * (order - 1) + [number[x] for x in t or ""] + [1]
+            counts[order].update(tuple(s[k : k + order]) for k in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):  # below the highest order: different symbols before a gram
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    cut = [None]
+    for k in range(1, order + 1):
+        n1, n2, n3, n4 = (sum(c == x for c in counts[k].values()) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.0] if n1 and n2 else [0.5, 0.75, 0.9]
+        cut.append([min(max(x, 0.01), j - 0.01) for j, x in enumerate(d, 1)])
+    under = [None] + [{} for _ in range(order)]
+    for k in range(1, order + 1):
+        for g, c in counts[k].items():
+            under[k].setdefault(g[:-1], []).append(c)
+
+    def probability(g):
+        k = len(g)
+        low = probability(g[1:]) if k > 1 else 1 / (len(letters) + 2)
+        cs = under[k].get(g[:-1])
+        if not cs:
+            return low
+        c, total = counts[k][g], sum(cs)
+        left = sum(cut[k][min(x, 3) - 1] for x in cs) / total
+        return (max(c - cut[k][min(c, 3) - 1], 0) / total if c else 0) + left * low
+
+    rng = np.random.default_rng(9)
+    grams = [*list(counts[order])[:200], *[tuple(int(x) for x in rng.integers(0, len(letters) + 3, order)) for _ in range(100)]]
+    grams += [(*g[:3], int(rng.integers(1, len(letters) + 3)), g[4]) for g in grams[:50]]
+    keys = np.array([sum(x << bits * (order - 1 - k) for k, x in enumerate(g)) for g in grams], np.int64)
+    assert np.allclose(tables.log_probability(keys), [math.log(probability(g)) for g in grams], rtol=1e-9)
+
+
 def test_op6_spellings_and_copyright(spark, docs, empty):
     mit = "Copyright (c) 2020 Somebody\n\n" + licences.KNOWN["MIT"].upper().replace("SUBLICENSE", "Sublicence")
     some = spark.createDataFrame([(1, mit), (2, "mit"), (3, None)], "doc_id long, text string")
@@ -495,17 +534,40 @@ def test_pipeline_equals_brute_force(spark, data, tmp_path):
     for i, t in keep.items():
         last[lower(t)] = max(i, last.get(lower(t), -1))
     keep = {i: keep[i] for i in last.values()}
-    fp = {i: fingerprint(t) for i, t in keep.items()}
-    root = {i: i for i in fp}
-    for _ in fp:
-        for i in fp:
-            root[i] = min(root[j] for j in fp if bin(fp[i] ^ fp[j]).count("1") <= 4)
+    # near copies: five-word shingles, Jaccard 0.8; the smallest id of a component stays
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, lower(t).split()) for i, t in keep.items())}
+    root = {i: i for i in keep}
+    for _ in keep:
+        for i in keep:
+            root[i] = min(root[j] for j in keep if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    assert len(set(root.values())) < len(keep)
     keep = {i: keep[i] for i in set(root.values())}
-    assert {r.doc_id for r in got} <= set(keep) and got
-    words_in = sum(len(words(t)) for t in keep.values())
-    assert abs(sum(len(words(keep[r.doc_id])) for r in got) - words_in) <= 0.25 * words_in  # whole texts, so targets are met to a document
+    # the mix: sources read in hash order until their targets, again and again
+    source, size = {r[0]: r[3] for r in every}, {i: len(words(t)) for i, t in keep.items()}
+    h = {r.i: r.h for r in spark.createDataFrame([(i,) for i in keep], "i long").select("i", F.xxhash64("i", F.lit(17)).alias("h")).collect()}
+    names = sorted({source[i] for i in keep}, key=lambda x: (x is None, x or ""))
+    own = {s: sum(size[i] for i in keep if source[i] == s) for s in names}
+    weight, full, total = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}, set(), sum(size.values())
+    while True:
+        rest = total - sum(3 * own[s] for s in full)
+        share = {s: rest * weight[s] / sum(weight[x] for x in names if x not in full) for s in names if s not in full}
+        new = {s for s in share if share[s] >= 3 * own[s]}
+        if not new:
+            break
+        full |= new
+    copies = Counter()
+    for s in names:
+        wanted, at = round(3 * own[s] if s in full else share[s]), 0
+        for i in sorted((i for i in keep if source[i] == s), key=lambda i: (h[i], i)):
+            copies[i] = sum(wanted - p * own[s] - at > 0 for p in range(3))
+            at += size[i]
+    assert Counter(r.doc_id for r in got) == +copies
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for r in got:
-        assert r.decoded_sha256 == hashlib.sha256(keep[r.doc_id].encode()).hexdigest()
+        assert r.ids == enc.encode_ordinary(keep[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(keep[r.doc_id].encode()).hexdigest()
 
 
 def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
