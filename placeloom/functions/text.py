@@ -72,6 +72,13 @@ LIFETIME_PHRASES = {
     ],
     "static": ["api reference", "cach su dung", "cach dung", "cu phap", "documentation", "how to", "huong dan", "syntax", "tutorial"],
 }
+# Words that join two questions, that begin a comparison, and that name a side of a thing asked about.
+CONJUNCTIONS = ["và", "and", "&", "vs", "với", "versus", "hoặc", "hay", "or"]
+COMPARISON_PREFIXES = ["so sánh", "so với", "compare", "versus", "vs"]
+ASPECTS = [
+    "giá", "ngày ra mắt", "ngày", "price", "release date", "specs", "review", "đánh giá", "hiệu năng", "performance", "thiết kế",
+    "design", "pin", "battery", "camera", "màn hình", "display", "tính năng", "features",
+]
 # Orders to a reader that untrusted text may hold.
 INJECTIONS = [
     r"ignore\s+(all\s+)?previous\s+instructions?", r"disregard\s+(all\s+)?previous\s+instructions?", r"you\s+are\s+now\s+a?\s+",
@@ -228,3 +235,28 @@ def legal_clause(text: Column) -> Column:
     clause = F.regexp_extract(text, r"(?:Khoản|Clause)\s+([0-9]+)", 1)
     named = F.when(clause != "", F.concat(F.lit("Điều "), article, F.lit(", Khoản "), clause)).otherwise(F.concat(F.lit("Điều "), article))
     return F.when(article != "", named)
+
+
+def decompose(query: Column, most: int = 2) -> Column:
+    """The questions that a query joins, at most `most` (the last holds the rest); a query without a conjunction is one.
+
+    Words of comparison at a question's begin go. A question that begins with an aspect (price, camera) and does not
+    name the first question's thing gets it in front: the first question without an aspect at its end.
+    """
+    whole = F.trim(F.coalesce(query, F.lit("")))
+    joins = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(CONJUNCTIONS)})(?![\p{{L}}\p{{N}}_])"
+    longest = lambda words: "|".join(sorted(words, key=len, reverse=True))
+    plain = lambda x: F.trim(F.regexp_replace(F.trim(x), rf"(?iu)^(?:{longest(COMPARISON_PREFIXES)})", ""))
+
+    def made(parts):
+        first = F.slice(parts, 1, most - 1)
+        cut = F.transform(F.when(F.size(parts) > most, F.concat(first, F.array(F.array_join(F.slice(parts, most, 1 << 20), " ")))).otherwise(parts), plain)
+        return F.when(F.size(parts) <= 1, F.array(whole)).otherwise(let(cut, carried))
+
+    def carried(parts):
+        head = F.element_at(parts, 1)
+        thing = F.trim(F.regexp_replace(head, rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{longest(ASPECTS)})\s*$", ""))
+        alone = lambda x: F.lower(x).rlike(rf"^(?:{'|'.join(ASPECTS)})") & (thing != "") & ~F.contains(F.lower(x), F.lower(thing))
+        return F.transform(parts, lambda x, i: F.when((i > 0) & alone(x), F.concat(thing, F.lit(" "), x)).otherwise(x))
+
+    return let(F.filter(F.transform(F.split(whole, joins), lambda x: F.trim(x)), lambda x: x != ""), made)

@@ -9,10 +9,14 @@ from ..plans.graph import shared_path, written
 from ..sources import readers, sinks
 from ..streaming import jobs
 from .fixtures import RECORDS, derive, sql, table
-from .place_queries import normal
+from .place_queries import _PLACES, D_NORMAL, normal
 from .registry import query
 
 
+#: Normal records of the places whose links are stale.
+D_STALE = D_NORMAL.replace("FROM r2)", "FROM r2 WHERE p % 15 = 0)")
+
+
 def lines(spark, d):
     """Scraper lines of the records; some are broken, some blank."""
     r, i = derive(spark, d, RECORDS), F.col("record_id")
@@ -127,7 +131,7 @@ def c1(spark, d):
     return ingest.ingest(spark, r, state, shared_path(spark, "ingest"), "run-1")[1]
 
 
-@query("c3_relink_stale")
+@query("c3_relink_stale", f"WITH RECURSIVE {D_STALE}, {_PLACES} SELECT record_id, place_id, true AS relinked FROM links UNION ALL SELECT c_custkey, c_custkey - c_custkey % 3, false FROM customer WHERE (c_custkey - c_custkey % 3) % 15 <> 0")
 def c3(spark, d):
     """Places of every fifth record's group come from an old matcher."""
     n = normal(spark, d)
@@ -185,13 +189,16 @@ def g4(spark, d):
     return jobs.latest(t, "key").withColumn("success_rate", F.round("success_rate", 6))
 
 
-@query("g5_ema_state")
+@query("g5_ema_state", """
+WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+e AS (SELECT user_id, i, value AS ema FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, 0.7e0 * e.ema + 0.3e0 * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.i = e.i + 1)
+SELECT user_id AS key, round(arg_max(ema, i), 6) AS ema, count(*) AS n FROM e GROUP BY user_id""")
 def g5(spark, d):
     t = with_rocks(spark, lambda: jobs.run_once(spark, jobs.ema_by_key(events_stream(spark, d), "user_id", 0.3), "update", "ema"))
     return jobs.latest(t, "key").withColumn("ema", F.round("ema", 6))
 
 
-@query("g6_distinct_interactions")
+@query("g6_distinct_interactions", "SELECT DISTINCT user_id, event_type FROM events")
 def g6(spark, d):
     return jobs.run_once(spark, jobs.distinct_interactions(events_stream(spark, d), ["user_id", "event_type"]), "append", "interactions").select("user_id", "event_type")
 

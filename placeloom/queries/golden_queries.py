@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import payload
+from ..functions import payload, text
 from ..operators import golden
 from .fixtures import RANKED, RECORDS, derive, sql, table
 from .registry import query
@@ -152,6 +152,16 @@ def f16(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.posexplode(payload.sub_queries(q)).alias("n", "sub"))
 
 
+@query("f16_decompose", """SELECT c_custkey, n, CASE c_custkey % 5 WHEN 0 THEN CASE n WHEN 0 THEN 'Phone' || c_custkey || ' giá' ELSE 'Phone' || c_custkey || ' camera' END WHEN 1 THEN CASE n WHEN 0 THEN 'A' || c_custkey ELSE 'B or C' END
+ WHEN 2 THEN 'handy order ' || c_custkey WHEN 3 THEN CASE n WHEN 0 THEN 'pin Phone' || c_custkey ELSE 'pin Phone' || c_custkey || ' price of B' END ELSE '' END AS sub FROM customer, (SELECT unnest([0, 1]) AS n) WHERE n = 0 OR c_custkey % 5 NOT IN (2, 4)""".replace("'B or C'", "'B C'"))
+def f16_decompose(spark, d):
+    """Questions joined by a conjunction; an aspect alone gets the first one's thing."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    q = F.when(k % 5 == 0, F.concat(F.lit("Phone"), key, F.lit(" giá và camera"))).when(k % 5 == 1, F.concat(F.lit("So sánh A"), key, F.lit(" VS B or C"))).when(k % 5 == 2, F.concat(F.lit(" handy order "), key)).when(k % 5 == 3, F.concat(F.lit("pin Phone"), key, F.lit(" and price of B"))).otherwise("")
+    return table(spark, d, "customer").select("c_custkey", F.posexplode(text.decompose(q)).alias("n", "sub"))
+
+
 @query("p5_strict_specialty", "SELECT p_partkey, contains(lower(p_type), 'promo') AS has FROM part")
 def p5_strict(spark, d):
     """By the specialties alone, whatever the name says."""

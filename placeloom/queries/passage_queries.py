@@ -11,7 +11,11 @@ from .registry import query
 from .text_queries import d_tokens
 
 
-@query("f23_sentence_passages")
+@query("f23_sentence_passages", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+$') AS ps FROM documents), p AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM t),
+a AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM p),
+s AS (SELECT doc_id, i, start + length(p) - length(regexp_replace(p, '^\s+', '')) AS b, regexp_replace(regexp_replace(p, '^\s+', ''), '\s+$', '') AS s FROM a)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS n, CAST(b AS INTEGER) AS begin, CAST(b + length(s) AS INTEGER) AS "end", s AS text FROM s WHERE s <> ''""")
 def f23(spark, d):
     s = table(spark, d, "documents").select("doc_id", F.posexplode(passages.sentence_spans(F.col("text"))).alias("n", "s"))
     return s.select("doc_id", "n", "s.*")
