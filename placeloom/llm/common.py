@@ -82,8 +82,17 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z only."""
-    return F.translate(c, UPPER, LOWER)
+    """Lower-case A-Z only. Texts of ASCII letters go the short way."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
+#: Tables of so many rows at most (ids and digests) are broadcast.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """df, broadcast if it has `most` rows or fewer; df has to be written, as it is counted."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def let(value: Column, body) -> Column:

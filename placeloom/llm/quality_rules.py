@@ -26,29 +26,34 @@ SALTS = 64
 def repeat_words(words: Column) -> Column:
     """Words in 3-word windows found twice or more in the text, the first time included.
 
-    Windows are compared by 96 bits of two hashes within one text, sorted with their places; runs of equal hashes
-    give the covered places, of which each word counts once. n log n in the words of the text.
+    Windows are hashed to 64 bits; where no hash occurs twice, no window does. Else windows are compared by 96 bits of
+    two hashes within the text, sorted with their places; runs of equal hashes give the covered places, of which each word
+    counts once. n log n in the words of the text.
     """
     of = lambda w, i: (F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(*of(w, i)).alias("h"), F.hash(*of(w, i)).alias("g"), i.alias("i")))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(*of(words, i)))
+    windows = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("h"), F.hash(*of(words, i)).alias("g"), i.alias("i")))
     same = lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"])
     pairs = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    begins = lambda w: F.array_sort(F.array_distinct(F.flatten(let(F.array_sort(windows(w)), pairs))))
+    begins = lambda h: F.array_sort(F.array_distinct(F.flatten(let(F.array_sort(windows(h)), pairs))))
     gaps = lambda b: F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), lambda x, y: F.least(F.lit(3), y - x))
     covered = lambda b: F.when(F.size(b) == 0, 0).otherwise(F.aggregate(gaps(b), F.lit(3), lambda t, g: t + g))
-    return F.when(F.size(words) < 4, 0).otherwise(let(begins(words), covered)).cast("long")
+    found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(begins(h), covered)))
+    return F.when(F.size(words) < 4, 0).otherwise(found).cast("long")
 
 
 def features(text: Column) -> Column:
     """A struct of n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words of a text. Null text: all 0."""
     text = F.coalesce(text, F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    by_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeats")))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    by_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.char_length(F.array_join(w, "")).cast("long").alias("chars"), repeat_words(w).alias("repeats")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again")))
+    plain = text
+    for symbol in SYMBOLS:
+        plain = F.replace(plain, F.lit(symbol), F.lit(""))
     made = lambda w, x: F.struct(
-        w["n"].alias("n_words"), F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        w["n"].alias("n_words"), w["chars"].alias("word_chars"), (F.char_length(text) - F.char_length(plain)).cast("long").alias("n_symbols"),
         x["n"].alias("n_lines"), x["again"].alias("n_dup_lines"), w["repeats"].alias("n_repeat_words"),
     )
     return let(by_words, lambda w: let(by_lines, lambda x: made(w, x)))
