@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, fresh, save, text_or_empty
+from .common import ascii_lower, attach, fresh, save, small, text_or_empty
 
 
 #: Up to so many repeated hashes are broadcast, so that only texts which may be copies are shuffled.
@@ -65,7 +65,8 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = save(found.select(F.col("doc_id").alias(gone_id), F.unhex("text_sha256").alias(gone_sha), stays).distinct(), "exact-dropped")
     rows = docs.withColumn(digest, F.unhex(F.sha2(ascii_lower(text_or_empty(text_col)), 256)))
     same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone_sha))
-    rows = rows.join(found.filter(~F.col(again)).drop(again), same, "left_anti")
+    gone = save(found.filter(~F.col(again)).drop(again), "exact-gone")
+    rows = rows.join(small(gone), same, "left_anti")
     twice = found.filter(again)
     if twice.limit(1).count():  # rows repeated under the id that stays
         rows = rows.join(twice, same, "left").drop(gone_id, gone_sha)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, read_documents, save
+from .common import WORD, fresh, read_documents, save, small
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -121,6 +121,7 @@ def mixed(docs: DataFrame, **columns) -> DataFrame:
     copy_id, copy, position = fresh(docs, "copy_id", "copy", "position")
     copies, _ = mix(docs, **columns)
     copies = copies.select(F.col("doc_id").alias(copy_id), F.col("pass").alias(copy), F.col("position").alias(position)).distinct()
+    copies = small(save(copies, "mix-copies"))
     out = docs.join(copies, F.col(id_col).eqNullSafe(F.col(copy_id)))
     return out.repartitionByRange(position, id_col).sortWithinPartitions(position, id_col, copy).select(*docs.columns)
 
