@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, fresh, read_documents, save, slices, text_or_empty
+from .common import attach, fresh, read_documents, save, slices, small, text_or_empty
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -318,9 +318,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def batches(it):
         for batch in it:
-            for part in slices(batch, 2, 8 << 20):
+            for part in slices(batch, 2, 2 << 20):
                 out = zip(*[one(t.as_py()) for t in part.column(2).cast(pa.binary())])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(out, types)]], names=names)
+                pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_digest(text_col).alias("digest"), F.col(text_col).alias("text"))
@@ -337,6 +338,8 @@ def shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, most: int =
             for part in slices(batch, 1, 2 << 20):
                 sets = [_shingles(t.as_py()).view(np.int64) for t in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                del sets
+                pa.default_memory_pool().release_unused()
 
     wanted = save(wanted, "near-wanted")
     few = F.broadcast(wanted) if wanted.count() <= most else wanted
@@ -363,54 +366,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Links (u, v) that connect just those nodes (different sets of shingles) that candidate pairs alike by NEAR_JACCARD connect.
 
-    Candidates are all pairs of a bucket. First each set is held against the smallest of each of its buckets, so a
-    large group of near copies gives no square of pairs: against the first such set, then against others only where
-    these are not connected yet. Then, in buckets whose sets are not all connected, all pairs from different
+    Candidates are all pairs of a bucket. First each set is held against one other, the smallest head (smallest set of
+    a bucket) of its buckets, so a large group of near copies gives no square of pairs. Then, in buckets whose sets are
+    not all connected yet, those not connected to the head are held against it, and at last all pairs from different
     components are. Pairs left out are connected already. Only sets in candidate pairs are made from texts again.
     """
     light = F.struct("n", "fp", "table")
     sets = rows.select("node", light.alias("s"), "keys", "digest").groupBy("node").agg(F.first("s").alias("s"), F.first("keys").alias("keys"), F.min("digest").alias("digest"))
     sets = save(sets, "near-sets")
-    members = sets.select("node", F.posexplode("keys").alias("band", "key"))
-    heads = members.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    heads = save(heads, "near-heads")
-    full = attach(members, heads, ["band", "key"], "n", sets.count() * NEAR_BANDS, F.xxhash64("node")).filter("head is not null")
-    full = save(full.drop("n"), "near-members")
     s = sets.select("node", "s")
     made: list[DataFrame] = []
 
-    def shingles(pairs):
-        """Sets of all nodes of the pairs; those not made before are made now."""
+    def linked(pairs):
+        """Those of the different pairs that are alike. Sets of nodes that were not made before are made now."""
+        pairs = pairs.join(s.toDF("v", "b"), "v").join(s.toDF("u", "a"), "u").filter(near_enough("a", "b"))
+        pairs = save(pairs.select("u", "v"), "near-pairs")
         nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         for before in made:
             nodes = nodes.join(before.select("node"), "node", "left_anti")
         made.append(shingle_sets(docs, text_col, nodes.join(sets.select("node", "digest"), "node")))
-        return made[0] if len(made) == 1 else made[0].union(made[1])
-
-    first = full.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    first = first.join(s.toDF("v", "b"), "v").join(s.toDF("u", "a"), "u").filter(near_enough("a", "b"))
-    first = save(first.select("u", "v"), "near-pairs")
-    known = shingles(first)
-    links = verified(first.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), known)
-
-    def apart(pairs, roots):
-        """The pairs whose nodes are in different components."""
-        out = pairs.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
-        return out.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-
-    links = save(links.union(verified(apart(first, components(links)), known)), "near-links")
-
-    roots = components(links)
-    rest = full.join(roots, "node", "left").select("node", "band", "key", F.coalesce("root", "node").alias("root"))
-    rest = save(rest, "near-rest")
-    split = rest.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band", "key")
-    rest = save(rest.join(split, ["band", "key"]).join(s, "node"), "near-split")
+        known = made[0]
+        for more in made[1:]:
+            known = known.union(more)
+        return verified(pairs, known)
+
+    def split_buckets(links):
+        """band, key, node, root of the nodes in buckets whose nodes are in several components."""
+        labelled = sets.select("node", "keys").join(components(links), "node", "left")
+        members = save(labelled.select("node", F.coalesce("root", "node").alias("root"), "keys"), "near-labels").select("node", "root", F.posexplode("keys").alias("band", "key"))
+        split = members.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("band", "key")
+        return save(members.join(split, ["band", "key"]), "near-split")
+
+    members = sets.select("node", F.posexplode("keys").alias("band", "key"))
+    heads = members.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = save(heads, "near-heads")
+    first = attach(members, heads, ["band", "key"], "n", sets.count() * NEAR_BANDS, F.xxhash64("node")).filter("head < node")
+    links = linked(first.groupBy(F.col("node").alias("v")).agg(F.min("head").alias("u")).select("u", "v"))
+
+    rest = split_buckets(links)
+    head = rest.groupBy("band", "key").agg(F.min(F.struct("node", "root")).alias("h"))
+    pairs = rest.join(head, ["band", "key"]).filter("root <> h.root").select(F.col("h.node").alias("u"), F.col("node").alias("v")).distinct()
+    links = save(links.union(linked(pairs)), "near-links")
+
+    rest = split_buckets(links).join(s, "node")
     x, y = (rest.select("band", "key", *[F.col(c).alias(c + end) for c in ("node", "root", "s")]) for end in ("_x", "_y"))
     more = x.join(y, ["band", "key"]).filter((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & near_enough("s_x", "s_y"))
-    more = save(more.select(F.col("node_x").alias("u"), F.col("node_y").alias("v")).distinct(), "near-pairs")
-    if not more.limit(1).count():
-        return links
-    return links.union(verified(more, shingles(more)))
+    more = save(more.select(F.col("node_x").alias("u"), F.col("node_y").alias("v")).distinct(), "near-more")
+    return links.union(linked(more)) if more.limit(1).count() else links
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,7 +443,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     gone = found.filter(F.col("keep").isNotNull() & ~stays).select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct()
     gone = save(gone, "near-dropped")
     same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_digest))
-    return docs.withColumn(own, text_digest(text_col)).join(gone, same, "left_anti").drop(own)
+    return docs.withColumn(own, text_digest(text_col)).join(small(gone), same, "left_anti").drop(own)
 
 
 def op4_simhash_pivots(spark, sf_dir):
