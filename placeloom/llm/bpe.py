@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import fresh, per_process, read_documents, slices
 
 #: Text of one replay: the words of about so many bytes are merged together.
-CORPUS_BYTES = 2 << 20
+CORPUS_BYTES = 8 << 20
 #: Ids that decoding holds as Python numbers at once.
 DECODE_IDS = 1 << 18
 
