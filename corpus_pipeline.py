@@ -40,7 +40,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select("doc_id", "text")
-    both = bpe.encode(rows, ranks, public_tokenizers.PATTERN, decoded="decoded", keep_text=False)
+    # less text at once than op10 takes, as earlier stages have grown the executors
+    both = bpe.encode(rows, ranks, public_tokenizers.PATTERN, decoded="decoded", keep_text=False, corpus_bytes=2 << 20)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", bpe.ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
