@@ -5,13 +5,11 @@ A pack or query holds tens of rows, so rows meet within it by shared keys.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, web
-from ..plans.graph import components
+from ..plans.graph import components, written
 from .ranking import rrf, with_rank
 from .search import fuzzy, in_blocks, small, sparse_search
 
@@ -40,31 +38,51 @@ def independent_sources(sources: DataFrame, least: float = CONTAINED, n: int = S
 
 
 def simhash(words: Column) -> Column:
-    """64 bits: one where over half of the words' xxHash64 have one."""
+    """64 bits: one where over half of the words' xxHash64 have one; none of no words."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    # three bits are counted in each of 22 longs, in 20 of its bits; words number below 2^20
+    places = [[b for b in range(3 * k, min(64, 3 * k + 3))] for k in range(22)]
 
-    @F.pandas_udf("long")
-    def bits(hashes: pd.Series) -> pd.Series:
-        def one(h):
-            h = np.asarray(h, np.int64)
-            ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-            return np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0]
+    def count(hs, bits):
+        added = lambda h: sum((F.shiftleft(F.getbit(h, F.lit(b)).cast("long"), 20 * j) for j, b in enumerate(bits)), F.lit(0).cast("long"))
+        return F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a + added(h))
 
-        return hashes.map(one)
+    def packed(hs):
+        out = F.lit(0).cast("long")
+        for bits in places:
+            n = count(hs, bits)
+            for j, b in enumerate(bits):
+                most = 2 * F.shiftright(n, 20 * j).bitwiseAND(F.lit((1 << 20) - 1)) > F.size(hs)
+                out = out.bitwiseOR(F.when(most, F.lit(-(1 << 63) if b == 63 else 1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
 
-    return bits(F.transform(words, lambda w: F.xxhash64(w)))
+    return text.let(hashes, packed)
 
 
 def drop_near_copies(items: DataFrame, pack: str, key: str, rank: str, words: str, most: int = 3) -> DataFrame:
-    """Items of a pack without those within `most` bits of a better ranked one; kept and dropped ones are told by copy_of (null: kept).
+    """Items of a pack without those within `most` bits of a better ranked one that stays; copy_of tells the best such one (null: the item stays).
 
-    Two fingerprints that differ in 3 bits agree on one of four 16-bit bands.
+    Two fingerprints that differ in 3 bits agree on one of four 16-bit bands. Items are decided by rounds: one without
+    a better near item stays; one near an item that stays goes; what went no longer counts for the rest.
     """
     h = items.select(pack, key, rank, simhash(F.col(words)).alias("h"))
     bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("band")) for i in range(4)])
     e = h.select(pack, key, rank, "h", F.explode(bands).alias("b"))
     o = e.select(pack, F.col(key).alias("__o"), F.col(rank).alias("__r"), F.col("h").alias("__h"), "b")
     near = e.join(o, [pack, "b"]).filter((F.col("__r") < F.col(rank)) & (F.bit_count(F.col("h").bitwiseXOR(F.col("__h"))) <= most))
-    copy = near.groupBy(pack, key).agg(F.min_by("__o", "__r").alias("copy_of"))
+    open_ = all_ = written(near.select(pack, key, "__o", "__r").distinct(), "near-items")
+    gone = None
+    while open_.limit(1).count():
+        # better items that are not themselves open (not in the left column) stay
+        waiting = open_.select(pack, F.col(key).alias("__o")).distinct()
+        now = written(open_.join(waiting, [pack, "__o"], "left_anti").select(pack, key).distinct(), "near-gone")
+        gone = now if gone is None else gone.union(now)
+        open_ = open_.join(now, [pack, key], "left_anti")
+        open_ = written(open_.join(now.withColumnRenamed(key, "__o"), [pack, "__o"], "left_anti").select(pack, key, "__o", "__r"), "near-items")
+    if gone is None:
+        return items.withColumn("copy_of", F.lit(None).cast(items.schema[key].dataType))
+    stays = all_.join(gone, [pack, key], "left_semi").join(gone.withColumnRenamed(key, "__o"), [pack, "__o"], "left_anti")
+    copy = stays.groupBy(pack, key).agg(F.min_by("__o", "__r").alias("copy_of"))
     return items.join(copy, [pack, key], "left")
 
 

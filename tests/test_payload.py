@@ -47,11 +47,31 @@ def test_near_copies_equal_all_pairs(spark):
     for r in rows:
         packs.setdefault(r.pack, []).append((r.source_id, r.h & (1 << 64) - 1))
     for group in packs.values():
-        for i, h in group:
-            want[i] = min((j for j, g in group if j < i and bin(g ^ h).count("1") <= 3), default=None)
+        kept = []
+        for i, h in sorted(group):
+            want[i] = min((j for j, g in kept if bin(g ^ h).count("1") <= 3), default=None)
+            kept += [(i, h)] if want[i] is None else []
     assert {r.source_id: r.copy_of for r in registry.QUERIES["a13_near_copies"](spark, SF).collect()} == want and any(want.values())
 
 
+def test_near_copies_of_dropped_ones_stay(spark, monkeypatch):
+    h = {1: 0, 2: 0b111, 3: 0b111111, 4: 0b111111111, 5: -1}  # each within 3 bits of the one before
+    monkeypatch.setattr(curation, "simhash", lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in h.items() for x in (kv[0], F.lit(kv[1]).cast("long"))]), c))
+    rows = spark.createDataFrame([(p, i, i) for p in (1, 2) for i in h], "pack long, id long, w long")
+    got = {(r.pack, r.id): r.copy_of for r in curation.drop_near_copies(rows, "pack", "id", "id", "w").collect()}
+    assert got == {(p, i): {2: 1, 4: 3}.get(i) for p in (1, 2) for i in h}
+
+
+def test_simhash_bits(spark):
+    import xxhash
+
+    words = ["a", "b", "c", "a", "đ"]
+    hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hs) > len(hs))
+    got = spark.createDataFrame([(words,)], "w array<string>").select(curation.simhash(F.col("w"))).first()[0]
+    assert got & (1 << 64) - 1 == want
+
+
 def test_simhash_of_no_words(spark):
     assert one(spark, "", lambda c: curation.simhash(text.tokens(c))) == 0
 
