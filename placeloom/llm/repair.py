@@ -24,6 +24,8 @@ SHARD_IDS = 1 << 21
 MIN_PAIR = 4
 #: Documents are read back together up to so many ids.
 READ_IDS = 1 << 16
+#: Rules of so many ids at most are expanded once for a shard.
+SHORT = 64
 #: Words whose ids a process keeps at most.
 CACHE_WORDS = 1 << 20
 MAGIC = b"RPR1"
@@ -119,10 +121,14 @@ def lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
     return out[first_rule:]
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
-    """The ids of a sequence: each pass replaces every nonterminal by its two parts."""
+def expand(seq: np.ndarray, rules: np.ndarray, first_rule: int, stop: np.ndarray | None = None) -> np.ndarray:
+    """The ids of a sequence: each pass replaces every nonterminal by its two parts (with stop, but those rules for which it is true)."""
     seq = seq.astype(np.int64)
-    while len(big := np.flatnonzero(seq >= first_rule)):
+    again = np.ones(first_rule + len(rules), bool)
+    again[:first_rule] = False
+    if stop is not None:
+        again[first_rule:] = ~stop
+    while len(big := np.flatnonzero(again[seq])):
         wide = np.ones(len(seq), np.int64)
         wide[big] = 2
         at = np.cumsum(wide) - wide
@@ -161,17 +167,25 @@ class Shard:
         self.ends = np.cumsum(self.sizes)
         self.wide = np.where(self.seq >= self.first_rule, np.append(self.rule_lengths, 0)[np.maximum(self.seq - self.first_rule, -1)], 1)
         self.after = np.cumsum(self.wide)
+        # ids of each symbol that is short, one after the other; longer rules are replaced by these first
+        self.short = self.rule_lengths <= SHORT
+        size = np.append(np.ones(self.first_rule, np.int64), np.where(self.short, self.rule_lengths, 0))
+        table = expand(self.first_rule + np.flatnonzero(self.short), self.rules, self.first_rule)
+        self.size, self.flat = size, np.concatenate((np.arange(self.first_rule), table)).astype(np.uint32)
+
+    def _expand(self, seq: np.ndarray) -> np.ndarray:
+        return _gather(self.size, self.flat, expand(seq, self.rules, self.first_rule, self.short))[1]
 
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first_rule)
+        return self._expand(self.seq)
 
     def slice(self, begin: int, end: int) -> np.ndarray:
         """Ids begin to end of the shard; only symbols that overlap them are expanded."""
         if begin >= end:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.uint32)
         i, j = np.searchsorted(self.after, begin, "right"), np.searchsorted(self.after, end, "left")
         skip = begin - (self.after[i] - self.wide[i])
-        return expand(self.seq[i : j + 1], self.rules, self.first_rule)[skip : skip + end - begin]
+        return self._expand(self.seq[i : j + 1])[skip : skip + end - begin]
 
     def document(self, k: int) -> np.ndarray:
         return self.slice(int(self.ends[k] - self.sizes[k]), int(self.ends[k]))
