@@ -20,7 +20,7 @@ def test_osm_ways_stand_at_their_mean(spark):
     nodes = spark.createDataFrame([(1, 10.0, 106.0, {"name": "A", "shop": "tea"}), (2, 12.0, 108.0, {})], "id long, lat double, lon double, tags map<string,string>")
     ways = spark.createDataFrame([(9, [1, 2], {"name": "B", "amenity": "cafe", "disused:shop": "x"})], "id long, refs array<long>, tags map<string,string>")
     got = {r.external_id: (r.raw_category, r.raw_status, r.lat) for r in readers.places_from_osm(nodes, ways).collect()}
-    assert got == {"osm_node:1": ("shop:tea", None, 10.0), "osm_way:9": ("amenity:cafe", "closed_permanently", 11.0)}
+    assert got == {"node:1": ("shop:tea", None, 10.0), "way:9": ("amenity:cafe", "CLOSED_PERMANENTLY", 11.0)}
 
 
 def test_dead_letters_are_json(spark):
