@@ -92,14 +92,14 @@ def candidate_pairs(records: DataFrame, threshold: float = MERGE_THRESHOLD) -> D
 
     No pair over 200 m apart is accepted, so records with coordinates meet within cells only. Records of one phone of
     which one has no coordinates are always accepted, as are those at one place, so these meet their smallest record
-    only. Pairs of different phones score 0.445 at most beside their names, so these must share a part of the smaller
-    one's words; they meet by one of its rarest words (as many as must hold a shared one): with coordinates in a cell,
+    only. Pairs of different phones score 0.445 at most beside their names (0.295 where coordinates are missing), so these must share
+    a part of the smaller one's words; they meet by one of its rarest words (as many as must hold a shared one): with coordinates in a cell,
     else in a unit or domain. So neither a hot phone nor a hot word makes all pairs of its block, and none that can be
     accepted is left out.
     """
     if threshold <= 0.5:
         raise ValueError("at a threshold of 0.5 or less records over 200 m apart could be accepted")
-    shared = (threshold - 0.445) / 0.45 - 1e-9
+    enough = lambda most: F.col("rare") <= F.col("k") - F.ceil(((threshold - most) / 0.45 - 1e-9) * F.col("k")) + 1
     here = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     words = F.array_distinct(F.filter(F.split(F.coalesce("norm_name", F.lit("")), " "), lambda w: w != ""))
     r = records.select("record_id", "phone", "domain", "admin_unit", "lat", "lon", here.alias("here"), words.alias("words"))
@@ -118,11 +118,11 @@ def candidate_pairs(records: DataFrame, threshold: float = MERGE_THRESHOLD) -> D
     each = written(each, "name-words")
     count = small(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     rare = F.row_number().over(Window.partitionBy("record_id").orderBy("n", "word"))
-    probes = each.join(count, "word").withColumn("rare", rare).filter(F.col("rare") <= F.col("k") - F.ceil(shared * F.col("k")) + 1)
-    probes = written(probes.drop("n", "rare", "k"), "rare-words")
+    probes = each.join(count, "word").withColumn("rare", rare).filter(enough(0.445))
+    probes = written(probes.drop("n"), "rare-words")
     located = probes.filter("here").select("word", home.alias("cell"), F.col("record_id").alias("a")).join(each.filter("here").select("word", around.alias("cell"), F.col("record_id").alias("b")), ["word", "cell"]).select("a", "b")
     keys = F.explode(F.filter(F.array(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("u:"), F.col("admin_unit").cast("string"))), lambda x: x.isNotNull())).alias("key")
-    left = probes.select("word", keys, F.col("record_id").alias("a"), F.col("here").alias("ha"))
+    left = probes.filter(enough(0.295)).select("word", keys, F.col("record_id").alias("a"), F.col("here").alias("ha"))
     right = each.select("word", keys, F.col("record_id").alias("b"), F.col("here").alias("hb"))
     placeless = left.join(right, ["key", "word"]).filter("NOT (ha AND hb)").select("a", "b")
 
