@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_merge_path
 from .bpe import op10_bpe_replay
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import op2_exact_dedup
@@ -19,7 +20,7 @@ from .simhash import op4_simhash_pivots
 
 
 def queries():
-    found = (op1_repair_shards, op2_exact_dedup, op3_curriculum_mix, op4_simhash_pivots, op5_kneser_ney_quality, op6_licence_digests, op7_hmm_scores, op8_bounded_ring, op9_host_rules, op10_bpe_replay, op11_prefix_trie, op13_simhash_blocks)
+    found = (op1_repair_shards, op2_exact_dedup, op3_curriculum_mix, op4_simhash_pivots, op5_kneser_ney_quality, op6_licence_digests, op7_hmm_scores, op8_bounded_ring, op9_host_rules, op10_bpe_replay, op11_prefix_trie, op12_merge_path, op13_simhash_blocks)
     return {f.__name__: f for f in found} | {"llm_licence_lines": licence_lines}
 
 
