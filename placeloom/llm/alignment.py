@@ -118,7 +118,7 @@ def overlaps(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> tuple[np.ndarr
         x, y = i + taken[first], j + (np.arange(len(ends)) - taken)[first]
         found.append([x, y, both[first], ends[first]])
     for p, q in zip(found, found[1:]):
-        if p[3][-1] == q[3][0]:
+        if len(p[0]) and p[3][-1] == q[3][0]:  # p is empty if its one end closed the piece before
             p[2][-1] = True
             q[:] = [c[1:] for c in q]
     found = [f for f in found if len(f[0])]
