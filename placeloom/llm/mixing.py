@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, read_documents, save, small
+from .common import WORD, fresh, read_documents, save, small, text_or_empty
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,10 +66,10 @@ def positions(share: Column, cls: Column, schedules: Sequence[Sequence[float]] =
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, schedules: Sequence[Sequence[float]] = SCHEDULES, seed: int = 17, order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, plan): the training order and one row per document.
 
-    A source's documents stand in a fixed random order (a hash of id and seed). Its target is read off that order
+    A source's documents stand in a fixed random order (a hash of id, or order_col, and seed). Its target is read off that order
     again and again, at most MAX_PASSES times; the last document reached counts with the words still wanted. Each
     copy stands at the time when its source's cumulative demand reaches the copy's first word.
 
@@ -82,8 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     never taken. Repeated rows: each counts. Empty table: no rows. The table of sources (a row each) is
     numbered in one task, and broadcast only if it is small.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    docs = docs.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(order_col or id_col, F.lit(seed)).alias("h"))
     docs = save(docs, "mix-sizes")
     n = docs.count()
     buckets = max(1024, n // 10_000)
@@ -113,17 +112,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, **columns) -> DataFrame:
     """The documents' rows in training order, a row for each copy, texts whole; documents that the mix leaves out go.
 
-    Ids name documents: rows repeated under one id are each emitted for every copy of any of them. Null ids are one
-    id like others, null text has no words and is left out, null sources are a source. Ties in position stand by id,
-    then by copy. Empty table: no rows. Columns of docs stay, whatever their names.
+    A row is known by its id, the digest of its text and, of rows equal in both, its number by a hash of all their
+    columns; so an id over several texts and null ids take no other row with them, and no row comes more than MAX_PASSES
+    times. Null text has no words and is left out, null sources are a source. Ties in position stand by these
+    keys, then by copy. Empty table: no rows. Columns of docs stay, whatever their names. Only rows that repeat id and text are
+    shuffled to be numbered.
     """
-    id_col = columns.get("id_col", "doc_id")
-    copy_id, copy, position = fresh(docs, "copy_id", "copy", "position")
-    copies, _ = mix(docs, **columns)
-    copies = copies.select(F.col("doc_id").alias(copy_id), F.col("pass").alias(copy), F.col("position").alias(position)).distinct()
-    copies = small(save(copies, "mix-copies"))
-    out = docs.join(copies, F.col(id_col).eqNullSafe(F.col(copy_id)))
-    return out.repartitionByRange(position, id_col).sortWithinPartitions(position, id_col, copy).select(*docs.columns)
+    id_col, text_col = columns.pop("id_col", "doc_id"), columns.get("text_col", "text")
+    digest, number, key, copy, position, again = fresh(docs, "digest", "number", "key", "copy", "position", "again")
+    rows = docs.withColumn(digest, F.unhex(F.md5(text_or_empty(text_col))))
+    same = rows.groupBy(F.col(id_col).alias(key), F.col(digest).alias(again)).agg(F.count(F.lit(1)).alias(number)).filter(F.col(number) > 1)
+    same = small(save(same.select(key, again), "mix-repeated"))
+    first = F.lit(1)
+    if same.limit(1).count():
+        on = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(digest) == F.col(again))
+        order = Window.partitionBy(id_col, digest).orderBy(F.xxhash64(*docs.columns))
+        twice = rows.join(same, on, "left_semi").withColumn(number, F.row_number().over(order))
+        rows = rows.join(same, on, "left_anti").withColumn(number, first).union(twice)
+    else:
+        rows = rows.withColumn(number, first)
+    rows = rows.withColumn(key, F.struct(F.col(id_col).alias("id"), F.col(digest).alias("digest"), F.col(number).alias("number")))
+    copies, _ = mix(rows, id_col=key, order_col=id_col, **columns)
+    copies = small(save(copies.select(F.col("doc_id").alias(again), F.col("pass").alias(copy), F.col("position").alias(position)), "mix-copies"))
+    mine = [F.col(f"{key}.{c}").eqNullSafe(F.col(f"{again}.{c}")) for c in ("id", "digest", "number")]
+    out = rows.join(copies, mine[0] & mine[1] & mine[2])
+    return out.repartitionByRange(position, key).sortWithinPartitions(position, key, copy).select(*docs.columns)
 
 
 def op3_curriculum_mix(spark, sf_dir):

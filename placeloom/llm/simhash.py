@@ -24,6 +24,10 @@ HOT_BUCKET = 100_000
 NEAR_SHINGLE, NEAR_JACCARD = 5, 0.8
 NEAR_BITS, NEAR_RADIUS, NEAR_PIVOTS = 256, 64, 8
 NEAR_BANDS, NEAR_ROWS = 24, 5
+#: Rounds in which each set is held against one other set of its buckets, before pairs of different components are.
+NEAR_ROUNDS = 3
+#: Cells of a set's histogram, and sets of a bucket that are compared with each other in one task.
+NEAR_CELLS, NEAR_TILE = 256, 8192
 #: Up to so many texts' digests are broadcast to find the texts again.
 BROADCAST_TEXTS = 1_000_000
 
@@ -363,13 +367,89 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return save(both.filter(f"common >= {NEAR_JACCARD} * (all - common)").select("u", "v"), "near-links")
 
 
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles have each leading byte: two sets have at most the sum of the smaller counts in common."""
+    return np.minimum(np.bincount((shingles.view(np.uint64) >> np.uint64(56)).astype(np.int64), minlength=NEAR_CELLS), 65535).astype(np.uint16).tobytes()
+
+
+def tile_pairs(rows: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """Candidate pairs (node, node) of the sets of one tile of a bucket; rows are sorted by n.
+
+    Pairs of one component, of sizes or histograms that rule NEAR_JACCARD out, of pivot coordinates or SimHash bits that
+    differ by more than NEAR_RADIUS, and pairs that meet in an earlier band are discarded here, before they are rows.
+    """
+    n, table, fp, keys, cells, root, side, node = (rows[c] for c in ("n", "table", "fp", "keys", "cells", "root", "side", "node"))
+    band, lo, hi = int(rows["band"][0]), int(rows["lo"][0]), int(rows["hi"][0])
+    out = []
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, np.searchsorted(n, n[i] / NEAR_JACCARD, side="right"))
+        j = j[(root[j] != root[i]) & ((side[j] != side[i]) | (lo == hi))]
+        j = j[np.abs(table[j] - table[i]).max(axis=1, initial=0) <= NEAR_RADIUS]
+        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(axis=1) <= NEAR_RADIUS]
+        j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
+        common = np.minimum(cells[j], cells[i]).sum(axis=1, dtype=np.int64)
+        j = j[((1 + NEAR_JACCARD) * common >= NEAR_JACCARD * (n[j] + n[i]) - 1e-6) | (n[j] > 65535)]
+        out += [(int(node[i]), int(node[k])) for k in j]
+    return out
+
+
+def bucket_pairs(rest: DataFrame, sets: DataFrame, made: DataFrame, most: int = NEAR_TILE) -> DataFrame:
+    """The written table of different candidate pairs (u, v) of the members (band, key, node, root) of buckets whose nodes are in several components.
+
+    A bucket's members are sorted by size and compared in one task; a bucket of more than `most` is cut into tiles by
+    hash, and each pair of tiles is a task's work, so no bucket has to fit a task and no pair of it is left out.
+    """
+
+    def cells(it):
+        for batch in it:
+            values = [histogram(np.asarray(x.values)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["node", "cells"])
+
+    def stream(it):
+        held: list[pa.RecordBatch] = []
+
+        def whole(parts):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            flat = lambda c, k, kind: np.asarray(t.column(c).combine_chunks().flatten()).astype(kind, copy=False).reshape(-1, k)
+            rows = {c: np.asarray(t.column(c)) for c in ("band", "lo", "hi", "side", "node", "root", "n")}
+            rows |= {"n": rows["n"].astype(np.int64), "table": flat("table", NEAR_PIVOTS, np.int32), "fp": flat("fp", NEAR_BITS // 64, np.int64).view(np.uint64), "keys": flat("keys", NEAR_BANDS, np.int64)}
+            rows["cells"] = np.frombuffer(b"".join(t.column("cells").to_pylist()), np.uint16).reshape(-1, NEAR_CELLS)
+            uv = np.array(tile_pairs(rows), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(uv.min(axis=1)), pa.array(uv.max(axis=1))], names=["u", "v"])
+
+        last = None
+        for batch in it:
+            key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for i, k in zip(cuts, cuts[1:]):
+                if k > i:
+                    if held and tuple(key[i]) != last:
+                        yield whole(held)
+                        held = []
+                    last = tuple(key[i])
+                    held.append(batch.slice(i, k - i))
+        if held:
+            yield whole(held)
+
+    sizes = rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"))
+    tiles = F.ceil(F.col("members") / most).cast("int")
+    side = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    rows = rest.join(sizes, ["band", "key"]).withColumn("tiles", tiles).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("band", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "node", "root")
+    own = sets.select("node", "s.n", "s.fp", "s.table", "keys").join(made.mapInArrow(cells, "node long, cells binary"), "node")
+    rows = rows.join(own, "node").select("band", "key", "lo", "hi", "side", "node", "root", "n", "fp", "table", "keys", "cells")
+    rows = rows.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "n")
+    return save(rows.mapInArrow(stream, "u long, v long").distinct(), "near-more")
+
+
 def near_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """Links (u, v) that connect just those nodes (different sets of shingles) that candidate pairs alike by NEAR_JACCARD connect.
 
     Candidates are all pairs of a bucket. First each set is held against one other, the smallest head (smallest set of
     a bucket) of its buckets, so a large group of near copies gives no square of pairs. Then, in buckets whose sets are
-    not all connected yet, those not connected to the head are held against it, and at last all pairs from different
-    components are. Pairs left out are connected already. Only sets in candidate pairs are made from texts again.
+    not all connected yet, those not connected to a head are held against it, for some rounds with another head each; at
+    last all pairs from different components are looked at within their bucket (bucket_pairs). Pairs left out are
+    connected already. Only sets in candidate pairs and of buckets looked at last are made from texts again.
     """
     light = F.struct("n", "fp", "table")
     sets = rows.select("node", light.alias("s"), "keys", "digest").groupBy("node").agg(F.first("s").alias("s"), F.first("keys").alias("keys"), F.min("digest").alias("digest"))
@@ -377,18 +457,21 @@ def near_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     s = sets.select("node", "s")
     made: list[DataFrame] = []
 
-    def linked(pairs):
-        """Those of the different pairs that are alike. Sets of nodes that were not made before are made now."""
-        pairs = pairs.join(s.toDF("v", "b"), "v").join(s.toDF("u", "a"), "u").filter(near_enough("a", "b"))
-        pairs = save(pairs.select("u", "v"), "near-pairs")
-        nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    def known(nodes):
+        """The shingles of sets; those of nodes that were not made before are made now."""
         for before in made:
             nodes = nodes.join(before.select("node"), "node", "left_anti")
         made.append(shingle_sets(docs, text_col, nodes.join(sets.select("node", "digest"), "node")))
-        known = made[0]
+        every = made[0]
         for more in made[1:]:
-            known = known.union(more)
-        return verified(pairs, known)
+            every = every.union(more)
+        return every
+
+    def linked(pairs):
+        """Those of the different pairs that are alike."""
+        pairs = pairs.join(s.toDF("v", "b"), "v").join(s.toDF("u", "a"), "u").filter(near_enough("a", "b"))
+        pairs = save(pairs.select("u", "v"), "near-pairs")
+        return verified(pairs, known(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
 
     def split_buckets(links):
         """band, key, node, root of the nodes in buckets whose nodes are in several components."""
@@ -403,16 +486,19 @@ def near_links(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     first = attach(members, heads, ["band", "key"], "n", sets.count() * NEAR_BANDS, F.xxhash64("node")).filter("head < node")
     links = linked(first.groupBy(F.col("node").alias("v")).agg(F.min("head").alias("u")).select("u", "v"))
 
+    for turn in range(NEAR_ROUNDS - 1):
+        rest = split_buckets(links)
+        if not rest.limit(1).count():
+            return links
+        head = rest.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("h"))
+        pairs = rest.join(head, ["band", "key"]).filter("root <> h.root").select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+        links = save(links.union(linked(pairs)), "near-links")
+
     rest = split_buckets(links)
-    head = rest.groupBy("band", "key").agg(F.min(F.struct("node", "root")).alias("h"))
-    pairs = rest.join(head, ["band", "key"]).filter("root <> h.root").select(F.col("h.node").alias("u"), F.col("node").alias("v")).distinct()
-    links = save(links.union(linked(pairs)), "near-links")
-
-    rest = split_buckets(links).join(s, "node")
-    x, y = (rest.select("band", "key", *[F.col(c).alias(c + end) for c in ("node", "root", "s")]) for end in ("_x", "_y"))
-    more = x.join(y, ["band", "key"]).filter((F.col("root_x") != F.col("root_y")) & (F.col("node_x") < F.col("node_y")) & near_enough("s_x", "s_y"))
-    more = save(more.select(F.col("node_x").alias("u"), F.col("node_y").alias("v")).distinct(), "near-more")
-    return links.union(linked(more)) if more.limit(1).count() else links
+    if not rest.limit(1).count():
+        return links
+    shingles = known(rest.select("node").distinct())
+    return links.union(verified(bucket_pairs(rest, sets, shingles), shingles))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -190,6 +190,22 @@ def test_op3_mix(docs, data, empty):
     assert mixing.mix(empty)[1].count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mixed_keeps_rows_apart(spark):
+    """One id over several texts, null ids, null texts, rows repeated: each row stands for itself, as if it had an id of its own."""
+    rows = [(1, "a b c", "s"), (1, "d e f g", "s"), (1, None, "s"), (None, "h i", "s"), (None, "j", "s"), (None, None, None), (2, "k l", "t"), (2, "k l", "t"), (2, "k l", "u"), (3, "", "u"), (4, "m n o p q r", None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, key int").repartition(3)
+    got = Counter(r["key"] for r in mixing.mixed(docs).collect())
+    size = [len(words(t)) for _, t, _ in rows]
+    assert all(got[k] <= 3 and (size[k] or not got[k]) for k in range(len(rows)))
+    taken = by_id(mixing.mix(docs.withColumn("doc_id", F.col("key").cast("long")))[1])
+    for source in "stu":  # a source's target is met by words of its rows, whichever stand first in its order
+        mine = [k for k, r in enumerate(rows) if r[2] == source]
+        target = taken[mine[0]].target
+        assert sum(got[k] * size[k] for k in mine) >= target - 1 and sum(got[k] * size[k] for k in mine) < target + max(size)
+    same = Counter(r["key"] for r in mixing.mixed(docs.repartition(5)).collect())
+    assert same == got
+
+
 def test_op3_positions_invert_the_schedule(spark):
     x = spark.range(101).select((F.col("id") / 100).alias("y")).select("y", mixing.positions(F.col("y"), F.lit(0)).alias("t")).collect()
     for r in x:  # first schedule: 1.5 to 0.5, integral 1
