@@ -304,23 +304,6 @@ def category_overlay(rows: DataFrame, overlay: DataFrame, builtin: DataFrame) ->
     return out.withColumn("bucket", F.coalesce("b1", "b2", "b3")).drop("b1", "b2", "b3")
 
 
-def point_in_rings(points: DataFrame, units: DataFrame, size: float = 1.0) -> DataFrame:
-    """points with unit: of the units whose ring holds the point, the one of highest level (then smallest unit).
-
-    units: unit, level, ring (array of struct x, y; closed). Units are put under the grid cells of their boxes, so
-    points meet only units near them; the ray test runs over the ring's edges.
-    """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cells = lambda v: F.sequence(F.floor(F.array_min(v) / size), F.floor(F.array_max(v) / size))
-    u = units.withColumn("cx", F.explode(cells(xs))).withColumn("cy", F.explode(cells(ys)))
-    p = points.withColumn("cx", F.floor(F.col("lon") / size)).withColumn("cy", F.floor(F.col("lat") / size))
-    edges = F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    crosses = lambda e: ((e["a"]["y"] > F.col("lat")) != (e["b"]["y"] > F.col("lat"))) & (F.col("lon") < (e["b"]["x"] - e["a"]["x"]) * (F.col("lat") - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
-    hit = p.join(u, ["cx", "cy"]).filter(F.size(F.filter(edges, crosses)) % 2 == 1)
-    best = hit.groupBy("point_id").agg(F.max_by("unit", F.struct("level", -F.col("unit"))).alias("unit"))
-    return points.join(best, "point_id", "left")
-
-
 def within_radius(queries: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """query_id, place_id, dist_m for places within radius_m of queries(query_id, lat, lon): cells of that size, then the distance."""
     size = radius_m / 111_000 / 0.9
@@ -336,12 +319,6 @@ def nearest(within: DataFrame, k: int) -> DataFrame:
     return within.withColumn("rank", n).filter(F.col("rank") <= k)
 
 
-def in_unit(points: DataFrame, units: DataFrame, unit: int) -> DataFrame:
-    """Those of points(point_id, lat, lon, ...) that lie in the ring of a unit; units as point_in_rings takes them."""
-    inside = point_in_rings(points.select("point_id", "lat", "lon"), units.filter(F.col("unit") == unit)).filter("unit IS NOT NULL")
-    return points.join(inside.select("point_id"), "point_id", "left_semi")
-
-
 #: Statuses of places that a search shows where it names none.
 SHOWN_STATUSES = ["open", "unknown", "temporarily_closed"]
 

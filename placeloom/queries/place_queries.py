@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, web
-from ..operators import places
+from ..operators import places, polygons
 from ..sources import readers
 from .fixtures import RECORDS, derive, sql, table
 from .registry import query
@@ -194,13 +194,36 @@ def overlay(spark, d):
 
 @query("j4_point_in_polygon", f"""WITH r AS ({sql(RECORDS)}), u AS (SELECT n_nationkey AS unit, 8 + n_nationkey % 5 * 3 AS y, 104 + (n_nationkey - n_nationkey % 5) / 5 AS x FROM nation)
 SELECT record_id AS point_id, max(unit) AS unit FROM r LEFT JOIN u ON lat >= y AND lat < y + 3 AND lon >= x AND lon < x + 1 GROUP BY record_id""")
-def polygons(spark, d):
+def point_in_polygon(spark, d):
     n = F.col("n_nationkey")
     y, x = (8 + n % 5 * 3).cast("double"), (104 + (n - n % 5) / 5).cast("double")
     corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    units = table(spark, d, "nation").select(n.alias("unit"), F.lit(1).alias("level"), F.array(corner(0, 0), corner(1, 0), corner(1, 3), corner(0, 3), corner(0, 0)).alias("ring"))
+    units = table(spark, d, "nation").select(n.alias("unit"), F.lit(1).alias("level"), F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 3), corner(0, 3), corner(0, 0)))).alias("polygons"))
     pts = derive(spark, d, RECORDS).select(F.col("record_id").alias("point_id"), "lat", "lon")
-    return places.point_in_rings(pts, units).select("point_id", "unit")
+    return polygons.anchored(pts, units).select("point_id", "unit")
+
+
+#: Edges of a unit's rings, from its lower left corner: polygon, ring (0 is the outer one), x1, y1, x2, y2. A box with a hole like a diamond, with an island in that, and a triangle beyond its border.
+UNIT_RINGS = [[[(0, 0), (1, 0), (1, 3), (0, 3)], [(0.125, 1.5), (0.5, 0.5), (0.875, 1.5), (0.5, 2.5)]], [[(0.25, 1.25), (0.75, 1.25), (0.5, 1.875)]], [[(1.125, 0.25), (1.5, 0.25), (1.25, 2.75)]]]
+D_EDGES = ", ".join(f"({k}, {i}, {r[j][0]:.3f}e0, {r[j][1]:.3f}e0, {r[(j + 1) % len(r)][0]:.3f}e0, {r[(j + 1) % len(r)][1]:.3f}e0)" for k, p in enumerate(UNIT_RINGS) for i, r in enumerate(p) for j in range(len(r)))
+
+
+@query("j4_multipolygons", f"""WITH r AS ({sql(RECORDS)}), e(poly, ring, x1, y1, x2, y2) AS (VALUES {D_EDGES}),
+u AS (SELECT n_nationkey AS unit, n_nationkey % 3 + 1 AS level, 8.0e0 + n_nationkey % 5 * 3 AS y, 104.0e0 + (n_nationkey - n_nationkey % 5) / 5 AS x FROM nation),
+odd AS (SELECT record_id, unit, level, poly, ring, count(*) FILTER ((y1 + y > lat) <> (y2 + y > lat) AND lon < ((x2 + x) - (x1 + x)) * (lat - (y1 + y)) / ((y2 + y) - (y1 + y)) + (x1 + x)) % 2 AS odd
+  FROM r CROSS JOIN u CROSS JOIN e WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY ALL),
+hit AS (SELECT record_id, unit, level FROM odd GROUP BY record_id, unit, level, poly HAVING max(CASE WHEN ring = 0 THEN odd END) = 1 AND coalesce(max(CASE WHEN ring > 0 THEN odd END), 0) = 0),
+best AS (SELECT record_id, unit, row_number() OVER (PARTITION BY record_id ORDER BY level DESC, unit) AS k FROM hit)
+SELECT r.record_id AS point_id, best.unit FROM r LEFT JOIN best ON best.record_id = r.record_id AND k = 1""")
+def multipolygons(spark, d):
+    """Units as GeoJSON with holes, islands in them and parts beyond the border of the next unit."""
+    n = F.col("n_nationkey")
+    y, x = 8 + n % 5 * 3, 104 + (n - n % 5) / 5
+    ring = lambda r: F.concat(F.lit("["), F.concat_ws(",", *[F.concat(F.lit("["), (x + F.lit(float(a))).cast("string"), F.lit(","), (y + F.lit(float(b))).cast("string"), F.lit("]")) for a, b in [*r, r[0]]]), F.lit("]"))
+    shape = F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.concat_ws(",", *[F.concat(F.lit("["), F.concat_ws(",", *map(ring, p)), F.lit("]")) for p in UNIT_RINGS]), F.lit("]}"))
+    units = table(spark, d, "nation").select(n.alias("unit"), (n % 3 + 1).alias("level"), polygons.from_geojson(shape).alias("polygons"))
+    pts = derive(spark, d, RECORDS).select(F.col("record_id").alias("point_id"), "lat", "lon")
+    return polygons.anchored(pts, units).select("point_id", "unit")
 
 
 @query("j5_radius", f"""WITH {D_NORMAL} SELECT a.record_id AS query_id, b.record_id AS place_id, round({d_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) AS dist_m FROM r a JOIN r b ON b.lat BETWEEN a.lat - 0.05 AND a.lat + 0.05 AND b.lon BETWEEN a.lon - 0.05 AND a.lon + 0.05 WHERE a.record_id % 20 = 0 AND {d_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 3000""")
@@ -224,8 +247,8 @@ def contained(spark, d):
     n = F.col("n_nationkey")
     y, x = (8 + n % 5 * 3).cast("double"), (104 + (n - n % 5) / 5).cast("double")
     corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    units = table(spark, d, "nation").select(n.alias("unit"), F.lit(1).alias("level"), F.array(corner(0, 0), corner(1, 0), corner(1, 3), corner(0, 3), corner(0, 0)).alias("ring"))
-    return places.in_unit(derive(spark, d, RECORDS).select(F.col("record_id").alias("point_id"), "lat", "lon"), units, 7).select("point_id")
+    units = table(spark, d, "nation").select(n.alias("unit"), F.lit(1).alias("level"), F.array(F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 3), corner(0, 3), corner(0, 0)))).alias("polygons"))
+    return polygons.in_unit(derive(spark, d, RECORDS).select(F.col("record_id").alias("point_id"), "lat", "lon"), units, 7).select("point_id")
 
 
 @query("j13_transitions", """
