@@ -14,8 +14,8 @@ from . import text
 IMAGE_KEYS = ["photos", "image", "images", "thumbnail"]
 MOST_REVIEWS = 2_147_483_647
 # Names under which pages give their dates; words before the parts of an address.
-PUBLISHED = ["datepublished", "articlepublishedtime", "publishedat", "pubdate", "date"]
-UPDATED = ["datemodified", "articlemodifiedtime", "updatedat", "lastmodified", "ogupdatedtime"]
+PUBLISHED = ["articlepublishedtime", "datepublished", "ogpublishedtime", "publicationdate", "publishedat", "publisheddate", "publishedtime"]
+UPDATED = ["articlemodifiedtime", "datemodified", "lastmodified", "modifiedat", "ogupdatedtime", "updatedat", "updatedtime"]
 FIRST_SEEN = ["firstseen", "firstseenat"]
 CITIES = "tinh|thanh pho|tp"
 DISTRICTS = "quan|huyen|thi xa"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -218,10 +219,27 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?]\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+# What makes a sentence a claim, and what makes it none.
+INFORMATIVE = [
+    r"\d",
+    r"(?i)\b(is|are|was|were|has|have|had|will|would|can|could|may|might|should|must|says|said|reports|reported|announces|announced)\b",
+    r"(?i)\b(là|được|có|đã|sẽ|đang|gồm|bao gồm|theo|cho biết|công bố|ra mắt|đạt|tăng|giảm|triệu|tỷ|nghìn)\b",
+    r"\b[A-Z][a-z]{2,}\b",
+]
+NO_CLAIM = [r"^\s*\[?\d+\]?\s*$", r"(?i)^\s*(source|nguồn)\s*:", r"^\s*#+\s", r"^\s*[-*]\s+\[?\d+\]?"]
+CLAIM_LETTERS = 8
+
+
+def is_claim(sentence: Column) -> Column:
+    """Whether a sentence states something: it has a number, a name or a word of INFORMATIVE, and is no question, label, heading, citation or list mark."""
+    some = lambda patterns: reduce(lambda a, b: a | b, [sentence.rlike("(?Uu)" + p) for p in patterns])
+    return (F.char_length(sentence) >= CLAIM_LETTERS) & ~F.rtrim(sentence).endswith("?") & ~some(NO_CLAIM) & some(INFORMATIVE)
+
+
 def claims(text: Column, most: int = 8) -> Column:
-    """The first sentences that say something: 5 words or more, no question, no label."""
-    good = lambda x: (F.size(F.split(x, r"\s+")) >= 5) & ~x.contains("?") & ~x.endswith(":")
-    return F.slice(F.filter(sentences(text), good), 1, most)
+    """The first sentences that state something (is_claim), with their closing marks."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.slice(F.filter(parts, is_claim), 1, most)
 
 
 def legal_article(text: Column) -> Column:

@@ -200,9 +200,9 @@ def recrawl_plan(visits: DataFrame, alpha: float = 0.3) -> DataFrame:
     return g.withColumn("rate", rate).select("url", "rate", F.size("s").alias("visits"), F.timestamp_seconds(F.floor(due)).alias("next_due"))
 
 
-def discovered(pages: DataFrame, html: str, depth: str, allowed: DataFrame | None = None) -> DataFrame:
-    """url, priority, depth: links of pages one deeper, a quarter less for each step (0.05 at least); of a URL the best priority and least depth."""
-    links = pages.select(F.explode(web.absolute_links(F.col(html))).alias("link"), (F.col(depth) + 1).alias("depth"))
+def discovered(pages: DataFrame, html: str, depth: str, allowed: DataFrame | None = None, url: str = "url") -> DataFrame:
+    """url, priority, depth: links of pages (resolved against their url) one deeper, a quarter less for each step (0.05 at least); of a URL the best priority and least depth."""
+    links = pages.select(F.explode(web.page_links(F.col(html), F.col(url))).alias("link"), (F.col(depth) + 1).alias("depth"))
     links = links.select(web.canonical_url(F.col("link")).alias("url"), "depth").filter("url <> ''")
     if allowed is not None:
         links = links.withColumn("host", web.host(F.col("url"))).join(allowed.select("host").distinct(), "host", "left_semi")

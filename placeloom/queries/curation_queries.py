@@ -9,7 +9,7 @@ from ..operators import answers, curation, evidence, passages
 from .fixtures import derive, sql, table
 from .passage_queries import _SUPPORT, CLAIMS, support
 from .registry import query
-from .text_queries import _LINKED, _TRACK, D_VISIBLE, d_hav, d_norm, d_tokens
+from .text_queries import _LINKED, D_VISIBLE, d_hav, d_links, d_norm, d_tokens, d_urls
 
 #: Sources of a pack: the turns of a conversation, each also with a copy of changed ending.
 SOURCES = """SELECT conv_id AS pack, (conv_id * 1000 + turn) * 2 AS source_id, text FROM {conversations} UNION ALL SELECT conv_id, (conv_id * 1000 + turn) * 2 + 1, text || ' copied elsewhere' FROM {conversations} WHERE (conv_id + turn) % 3 = 0"""
@@ -153,13 +153,10 @@ def c10(spark, d):
     return curation.recrawl_plan(v).withColumn("rate", F.round("rate", 6))
 
 
-@query("c10_discovered", rf"""WITH l AS (SELECT page_id % 4 + 1 AS depth, unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"#]+)', 1))) AS u FROM ({sql(_LINKED)})),
-p AS (SELECT depth, lower(regexp_extract(u, '^([^:/]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(u, '^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(?:www\.|m\.)+', '') AS host, regexp_extract(u, '^[^:/]+://[^/?#:]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
- list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({_TRACK}))) AS q FROM l),
-c AS (SELECT depth, scheme || '://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM p WHERE host <> '')
-SELECT url, max(greatest(0.05e0, 1 - 0.25e0 * depth)) AS priority, min(depth) AS depth FROM c GROUP BY 1""")
+@query("c10_discovered", rf"""WITH {d_urls("(SELECT page_id % 4 + 1 AS page_id, target AS url, '' AS html FROM (" + d_links('page_id') + "))")}
+SELECT canonical AS url, max(greatest(0.05e0, 1 - 0.25e0 * page_id)) AS priority, min(page_id) AS depth FROM urls WHERE host <> '' GROUP BY 1""")
 def c10_discovered(spark, d):
-    p = derive(spark, d, _LINKED).select("html", (F.col("page_id") % 4).alias("d"))
+    p = derive(spark, d, _LINKED).select("url", "html", (F.col("page_id") % 4).alias("d"))
     return curation.discovered(p, "html", "d")
 
 

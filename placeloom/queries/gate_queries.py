@@ -34,7 +34,7 @@ def c5(spark, d):
 
 
 #: URLs of the parts, some private or of odd hosts.
-URLS = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'http://192.168.1.' || CAST(p_partkey % 200 AS STRING) || '/admin' WHEN 1 THEN 'https://best-casino.example.com/x' WHEN 2 THEN 'https://loans.top/a/b/c/d/e/f/g'
+URLS = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'http://192.168.1.' || CAST(p_partkey % 200 AS STRING) || '/admin' WHEN 1 THEN 'https://content-mill.example.com/x' WHEN 2 THEN 'https://loans.top/a/b/c/d/e/f/g/h'
   WHEN 3 THEN 'http://localhost/x' WHEN 4 THEN 'https://news.xyz/' || p_brand ELSE 'https://www.place' || CAST(p_partkey AS STRING) || '.vn/' END AS url FROM {part}"""
 
 

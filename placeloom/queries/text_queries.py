@@ -153,8 +153,11 @@ def edit_distance(spark, d):
 
 
 @query("f22_claims", r"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]\s+|\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
-c AS (SELECT doc_id, list_filter(s, lambda x: len(regexp_split_to_array(x, '\s+')) >= 5 AND NOT contains(x, '?') AND NOT suffix(x, ':'))[1:8] AS c FROM s)
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), '\x1f|\n+'), lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda x: x <> '') AS s FROM documents),
+c AS (SELECT doc_id, list_filter(s, lambda x: length(x) >= 8 AND NOT suffix(x, '?')
+  AND NOT regexp_matches(x, '^\s*\[?\d+\]?\s*$|^\s*#+\s|^\s*[-*]\s+\[?\d+\]?') AND NOT regexp_matches(x, '(?i)^\s*(source|nguồn)\s*:')
+  AND (regexp_matches(x, '\p{Nd}') OR regexp_matches(x, '(^|[^\p{L}\p{M}\p{N}_])[A-Z][a-z]{2,}($|[^\p{L}\p{M}\p{N}_])')
+    OR regexp_matches(x, '(?i)(^|[^\p{L}\p{M}\p{N}_])(is|are|was|were|has|have|had|will|would|can|could|may|might|should|must|says|said|reports|reported|announces|announced|là|được|có|đã|sẽ|đang|gồm|bao gồm|theo|cho biết|công bố|ra mắt|đạt|tăng|giảm|triệu|tỷ|nghìn)($|[^\p{L}\p{M}\p{N}_])')))[1:8] AS c FROM s)
 SELECT doc_id, CAST(len(c) AS BIGINT) AS n, sha256(array_to_string(c, '|')) AS claims FROM c""")
 def claims(spark, d):
     c = table(spark, d, "documents").select("doc_id", text.claims(F.col("text")).alias("c"))
@@ -173,20 +176,38 @@ def slug(spark, d):
 
 # --- URLs and pages --------------------------------------------------------------------------------------------
 
-_TRACK = ", ".join(f"'{x}'" for x in web.TRACKING)
+#: Pages under their own URLs and under such as have users, ports, many parameters, escapes, odd hosts.
+VARIED = """SELECT page_id, html, CASE page_id % 7 WHEN 1 THEN 'HTTP://User@WWW.Shop.vn.:8080/p//?a-b=2&a=1&_ga=7&B=&b=%C3%A9+x~*&utm_id=3&page=' || CAST(page_id AS STRING) || '#Top_1'
+ WHEN 2 THEN '//m.shop.vn/q;v=1?dclid=1&Ref=2&z&=v&&si=4' WHEN 3 THEN 'https://content-mill.info:443/a/b/c/d/e/f/g/' || CAST(page_id AS STRING) || '/?b=1&B=2&a=3&A=4#not an anchor' WHEN 4 THEN 'http://0.0.0.1:80/' ELSE url END AS url FROM {pages}"""
 D_FULL = "CASE WHEN trim(url) LIKE '//%' THEN 'https:' || trim(url) WHEN NOT contains(trim(url), '://') THEN 'https://' || trim(url) ELSE trim(url) END"
-D_URLS = rf"""
-f AS (SELECT page_id, url, html, {D_FULL} AS u FROM pages),
+
+
+def d_params(query: str, order: str, tracking: str) -> str:
+    """A query string decoded, rid of tracking, sorted and encoded again, in DuckDB."""
+    dec = lambda x: f"url_decode(replace({x}, '+', ' '))"
+    enc = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    pairs = f"list_transform(list_filter(string_split({query}, '&'), lambda p: p <> ''), lambda p: {{'k': {dec('string_split(p, chr(61))[1]')}, 'v': {dec('CASE WHEN contains(p, chr(61)) THEN substr(p, instr(p, chr(61)) + 1) ELSE chr(32)[1:0] END')}}})"
+    kept = f"list_filter({pairs}, lambda p: NOT starts_with(lower(p.k), 'utm_') AND lower(p.k) NOT IN ({tracking}))"
+    return f"array_to_string(list_transform(list_sort(list_transform({kept}, lambda p: {{'o': {order}, 'k': p.k, 'v': p.v}})), lambda p: {enc('p.k')} || '=' || {enc('p.v')}), '&')"
+
+
+def d_urls(source: str) -> str:
+    """CTEs f, parts and urls (page_id, url, html, host, canonical) over a table of page_id, url, html."""
+    params = d_params(r"regexp_extract(u, '^[^?#]*\?([^#]*)', 1)", "lower(p.k)", "'_ga', 'fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'ref', 'source'")
+    return rf"""
+f AS (SELECT page_id, url, html, {D_FULL} AS u FROM {source}),
 parts AS (SELECT page_id, url, html, u, lower(regexp_extract(u, '^([^:/]+)://', 1)) AS scheme,
-  regexp_replace(lower(regexp_extract(u, '^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^(?:www\.|m\.)+', '') AS host,
-  regexp_extract(u, '^[^:/]+://[^/?#:]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-  list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(string_split(p, '=')[1]) NOT IN ({_TRACK}))) AS q FROM f),
-urls AS (SELECT page_id, url, html, host, scheme || '://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM parts)"""
+  regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^:/]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.+$', ''), '^(?:www\.|m\.)+', '') AS host,
+  regexp_extract(u, '^[^:/]+://(?:[^/?#@]*@)?[^/?#:]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(u, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, {params} AS q FROM f),
+urls AS (SELECT page_id, url, html, host, scheme || '://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM parts)"""
+
 
+D_URLS = d_urls("pages")
 
-@query("f25_canonical_url", rf"WITH {D_URLS} SELECT page_id, canonical, regexp_replace(canonical, '^[^:/]+://', '') AS identity FROM urls")
+
+@query("f25_canonical_url", rf"WITH {d_urls('(' + sql(VARIED) + ')')} SELECT page_id, canonical, regexp_replace(canonical, '^[^:/]+://', '') AS identity FROM urls")
 def canonical(spark, d):
-    return table(spark, d, "pages").select("page_id", web.canonical_url(F.col("url")).alias("canonical"), web.canonical_identity(F.col("url")).alias("identity"))
+    return derive(spark, d, VARIED).select("page_id", web.canonical_url(F.col("url")).alias("canonical"), web.canonical_identity(F.col("url")).alias("identity"))
 
 
 @query("a5_alias_clusters", rf"WITH {D_URLS} SELECT regexp_replace(canonical, '^[^:/]+://', '') AS identity, count(*) AS n, array_to_string(list_sort(list(DISTINCT url)), ' ') AS urls FROM urls GROUP BY 1")
@@ -212,43 +233,68 @@ def flagship(spark, d):
     return fused.join(g, "identity").select("identity", "pages", F.round("rrf", 9).alias("rrf")).orderBy(F.desc("rrf"), "identity").limit(20)
 
 
-@query("f27_spam", rf"""WITH {D_URLS} SELECT page_id, regexp_matches(host, '^(localhost$|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)') AS private,
- least(1.0, {' + '.join(f"CASE WHEN contains(host, '{w}') THEN 0.5 ELSE 0.0 END" for w in web.SPAM_WORDS)} + CASE WHEN len(list_filter(string_split(regexp_extract({D_FULL}, '^[^:/]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) > 5 THEN 0.2 ELSE 0.0 END + CASE WHEN regexp_matches(host, '\.(xyz|top|click)$') THEN 0.3 ELSE 0.0 END)::DOUBLE AS spam FROM urls""")
-def spam(spark, d):
-    return table(spark, d, "pages").select("page_id", web.is_private(F.col("url")).alias("private"), web.spam_score(F.col("url")).alias("spam"))
+_NORMAL_Q = d_params(r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)", "p.k", "'fbclid', 'gclid', 'ref', 'source', '_ga', 'mc_cid', 'mc_eid', 'igshid', 'si', 'feature', 'ref_src', 'ref_url'")
+
+
+@query("f27_normal_url", rf"""
+WITH v AS (SELECT page_id, url, lower(regexp_extract(url, '^([^:/]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[^:/]+://([^/?#]*)', 1)) AS net, regexp_replace(regexp_extract(url, '^[^:/]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS path, regexp_extract(url, '^[^#]*#([A-Za-z0-9_-]+)$', 1) AS fragment, {_NORMAL_Q} AS q FROM ({sql(VARIED)})),
+w AS (SELECT *, regexp_replace(CASE scheme WHEN 'http' THEN regexp_replace(net, ':80$', '') ELSE regexp_replace(net, ':443$', '') END, '^www\.', '') AS domain, CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END AS p FROM v WHERE scheme IN ('http', 'https')),
+x AS (SELECT page_id, scheme || '://' || domain || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END || CASE WHEN fragment <> '' THEN '#' || fragment ELSE '' END AS canonical,
+  regexp_matches(domain, '^(127\.|10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|169\.254\.|0\.)') OR domain = 'localhost' AS private,
+  least(1e0, (SELECT sum(CASE WHEN contains(net, s) THEN 0.5e0 ELSE 0e0 END) FROM (VALUES ('seo-farm'), ('content-mill'), ('ai-generated-content'), ('clickbait'), ('viral-news'), ('trending-now')) t(s))
+    + greatest(0, length(p) - length(replace(p, '/', '')) - 5) * 0.1e0 + CASE WHEN regexp_matches(net, '\.(xyz|top|click|link|info)$') THEN 0.2e0 ELSE 0e0 END) AS spam FROM w)
+SELECT page_id, canonical, substr(sha256(canonical), 1, 16) AS content_hash, private, round(spam, 6) AS spam, spam >= 0.5e0 AS is_spam FROM x""")
+def normal_url(spark, d):
+    v = derive(spark, d, VARIED).select("page_id", web.normal_url(F.col("url")).alias("n")).filter("n is not null")
+    return v.select("page_id", "n.canonical", "n.content_hash", F.col("n.is_private").alias("private"), F.round("n.spam_score", 6).alias("spam"), "n.is_spam")
 
 
-D_VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+#: What a page shows, for pages whose markup is closed and whose entities are these: block tags part words, others do not.
+D_VISIBLE = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style|noscript|template)[^>]*>.*?</(?:script|style|noscript|template)>|<!--.*?-->|<!doctype[^>]*>', '', 'g'),
+ '(?i)</?(?:article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)(?:\s[^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+#: Given pages with a part whose entities, letters and tags take several forms.
+_ENCODED = """SELECT page_id, url, html || '<P CLASS=x>caf&eacute;&#160; ﬁne​ &#x27;&amp;lt;b&#39;<template><b>gone</b></template><SCRIPT>var a = "</p>";</SCRIPT><p>x<b>y</b>z<br/>﻿end<noscript>gone, too' AS html FROM {pages}"""
 
 
-@query("f28_f29_fingerprint", f"SELECT page_id, sha256({D_VISIBLE}) AS fingerprint, CAST(length({D_VISIBLE}) AS BIGINT) AS n FROM pages")
+@query("f28_f29_fingerprint", f"""WITH p AS (SELECT page_id, {D_VISIBLE} || ' café fine ''<b'' xyz end' AS t FROM pages) SELECT page_id, sha256(t) AS fingerprint, CAST(length(t) AS BIGINT) AS n FROM p""")
 def fingerprint(spark, d):
-    return table(spark, d, "pages").select("page_id", web.content_fingerprint(F.col("html")).alias("fingerprint"), F.length(web.visible_text(F.col("html"))).cast("long").alias("n"))
+    t = derive(spark, d, _ENCODED).select("page_id", web.visible_text(F.col("html")).alias("t"))
+    return t.select("page_id", F.sha2("t", 256).alias("fingerprint"), F.length("t").cast("long").alias("n"))
 
 
-@query("f30_extraction_quality", rf"""WITH t AS (SELECT page_id, html, {D_VISIBLE} AS t FROM pages), q AS (SELECT page_id, len(regexp_extract_all(t, '\S+')) AS n, 0.6e0 * least(len(regexp_extract_all(t, '\S+')) / 400e0, 1e0) + 0.4e0 * least(length(t)::DOUBLE / greatest(length(html), 1) / 0.30e0, 1e0) AS q FROM t)
-SELECT page_id, round(q, 6) AS quality, CASE WHEN n = 0 THEN 'empty' WHEN n < 20 THEN 'low_content' WHEN q < 0.3e0 THEN 'low_quality' ELSE 'success' END AS status FROM q""")
+@query("f30_extraction_quality", rf"""WITH t AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN '<style>x</style>' WHEN 1 THEN '<p>too short</p>' ELSE html END AS html FROM pages), v AS (SELECT page_id, html, {D_VISIBLE} AS t FROM t),
+q AS (SELECT page_id, t, round(0.6e0 * least(len(regexp_extract_all(t, '\S+')) / 400e0, 1e0) + 0.4e0 * least(length(t)::DOUBLE / greatest(length(html), 1) / 0.30e0, 1e0), 3) AS q FROM v)
+SELECT page_id, q AS quality, CASE WHEN t = '' THEN 'empty' WHEN length(t) < 100 THEN 'low_content' WHEN q < 0.3e0 THEN 'low_quality' ELSE 'success' END AS status FROM q""")
 def extraction(spark, d):
-    t = table(spark, d, "pages").withColumn("t", web.visible_text(F.col("html"))).withColumn("q", web.extraction_quality(F.col("t"), F.col("html")))
-    return t.select("page_id", F.round("q", 6).alias("quality"), web.extraction_status(F.col("t"), F.col("q")).alias("status"))
+    p = table(spark, d, "pages").withColumn("html", F.expr("CASE page_id % 9 WHEN 0 THEN '<style>x</style>' WHEN 1 THEN '<p>too short</p>' ELSE html END"))
+    t = p.withColumn("t", web.visible_text(F.col("html"))).withColumn("q", web.extraction_quality(F.col("t"), F.col("html")))
+    return t.select("page_id", F.col("q").alias("quality"), web.extraction_status(F.col("t"), F.col("q")).alias("status"))
 
 
-#: Given pages with links and images of other hosts before what they have.
+#: Given pages with links and images of other hosts, quoted and written in many ways, before what they have.
 _LINKED = """
-SELECT page_id, '<a href="https://www.site' || CAST(page_id % 7 AS STRING) || '.vn/p?x=' || CAST(page_id AS STRING) || '#top">a</a><a href="http://site.vn/b">b</a><a href="https://www.site' || CAST(page_id % 7 AS STRING) || '.vn/p?x=' || CAST(page_id AS STRING) || '">again</a>'
- || '<img alt="x" src="https://img.vn/' || CAST(page_id AS STRING) || '.png"><img src="data:image/png;base64,AA">' || html AS html FROM {pages}
+SELECT page_id, url, '<a href="https://www.site' || CAST(page_id % 7 AS STRING) || '.vn/p?x=' || CAST(page_id AS STRING) || '#top">a</a><A class=b HREF=''http://site.vn/b?a=1&amp;b=2''>b</A><a href="https://www.site' || CAST(page_id % 7 AS STRING) || '.vn/p?x=' || CAST(page_id AS STRING) || '">again</a>'
+ || '<a href=//cdn.vn/x#f>c</a><a href="mailto:a@b.vn">d</a><a href="#part">e</a><a href=" /./a/../up ">f</a><a href="">g</a><a name="h">h</a><a href="javascript:go()">i</a>'
+ || '<img alt="x" src="https://img.vn/' || CAST(page_id AS STRING) || '.png"><IMG SRC=''/rel.png'' ALT=''it is''><img src="data:image/png;base64,AA"><img src="blob:1">' || html AS html FROM {pages}
 """
 
 
-@query("f49_links", f"""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"#]+)', 1))) AS target FROM ({sql(_LINKED)})""")
+def d_links(key: str) -> str:
+    """key and target of each link in the pages of _LINKED, in DuckDB: those that are planted, and the pages' own, which begin with /."""
+    site = r"regexp_extract(url, '^[^:/]+://[^/?#]*')"
+    own = f"list_transform(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1), lambda x: {site} || x)"
+    planted = f"['https://www.site' || (page_id % 7) || '.vn/p?x=' || page_id, 'http://site.vn/b?a=1&b=2', regexp_extract(url, '^[^:/]+:') || '//cdn.vn/x', regexp_extract(url, '^[^#]*'), {site} || '/up']"
+    return f"SELECT * FROM (SELECT {key}, url, unnest(list_distinct(list_concat({planted}, {own}))) AS target FROM pages) WHERE target <> url"
+
+
+@query("f49_links", f"SELECT page_id, target FROM ({d_links('page_id')})")
 def links(spark, d):
-    return derive(spark, d, _LINKED).select("page_id", F.explode(web.absolute_links(F.col("html"))).alias("target"))
+    return derive(spark, d, _LINKED).select("page_id", F.explode(web.page_links(F.col("html"), F.col("url"))).alias("target"))
 
 
-@query("f50_images", f"""WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<img[^>]*src="([^"]+)"', 1)) AS src FROM ({sql(_LINKED)})) SELECT page_id, src, sha256(CAST(page_id AS VARCHAR) || ':' || src) AS image_id FROM i WHERE src NOT LIKE 'data:%' AND src NOT LIKE 'blob:%'""")
+@query("f50_images", """SELECT page_id, src, alt, 'img_' || substr(md5(url || ':' || src), 1, 16) AS image_id FROM (SELECT page_id, url, 'https://img.vn/' || page_id || '.png' AS src, 'x' AS alt FROM pages UNION ALL SELECT page_id, url, '/rel.png', 'it is' FROM pages)""")
 def page_images(spark, d):
-    i = derive(spark, d, _LINKED).select("page_id", F.explode(web.images(F.col("html"))).alias("src"))
-    return i.withColumn("image_id", F.sha2(F.concat(F.col("page_id").cast("string"), F.lit(":"), "src"), 256))
+    return derive(spark, d, _LINKED).select("page_id", F.explode(web.images(F.col("html"), F.col("url"))).alias("i")).select("page_id", "i.src", "i.alt", "i.image_id")
 
 
 @query("f37_identity_hash", f"WITH r AS ({sql(RECORDS)}) SELECT record_id, sha256(raw_name || chr(31) || coalesce(raw_website, chr(0)) || chr(31) || raw_phone) AS h FROM r")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import payload, text
 from placeloom.operators import curation
-from placeloom.queries import registry
+from placeloom.queries import flow_queries, registry  # noqa: F401
 from placeloom.queries.curation_queries import sources
 
 SF = "/root/testdata/sf0.001"
