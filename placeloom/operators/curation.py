@@ -161,19 +161,20 @@ def cached_hits(queries: DataFrame, cached: DataFrame, least: float = 0.94) -> D
 def place_text_search(places: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """query_id, place_id, score, rank: 8 for the equal name, 4 for the phrase, 3 times the share of query words found, 2 for words within their typos.
 
-    places: place_id, name (normal); queries: query_id, name. They meet by words and by words' first two letters.
+    places: place_id, name (normal); queries: query_id, name. A word within its typos begins with the same letter. Words meet
+    equal ones, and by pieces those within their typos (fuzzy), wherever the typo is. Null and empty names meet none.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
-    q = queries.select("query_id", F.col("name").alias("q"), words(F.col("name")).alias("qw"))
-    p = places.select("place_id", "name", words(F.col("name")).alias("pw"))
-    keys = lambda w: F.array_distinct(F.transform(w, lambda x: F.substring(x, F.lit(1), F.lit(2))))
-    cand = p.select("place_id", F.explode(keys(F.col("pw"))).alias("k")).join(small(q.select("query_id", F.explode(keys(F.col("qw"))).alias("k"))), "k").select("place_id", "query_id").distinct()
-    c = cand.join(small(q), "query_id").join(p, "place_id")
-    found = F.size(F.array_intersect("qw", "pw")) / F.size("qw")
-    typo = F.size(F.filter("qw", lambda w: ~F.array_contains(F.col("pw"), w) & F.exists("pw", lambda x: (F.substring(x, F.lit(1), F.lit(1)) == F.substring(w, F.lit(1), F.lit(1))) & (F.levenshtein(w, x) <= text.edit_allowance(w))))) / F.size("qw")
-    score = F.when(F.col("name") == F.col("q"), 8.0).otherwise(0.0) + F.when(F.contains(F.concat(F.lit(" "), "name", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))), 4.0).otherwise(0.0) + 3 * found + 2 * typo
-    s = c.select("query_id", "place_id", score.alias("score")).filter("score > 0")
-    return with_rank(s, ["query_id"], "score", "place_id").filter(F.col("rank") <= top)
+    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda x: x != ""))).alias("word"))
+    q, p = words(queries, "query_id"), words(places, "place_id")
+    known, asked = p.select(F.col("word").alias("term")).distinct(), q.select("word").distinct()
+    typos = fuzzy(known, asked.select(F.lit(0).alias("query_id"), "word"), text.edit_allowance).filter((F.col("edits") > 0) & (F.substring("word", 1, 1) == F.substring("term", 1, 1)))
+    pairs = asked.select("word", F.col("word").alias("term"), F.lit(1).alias("equal")).union(typos.select("word", "term", F.lit(0)))
+    hits = p.select("place_id", F.col("word").alias("term")).join(small(pairs), "term").join(small(q), "word")
+    hits = hits.groupBy("query_id", "place_id", "word").agg(F.max("equal").alias("equal")).groupBy("query_id", "place_id").agg(F.sum("equal").alias("equal"), F.count(F.lit(1)).alias("met"))
+    n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(queries.select("query_id", F.col("name").alias("q")), "query_id")
+    c = hits.join(small(n), "query_id").join(places.select("place_id", "name"), "place_id")
+    score = F.when(F.col("name") == F.col("q"), 8.0).otherwise(0.0) + F.when(F.contains(F.concat(F.lit(" "), "name", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))), 4.0).otherwise(0.0) + 3 * (F.col("equal") / F.col("n")) + 2 * ((F.col("met") - F.col("equal")) / F.col("n"))
+    return with_rank(c.select("query_id", "place_id", score.alias("score")), ["query_id"], "score", "place_id").filter(F.col("rank") <= top)
 
 
 def with_lane(found: DataFrame, lane: DataFrame, query: str, doc: str) -> DataFrame:

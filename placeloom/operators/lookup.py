@@ -15,6 +15,8 @@ from .search import fuzzy, small
 UNKNOWN_HOST, VN_HOST, FARM_HOST, DOCS_HOST = 0.3, 0.7, 0.18, 0.85
 FARM = r"(top\d+|best-|review-?hub|seo|cheap-?deals|coupon)"
 WINDOW = 256
+#: Units that a query may name with typos.
+FUZZY_UNITS = 2
 LEVELS = {1: "tinh|thanh pho|tp", 2: "quan|huyen|thi xa", 3: "phuong|xa|thi tran"}
 
 
@@ -83,7 +85,8 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame, most: int = 8) -> Da
     """
     known = synonyms.groupBy("canon").agg(F.array_sort(F.collect_set("form")).alias("forms"))
     q = queries.withColumn("n", text.normalize(F.col("query")))
-    grams = F.concat(*[text.ngrams(text.tokens(F.col("query")), k) for k in (1, 2, 3)])
+    most_words = known.agg(F.max(F.size(F.split("canon", " ")))).first()[0] or 1  # runs are as long as the longest canon
+    grams = F.concat(*[text.ngrams(text.tokens(F.col("query")), k) for k in range(1, most_words + 1)])
     hits = q.select("query_id", F.explode(F.array_distinct(grams)).alias("canon")).join(small(known), "canon")
     hits = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("canon", "forms"))).alias("hits"))
     made = F.flatten(F.transform("hits", lambda h: F.transform(h["forms"], lambda f: F.trim(F.replace(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), h["canon"], F.lit(" ")), F.concat(F.lit(" "), f, F.lit(" ")))))))
@@ -146,17 +149,46 @@ def match_units(addresses: DataFrame, names: DataFrame) -> DataFrame:
     return hits.filter("__i = 1").select("addr_id", "pos", "unit", "level", "via", fits.alias("hinted"), "ambiguous", confidence.alias("confidence"))
 
 
-def fuzzy_mentions(queries: DataFrame, terms: DataFrame, most_words: int = 3) -> DataFrame:
-    """query_id, gram, term, edits: for each term the longest run of a query's words within the edits allowed (then the nearest, then the first).
+def near_words(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """word, term, edits: pairs of words(word) and terms(term) within the edits allowed for the longer of the two, none left out."""
+    w, t = words.select("word").distinct(), terms.select("term").distinct()
+    found = fuzzy(t, w.select(F.lit(0).alias("query_id"), "word"), text.edit_allowance).select("word", "term", "edits")
+    turned = fuzzy(w.select(F.col("word").alias("term")), t.select(F.lit(0).alias("query_id"), F.col("term").alias("word")), text.edit_allowance)
+    return found.union(turned.select(F.col("term").alias("word"), F.col("word").alias("term"), "edits")).distinct()
 
-    queries: query_id, words; terms: term. Each term is taken once for a query; runs of words may overlap.
+
+def fuzzy_mentions(queries: DataFrame, terms: DataFrame, most_words: int | None = None, exact: bool = True, most: int | None = None, least: int = 5) -> DataFrame:
+    """query_id, gram, term, target, edits: runs of a query's words that come near to terms, each run and each target once.
+
+    queries: query_id, words; terms: term and, if there is one, target (else the term is its own). Runs have up to
+    most_words words (as many as the longest term has), runs and terms `least` letters or more. The run of most letters goes
+    first (then that of more words, then the first one) and takes the nearest free target within the edits allowed for the
+    longer of run and term (then the smallest); runs that are part of a run taken are used up with it. exact: equal runs
+    take part. most: so many mentions of a query at most. Near pairs of different runs and terms are found once for all
+    queries; a query's own few pairs are then assigned in that order. Null words: none.
     """
-    grams = F.array_distinct(F.concat(*[text.ngrams(F.col("words"), k) for k in range(1, most_words + 1)]))
-    q = queries.select("query_id", F.explode(grams).alias("word"))
-    found = fuzzy(terms, q, text.edit_allowance)
-    size = F.size(F.split("word", " "))
-    best = F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc(size), "edits", "word"))
-    return found.withColumn("__i", best).filter("__i = 1").select("query_id", F.col("word").alias("gram"), "term", "edits")
+    if "target" not in terms.columns:
+        terms = terms.withColumn("target", F.col("term"))
+    terms = terms.select("term", "target").filter(F.length("term") >= least).distinct()
+    most_words = most_words or terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    run = lambda k: F.transform(text.ngrams(F.col("words"), k), lambda g, i: F.struct(g.alias("gram"), F.lit(-k).alias("words"), i.alias("at")))
+    runs = queries.select("query_id", F.explode(F.concat(*[run(k) for k in range(1, most_words + 1)])).alias("g")).select("query_id", "g.*").filter(F.length("gram") >= least)
+    runs = runs.groupBy("query_id", "gram").agg(F.min(F.struct("words", "at")).alias("first"))
+    pairs = near_words(runs.select(F.col("gram").alias("word")), terms)
+    if not exact:
+        pairs = pairs.filter("edits > 0")
+    found = runs.join(small(pairs.withColumnRenamed("word", "gram")), "gram").join(small(terms), "term")
+    order = F.struct((-F.length("gram")).alias("letters"), "first", "edits", "target", "term", "gram")
+    kind = f"array<struct<gram:string,term:string,target:{terms.schema['target'].dataType.simpleString()},edits:int>>"
+
+    def take(done, x):
+        taken = F.exists(done, lambda y: F.contains(y["gram"], x["gram"]) | (y["target"] == x["target"]))
+        full = F.lit(False) if most is None else F.size(done) >= most
+        return F.when(taken | full, done).otherwise(F.concat(done, F.array(F.struct(x["gram"].alias("gram"), x["term"].alias("term"), x["target"].alias("target"), x["edits"].alias("edits"))).cast(kind)))
+
+    chosen = found.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("pairs"))
+    chosen = chosen.select("query_id", F.explode(F.aggregate("pairs", F.array().cast(kind), take)).alias("m"))
+    return chosen.select("query_id", "m.gram", "m.term", "m.target", "m.edits")
 
 
 def known_place(candidates: DataFrame, places: DataFrame, edits: int = 2) -> DataFrame:
@@ -206,7 +238,8 @@ def understood(queries: DataFrame, names: DataFrame, synonyms: DataFrame, curren
 
     queries: query_id, query; names: as match_units takes them; current: unit, current (see places.current_units).
     Dish names in `mask` (normal) are taken out before units are sought, so a dish is no place. Units are whole-word
-    mentions, the longest first, and live on in their current ones; a query without any gets the units of fuzzy mentions.
+    mentions, the longest first, and live on in their current ones; a query without any gets the units of fuzzy mentions,
+    each run of words and each unit once, FUZZY_UNITS at most.
     terms: the words and the forms of their synonyms. targets: the two sides of a comparison.
     """
     q = queries.select("query_id", "query", text.normalize(F.col("query")).alias("n"), text.intent(F.col("query")).alias("intent"))
@@ -217,7 +250,7 @@ def understood(queries: DataFrame, names: DataFrame, synonyms: DataFrame, curren
     aliases = names.select(F.col("name").alias("alias"), F.col("unit").alias("entity")).distinct()
     found = mentions(words, aliases).select(F.col("text_id").alias("query_id"), F.col("entity").alias("unit"))
     without = words.withColumnRenamed("text_id", "query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
-    near = fuzzy_mentions(without, names.select(F.col("name").alias("term")).filter(F.length("term") >= 5).distinct()).join(small(names.select(F.col("name").alias("term"), "unit").distinct()), "term").select("query_id", "unit")
+    near = fuzzy_mentions(without, names.select(F.col("name").alias("term"), F.col("unit").alias("target")), exact=False, most=FUZZY_UNITS).select("query_id", F.col("target").alias("unit"))
     alive = lambda rows, name: rows.join(small(current), "unit", "left").groupBy("query_id").agg(F.array_sort(F.collect_set(F.coalesce("current", "unit"))).alias(name))
     t = q.select("query_id", F.explode(text.tokens(F.col("query"))).alias("term"))
     terms = expand_synonyms(t, synonyms).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))

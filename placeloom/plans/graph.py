@@ -26,20 +26,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds at least 1/HOT_PARTS of all rows; so many keys at most are.
+HOT_PARTS = 1000
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows JOIN values USING (key), values having one row for each key and its number of rows, n: hot keys' values go to all tasks, so their rows need not meet in one."""
+    hot = F.col(n) * HOT_PARTS >= total
+    few = F.broadcast(values.filter(hot).drop(n))
+    return rows.join(few, key).union(rows.join(few, key, "left_anti").join(values.filter(~hot).drop(n), key))
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root (smallest node of its component) for links (u, v): labels go over links and are then followed once more, until they stay.
+    """node, root (smallest node of its component) for links (u, v); ids of any one type that has an order.
 
-    A hub's links meet only in a map-side minimum; each round's labels are written, a checksum reaches the driver.
+    Large-star and small-star steps in turn, until the links stay: each node's larger neighbours are linked to its smallest
+    neighbour (or itself), then its smaller ones are. A hub's links are reduced where they stand and come by its smallest
+    neighbour without meeting in one task (attach); each step's links are written, their count and a checksum reach
+    the driver. Nulls and loops are no links. No links: no rows.
     """
-    both = written(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).toDF("u", "v").filter("u <> v").distinct(), "links")
-    label = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "node"), "labels")
-    was = None
-    while True:
-        low = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("root").alias("m"))
-        label2 = label.join(low, label["node"] == low["u"]).select("node", F.least("root", "m").alias("root"))
-        jump = label2.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        label = written(label2.join(jump, "root", "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
-        now = label.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == was:
-            return label
-        was = now
+    def state(e):
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    def least(e, low):
+        return written(e.groupBy("u").agg(low.alias("m"), F.count(F.lit(1)).alias("n")), "least-neighbours")
+
+    e = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    was, now = None, state(e)
+    while now != was and now[0]:
+        both = e.union(e.select("v", "u"))
+        low = least(both, F.least(F.min("v"), F.col("u")))
+        e = attach(both.filter("v > u"), low, "u", "n", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = written(e, "links")
+        low = least(e, F.min("v"))
+        moved = attach(e, low, "u", "n", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        e = written(moved.union(low.select("u", "m")).distinct(), "links")
+        was, now = now, state(e)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())

@@ -112,7 +112,7 @@ def j15(spark, d):
     """Words of conversations that come close to opening words of benchmark items."""
     terms = table(spark, d, "benchmark").select(F.array_join(F.slice(text.tokens(F.col("text")), 1, 2), " ").alias("term")).filter("length(term) >= 5").distinct()
     q = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.tokens(F.col("text")).alias("words"))
-    return lookup.fuzzy_mentions(q, terms)
+    return lookup.fuzzy_mentions(q, terms).drop("target")
 
 
 KNOWN = """SELECT s_suppkey AS place_id, s_nationkey % 3 AS province, 'quan ' || CASE s_suppkey % 4 WHEN 0 THEN 'bun' WHEN 1 THEN 'pho' WHEN 2 THEN 'com tam' ELSE 'che' END || ' so ' || CAST(s_suppkey % 50 AS STRING) AS name FROM {supplier}"""
