@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest, places
 from ..plans.graph import shared_path, written
 from ..sources import readers, sinks
-from ..streaming import jobs
+from ..streaming import circuits, jobs
 from .fixtures import RECORDS, derive, sql, table
 from .place_queries import _PLACES, D_NORMAL, normal
 from .registry import query
@@ -189,6 +189,26 @@ def g4(spark, d):
     return jobs.latest(t, "key").withColumn("success_rate", F.round("success_rate", 6))
 
 
+CALLS = """SELECT user_id, CAST(ts AS TIMESTAMP) AS at, UNIX_MICROS(CAST(ts AS TIMESTAMP)) / 1000000.0D AS t, event_id, CASE event_type WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'captcha' WHEN 2 THEN 'rate_limited' ELSE 'error' END
+  WHEN 'view' THEN 'captcha' ELSE CASE WHEN event_id % 3 = 0 THEN 'empty' ELSE 'success' END END AS outcome, CAST(event_id * 37 % 5003 AS DOUBLE) AS ms, event_id % 9 AS results FROM {events}"""
+#: Users' events lie hours apart, so calls count for ten days and a circuit cools down for hours.
+SLOW = circuits.Rules(seconds=864_000.0, cooldown=7200.0, max_cooldown=86_400.0)
+
+
+@query("g4_circuits")
+def g4_circuits(spark, d):
+    """The circuit of each user after each of their calls, as a stream that ends with what is there."""
+    made = spark.sql(CALLS, events=events_stream(spark, d))
+    t = with_rocks(spark, lambda: jobs.run_once(spark, circuits.circuits(made, "user_id", SLOW), "update", "circuits"))
+    return t.filter("event_id IS NOT NULL").drop("batch_id")
+
+
+@query("g4_circuit_replay")
+def g4_circuit_replay(spark, d):
+    """The same from the table of events."""
+    return circuits.replay(derive(spark, d, CALLS), "user_id", SLOW)
+
+
 @query("g5_ema_state", """
 WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 e AS (SELECT user_id, i, value AS ema FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, 0.7e0 * e.ema + 0.3e0 * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.i = e.i + 1)
