@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, web
-from ..plans.graph import components, written
+from ..plans.graph import components, leaders, written
 from .ranking import rrf, with_rank
 from .search import fuzzy, in_blocks, small, sparse_search
 
@@ -24,17 +24,22 @@ def _grouped(rows: DataFrame, links: DataFrame, key: str, name: str) -> DataFram
 
 
 def independent_sources(sources: DataFrame, least: float = CONTAINED, n: int = SHINGLE) -> DataFrame:
-    """sources(pack, source_id, words) with cluster_id: sources of a pack that hold `least` or more of the smaller one's n-word shingles go together.
+    """sources(pack, source_id, words) with cluster_id: a pack's sources in order of id; each joins the cluster whose first source holds the largest share of the smaller one's n-word shingles, if that is `least` or more, or founds one.
 
-    All shingles count; a shorter text is one shingle. Sources are joined by links, whatever their order.
+    So sources that are alike to a member only, not to its cluster's first source, stay apart. Equal texts are one
+    cluster. All shingles count; a shorter text is one shingle. Of equal shares the earliest cluster is joined.
     """
     grams = F.when(F.size("words") >= n, text.ngrams(F.col("words"), n)).otherwise(F.array(F.array_join("words", " ")))
-    s = sources.select("pack", "source_id", F.transform(F.array_distinct(grams), lambda g: F.xxhash64(g)).alias("g")).withColumn("m", F.size("g"))
-    e = s.select("pack", "source_id", "m", F.explode("g").alias("g"))
+    s = sources.select("pack", "source_id", F.transform(F.array_distinct(grams), lambda g: F.xxhash64(g)).alias("g"), F.xxhash64(F.array_join("words", " ")).alias("same")).withColumn("m", F.size("g"))
+    s = written(s.withColumn("first", F.min("source_id").over(Window.partitionBy("pack", "same"))), "source-shingles")
+    e = s.filter("source_id = first").select("pack", "source_id", "m", F.explode("g").alias("g"))  # equal texts meet as one
     o = e.toDF("pack", "other", "m2", "g")
-    shared = e.join(o, ["pack", "g"]).filter("source_id < other").groupBy("source_id", "other", "m", "m2").agg(F.count(F.lit(1)).alias("k"))
-    links = shared.filter(F.col("k") >= least * F.least("m", "m2")).select(F.col("source_id").alias("u"), F.col("other").alias("v"))
-    return _grouped(sources.select("pack", "source_id"), links, "source_id", "cluster_id")
+    shared = e.join(o, ["pack", "g"]).filter("source_id < other").groupBy("pack", "source_id", "other", "m", "m2").agg(F.count(F.lit(1)).alias("k"))
+    share = F.col("k") / F.least("m", "m2")
+    in_pack = lambda c: F.struct("pack", F.col(c).alias("id"))
+    links = shared.filter(F.col("k") >= least * F.least("m", "m2")).select(in_pack("source_id").alias("u"), in_pack("other").alias("v"), share.alias("score"))
+    led = leaders(links).select("node.pack", F.col("node.id").alias("first"), F.col("leader.id").alias("cluster_id"))
+    return s.select("pack", "source_id", "first").join(led, ["pack", "first"], "left").select("pack", "source_id", F.coalesce("cluster_id", "first").alias("cluster_id"))
 
 
 def simhash(words: Column) -> Column:

@@ -63,3 +63,24 @@ def components(links: DataFrame) -> DataFrame:
         e = written(moved.union(low.select("u", "m")).distinct(), "links")
         was, now = now, state(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
+
+
+def leaders(links: DataFrame) -> DataFrame:
+    """node, leader of each node of the links (u, v, score), u being before v: items taken in order, each joins the best earlier leader that it is linked to (the earliest of equal ones), or leads itself.
+
+    In rounds: a node without an earlier node that may lead is a leader; nodes linked to a leader are members; what a
+    member was linked to no longer counts. So a round decides all nodes whose earlier ones are decided, and there are as
+    many rounds as such a chain is long, not as there are items. A leader and its members are links, not a group of pairs.
+    """
+    every = written(links.filter("u <> v").select("u", "v", "score"), "ordered-links")
+    left, members = written(every.select("u", "v").distinct(), "undecided-links"), every.select(F.col("v").alias("node")).limit(0)
+    while left.limit(1).count():
+        lead = left.select("u").distinct().join(left.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        joined = written(left.join(lead, "u", "left_semi").select(F.col("v").alias("node")).distinct(), "members")
+        members = members.union(joined)
+        left = left.join(joined.withColumnRenamed("node", "v"), "v", "left_anti").join(joined.withColumnRenamed("node", "u"), "u", "left_anti")
+        left = written(left.select("u", "v"), "undecided-links")
+    led = every.join(members.withColumnRenamed("node", "u"), "u", "left_anti").join(members.withColumnRenamed("node", "v"), "v", "left_semi")
+    best = led.groupBy(F.col("v").alias("node")).agg(F.min_by("u", F.struct(-F.col("score"), F.col("u"))).alias("leader"))
+    alone = every.select("u").union(every.select("v")).distinct().join(members.withColumnRenamed("node", "u"), "u", "left_anti")
+    return best.union(alone.select("u", "u"))

@@ -15,8 +15,12 @@ from .text_queries import _LINKED, D_VISIBLE, d_hav, d_links, d_norm, d_tokens,
 SOURCES = """SELECT conv_id AS pack, (conv_id * 1000 + turn) * 2 AS source_id, text FROM {conversations} UNION ALL SELECT conv_id, (conv_id * 1000 + turn) * 2 + 1, text || ' copied elsewhere' FROM {conversations} WHERE (conv_id + turn) % 3 = 0"""
 _CLUSTERS = f"""s AS (SELECT pack, source_id, {d_tokens('text')} AS w FROM ({sql(SOURCES)})),
 g AS (SELECT pack, source_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END) AS g FROM s),
-l AS (SELECT a.source_id AS u, b.source_id AS v FROM g a JOIN g b ON a.pack = b.pack AND a.source_id <> b.source_id WHERE len(list_intersect(a.g, b.g)) >= 0.25 * least(len(a.g), len(b.g))),
-r(u, v) AS (SELECT source_id, source_id FROM s UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u), c AS (SELECT u AS source_id, min(v) AS cluster_id FROM r GROUP BY 1)"""
+o AS (SELECT pack, source_id, g, row_number() OVER (PARTITION BY pack ORDER BY source_id) AS i FROM g JOIN s USING (pack, source_id)),
+k AS (SELECT b.source_id, list(a.source_id ORDER BY len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g))::DOUBLE DESC, a.source_id) AS us FROM g a JOIN g b ON a.pack = b.pack AND a.source_id < b.source_id WHERE len(list_intersect(a.g, b.g)) >= 0.25 * least(len(a.g), len(b.g)) GROUP BY 1),
+q AS (SELECT o.pack, o.i, o.source_id, coalesce(us, []) AS us FROM o LEFT JOIN k USING (source_id)),
+r(pack, i, source_id, cluster_id, led) AS (SELECT pack, i, source_id, source_id, [source_id] FROM q WHERE i = 1
+ UNION ALL SELECT pack, i, source_id, coalesce(j, source_id), CASE WHEN j IS NULL THEN list_append(led, source_id) ELSE led END FROM (SELECT q.pack, q.i, q.source_id, r.led, list_filter(q.us, lambda x: list_contains(r.led, x))[1] AS j FROM r JOIN q ON q.pack = r.pack AND q.i = r.i + 1)),
+c AS (SELECT source_id, cluster_id FROM r)"""
 
 
 def sources(spark, d):
