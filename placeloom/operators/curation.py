@@ -12,6 +12,7 @@ from ..functions import geo, text, web
 from ..plans.graph import components, leaders, written
 from .ranking import rrf, with_rank
 from .search import fuzzy, in_blocks, small, sparse_search
+from .selection import ema
 
 CONTAINED, SHINGLE = 0.25, 3
 NAME_DOMAIN, NAME_NEAR, NAME_ADDRESS, ADDRESS, NEAR_M = 0.60, 0.88, 0.90, 0.85, 100.0
@@ -198,12 +199,12 @@ def filtered_answers(sentences: DataFrame, answer: str, abstain: str) -> DataFra
 
 def recrawl_plan(visits: DataFrame, alpha: float = 0.3) -> DataFrame:
     """url, rate, visits, next_due: moving average of content changes over visits(url, at, content_hash), and the last visit plus the interval of that rate."""
-    w = Window.partitionBy("url").orderBy("at")
-    v = visits.withColumn("changed", (F.lag("content_hash").over(w) != F.col("content_hash")).cast("double"))
-    g = v.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("changed", F.lit(0.0)).alias("c")))).alias("s"))
-    rate = F.aggregate(F.slice("s", 2, 1 << 30), F.element_at("s", 1)["c"], lambda a, x: (1 - alpha) * a + alpha * x["c"])
-    due = F.unix_timestamp(F.element_at("s", -1)["at"]) + geo.recrawl_seconds(F.col("rate"))
-    return g.withColumn("rate", rate).select("url", "rate", F.size("s").alias("visits"), F.timestamp_seconds(F.floor(due)).alias("next_due"))
+    changed = F.lag("content_hash").over(Window.partitionBy("url").orderBy("at")) != F.col("content_hash")
+    v = written(visits.select("url", "at", F.coalesce(changed.cast("double"), F.lit(0.0)).alias("changed")), "visits")
+    last = v.groupBy("url").agg(F.max("at").alias("at"), F.count(F.lit(1)).cast("int").alias("visits"))
+    rates = ema(v, "url", "at", "changed", alpha).select("url", F.col("ema").alias("rate"))
+    due = F.unix_timestamp("at") + geo.recrawl_seconds(F.col("rate"))
+    return last.join(rates, "url").select("url", "rate", "visits", F.timestamp_seconds(F.floor(due)).alias("next_due"))
 
 
 def discovered(pages: DataFrame, html: str, depth: str, allowed: DataFrame | None = None, url: str = "url") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .ranking import clamp
+from .selection import nearest_rank
 
 INTENTS = ["local_search", "legal", "market_price", "weather", "comparison", "howto", "lookup"]
 FRESHNESS = ["today", "week", "month", "any"]
@@ -67,14 +68,13 @@ def suite_metrics(r: DataFrame) -> DataFrame:
     share = lambda good, of: F.avg(F.when(of, good.cast("double")))
     yes = F.lit(True)
     need = F.when(F.col("places") == "verified", F.col("exact")).otherwise(F.col("shown"))
-    ranked = F.array_sort(F.collect_list("latency_ms"))
-    at = lambda p: F.element_at(ranked, F.greatest(F.lit(1), F.ceil(F.size(ranked) * p).cast("int")))
+    p50, p95 = (F.lit(p).cast(r.schema["latency_ms"].dataType) for p in nearest_rank(r, "latency_ms", (0.5, 0.95)))
     return r.agg(
         F.count(F.lit(1)).alias("cases"), share(F.col("intent") == F.col("want_intent"), yes).alias("intent"),
         share(F.col("specialty").eqNullSafe(F.col("want_specialty")), F.col("want_specialty").isNotNull()).alias("specialty"), share(F.col("unit_ok"), F.col("unit_ok").isNotNull()).alias("unit"),
-        (F.sum("correct") / F.sum("shown")).alias("place_precision"), (F.sum("outside") / F.sum("shown")).alias("outside_rate"),
+        F.try_divide(F.sum("correct"), F.sum("shown")).alias("place_precision"), F.try_divide(F.sum("outside"), F.sum("shown")).alias("outside_rate"),
         share(F.col("shown") == 0, F.col("places") == "none").alias("abstain_rate"), share(need == 0, F.col("places").isin("any", "verified")).alias("zero_rate"),
-        at(0.5).alias("p50"), at(0.95).alias("p95"),
+        p50.alias("p50"), p95.alias("p95"),
     )
 
 

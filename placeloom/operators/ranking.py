@@ -202,11 +202,5 @@ def ends_of(rows: DataFrame, by: str, at: str, n: int) -> DataFrame:
     return rows.withColumn("__i", i).withColumn("__n", size).filter((F.col("__i") <= n // 2) | (F.col("__i") > F.col("__n") - n // 2)).drop("__i", "__n")
 
 
-def ema(rows: DataFrame, by: str, at: str, value: str, alpha: float) -> DataFrame:
-    """by, ema: alpha * value + (1 - alpha) * before, from the first value on."""
-    g = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(value).cast("double").alias("v")))).alias("s"))
-    return g.select(by, F.aggregate(F.slice("s", 2, 1 << 30), F.element_at("s", 1)["v"], lambda a, x: (1 - alpha) * a + alpha * x["v"]).alias("ema"), F.size("s").cast("long").alias("n"))
-
-
 def recrawl_priority(change: Column, authority: Column, demand: Column, staleness: Column, quality: Column, depth: Column) -> Column:
     return 0.30 * change + 0.20 * authority + 0.20 * demand + 0.15 * staleness + 0.10 * quality + 0.05 * depth

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from .selection import interpolated
 
 
 def trace_report(traces: DataFrame) -> DataFrame:
-    """One row: searches, zero, low, gaps, p50 and p95 latency (interpolated), zero_rate in percent."""
+    """One row: searches, zero, low, gaps, p50 and p95 latency (interpolated), zero_rate in percent. Latencies are selected by ranges (selection.interpolated), never listed."""
     n = F.count(F.lit(1))
-    return traces.agg(n.alias("searches"), F.count_if(F.col("results_total") == 0).alias("zero"), F.count_if(F.col("results_total").between(1, 2)).alias("low"), F.count_if("coverage_gap").alias("gaps"), F.percentile("latency_ms", 0.5).alias("p50"), F.percentile("latency_ms", 0.95).alias("p95"), F.round(100 * F.count_if(F.col("results_total") == 0) / n, 1).alias("zero_rate"))
+    p50, p95 = (F.lit(p).cast("double") for p in interpolated(traces, "latency_ms", (0.5, 0.95)))
+    return traces.agg(n.alias("searches"), F.count_if(F.col("results_total") == 0).alias("zero"), F.count_if(F.col("results_total").between(1, 2)).alias("low"), F.count_if("coverage_gap").alias("gaps"), p50.alias("p50"), p95.alias("p95"), F.round(F.try_divide(100 * F.count_if(F.col("results_total") == 0), n), 1).alias("zero_rate"))
 
 
 def click_rates(interactions: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, web
-from ..operators import ranking
+from ..operators import ranking, selection
 from .fixtures import INTERACTIONS, RECORDS, derive, sql, table
 from .registry import query
 
@@ -373,7 +373,7 @@ WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user
 e AS (SELECT user_id, i, value AS ema FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i, 0.7e0 * e.ema + 0.3e0 * s.value FROM e JOIN s ON s.user_id = e.user_id AND s.i = e.i + 1)
 SELECT user_id, round(arg_max(ema, i), 6) AS ema, count(*) AS n FROM e GROUP BY user_id""")
 def ema(spark, d):
-    return ranking.ema(table(spark, d, "events"), "user_id", "event_id", "value", 0.3).withColumn("ema", F.round("ema", 6))
+    return selection.ema(table(spark, d, "events"), "user_id", "event_id", "value", 0.3).withColumn("ema", F.round("ema", 6))
 
 
 @query("u2_distinct_interactions", f"WITH i AS ({sql(INTERACTIONS)}) SELECT DISTINCT trace_id, result_id, kind, rank FROM i")

@@ -90,9 +90,43 @@ def places_from_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame | No
     return out.filter(F.col("lat").between(*box[:2]) & F.col("lon").between(*box[2:])) if box else out
 
 
+#: Kinds of paths that Arrow opens in a task, and bytes read at once.
+STREAMED, BLOCK = ("file", "s3", "s3a", "gs", "hdfs"), 8 << 20
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """file, sha256, bytes of each file of a dataset."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """file, sha256, bytes of each file of a dataset.
+
+    Files are listed by Spark, without their content (it lists no empty files). A file is one task's work: it is read as a stream, BLOCK bytes at a
+    time, so files of any size need no more memory than that. Files of stores that Arrow does not open are read
+    by Spark as one value each (2 GB at most).
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    kind = F.regexp_extract("file", "^([A-Za-z0-9]+):", 1)
+
+    def digests(it):
+        import hashlib
+        from urllib.parse import unquote
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in it:
+            for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                scheme, rest = file.split(":", 1)
+                if scheme == "file":
+                    store, at = fs.LocalFileSystem(), unquote(rest if not rest.startswith("//") else rest[2:])
+                else:
+                    store, at = fs.FileSystem.from_uri(file.replace("s3a:", "s3:", 1))
+                digest = hashlib.sha256()
+                with store.open_input_stream(at) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([digest.hexdigest()]), pa.array([size])], names=["file", "sha256", "bytes"])
+
+    streamed = files.filter(kind.isin(*STREAMED)).repartition("file").mapInArrow(digests, "file string, sha256 string, bytes long")
+    whole = spark.read.format("binaryFile").load(path).filter(~F.regexp_extract("path", "^([A-Za-z0-9]+):", 1).isin(*STREAMED))
+    return streamed.union(whole.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")))
 
 
 def delta(table: DataFrame, at: str, key: str, after_at, after_key) -> DataFrame:
