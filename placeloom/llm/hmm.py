@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ OWN_SHARE = 8192
 ENDINGS = 256
 #: Text of a block, and tokens that the recursions hold at once.
 BLOCK_BYTES = 16 << 20
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 19
 SMOOTH = 0.1
 COLD_SMOOTH = 0.5
 
@@ -71,29 +71,30 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> D
 
 
 def classify_tokens(blocks: DataFrame, train_tokens: int, ends: int, own_share: int, endings: int):
-    """(rows, own tokens, class sizes): rows block, at, c, cls for every token of every block.
+    """(rows, mass, class sizes, kinds, distinct): rows block, at, c, cls for every token of every block.
 
-    The blocks' counts of a token meet in one shuffle; a token is in a block once, however often it stands there.
-    Classes: 0 to endings - 1 for the others' endings, then own tokens, then the end.
+    The blocks' counts of a token are added up where they stand before they meet, and the table of counts is joined
+    back to the blocks' tokens, so a token of every block is no group of its own; a token is in a block once, however often
+    it stands there. Classes: 0 to endings - 1 for the others' endings, then own tokens (own_share at most), then the end.
     """
     tokens = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("token"), F.col("x.counts").alias("n"))
-    same = Window.partitionBy("token")
-    tokens = tokens.withColumn("c", F.sum("n").over(same)).withColumn("first", F.row_number().over(same.orderBy("block")) == 1)
+    counts = save(tokens.groupBy("token").agg(F.sum("n").alias("c")), "lm-counts", "zstd")
     own = F.col("c") * own_share >= max(train_tokens, 1)
-    ending = (F.crc32(F.right("token", F.lit(2)).cast("binary")) % endings).cast("int")
-    rows = save(tokens.select("block", "at", "c", "first", F.when(~own, ending).alias("cls"), F.when(own, F.col("token")).alias("token")), "lm-tokens", "zstd")
-    owned = rows.filter("first and token is not null").select("token", "c").orderBy(F.desc("c"), "token").collect()
+    owned = counts.filter(own).orderBy(F.desc("c"), "token").collect()
     number = {r["token"]: endings + k for k, r in enumerate(owned)}
-    sums = rows.filter("first and cls is not null and c > 0").groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    ending = (F.crc32(F.right("token", F.lit(2)).cast("binary")) % endings).cast("int")
+    sums = counts.filter(~own & (F.col("c") > 0)).groupBy(ending.alias("cls")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     size, kinds = np.zeros(endings), np.zeros(endings)
     for r in sums:
         size[r["cls"]], kinds[r["cls"]] = r["n"], r["v"]
+    classes = counts.withColumn("cls", ending)
     if number:
         table = blocks.sparkSession.createDataFrame(list(number.items()), "token string, own int")
-        rows = rows.join(F.broadcast(table), "token", "left").withColumn("cls", F.coalesce("own", "cls"))
+        classes = classes.join(F.broadcast(table), "token", "left").select("token", "c", F.coalesce("own", "cls").alias("cls"))
+    rows = tokens.select("block", "at", "token").join(classes, "token").select("block", "at", "c", "cls")
     mass = np.concatenate((size, [r["c"] for r in owned], [ends]))
     distinct = len(owned) + int(kinds.sum()) + (ends > 0)
-    return rows.select("block", "at", "c", "cls"), mass, size, kinds, distinct
+    return rows, mass, size, kinds, distinct
 
 
 def label(blocks: DataFrame, rows: DataFrame, n_classes: int, size: np.ndarray, kinds: np.ndarray, end_count: int) -> DataFrame:
