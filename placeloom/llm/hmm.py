@@ -77,7 +77,7 @@ def classify_tokens(blocks: DataFrame, train_tokens: int, ends: int, own_share:
     back to the blocks' tokens, so a token of every block is no group of its own; a token is in a block once, however often
     it stands there. Classes: 0 to endings - 1 for the others' endings, then own tokens (own_share at most), then the end.
     """
-    tokens = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("token"), F.col("x.counts").alias("n"))
+    tokens = blocks.select(F.col("block").alias("block"), F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("block", "at", F.col("x.words").alias("token"), F.col("x.counts").alias("n"))
     counts = save(tokens.groupBy("token").agg(F.sum("n").alias("c")), "lm-counts", "zstd")
     own = F.col("c") * own_share >= max(train_tokens, 1)
     owned = counts.filter(own).orderBy(F.desc("c"), "token").collect()
