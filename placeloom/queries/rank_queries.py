@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import evaluation, evidence, ranking, search
+from ..operators import evaluation, evidence, ranking, search, text_index
+from ..plans.graph import shared_path
 from .fixtures import RANKED, derive, sql, table
 from .registry import query
 from .text_queries import d_tokens
@@ -157,6 +158,24 @@ def q1(spark, d):
     return bm25_of(spark, d, 5).select("query_id", F.round("score", 5).alias("score"))
 
 
+_FIELDS = f"""d AS (SELECT doc_id AS doc, {d_tokens('text')} AS words, {d_tokens('source')} AS description FROM documents), f AS (SELECT doc, 'title' AS field, words[1:10] AS words FROM d UNION ALL SELECT doc, 'context', words FROM d UNION ALL SELECT doc, 'description', description FROM d),
+qs AS (SELECT DISTINCT item_id AS query_id, unnest({d_tokens('text')}) AS term FROM benchmark), st AS (SELECT field, count(*) AS n, avg(len(words)) AS mean FROM f WHERE len(words) > 0 GROUP BY 1), post AS (SELECT doc, field, len(words) AS len, unnest(words) AS term FROM f),
+tf AS (SELECT doc, field, len, term, count(*) AS tf FROM post WHERE term IN (SELECT term FROM qs) GROUP BY 1, 2, 3, 4), df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY 1, 2),
+sc AS (SELECT query_id, doc, field, CASE field WHEN 'title' THEN 3 WHEN 'context' THEN 2 ELSE 1 END * sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * len / mean))) AS score FROM qs JOIN tf USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY 1, 2, 3),
+best AS (SELECT query_id, doc, max(score) AS score FROM sc GROUP BY 1, 2), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, doc) AS rank FROM best)"""
+
+
+@query("q1_fields", f"WITH {_FIELDS} SELECT query_id, round(score, 5) AS score FROM top WHERE rank <= 5")
+def q1_fields(spark, d):
+    """A stored index of title, context and description, searched with weights by field."""
+    words = text.tokens(F.col("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.slice(words, 1, 10).alias("title"), words.alias("context"), text.tokens(F.col("source")).alias("description"))
+    path = shared_path(spark, "text-index")
+    text_index.build(docs, ["title", "context", "description"], path)
+    qs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("words"))
+    return text_index.search(spark, path, qs, 5).select("query_id", F.round("score", 5).alias("score"))
+
+
 _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
 _COS = f"{_DOT.format('v.embedding', 'q.embedding')} / sqrt({_DOT.format('v.embedding', 'v.embedding')}) / sqrt({_DOT.format('q.embedding', 'q.embedding')})"
 
