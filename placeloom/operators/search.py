@@ -16,6 +16,8 @@ from .ranking import with_rank
 K1, B = 1.5, 0.75
 #: A table of so many bytes at most is sent whole to every task.
 BROADCAST_ROWS = 50_000
+#: Scores that a task holds at once (8 bytes each, twice).
+SCORES = 4_000_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -59,13 +61,15 @@ def bm25(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     return with_rank(scored, ["query_id"], "score", "doc").filter(F.col("rank") <= top)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """query_id, vec_id, score, rank: cosine of stated queries(query_id, q) against all vectors(vec_id, v), exactly.
+def knn(vectors: DataFrame, queries: DataFrame, top: int, where: Column | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank: cosine of stated queries(query_id, q) against all vectors(vec_id, v, ...), exactly.
 
+    where: a condition on the vectors' columns; it is applied before any score, so each query gets `top` rows that meet it.
     The stated queries go to every task as a matrix, in blocks of BROADCAST_ROWS at most. A task multiplies its vectors with
-    it, batch by batch, and keeps the best `top` of each query in a batch, so only these are shuffled. A zero vector
-    scores 0. Null vectors are left out.
+    some of them at a time, SCORES scores at most, and keeps the best `top` of each query in a batch, so only these are
+    shuffled. A zero vector scores 0. Null vectors are left out.
     """
+    vectors = vectors if where is None else vectors.filter(where)
     kind = [f.dataType.simpleString() for f in (queries.schema["query_id"], vectors.schema["vec_id"])]
 
     def unit(column):
@@ -84,12 +88,14 @@ def knn(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
             for batch in it:
                 for i in range(0, batch.num_rows, 4096):
                     part = batch.slice(i, 4096)
-                    scores = matrix @ unit(part.column(1)).T
-                    k = min(top, scores.shape[1])
-                    # all that tie with the k-th stay, so that ties are told by id in the end
-                    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                    q, v = np.nonzero(scores >= cut[:, None])
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), part.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "vec_id", "score"])
+                    own = unit(part.column(1)).T
+                    k, step = min(top, own.shape[1]), max(1, SCORES // own.shape[1])
+                    for first in range(0, len(matrix), step):
+                        scores = matrix[first : first + step] @ own
+                        # all that tie with the k-th stay, so that ties are told by id in the end
+                        cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+                        q, v = np.nonzero(scores >= cut[:, None])
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q + first)), part.column(0).take(pa.array(v)), pa.array(scores[q, v])], names=["query_id", "vec_id", "score"])
 
         rows = vectors.filter("v IS NOT NULL").select("vec_id", "v").mapInArrow(best, f"query_id {kind[0]}, vec_id {kind[1]}, score double")
         return with_rank(rows, ["query_id"], "score", "vec_id").filter(F.col("rank") <= top)
@@ -104,19 +110,6 @@ def sparse_search(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     return with_rank(s, ["query_id"], "score", "doc").filter(F.col("rank") <= top)
 
 
-def late_interaction(docs: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """Sum over a query's tokens of the best dot product with a document's tokens: docs(doc, v), queries(query_id, token, q).
-
-    Stated queries go to every task in blocks, a query's tokens together; maxima are taken within tasks first.
-    """
-    def block(some):
-        best = docs.join(F.broadcast(some)).groupBy("query_id", "doc", "token").agg(F.max(geo.dot(F.col("v"), F.col("q"))).alias("best"))
-        s = best.groupBy("query_id", "doc").agg(F.sum("best").alias("score"))
-        return with_rank(s, ["query_id"], "score", "doc").filter(F.col("rank") <= top)
-
-    return in_blocks(queries, "query_id", block)
-
-
 def autocomplete(places: DataFrame, queries: DataFrame, top: int, longest: int = 24, scale_m: float = 2000.0) -> DataFrame:
     """query_id, place_id, score, rank of places whose name or alias begins with the query's prefix.
 

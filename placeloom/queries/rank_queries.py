@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import evaluation, evidence, ranking, search, text_index
+from ..operators import evaluation, evidence, late_interaction, ranking, search, text_index
 from ..plans.graph import shared_path
 from .fixtures import RANKED, derive, sql, table
 from .registry import query
@@ -200,7 +200,8 @@ def q4(spark, d):
     e = table(spark, d, "embeddings")
     docs = e.select((F.col("vec_id") % 50).alias("doc"), F.col("embedding").alias("v"))
     qs = e.filter("vec_id % 20 = 0").select(F.col("label").alias("query_id"), F.col("vec_id").alias("token"), F.col("embedding").alias("q"))
-    return search.late_interaction(docs, qs, 5).select("query_id", F.round("score", 5).alias("score"), "rank")
+    at = late_interaction.centroids(docs)
+    return late_interaction.search(late_interaction.index(docs, at), at, qs, 5).select("query_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query("a30_ir_metrics", f"WITH {_R}, k AS (SELECT query_id, item AS doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM r WHERE provider = 'lexical'), rel AS (SELECT DISTINCT query_id, item AS doc FROM r WHERE provider = 'vector' AND q > 45), t AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1), h AS (SELECT query_id, rank FROM k JOIN rel USING (query_id, doc)), g AS (SELECT query_id, count(*) FILTER (rank <= 50) AS h, count(*) FILTER (rank <= 10) AS p, coalesce(sum(1e0 / log2(rank + 1)) FILTER (rank <= 20), 0) AS dcg, max(1e0 / rank) AS mrr FROM h GROUP BY 1) SELECT query_id, round(coalesce(h::DOUBLE / total, 0), 6) AS recall, round(coalesce(p / 10e0, 0), 6) AS precision, round(coalesce(dcg / list_sum(list_transform(range(1, least(total, 20) + 1), lambda i: 1e0 / log2(i + 1))), 0), 6) AS ndcg, round(coalesce(mrr, 0), 6) AS mrr FROM t LEFT JOIN g USING (query_id)")
