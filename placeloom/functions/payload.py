@@ -17,10 +17,20 @@ MOST_REVIEWS = 2_147_483_647
 PUBLISHED = ["articlepublishedtime", "datepublished", "ogpublishedtime", "publicationdate", "publishedat", "publisheddate", "publishedtime"]
 UPDATED = ["articlemodifiedtime", "datemodified", "lastmodified", "modifiedat", "ogupdatedtime", "updatedat", "updatedtime"]
 FIRST_SEEN = ["firstseen", "firstseenat"]
-CITIES = "tinh|thanh pho|tp"
-DISTRICTS = "quan|huyen|thi xa"
-WARDS = "phuong|xa|thi tran"
-LANES = "ngo|ngach|hem|kiet"
+ROLES = ["city", "district", "ward"]
+# Words of units before their names, patterns of a house number and of a lane, words that an address has,
+# and folded forms of large cities.
+CITY_WORDS = r"(?iu)^(?:thành phố|thanh pho|tỉnh|tinh|tp\.?)\s*"
+DISTRICT_WORDS = r"(?iu)^(?:quận|quan|huyện|huyen|thị xã|thi xa|thị trấn|thi tran|q\.)\s*"
+WARD_WORDS = r"(?iu)^(?:phường|phuong|xã|xa|thị trấn|thi tran|p\.)\s*"
+HOUSE = r"(?iu)^(?:(?:số|so|nhà|nha|no)\s+)?(#\s*)?(\d+[a-zA-Z]?(?:\s*[/\-]\s*\d+[a-zA-Z]?)*)"
+LANE = r"(?iu)^(?:(?:ngõ|ngo|hẻm|hem|kiệt|kiet|ngách|ngach|đường số|duong so)\s+)(\d+[a-zA-Z]?)\b"
+ADDRESS_WORDS = r"(?iuU)\b(phường|phuong|xã|xa|quận|quan|huyện|huyen|thành phố|thanh pho|tỉnh|tinh|ngõ|ngo|hẻm|hem|kiệt|kiet|đường số|duong so|p\.|q\.|tp\.?)\b"
+CITIES = {
+    "ha noi": "Thành phố Hà Nội", "hanoi": "Thành phố Hà Nội", "ho chi minh": "Thành phố Hồ Chí Minh", "tphcm": "Thành phố Hồ Chí Minh", "tp.hcm": "Thành phố Hồ Chí Minh", "tp hcm": "Thành phố Hồ Chí Minh",
+    "hcm": "Thành phố Hồ Chí Minh", "sai gon": "Thành phố Hồ Chí Minh", "saigon": "Thành phố Hồ Chí Minh", "sg": "Thành phố Hồ Chí Minh", "can tho": "Thành phố Cần Thơ", "da nang": "Thành phố Đà Nẵng",
+    "hai phong": "Thành phố Hải Phòng", "hue": "Thành phố Huế",
+}
 
 
 def rich_fields(payload: Column) -> Column:
@@ -77,32 +87,74 @@ def metadata_dates(payload: Column) -> Column:
     return find(payload)
 
 
-def address_parts(address: Column) -> Column:
-    """struct(city, district, ward, lane, house, street), each folded or null, of a free address.
+def _title(value: Column) -> Column:
+    """Words with a capital first letter; all letters of words with a digit are capitals."""
+    word = lambda w: F.when(w.rlike(r"\d"), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+    return F.array_join(F.transform(F.filter(F.split(value, r"\s+"), lambda w: w != ""), word), " ")
 
-    Parts are cut at commas. A part with its word (of a city, district, ward or lane) gives that; the rightmost counts.
-    Of the parts left over, a first one that begins with a number gives house and street, else the first is the
-    street, and the last, if there is another, the city if none was named.
-    """
-    parts = F.filter(F.transform(F.split(F.coalesce(address, F.lit("")), r"[,\n;|]+"), text.normalize), lambda p: p != "")
-    marked = rf"^({CITIES}|{DISTRICTS}|{WARDS})\b"
-    named = lambda ps, words: F.nullif(F.regexp_replace(F.coalesce(F.try_element_at(F.filter(ps, lambda p: p.rlike(rf"^({words})\b")), F.lit(-1)), F.lit("")), rf"^({words})\s*", ""), F.lit(""))
 
-    def read(ps):
-        rest = F.filter(ps, lambda p: ~p.rlike(marked))
-        first, last = F.coalesce(F.try_element_at(rest, F.lit(1)), F.lit("")), F.when(F.size(rest) > 1, F.element_at(rest, -1))
-        lane = F.nullif(F.regexp_extract(F.array_join(ps, " , "), rf"\b(?:{LANES}) (\d+[a-z]?(?: \d+)*)", 1), F.lit(""))
-        house = F.nullif(F.regexp_extract(first, r"^(?:so )?(\d+[a-z]?(?: \d+)*)\b", 1), F.lit(""))
-        street = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(first, r"^(?:so )?\d+[a-z]?(?: \d+)*\b", ""), rf"\b(?:{LANES}) \d+[a-z]?(?: \d+)*", "")), F.lit(""))
-        return F.struct(F.coalesce(named(ps, CITIES), last).alias("city"), named(ps, DISTRICTS).alias("district"), named(ps, WARDS).alias("ward"), lane.alias("lane"), house.alias("house"), street.alias("street"))
+def normal_address(address: Column) -> Column:
+    """An address with single blanks, one after each comma and none around / and -, in title case; null: empty."""
+    out = F.coalesce(address, F.lit(""))
+    for pattern, by in ((r"\s+", " "), (r"\s*,\s*", ", "), (r"\s*/\s*", "/"), (r"\s*-\s*", "-")):
+        out = F.regexp_replace(out, pattern, by)
+    return _title(out)
+
 
-    return text.let(parts, read)
+def city_of(part: Column, cities: dict[str, str] = CITIES) -> Column:
+    """The city that a part of an address names, or null: the first form (folded, forms of over three letters first) that it contains; shorter ones as words only."""
+    bare = text.fold(F.regexp_replace(F.trim(F.regexp_replace(part, r"\s+", " ")), CITY_WORDS, ""))
+    hit = lambda form: F.contains(bare, F.lit(form)) if len(form) > 3 else bare.rlike(rf"(?U)(?<!\w)\Q{form}\E(?!\w)")
+    out = F.lit(None).cast("string")
+    for form in reversed(sorted(cities, key=lambda f: len(f) <= 3)):  # the first one that hits is set last
+        out = F.when(hit(form), F.lit(cities[form])).otherwise(out)
+    return out
 
 
-def looks_like_address(address: Column) -> Column:
-    """A house number at its head or two parts with words of units."""
-    t = text.normalize(address)
-    return t.rlike(r"^(?:so )?\d+[a-z]?(?: \d+)* \p{L}") | (F.regexp_count(t, F.lit(rf"\b({CITIES}|{DISTRICTS}|{WARDS}|{LANES})\b")) >= 2)
+def address_parts(address: Column, cities: dict[str, str] = CITIES) -> Column:
+    """struct(city, district, ward, lane, house, street), each null where there is none, of a free address.
+
+    Parts are cut at commas, semicolons and line ends, and each is used once: the rightmost that names a city (of `cities`,
+    folded form to name) is the city, then the rightmost with a district's word the district, and with a ward's word
+    the ward, without these words. Of parts left over, while there are two or more, the last is the district if none was named, then
+    the last the ward. The first part left gives house number, lane and street, in this order.
+    """
+    last = lambda found: F.coalesce(F.array_max(F.transform(found, lambda x, i: F.when(F.coalesce(x, F.lit("")) != "", i + 1).otherwise(0))), F.lit(0))
+    without = lambda parts, at: F.filter(parts, lambda _, i: i + 1 != at)
+    after = lambda words: (lambda p: F.when(p.rlike(words), _title(F.regexp_replace(p, words, ""))))
+
+    def take(s: Column, role: str, find) -> Column:
+        """s without the last part in which find() finds something, that being its role."""
+        def chosen(found):
+            at = last(found)
+            return F.struct(without(s["parts"], at).alias("parts"), *[s[r].alias(r) for r in ROLES if r != role], F.when(at > 0, F.element_at(found, F.greatest(at, F.lit(1)))).alias(role))
+
+        return text.let(F.transform(s["parts"], find), chosen)
+
+    def leftover(s: Column, role: str) -> Column:
+        mine = s[role].isNull() & (F.size(s["parts"]) > 1)
+        return F.struct(F.when(mine, F.slice(s["parts"], 1, F.size(s["parts"]) - 1)).otherwise(s["parts"]).alias("parts"), *[s[r].alias(r) for r in ROLES if r != role], F.when(mine, _title(F.element_at(s["parts"], -1))).otherwise(s[role]).alias(role))
+
+    def head(s: Column) -> Column:
+        first = F.coalesce(F.try_element_at(s["parts"], F.lit(1)), F.lit(""))
+        rest = lambda t, found: F.trim(F.substring(t, F.length(found) + 1, F.length(t)))
+        house = F.regexp_extract(first, HOUSE, 0)
+        behind = rest(first, house)
+        lane = F.regexp_extract(behind, LANE, 0)
+        some = lambda x: F.nullif(x, F.lit(""))
+        return F.struct(s["city"].alias("city"), s["district"].alias("district"), s["ward"].alias("ward"), some(_title(lane)).alias("lane"), some(F.regexp_replace(F.regexp_extract(first, HOUSE, 2), r"\s+", "")).alias("house"), some(_title(rest(behind, lane))).alias("street"))
+
+    parts = F.filter(F.transform(F.split(F.coalesce(address, F.lit("")), r"[,\n;]"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    state = F.struct(parts.alias("parts"), *[F.lit(None).cast("string").alias(r) for r in ROLES])
+    for step in (lambda s: take(s, "city", lambda p: city_of(p, cities)), lambda s: take(s, "district", after(DISTRICT_WORDS)), lambda s: take(s, "ward", after(WARD_WORDS)), lambda s: leftover(s, "district"), lambda s: leftover(s, "ward"), head):
+        state = text.let(state, step)
+    return state
+
+
+def looks_like_address(address: Column, cities: dict[str, str] = CITIES) -> Column:
+    """Two parts of an address or more, or a word of a unit or lane."""
+    found = text.let(address_parts(address, cities), lambda a: sum((a[c].isNotNull().cast("int") for c in (*ROLES, "lane", "house", "street")), F.lit(0)))
+    return (found >= 2) | F.coalesce(address, F.lit("")).rlike(ADDRESS_WORDS)
 
 
 def sub_queries(query: Column) -> Column:

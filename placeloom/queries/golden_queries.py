@@ -135,8 +135,8 @@ def f35(spark, d):
     return p.select("page_id", "f.*")
 
 
-@query("f12_address_parts", f"""WITH r AS ({sql(RECORDS)}) SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'ha noi' ELSE 'da nang' END AS city, CASE WHEN record_id % 3 = 0 THEN 'ba dinh' END AS district, CASE WHEN record_id % 3 = 1 THEN CAST(admin_unit AS VARCHAR) END AS ward,
- CASE WHEN record_id % 4 = 0 THEN CAST(admin_unit AS VARCHAR) END AS lane, CAST(record_id AS VARCHAR) AS house, 'pho hue' AS street, true AS looks FROM r""")
+@query("f12_address_parts", f"""WITH r AS ({sql(RECORDS)}) SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'Thành phố Hà Nội' ELSE 'Thành phố Đà Nẵng' END AS city, CASE WHEN record_id % 3 = 0 THEN 'Ba Đình' END AS district, CASE WHEN record_id % 3 = 1 THEN CAST(admin_unit AS VARCHAR) END AS ward,
+ CASE WHEN record_id % 4 = 0 THEN 'Ngõ ' || admin_unit END AS lane, CAST(record_id AS VARCHAR) AS house, 'Phố Huế' AS street, true AS looks FROM r""")
 def f12(spark, d):
     r, i = derive(spark, d, RECORDS), F.col("record_id")
     unit = F.col("admin_unit").cast("string")

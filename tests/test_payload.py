@@ -23,15 +23,38 @@ def test_counts_are_whole(spark):
     assert [got(c) for c in ('"1,234"', '"1,2"', "12", "12.0", "12.5", "-3", "2147483648", '" 7 "')] == [1234, None, 12, 12, None, None, None, 7]
 
 
-def test_address_without_words(spark):
-    got = one(spark, "12A Lê Lợi, Huế", payload.address_parts)
-    assert (got.house, got.street, got.city, got.ward) == ("12a", "le loi", "hue", None)
-    assert one(spark, None, payload.address_parts).street is None
-
-
-def test_address_takes_the_rightmost(spark):
-    got = one(spark, "Phố Huế, Tỉnh A, Phường 3, Thành phố B", payload.address_parts)
-    assert (got.street, got.ward, got.city) == ("pho hue", "3", "b")
+HANOI, SAIGON = "Thành phố Hà Nội", "Thành phố Hồ Chí Minh"
+ADDRESSES = {  # house, lane, street, ward, district, city
+    "Số 12 Ngõ 45 Trần Duy Hưng, phường Trung Hòa, quận Cầu Giấy, Hà Nội": ("12", "Ngõ 45", "Trần Duy Hưng", "Trung Hòa", "Cầu Giấy", HANOI),
+    "số 12 ngõ 45 trần duy hưng , cầu giấy , hà nội": ("12", "Ngõ 45", "Trần Duy Hưng", None, "Cầu Giấy", HANOI),
+    "55 Trần Hưng Đạo, P. Bến Thành, Q. 1, TP. HCM": ("55", None, "Trần Hưng Đạo", "Bến Thành", "1", SAIGON),
+    "12 Lê Lợi, Quận 1, Sài Gòn": ("12", None, "Lê Lợi", None, "1", SAIGON),
+    "TP. HCM, Quận 1": (None, None, None, None, "1", SAIGON),
+    "12A Đường 3/2, P. Xuân Khánh, Q. Ninh Kiều, Cần Thơ": ("12A", None, "Đường 3/2", "Xuân Khánh", "Ninh Kiều", "Thành phố Cần Thơ"),
+    "Trần Duy Hưng, Cầu Giấy, Hà Nội": (None, None, "Trần Duy Hưng", None, "Cầu Giấy", HANOI),
+    "12 ngõ 45 trần duy hưng": ("12", "Ngõ 45", "Trần Duy Hưng", None, None, None),
+    "Nhà 7 / 3b hẻm 5a\nBến Nghé\nQuận 1;Đồng Tháp": ("7/3b", "Hẻm 5A", None, "Đồng Tháp", "1", None),
+    "A, B, C, D": (None, None, "A", "C", "D", None),  # leftovers by place: last district, then ward; B is none of these
+    "sg, hue": (None, None, "Sg", None, None, "Thành phố Huế"),  # a city once, the rightmost
+    "Asgard": (None, None, "Asgard", None, None, None),  # short forms are words
+    "": (None,) * 6,
+    " , ;\n": (None,) * 6,
+}
+
+
+def test_addresses_are_used_up_part_by_part(spark):
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate([*ADDRESSES, None])], "i int, a string")
+    got = [r.p for r in rows.select("i", payload.address_parts(F.col("a")).alias("p")).orderBy("i").collect()]
+    assert [(g.house, g.lane, g.street, g.ward, g.district, g.city) for g in got] == [*ADDRESSES.values(), (None,) * 6]
+    own = one(spark, "1 x, Old Town", lambda c: payload.address_parts(c, {"old town": "Old Town City"}))
+    assert (own.house, own.street, own.city) == ("1", "X", "Old Town City")
+
+
+def test_normal_and_likely_addresses(spark):
+    normal = {"Số 12 ngõ 45 Trần Duy Hưng , Cầu Giấy , Hà Nội": "Số 12 Ngõ 45 Trần Duy Hưng, Cầu Giấy, Hà Nội", "12a đường 3 / 2, p. xuân khánh": "12A Đường 3/2, P. Xuân Khánh", "   ": "", None: ""}
+    assert [one(spark, a, payload.normal_address) for a in normal] == list(normal.values())
+    likely = {"Số 12 Ngõ 45 Trần Duy Hưng, Cầu Giấy, Hà Nội": True, "Trần Hưng Đạo, TP. HCM": True, "quận Cầu Giấy somewhere": True, "How to cook pho noodles at home": False, "": False, None: False}
+    assert [one(spark, a, payload.looks_like_address) for a in likely] == list(likely.values())
 
 
 def test_metadata_of_no_json(spark):
