@@ -360,6 +360,51 @@ def test_op5_equals_brute_force_kneser_ney(docs, data):
     assert np.allclose(tables.log_probability(keys), [math.log(probability(g)) for g in grams], rtol=1e-9)
 
 
+def test_op5_tells_all_characters_apart(spark, monkeypatch):
+    """More characters than symbols: the rarer ones are two symbols, none are merged, and odds still sum to one."""
+    monkeypatch.setattr(kneser_ney, "ALPHABET", 30)
+    rng = np.random.default_rng(4)
+    common, rare = "abcde ", [chr(c) for c in range(0x4E00, 0x4E00 + 90)]
+    texts = ["".join(rng.choice([*common * 4, *rare], int(n))) for n in rng.integers(5, 60, 80)] + ["", None]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    letters = kneser_ney.alphabet(docs, "text")
+    seen = sorted(set("".join(t or "" for t in texts)))
+    assert sorted(letters.tolist()) == list(map(ord, seen)) and len(seen) > 60
+    ways = set()
+    for c in seen:
+        got, _ = kneser_ney._symbols(pa.array([c], pa.string()), letters)
+        assert got.max() <= kneser_ney.UNKNOWN + 30
+        ways.add(tuple(got[kneser_ney.ORDER - 1 : -1].tolist()))
+    assert len(ways) == len(seen) and {len(w) for w in ways} == {1, 2}
+    whole, begin = kneser_ney._symbols(pa.array(texts, pa.string()), letters)
+    for k, t in enumerate(texts):
+        alone, _ = kneser_ney._symbols(pa.array([t], pa.string()), letters)
+        assert whole[begin[k] : begin[k] + len(alone)].tolist() == alone.tolist()
+    got = by_id(kneser_ney.classify(docs, docs.filter("doc_id < 40").select("doc_id")))
+    assert len(got) == len(texts) and all(r.log_prob < 0 for r in got.values())
+
+
+def test_op5_thresholds_by_language(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(rng.choice(WORDS, int(n)))
+    rows = [(i, say(n), ["en", "de", None][i % 3]) for i, n in enumerate(rng.integers(3, 40, 90))] + [(200 + i, say(9), "fr") for i in range(6)] + [(300, "zzqq " * 30, "en"), (301, None, None), (None, "no id here", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    trusted = [i for i, *_ in rows if i is not None and i < 60]
+    got = kneser_ney.classify(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), quantile=0.9, slack=1.2).collect()
+    assert len(got) == len(rows)
+
+    def cut(some):
+        some = sorted(some)
+        return 1.2 * some[math.ceil(0.9 * len(some)) - 1]
+
+    overall = cut(r.perplexity for r in got if r.doc_id in trusted)
+    for lang in ("en", "de", None, "fr"):
+        mine = [r.perplexity for r in got if r.doc_id in trusted and r.lang == lang]
+        want = cut(mine) if mine else overall  # fr has no trusted document
+        assert all(math.isclose(r.threshold, want) and r.kept == (r.perplexity <= r.threshold) for r in got if r.lang == lang)
+    assert not next(r for r in got if r.doc_id == 300).kept and math.isclose(next(r for r in got if r.doc_id == 301).perplexity, math.exp(-next(r for r in got if r.doc_id == 301).log_prob))
+
+
 def test_op6_spellings_and_copyright(spark, docs, empty):
     mit = "Copyright (c) 2020 Somebody\n\n" + licences.KNOWN["MIT"].upper().replace("SUBLICENSE", "Sublicence")
     some = spark.createDataFrame([(1, mit), (2, "mit"), (3, None)], "doc_id long, text string")
