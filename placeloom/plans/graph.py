@@ -49,7 +49,7 @@ def components(links: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def least(e, low):
-        return written(e.groupBy("u").agg(low.alias("m"), F.count(F.lit(1)).alias("n")), "least-neighbours")
+        return e.groupBy("u").agg(low.alias("m"), F.count(F.lit(1)).alias("n"))
 
     e = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     was, now = None, state(e)
