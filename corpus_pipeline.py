@@ -15,27 +15,30 @@ from placeloom.llm.common import read_documents, save, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail their own rules or whose host is rejected go."""
+    """Documents that fail their own rules or whose host is rejected go. Null or empty text fails; null ids and null hosts are values like others; repeated rows stay or go together; extra columns stay."""
     return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays, of rows equal in both one. Null text is empty text; a null id stays only where its texts have no other; extra columns stay."""
     return exact_dedup.drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the smallest doc_id stays."""
+    """Of near duplicates the smallest doc_id stays. Null and empty texts are one set; a null id stays only where its component has no other; rows go by id and text together; extra columns stay."""
     return simhash.drop_near(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, a row for each time that the mix reads them; those that it leaves out go."""
+    """Documents in training order, a row for each time that the mix reads them; those that it leaves out go.
+
+    Texts without words are left out; null sources are a source; null ids, and ids over several texts, are rows of their own; ties in position stand by id.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and digests of the ids and of the text that they decode to, a row for each row of docs."""
+    """doc_id, n_tokens, ids and digests of the ids and of the text that they decode to, a row for each row of docs. Null text has no ids; null ids and repeated rows are rows like others; extra columns go."""
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
