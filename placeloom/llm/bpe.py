@@ -236,7 +236,11 @@ def ids_digest(ids_col: str):
 
 
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the bytes that the ids decode to)."""
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the bytes that the ids decode to).
+
+    Null text is empty: no ids, and digests of nothing. Null ids and repeated rows are rows like others. Empty table: no
+    rows. Other columns are not read.
+    """
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

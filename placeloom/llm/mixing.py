@@ -79,7 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sizes of a source are summed over hash buckets first, so that a hot source's running sum is split over
     many tasks. Null text: size 0. Null source: a source of its own, last in order. Documents of size 0 are
-    never taken. Repeated rows: each counts. Empty table: no rows. The table of sources (a row each) is
+    never taken. Repeated rows: each counts. Null ids are one id; rows of one id stand by size. Empty table: no rows. The table of sources (a row each) is
     numbered in one task, and broadcast only if it is small.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(order_col or id_col, F.lit(seed)).alias("h"))

@@ -54,7 +54,7 @@ def _numbers(keys: np.ndarray, pair: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, first_rule: int, min_pair: int = MIN_PAIR) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, rules): rule k makes symbol first_rule + k of two earlier symbols.
 
-    Rounds until no pair occurs min_pair times: the frequent pairs are counted, each gets a nonterminal, and of
+    Rounds until no pair occurs min_pair times (all frequent pairs of a round at once, not one pair at a time): the frequent pairs are counted, each gets a nonterminal, and of
     overlapping occurrences the one of the more frequent pair is replaced (in a run of equal pairs every other
     one). A round looks at the places whose pair can be frequent: those of the last round that are still there, and
     both sides of each symbol that is new.
