@@ -98,9 +98,11 @@ def k2(spark, d):
 
 @query("k3_dead_letters", "SELECT doc_id, octet_length(encode(text)) > 32768 AS truncated, CASE WHEN octet_length(encode(text)) > 32768 THEN octet_length(encode(text)) END AS size_bytes, CASE WHEN octet_length(encode(text)) > 32768 THEN NULL ELSE sha256(text) END AS raw_sha FROM documents WHERE text IS NOT NULL AND text <> ''")
 def k3(spark, d):
-    rows = table(spark, d, "documents").filter("text <> ''").select("doc_id", F.col("text").alias("payload"))
-    got = sinks.dead_letters(rows, "payload").select("doc_id", F.from_json("payload", "truncated boolean, size_bytes long, raw string").alias("p"))
-    return got.select("doc_id", F.coalesce("p.truncated", F.lit(False)).alias("truncated"), "p.size_bytes", F.sha2("p.raw", 256).alias("raw_sha"))
+    rows = table(spark, d, "documents").filter("text <> ''").select("doc_id", "text", F.col("text").alias("payload"))
+    wrapped = F.when(F.col("payload") != F.col("text"), F.from_json("payload", "truncated boolean, size_bytes long, raw string"))  # JSON stays as it is
+    got = sinks.dead_letters(rows, "payload").select("doc_id", "text", wrapped.alias("p"))
+    raw = F.when(F.col("p").isNull(), F.col("text")).otherwise(F.col("p.raw"))
+    return got.select("doc_id", F.coalesce("p.truncated", F.lit(False)).alias("truncated"), "p.size_bytes", F.sha2(raw, 256).alias("raw_sha"))
 
 
 @query("k4_overflow", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 4096 THEN sha256(text) END AS payload_ref, text IS NOT NULL AS found FROM documents")

@@ -59,10 +59,14 @@ def read_buckets(spark: SparkSession, path: str, like: DataFrame, some: list[int
 
 
 def dead_letters(rows: DataFrame, payload: str, most: int = DLQ_BYTES) -> DataFrame:
-    """Payload stays valid JSON: above `most` bytes an envelope of its size and beginning."""
+    """Payload stays valid JSON: above `most` bytes an envelope of its size and beginning; other text is the raw of an object.
+
+    try_parse_json stops after the first value ("12 monkeys" parses), so a payload must also parse as the only item of an
+    array and as the value of an object: what may follow a value in both is blank.
+    """
     n = F.octet_length(payload)
     envelope = F.to_json(F.struct(F.lit(True).alias("truncated"), n.alias("size_bytes"), F.substring(payload, 1, 1000).alias("preview")))
-    valid = F.when(F.try_parse_json(F.col(payload)).isNotNull(), F.col(payload)).otherwise(F.to_json(F.struct(F.col(payload).alias("raw"))))
+    valid = F.when(F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), payload, F.lit("}"))).isNotNull(), F.col(payload)).otherwise(F.to_json(F.struct(F.col(payload).alias("raw"))))
     return rows.withColumn(payload, F.when(n > most, envelope).otherwise(valid))
 
 
