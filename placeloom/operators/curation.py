@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, web
 from ..plans.graph import components, leaders, written
 from .ranking import rrf, with_rank
-from .search import fuzzy, in_blocks, small, sparse_search
+from .search import fuzzy, in_blocks, small, smallest, sparse_search
 from .selection import ema
 
 CONTAINED, SHINGLE = 0.25, 3
+#: Words of more names than this are common: names that only share such words with a query are scored by their form.
+COMMON_NAMES = 1000
 NAME_DOMAIN, NAME_NEAR, NAME_ADDRESS, ADDRESS, NEAR_M = 0.60, 0.88, 0.90, 0.85, 100.0
 
 
@@ -103,8 +105,12 @@ def same_entities(c: DataFrame) -> DataFrame:
 
     Same: one phone; one domain and names alike by 0.60; names by 0.88 within 100 m; names by 0.90 and addresses by
     0.85. Candidates of a query meet by phone, domain, nearby cells, and names within the edits that 0.90 allows (a ninth
-    of a name's letters, met by fuzzy's pieces), so none is missed.
+    of a name's letters, met by fuzzy's pieces), so none is missed. Candidates of a query that are equal in all these are the
+    same if one rule holds between two of them, and else the same as none, so they meet as one, their smallest.
     """
+    compared = ["query_id", "name", "address", "phone", "domain", "lat", "lon"]
+    every = c
+    c = written(c.groupBy(*compared).agg(F.min("candidate").alias("candidate")), "equal-candidates")
     cells = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.transform(geo.around(F.col("lat"), F.col("lon"), 0.002), lambda x: F.concat(F.lit("c"), x.cast("string"))))
     keys = F.filter(F.flatten(F.array(F.array(F.concat(F.lit("p"), "phone"), F.concat(F.lit("d"), "domain")), F.coalesce(cells, F.array().cast("array<string>")))), lambda k: k.isNotNull())
     cols = ["candidate", "name", "address", "phone", "domain", "lat", "lon"]
@@ -123,7 +129,13 @@ def same_entities(c: DataFrame) -> DataFrame:
     eq = lambda k: get(k)[0] == get(k)[1]
     same = eq("phone") | (eq("domain") & (name >= NAME_DOMAIN)) | (near & (name >= NAME_NEAR)) | ((name >= NAME_ADDRESS) & (ratio(*get("address")) >= ADDRESS))
     links = pairs.filter(same).select(F.col("x.candidate").alias("u"), F.col("y.candidate").alias("v"))
-    return _grouped(c, links, "candidate", "entity")
+    named, placed = F.col("name") != "", F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    met = F.col("phone").isNotNull() | (named & (F.col("domain").isNotNull() | placed | (F.col("address") != "")))
+    equal = F.lit(True)
+    for k in compared:
+        equal &= F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    groups = _grouped(c.withColumn("met", F.coalesce(met, F.lit(False))), links, "candidate", "entity")
+    return every.alias("x").join(groups.alias("y"), equal).select("x.*", F.when(F.col("y.met"), F.col("y.entity")).otherwise(F.col("x.candidate")).alias("entity"))
 
 
 def merged_entities(c: DataFrame) -> DataFrame:
@@ -164,23 +176,49 @@ def cached_hits(queries: DataFrame, cached: DataFrame, least: float = 0.94) -> D
     return in_blocks(queries, "query_id", block)
 
 
-def place_text_search(places: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+def place_text_search(places: DataFrame, queries: DataFrame, top: int, common: int = COMMON_NAMES) -> DataFrame:
     """query_id, place_id, score, rank: 8 for the equal name, 4 for the phrase, 3 times the share of query words found, 2 for words within their typos.
 
     places: place_id, name (normal); queries: query_id, name. A word within its typos begins with the same letter. Words meet
     equal ones, and by pieces those within their typos (fuzzy), wherever the typo is. Null and empty names meet none.
+    A score depends on the name alone, so of equal names the `top` smallest ids are enough. Names whose only words met are
+    in over `common` names are scored by their form (all other words masked), of which again the `top` smallest ids are
+    enough; so a query meets the names of its rarer words, and forms.
     """
     words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda x: x != ""))).alias("word"))
-    q, p = words(queries, "query_id"), words(places, "place_id")
-    known, asked = p.select(F.col("word").alias("term")).distinct(), q.select("word").distinct()
-    typos = fuzzy(known, asked.select(F.lit(0).alias("query_id"), "word"), text.edit_allowance).filter((F.col("edits") > 0) & (F.substring("word", 1, 1) == F.substring("term", 1, 1)))
-    pairs = asked.select("word", F.col("word").alias("term"), F.lit(1).alias("equal")).union(typos.select("word", "term", F.lit(0)))
-    hits = p.select("place_id", F.col("word").alias("term")).join(small(pairs), "term").join(small(q), "word")
-    hits = hits.groupBy("query_id", "place_id", "word").agg(F.max("equal").alias("equal")).groupBy("query_id", "place_id").agg(F.sum("equal").alias("equal"), F.count(F.lit(1)).alias("met"))
+    ids = smallest(places.filter("name <> ''").select("place_id", "name"), "place_id", top, "name")
+    ids = written(ids.groupBy("name").agg(F.min("place_id").alias("first"), F.sort_array(F.collect_list("place_id")).alias("ids")), "place-names")
+    q, p = written(words(queries, "query_id"), "query-words"), words(ids, "first")
+    known, asked = written(p.groupBy(F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("names")), "name-words"), q.select("word").distinct()
+    typos = fuzzy(known.select("term"), asked.select(F.lit(0).alias("query_id"), "word"), text.edit_allowance).filter((F.col("edits") > 0) & (F.substring("word", 1, 1) == F.substring("term", 1, 1)))
+    pairs = asked.select("word", F.col("word").alias("term"), F.lit(True).alias("equal")).union(typos.select("word", "term", F.lit(False)))
+    pairs = written(pairs.join(known, "term"), "word-pairs")
+    often = written(pairs.filter(F.col("names") > common).select("term").distinct(), "common-words")
+
+    # each name's form: its common words where they are, a mark for others
+    each = ids.select("first", F.posexplode(F.split("name", " ")).alias("at", "term")).join(small(often.withColumn("often", F.lit(True))), "term", "left")
+    shown = F.struct("at", F.when(F.col("often") | (F.col("term") == ""), F.col("term")).otherwise("\x01").alias("w"), F.coalesce("often", F.lit(False)).alias("often"))
+    form = each.groupBy("first").agg(F.array_sort(F.collect_list(shown)).alias("f")).filter(F.exists("f", lambda x: x["often"]))
+    form = form.select("first", F.array_join(F.transform("f", lambda x: x["w"]), " ").alias("form"))
+    names = written(ids.join(form, "first", "left"), "name-forms")
+    forms = smallest(names.filter("form IS NOT NULL").select("form", F.explode("ids").alias("place_id")), "place_id", top, "form")
+    forms = written(forms.groupBy("form").agg(F.collect_list("place_id").alias("ids")), "forms")
+
+    met = [F.collect_set("word").alias("met"), F.collect_set(F.when(F.col("equal"), F.col("word"))).alias("same")]
+    in_form = forms.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("term")).join(small(pairs.filter(F.col("names") > common)), "term").join(q, "word").groupBy("query_id", "form").agg(*met)
+    in_form = written(in_form, "forms-met")
+    rare = p.withColumnRenamed("word", "term").join(small(pairs.filter(F.col("names") <= common)), "term").join(q, "word").groupBy("query_id", "first").agg(*met)
+    none = F.array().cast("array<string>")
+    with_form = in_form.select("query_id", "form", F.col("met").alias("met2"), F.col("same").alias("same2"))
+    rare = rare.join(names, "first").join(with_form, ["query_id", "form"], "left")
+    rare = rare.select("query_id", "name", "ids", F.array_union("met", F.coalesce("met2", none)).alias("met"), F.array_union("same", F.coalesce("same2", none)).alias("same"))
+    often_only = in_form.join(small(forms), "form").select("query_id", F.col("form").alias("name"), "ids", "met", "same")
     n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(queries.select("query_id", F.col("name").alias("q")), "query_id")
-    c = hits.join(small(n), "query_id").join(places.select("place_id", "name"), "place_id")
-    score = F.when(F.col("name") == F.col("q"), 8.0).otherwise(0.0) + F.when(F.contains(F.concat(F.lit(" "), "name", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))), 4.0).otherwise(0.0) + 3 * (F.col("equal") / F.col("n")) + 2 * ((F.col("met") - F.col("equal")) / F.col("n"))
-    return with_rank(c.select("query_id", "place_id", score.alias("score")), ["query_id"], "score", "place_id").filter(F.col("rank") <= top)
+    c = rare.unionByName(often_only).join(small(n), "query_id")
+    equal = F.size("same")
+    score = F.when(F.col("name") == F.col("q"), 8.0).otherwise(0.0) + F.when(F.contains(F.concat(F.lit(" "), "name", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))), 4.0).otherwise(0.0) + 3 * (equal / F.col("n")) + 2 * ((F.size("met") - equal) / F.col("n"))
+    best = c.select("query_id", score.alias("score"), F.explode("ids").alias("place_id")).groupBy("query_id", "place_id").agg(F.max("score").alias("score"))
+    return with_rank(best, ["query_id"], "score", "place_id").filter(F.col("rank") <= top)
 
 
 def with_lane(found: DataFrame, lane: DataFrame, query: str, doc: str) -> DataFrame:
