@@ -20,8 +20,8 @@ BITS = 12
 #: characters that it does not have are one unknown symbol.
 ALPHABET = (1 << BITS) - 3
 PAD, END, UNKNOWN = 0, 1, 2
-#: Documents of the trusted sample at most: those whose ids have the smallest hashes.
-TRUSTED_DOCS = 20_000
+#: Ids of trusted documents are broadcast up to this number; more are joined.
+BROADCAST_IDS = 500_000
 #: A document passes if its perplexity is at most SLACK times this quantile of the trusted documents of its language.
 QUANTILE = 0.99
 SLACK = 1.4
@@ -275,12 +275,11 @@ def _sum_joined(rows: DataFrame, letters: np.ndarray, scores: DataFrame) -> Data
     return rows.drop("text").join(sums, "row").select("doc_id", "lang", "n_symbols", "lp")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted_docs: int = TRUSTED_DOCS, quantile: float = QUANTILE, slack: float = SLACK, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK, broadcast_grams: int = BROADCAST_GRAMS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per document: doc_id, lang, n_symbols, log_prob, perplexity, threshold, kept.
 
-    The model is trained on the whole texts of trusted documents: at most trusted_docs of trusted_ids (column
-    doc_id), those of smallest hash. The table of their ids has that bound and is broadcast, so training shuffles
-    only n-gram counts. The different n-grams of all documents meet the sharded counts in joins (gram_scores), and the
+    The model is trained on the whole texts of all documents in trusted_ids (column doc_id). While these are at most
+    broadcast_ids, they are broadcast, so training shuffles only n-gram counts. The different n-grams of all documents meet the sharded counts in joins (gram_scores), and the
     documents add up their scores. Perplexity is per character (rare ones of an alphabet of over ALPHABET count twice), the end counted. A language's threshold is slack times the
     quantile of its trusted documents' perplexities; a language without any has that of all trusted documents.
 
@@ -288,15 +287,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     the same odds and is kept. Null ids are rows like others, and never trusted; a perplexity equal to the threshold
     passes. Repeated rows stay repeated. Empty table: no rows.
     """
-    some = trusted_ids.select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(trusted_docs)
-    some = save(some, "trusted-ids")
+    some = save(trusted_ids.select(F.col("doc_id").alias("__id")).distinct(), "trusted-ids")
+    some = F.broadcast(some) if some.count() <= broadcast_ids else some
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    trusted = rows.join(F.broadcast(some), F.col("doc_id") == F.col("__id"), "left_semi")
+    trusted = rows.join(some, F.col("doc_id") == F.col("__id"), "left_semi")
     letters, probabilities, backoffs = train(trusted, "text")
     scores = gram_scores(corpus_grams(rows, letters), probabilities, backoffs)
     scored = (_sum_broadcast if scores.count() <= broadcast_grams else _sum_joined)(rows, letters, scores)
     scored = save(scored, "perplexities").withColumn("perplexity", F.exp(-F.col("lp") / F.col("n_symbols")))
-    mine = scored.join(F.broadcast(some), F.col("doc_id") == F.col("__id"), "left_semi")
+    mine = scored.join(some, F.col("doc_id") == F.col("__id"), "left_semi")
     cut = F.percentile_approx("perplexity", quantile, 10_000) * slack
     overall = mine.agg(cut.alias("t")).first()["t"]
     by_lang = mine.groupBy(F.col("lang").alias("__lang")).agg(cut.alias("__t"))
