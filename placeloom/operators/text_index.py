@@ -26,18 +26,20 @@ def build(docs: DataFrame, fields: list[str], path: str, range_docs: int = RANGE
     repeated document add up.
     """
     spark = docs.sparkSession
-    long_form = docs.select("doc", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in fields])).alias("x")).select("doc", "x.field", "x.words")
-    counted = long_form.select("doc", "field", F.explode("words").alias("term")).filter("term is not null").groupBy("doc", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = written(counted, "term-frequencies")
-    sizes = written(counted.groupBy("doc", "field").agg(F.sum("tf").alias("len")), "field-lengths")
+    docs = written(docs.select("doc", *fields), "field-words")
+    ranges = max(1, -(-docs.select("doc").distinct().count() // range_docs))
+    long_form = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.filter(F.col(f), lambda w: w.isNotNull()).alias("words")) for f in fields])).alias("x")
+    sizes = docs.select("doc", long_form).filter(F.size("x.words") > 0).groupBy("doc", "x.field").agg(F.sum(F.size("x.words")).alias("len"))
     sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.parquet(f"{path}/fields")
     stats = F.broadcast(spark.read.parquet(f"{path}/fields"))  # a row for each field
-    counted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{path}/terms")
-    ranges = max(1, -(-sizes.select("doc").distinct().count() // range_docs))
+    # a range's words are brought to one task (few ranges to each), where its blocks are made; nothing longer is shuffled
+    rows = docs.withColumn("range", F.pmod(F.xxhash64("doc"), F.lit(ranges))).repartition(4 * ranges, "range").select("range", "doc", long_form)
+    counted = rows.select("range", "doc", "x.field", F.explode("x.words").alias("term")).groupBy("range", "doc", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = counted.withColumn("len", F.sum("tf").over(Window.partitionBy("range", "doc", "field")))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    rows = counted.join(sizes, ["doc", "field"]).join(stats, "field").withColumn("w", weight).withColumn("range", F.pmod(F.xxhash64("doc"), F.lit(ranges)))
-    blocks = rows.groupBy("term", "field", "range").agg(F.max("w").alias("most"), F.collect_list(F.struct("doc", "w")).alias("docs"))
+    blocks = counted.join(stats, "field").withColumn("w", weight).groupBy("term", "field", "range").agg(F.max("w").alias("most"), F.collect_list(F.struct("doc", "w")).alias("docs"))
     blocks.sortWithinPartitions("term", "field", "range").write.parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.sum(F.size("docs").cast("long")).alias("df")).write.parquet(f"{path}/terms")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, top: int, weights: dict[str, float] | None = None, first_ranges: int = FIRST_RANGES) -> DataFrame:
@@ -56,16 +58,21 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top: int, weights
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = written(asked.join(known.select("term", "field", (boost[F.col("field")] * idf).alias("idf")), "term"), "query-terms")
     postings = spark.read.parquet(f"{path}/postings")
+    parts = 4 * ((postings.agg(F.max("range")).first()[0] or 0) + 1)
     heads = postings.select("term", "field", "range", "most").join(small(terms), ["term", "field"])
     bound = heads.groupBy("query_id", "range", "field").agg(F.sum(F.col("idf") * F.col("most")).alias("b")).groupBy("query_id", "range").agg(F.max("b").alias("bound"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "range"))
     bound = written(bound.withColumn("i", best), "range-bounds")
 
     def scored(ranges):
-        wanted = ranges.select("query_id", "range").join(small(terms), "query_id")
-        hits = postings.join(wanted, ["term", "field", "range"]).select("query_id", "field", "idf", F.explode("docs").alias("d"))
-        by_field = hits.groupBy("query_id", F.col("d.doc").alias("doc"), "field").agg(F.sum(F.col("idf") * F.col("d.w")).alias("s"))
-        return by_field.groupBy("query_id", "doc").agg(F.max("s").alias("score"))
+        # ranges stay whole: a block is read once for all queries, and its documents are scored where it is
+        wanted = ranges.select("query_id", "range")
+        asked_blocks = postings.join(small(wanted.select("range").distinct()), "range", "left_semi").join(small(terms.select("term", "field").distinct(), 500_000), ["term", "field"], "left_semi")
+        blocks = asked_blocks.repartition(parts, "range").join(small(terms, 500_000), ["term", "field"]).join(small(wanted, 500_000), ["query_id", "range"], "left_semi")
+        hits = blocks.select("range", "query_id", "field", "idf", F.explode("docs").alias("d"))
+        by_field = hits.groupBy("range", "query_id", F.col("d.doc").alias("doc"), "field").agg(F.sum(F.col("idf") * F.col("d.w")).alias("s"))
+        best_field = by_field.groupBy("range", "query_id", "doc").agg(F.max("s").alias("score"))
+        return with_rank(best_field, ["query_id"], "score", "doc").filter(F.col("rank") <= top).select("query_id", "doc", "score")
 
     first = written(scored(bound.filter(F.col("i") <= first_ranges)), "first-scores")
     least = with_rank(first, ["query_id"], "score", "doc").filter(F.col("rank") == top).select("query_id", F.col("score").alias("least"))
