@@ -5,13 +5,16 @@ A pack or query holds tens of rows, so rows meet within it by shared keys.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, web
 from ..plans.graph import components, leaders, written
 from .ranking import rrf, with_rank
-from .search import fuzzy, in_blocks, small, smallest, sparse_search
+from .search import SCORES, fuzzy, in_blocks, small, smallest, sparse_search
 from .selection import ema
 
 CONTAINED, SHINGLE = 0.25, 3
@@ -167,10 +170,47 @@ def fused_lanes(rows: DataFrame, query: str, key: str, top: int, corroborated: f
 def cached_hits(queries: DataFrame, cached: DataFrame, least: float = 0.94) -> DataFrame:
     """query_id, hit, score: the earliest cached query of the same scope with a cosine of `least` or more, older than the query.
 
-    queries: query_id, scope, at, q; cached: hit, scope, stored_at, v. Stated queries go to every task, in blocks.
+    queries: query_id, scope, at, q; cached: hit, scope, stored_at, v. Stated queries go to every task as matrices, in blocks. A
+    task multiplies its vectors with those of their scope and keeps the earliest hit of each query in a batch.
     """
+    kind = [f.dataType.simpleString() for f in (queries.schema["query_id"], cached.schema["stored_at"], cached.schema["hit"])]
+    schema = f"query_id {kind[0]}, stored_at {kind[1]}, hit {kind[2]}, score double"
+    spread = cached.filter("scope IS NOT NULL AND stored_at IS NOT NULL AND v IS NOT NULL").select("scope", "stored_at", "hit", "v").repartition("hit")
+
+    def unit(column):
+        m = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
     def block(some):
-        near = cached.join(F.broadcast(some), "scope").filter(F.col("stored_at") < F.col("at")).withColumn("score", geo.cosine(F.col("v"), F.col("q"))).filter(F.col("score") >= least)
+        asked = some.filter("scope IS NOT NULL AND at IS NOT NULL AND q IS NOT NULL").select("query_id", "scope", "at", "q").toArrow().combine_chunks()
+        of = {}
+        for i, s in enumerate(asked.column("scope").to_pylist()):
+            of.setdefault(s, []).append(i)
+        part = lambda rows, c: asked.column(c).take(pa.array(rows)).combine_chunks()
+        shared = cached.sparkSession.sparkContext.broadcast({s: (part(rows, "query_id"), part(rows, "at").to_numpy(zero_copy_only=False), unit(part(rows, "q"))) for s, rows in of.items()})
+
+        def first(it):
+            for batch in it:
+                batch = batch.take(pc.sort_indices(batch, sort_keys=[("stored_at", "ascending"), ("hit", "ascending")]))
+                scopes = {}
+                for i, s in enumerate(batch.column("scope").to_pylist()):
+                    scopes.setdefault(s, []).append(i)
+                for s, rows in scopes.items():
+                    if s not in shared.value:
+                        continue
+                    names, at, matrix = shared.value[s]
+                    own = batch.take(pa.array(rows))
+                    vectors, stored = unit(own.column("v")), own.column("stored_at").to_numpy(zero_copy_only=False)
+                    step = max(1, SCORES // len(rows))
+                    for begin in range(0, len(matrix), step):
+                        scores = vectors @ matrix[begin : begin + step].T
+                        fits = (scores >= least) & (stored[:, None] < at[None, begin : begin + step])
+                        q = np.flatnonzero(fits.any(axis=0))
+                        v = fits.argmax(axis=0)[q]
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q + begin)), own.column("stored_at").take(pa.array(v)), own.column("hit").take(pa.array(v)), pa.array(scores[v, q])], names=["query_id", "stored_at", "hit", "score"])
+
+        near = spread.mapInArrow(first, schema)
         return near.groupBy("query_id").agg(F.min(F.struct("stored_at", "hit", "score")).alias("b")).select("query_id", "b.hit", "b.score")
 
     return in_blocks(queries, "query_id", block)
