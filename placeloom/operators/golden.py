@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.graph import written
 from .ranking import clamp
+from .search import small
 from .selection import nearest_rank
 
 INTENTS = ["local_search", "legal", "market_price", "weather", "comparison", "howto", "lookup"]
@@ -138,7 +140,10 @@ def multi_query_rerank(lists: DataFrame, query: str, key: str, authority: DataFr
     """
     best = lists.groupBy(query, key, "sub").agg(F.min("rank").alias("rank"), F.max("relevance").alias("relevance"))
     g = best.groupBy(query, key).agg(F.sum(1 / (k + F.col("rank"))).alias("fused"), F.max("relevance").alias("relevance"), F.least(F.lit(1.0), F.count(F.lit(1)) / 5.0).alias("corroboration"))
-    g = g.join(authority, key, "left").withColumn("fused", F.col("fused") / F.max("fused").over(Window.partitionBy(query)))
+    g = written(g.join(authority, key, "left"), "fused-lists")
+    # the best is joined to the rows, so that no task holds all rows of a query
+    most = g.groupBy(F.col(query).alias("__q")).agg(F.max("fused").alias("__most"))
+    g = g.join(small(most), F.col(query).eqNullSafe(F.col("__q"))).withColumn("fused", F.col("fused") / F.col("__most")).drop("__q", "__most")
     score = 0.5 * F.col("fused") + 0.2 * clamp(F.col("relevance")) + 0.15 * F.coalesce("authority", F.lit(0.5)) + 0.15 * F.col("corroboration")
     g = g.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), key)))
     return g.filter(F.col("rank") <= top).select(query, key, "score", "corroboration", "rank")
