@@ -333,8 +333,8 @@ def t4(spark, d):
  o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, url) AS rank FROM b) SELECT query_id, url, round(normalized, 6) AS normalized, round(quality, 6) AS quality, round(final, 6) AS final, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 10""")
 def t5(spark, d):
     r = ranking.with_rank(ranked(spark, d), ["query_id", "provider"], "score", "url", "position")
-    r = semantic(spark, d, r.select("query_id", "provider", "position", "url", "domain", "item", (F.col("d") * 10).alias("authority"), (F.col("q") / 50).alias("freshness"), F.lit(0.5).alias("geo")))
-    out = ranking.rank_search(r, 10, {"lexical": 1.2, "vector": 0.7, "unknown": 0.7})
+    r = r.select("query_id", "provider", "position", "url", "domain", "item", (F.col("d") * 10).alias("authority"), (F.col("q") / 50).alias("freshness"), F.lit(0.5).alias("geo"))
+    out = ranking.rank_search(r, 10, {"lexical": 1.2, "vector": 0.7, "unknown": 0.7}, semantic=lambda rows: semantic(spark, d, rows))
     return out.select("query_id", "url", *[F.round(c, 6).alias(c) for c in ("normalized", "quality", "final")], "rank")
 
 
