@@ -138,7 +138,8 @@ def f35(spark, d):
 @query("f12_address_parts", f"""WITH r AS ({sql(RECORDS)}) SELECT record_id, CASE WHEN record_id % 2 = 0 THEN 'Thành phố Hà Nội' ELSE 'Thành phố Đà Nẵng' END AS city, CASE WHEN record_id % 3 = 0 THEN 'Ba Đình' END AS district, CASE WHEN record_id % 3 = 1 THEN CAST(admin_unit AS VARCHAR) END AS ward,
  CASE WHEN record_id % 4 = 0 THEN 'Ngõ ' || admin_unit END AS lane, CAST(record_id AS VARCHAR) AS house, 'Phố Huế' AS street, true AS looks FROM r""")
 def f12(spark, d):
-    r, i = derive(spark, d, RECORDS), F.col("record_id")
+    # few bytes hold many records, so without this one task would parse them all
+    r, i = derive(spark, d, RECORDS).select("record_id", "admin_unit").repartition(4 * spark.sparkContext.defaultParallelism, "record_id"), F.col("record_id")
     unit = F.col("admin_unit").cast("string")
     a = F.concat_ws(", ", F.concat(F.lit("Số "), i.cast("string"), F.when(i % 4 == 0, F.concat(F.lit(" ngõ "), unit)).otherwise(""), F.lit(" Phố Huế")), F.when(i % 3 == 1, F.concat(F.lit("Phường "), unit)), F.when(i % 3 == 0, "Quận Ba Đình"), F.when(i % 2 == 0, "TP. Hà Nội").otherwise("Đà Nẵng"))
     x = r.select("record_id", payload.address_parts(a).alias("p"), payload.looks_like_address(a).alias("looks"))
