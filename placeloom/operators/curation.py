@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, web
 from ..plans.graph import components, leaders, written
 from .ranking import rrf, with_rank
-from .search import SCORES, fuzzy, in_blocks, small, smallest, sparse_search
+from .search import SCORES, fuzzy, in_blocks, nearest, small, small_or_sorted, smallest, sparse_search
 from .selection import ema
 
 CONTAINED, SHINGLE = 0.25, 3
@@ -219,44 +219,58 @@ def cached_hits(queries: DataFrame, cached: DataFrame, least: float = 0.94) -> D
 def place_text_search(places: DataFrame, queries: DataFrame, top: int, common: int = COMMON_NAMES) -> DataFrame:
     """query_id, place_id, score, rank: 8 for the equal name, 4 for the phrase, 3 times the share of query words found, 2 for words within their typos.
 
-    places: place_id, name (normal); queries: query_id, name. A word within its typos begins with the same letter. Words meet
-    equal ones, and by pieces those within their typos (fuzzy), wherever the typo is. Null and empty names meet none.
-    A score depends on the name alone, so of equal names the `top` smallest ids are enough. Names whose only words met are
-    in over `common` names are scored by their form (all other words masked), of which again the `top` smallest ids are
-    enough; so a query meets the names of its rarer words, and forms.
+    places: place_id, name (normal); queries: query_id, name. A word within its typos begins with the same letter, wherever
+    the typo is. Null and empty names meet none. A score depends on the name alone, so of equal names the `top` smallest
+    ids are enough. Words of over `common` names are common; a name's form shows these and masks all others. By the words
+    that a query shares with them, names are candidates thus:
+    common ones only: the form is enough, with its `top` smallest ids;
+    a rarer one: all names that have it;
+    else one near to a rarer one: of each form the `top` smallest names that have such a one (nearest);
+    else two or more near to rarer ones: all such names (fuzzy).
+    Candidates are scored by their own names, or forms.
     """
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.filter(F.split("name", " "), lambda x: x != ""))).alias("word"))
+    allowance = text.edit_allowance
+    split = lambda name: F.array_distinct(F.filter(F.split(name, " "), lambda x: x != ""))
+    words = lambda df, key: df.select(key, F.explode(split("name")).alias("word"))
     ids = smallest(places.filter("name <> ''").select("place_id", "name"), "place_id", top, "name")
     ids = written(ids.groupBy("name").agg(F.min("place_id").alias("first"), F.sort_array(F.collect_list("place_id")).alias("ids")), "place-names")
     q, p = written(words(queries, "query_id"), "query-words"), words(ids, "first")
-    known, asked = written(p.groupBy(F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("names")), "name-words"), q.select("word").distinct()
-    typos = fuzzy(known.select("term"), asked.select(F.lit(0).alias("query_id"), "word"), text.edit_allowance).filter((F.col("edits") > 0) & (F.substring("word", 1, 1) == F.substring("term", 1, 1)))
-    pairs = asked.select("word", F.col("word").alias("term"), F.lit(True).alias("equal")).union(typos.select("word", "term", F.lit(False)))
-    pairs = written(pairs.join(known, "term"), "word-pairs")
-    often = written(pairs.filter(F.col("names") > common).select("term").distinct(), "common-words")
+    often = written(p.groupBy(F.col("word").alias("term")).agg(F.count(F.lit(1)).alias("names")).filter(F.col("names") > common).select("term"), "common-words")
+    asked = written(q.select("word").distinct(), "asked-words")
 
     # each name's form: its common words where they are, a mark for others
     each = ids.select("first", F.posexplode(F.split("name", " ")).alias("at", "term")).join(small(often.withColumn("often", F.lit(True))), "term", "left")
+    each = written(each, "placed-words")
     shown = F.struct("at", F.when(F.col("often") | (F.col("term") == ""), F.col("term")).otherwise("\x01").alias("w"), F.coalesce("often", F.lit(False)).alias("often"))
     form = each.groupBy("first").agg(F.array_sort(F.collect_list(shown)).alias("f")).filter(F.exists("f", lambda x: x["often"]))
-    form = form.select("first", F.array_join(F.transform("f", lambda x: x["w"]), " ").alias("form"))
-    names = written(ids.join(form, "first", "left"), "name-forms")
-    forms = smallest(names.filter("form IS NOT NULL").select("form", F.explode("ids").alias("place_id")), "place_id", top, "form")
+    form = written(form.select("first", F.array_join(F.transform("f", lambda x: x["w"]), " ").alias("form")), "name-forms")
+    forms = smallest(form.join(ids, "first").select("form", F.explode("ids").alias("place_id")), "place_id", top, "form")
     forms = written(forms.groupBy("form").agg(F.collect_list("place_id").alias("ids")), "forms")
-
-    met = [F.collect_set("word").alias("met"), F.collect_set(F.when(F.col("equal"), F.col("word"))).alias("same")]
-    in_form = forms.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("term")).join(small(pairs.filter(F.col("names") > common)), "term").join(q, "word").groupBy("query_id", "form").agg(*met)
-    in_form = written(in_form, "forms-met")
-    rare = p.withColumnRenamed("word", "term").join(small(pairs.filter(F.col("names") <= common)), "term").join(q, "word").groupBy("query_id", "first").agg(*met)
-    none = F.array().cast("array<string>")
-    with_form = in_form.select("query_id", "form", F.col("met").alias("met2"), F.col("same").alias("same2"))
-    rare = rare.join(names, "first").join(with_form, ["query_id", "form"], "left")
-    rare = rare.select("query_id", "name", "ids", F.array_union("met", F.coalesce("met2", none)).alias("met"), F.array_union("same", F.coalesce("same2", none)).alias("same"))
-    often_only = in_form.join(small(forms), "form").select("query_id", F.col("form").alias("name"), "ids", "met", "same")
-    n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(queries.select("query_id", F.col("name").alias("q")), "query_id")
-    c = rare.unionByName(often_only).join(small(n), "query_id")
-    equal = F.size("same")
-    score = F.when(F.col("name") == F.col("q"), 8.0).otherwise(0.0) + F.when(F.contains(F.concat(F.lit(" "), "name", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))), 4.0).otherwise(0.0) + 3 * (equal / F.col("n")) + 2 * ((F.size("met") - equal) / F.col("n"))
+    kinds = form.join(small(form.groupBy("form").agg(F.min("first").alias("kind"))), "form").select("first", "kind")
+    rare = each.filter("often IS NULL AND term <> ''").select("first", "term").distinct().join(kinds, "first", "left")
+    rare = written(rare, "rare-words")
+
+    near = lambda terms, some: fuzzy(terms, some.select(F.lit(0).alias("query_id"), "word"), allowance).filter(F.substring("word", 1, 1) == F.substring("term", 1, 1)).select("word", "term")
+    pairs = written(asked.join(often, F.col("word") == F.col("term"), "left_semi").select("word", F.col("word").alias("term")).union(near(often, asked)), "common-pairs")
+    in_form = forms.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("term")).join(small(pairs), "term").join(q, "word").select("query_id", "form").distinct()
+
+    one = written(nearest(rare.select("term", "kind", "first"), asked, allowance, top), "near-names")
+    with_typo = q.join(small_or_sorted(one.select("word").distinct()), "word", "left_semi")
+    several = written(with_typo.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("query_id"), "queries-of-several")
+    found = q.join(rare.withColumnRenamed("term", "word"), "word").select("query_id", "first")
+    found = found.union(q.join(one, "word").select("query_id", "first"))
+    if not several.isEmpty():
+        some = written(with_typo.join(small_or_sorted(several), "query_id", "left_semi"), "words-of-several")
+        both = near(rare.select("term").distinct(), some.select("word").distinct()).join(rare, "term").join(some, "word")
+        found = found.union(both.groupBy("query_id", "first").agg(F.count_distinct("word").alias("n")).filter("n > 1").select("query_id", "first"))
+    found = found.distinct().join(ids, "first").select("query_id", "name", "ids")
+
+    c = found.union(in_form.join(small(forms), "form").select("query_id", F.col("form").alias("name"), "ids"))
+    c = c.join(small_or_sorted(queries.select("query_id", F.col("name").alias("q"))), "query_id").withColumn("qw", split("q")).withColumn("pw", split("name"))
+    equal, n = F.size(F.array_intersect("qw", "pw")), F.size("qw")
+    typo = lambda x, y: (F.left(x, F.lit(1)) == F.left(y, F.lit(1))) & (F.levenshtein(x, y) <= allowance(x))
+    met = F.size(F.filter(F.array_except("qw", "pw"), lambda x: F.exists("pw", lambda y: typo(x, y))))
+    score = F.when(F.col("name") == F.col("q"), 8.0).otherwise(0.0) + F.when(F.contains(F.concat(F.lit(" "), "name", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))), 4.0).otherwise(0.0) + 3 * (equal / n) + 2 * (met / n)
     best = c.select("query_id", score.alias("score"), F.explode("ids").alias("place_id")).groupBy("query_id", "place_id").agg(F.max("score").alias("score"))
     return with_rank(best, ["query_id"], "score", "place_id").filter(F.col("rank") <= top)
 
