@@ -257,13 +257,13 @@ def place_text_search(places: DataFrame, queries: DataFrame, top: int, common: i
     one = written(nearest(rare.select("term", "kind", "first"), asked, allowance, top), "near-names")
     with_typo = q.join(small_or_sorted(one.select("word").distinct()), "word", "left_semi")
     several = written(with_typo.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("query_id"), "queries-of-several")
-    found = q.join(rare.withColumnRenamed("term", "word"), "word").select("query_id", "first")
-    found = found.union(q.join(one, "word").select("query_id", "first"))
+    found = q.join(small_or_sorted(rare.withColumnRenamed("term", "word")), "word").select("query_id", "first")
+    found = found.union(q.join(small_or_sorted(one), "word").select("query_id", "first"))
     if not several.isEmpty():
         some = written(with_typo.join(small_or_sorted(several), "query_id", "left_semi"), "words-of-several")
         both = near(rare.select("term").distinct(), some.select("word").distinct()).join(rare, "term").join(some, "word")
         found = found.union(both.groupBy("query_id", "first").agg(F.count_distinct("word").alias("n")).filter("n > 1").select("query_id", "first"))
-    found = found.distinct().join(ids, "first").select("query_id", "name", "ids")
+    found = found.distinct().join(small_or_sorted(ids), "first").select("query_id", "name", "ids")
 
     c = found.union(in_form.join(small(forms), "form").select("query_id", F.col("form").alias("name"), "ids"))
     c = c.join(small_or_sorted(queries.select("query_id", F.col("name").alias("q"))), "query_id").withColumn("qw", split("q")).withColumn("pw", split("name"))
